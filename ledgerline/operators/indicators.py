@@ -8,148 +8,137 @@ from pyspark.sql import functions as F
 from ledgerline.functions.numeric import ratio
 from ledgerline.functions.times import calendar_bin
 from ledgerline.operators import series
-from ledgerline.operators.series import Ewm, block_lag, block_window, ewm_mean
+from ledgerline.operators.series import HALO, INDEX, Ewm, block_window, ewm_mean, in_blocks
 
 KEYS = ["ticker"]
 _BIN = "_bin"
 
 
-def blocked_bars(
-    bars: DataFrame, halo: int, grain: str = "month", size: int = series.BLOCK_ROWS
-) -> DataFrame:
-    """Bars with their index in the ticker's series, cut into blocks.
+def indexed_bars(bars: DataFrame, grain: str = "month", lags: dict | None = None) -> DataFrame:
+    """Bars with their position in the ticker's series and values of the bar before.
 
     ``grain`` bounds how many rows of one ticker are ordered together; daily bars need
     no finer one than a month, intraday bars should pass "day".
     """
     binned = bars.withColumn(_BIN, calendar_bin(F.col("trading_date"), grain))
-    indexed = series.row_index(binned, KEYS, [F.col("trading_date")], _BIN).drop(_BIN)
-    return series.in_blocks(indexed, size, halo)
+    return series.indexed(binned, KEYS, "trading_date", _BIN, lags).drop(_BIN)
 
 
 def _finish(blocked: DataFrame, columns: list[str]) -> DataFrame:
-    return blocked.filter(~F.col(series.HALO)).select(*columns)
+    return blocked.filter(~F.col(HALO)).select(*columns)
 
 
-def _gain_loss(blocked: DataFrame) -> DataFrame:
-    change = F.col("close_price") - block_lag("close_price", KEYS)
+def _with_moves(bars: DataFrame, grain: str) -> DataFrame:
+    change = F.col("close_price") - F.col("_prev")
     return (
-        blocked.withColumn("_change", change)
-        .withColumn("_gain", F.greatest(F.col("_change"), F.lit(0.0)))
-        .withColumn("_loss", F.greatest(-F.col("_change"), F.lit(0.0)))
+        indexed_bars(bars, grain, {"_prev": "close_price"})
+        .withColumn("_return", (F.try_divide("close_price", "_prev") - 1) * 100)
+        .withColumn("_gain", F.greatest(change, F.lit(0.0)))
+        .withColumn("_loss", F.greatest(-change, F.lit(0.0)))
     )
 
 
-def _return(blocked: DataFrame) -> Column:
-    previous = block_lag("close_price", KEYS)
-    return (F.try_divide(F.col("close_price"), previous) - 1) * 100
-
-
 def _rolling_close(periods: int) -> Column:
     return F.avg("close_price").over(block_window(KEYS, periods - 1))
 
 
-def returns(bars: DataFrame, **cut) -> DataFrame:
+def returns(bars: DataFrame, grain: str = "month") -> DataFrame:
     """Percent change to the previous bar."""
-    blocked = blocked_bars(bars, halo=1, **cut)
-    out = blocked.withColumn("return_pct", F.round(_return(blocked), 4))
-    return _finish(out, [*bars.columns, "return_pct"])
+    return _with_moves(bars, grain).select(
+        *bars.columns, F.round("_return", 4).alias("return_pct")
+    )
 
 
-def moving_average(bars: DataFrame, periods: int = 20, out: str | None = None, **cut) -> DataFrame:
+def moving_average(
+    bars: DataFrame, periods: int = 20, grain: str = "month", size: int = series.BLOCK_ROWS
+) -> DataFrame:
     """Mean of the last ``periods`` closes, from the first bar on."""
-    out = out or f"ma{periods}"
-    blocked = blocked_bars(bars, halo=periods - 1, **cut)
-    return _finish(
-        blocked.withColumn(out, F.round(_rolling_close(periods), 4)), [*bars.columns, out]
-    )
+    out = f"ma{periods}"
+    blocked = in_blocks(indexed_bars(bars, grain), size, periods - 1)
+    averaged = blocked.withColumn(out, F.round(_rolling_close(periods), 4))
+    return _finish(averaged, [*bars.columns, out])
 
 
 def close_ewm(
     bars: DataFrame,
     alpha: float,
-    out: str = "ewm_close",
     min_periods: int = 1,
-    **cut,
+    grain: str = "month",
+    size: int = series.BLOCK_ROWS,
 ) -> DataFrame:
     """Unadjusted exponential mean of the close."""
-    size = cut.get("size", series.BLOCK_ROWS)
-    blocked = blocked_bars(bars, halo=0, **cut)
-    smoothed = ewm_mean(blocked, KEYS, [Ewm(out, "close_price", alpha, 0, min_periods)], size)
-    return _finish(smoothed.withColumn(out, F.round(out, 4)), [*bars.columns, out])
-
-
-def _smoothed_moves(blocked: DataFrame, periods: int, min_periods: int, size: int) -> DataFrame:
-    return ewm_mean(
-        _gain_loss(blocked),
-        KEYS,
-        [
-            Ewm("_avg_gain", "_gain", 1 / periods, 1, min_periods),
-            Ewm("_avg_loss", "_loss", 1 / periods, 1, min_periods),
-        ],
-        size,
-    )
+    source = indexed_bars(bars, grain)
+    spec = Ewm("_ewm", "close_price", alpha, 0, min_periods)
+    smoothed = ewm_mean(in_blocks(source, size), KEYS, [spec], source, size)
+    return _finish(smoothed.withColumn("ewm_close", F.round("_ewm", 4)), [*bars.columns, "ewm_close"])
+
+
+def _smoothed(bars: DataFrame, periods: int, min_periods: int, grain: str, size: int) -> DataFrame:
+    """Bars with return, 20-bar mean and smoothed gains and losses, not yet rounded."""
+    source = _with_moves(bars, grain)
+    blocked = in_blocks(source, size, 19).withColumn("_ma20", _rolling_close(20))
+    specs = [
+        Ewm("_avg_gain", "_gain", 1 / periods, 1, min_periods),
+        Ewm("_avg_loss", "_loss", 1 / periods, 1, min_periods),
+    ]
+    return ewm_mean(blocked, KEYS, specs, source, size)
 
 
 def _rsi(rs: Column) -> Column:
     return 100 - F.lit(100.0) / (1 + rs)
 
 
-def indicators(bars: DataFrame, periods: int = 14, **cut) -> DataFrame:
+def indicators(
+    bars: DataFrame, periods: int = 14, grain: str = "month", size: int = series.BLOCK_ROWS
+) -> DataFrame:
     """``return_pct``, ``ma20`` and ``rsi_14`` in one pass, four decimals.
 
     RSI: Wilder smoothing, null for the first 14 bars, 100 where the average loss is zero.
+    ``bars`` is read three times (bin totals, block totals, rows): pass a stored table.
     """
-    size = cut.get("size", series.BLOCK_ROWS)
-    blocked = blocked_bars(bars, halo=19, **cut)
-    blocked = blocked.withColumn("_return", _return(blocked)).withColumn(
-        "_ma20", _rolling_close(20)
-    )
-    moves = _smoothed_moves(blocked, periods, periods, size)
-    rsi = F.when(
-        F.col("_avg_gain").isNotNull(),
-        F.coalesce(_rsi(F.try_divide(F.col("_avg_gain"), F.col("_avg_loss"))), F.lit(100.0)),
-    )
+    gain, loss = F.col("_avg_gain"), F.col("_avg_loss")
+    rsi = F.when(gain.isNotNull(), F.coalesce(_rsi(F.try_divide(gain, loss)), F.lit(100.0)))
     return _finish(
-        moves.withColumn("return_pct", F.round("_return", 4))
+        _smoothed(bars, periods, periods, grain, size)
+        .withColumn("return_pct", F.round("_return", 4))
         .withColumn("ma20", F.round("_ma20", 4))
         .withColumn("rsi_14", F.round(rsi, 4)),
         [*bars.columns, "return_pct", "ma20", "rsi_14"],
     )
 
 
-def indicators_two_decimals(bars: DataFrame, periods: int = 14, **cut) -> DataFrame:
+def indicators_two_decimals(
+    bars: DataFrame, periods: int = 14, grain: str = "month", size: int = series.BLOCK_ROWS
+) -> DataFrame:
     """The older variant: two decimals, RSI from the second bar, null while nothing moved."""
-    size = cut.get("size", series.BLOCK_ROWS)
-    blocked = blocked_bars(bars, halo=19, **cut)
-    blocked = blocked.withColumn("_return", _return(blocked)).withColumn(
-        "_ma20", _rolling_close(20)
-    )
-    moves = _smoothed_moves(blocked, periods, 1, size)
     gain, loss = F.col("_avg_gain"), F.col("_avg_loss")
     rsi = F.when((loss == 0) & (gain > 0), F.lit(100.0)).otherwise(_rsi(F.try_divide(gain, loss)))
     return _finish(
-        moves.withColumn("return", F.round("_return", 2))
+        _smoothed(bars, periods, 1, grain, size)
+        .withColumn("return", F.round("_return", 2))
         .withColumn("ma20", F.round("_ma20", 2))
         .withColumn("rsi_14", F.round(rsi, 2)),
         [*bars.columns, "return", "ma20", "rsi_14"],
     )
 
 
-def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, **cut) -> DataFrame:
+def macd(
+    bars: DataFrame,
+    fast: int = 12,
+    slow: int = 26,
+    signal: int = 9,
+    grain: str = "month",
+    size: int = series.BLOCK_ROWS,
+) -> DataFrame:
     """Difference of a fast and a slow exponential mean, and its own exponential mean."""
-    size = cut.get("size", series.BLOCK_ROWS)
-    blocked = blocked_bars(bars, halo=0, **cut)
-    means = ewm_mean(
-        blocked,
-        KEYS,
-        [
-            Ewm("_fast", "close_price", 2 / (fast + 1)),
-            Ewm("_slow", "close_price", 2 / (slow + 1)),
-        ],
-        size,
-    ).withColumn("_macd", F.col("_fast") - F.col("_slow"))
-    lined = ewm_mean(means, KEYS, [Ewm("_signal", "_macd", 2 / (signal + 1))], size)
+    source = indexed_bars(bars, grain)
+    specs = [
+        Ewm("_fast", "close_price", 2 / (fast + 1)),
+        Ewm("_slow", "close_price", 2 / (slow + 1)),
+    ]
+    means = ewm_mean(in_blocks(source, size), KEYS, specs, source, size)
+    line = means.withColumn("_macd", F.col("_fast") - F.col("_slow"))
+    lined = ewm_mean(line, KEYS, [Ewm("_signal", "_macd", 2 / (signal + 1))], size=size)
     return _finish(
         lined.withColumn("macd", F.round("_macd", 4)).withColumn(
             "macd_signal", F.round("_signal", 4)
@@ -158,59 +147,53 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, **cut
     )
 
 
-def adx(bars: DataFrame, periods: int = 14, **cut) -> DataFrame:
+def adx(
+    bars: DataFrame, periods: int = 14, grain: str = "month", size: int = series.BLOCK_ROWS
+) -> DataFrame:
     """Average directional index after Wilder; null until both smoothings are filled."""
-    size = cut.get("size", series.BLOCK_ROWS)
-    blocked = blocked_bars(bars, halo=1, **cut)
-    high, low = F.col("high_price"), F.col("low_price")
-    prev_close = block_lag("close_price", KEYS)
-    up = high - block_lag("high_price", KEYS)
-    down = block_lag("low_price", KEYS) - low
-    true_range = F.greatest(high - low, F.abs(high - prev_close), F.abs(low - prev_close))
-    moves = (
-        blocked.withColumn("_up", up)
-        .withColumn("_down", down)
-        .withColumn("_tr", F.when(prev_close.isNotNull(), true_range))
-        .withColumn("_plus", F.when((F.col("_up") > F.col("_down")) & (F.col("_up") > 0), F.col("_up")).otherwise(0.0))
-        .withColumn("_minus", F.when((F.col("_down") > F.col("_up")) & (F.col("_down") > 0), F.col("_down")).otherwise(0.0))
+    lags = {"_pclose": "close_price", "_phigh": "high_price", "_plow": "low_price"}
+    high, low, prev = F.col("high_price"), F.col("low_price"), F.col("_pclose")
+    up, down = F.col("_up"), F.col("_down")
+    source = (
+        indexed_bars(bars, grain, lags)
+        .withColumn("_up", high - F.col("_phigh"))
+        .withColumn("_down", F.col("_plow") - low)
+        .withColumn("_tr", F.greatest(high - low, F.abs(high - prev), F.abs(low - prev)))
+        .withColumn("_plus", F.when((up > down) & (up > 0), up).otherwise(0.0))
+        .withColumn("_minus", F.when((down > up) & (down > 0), down).otherwise(0.0))
     )
     alpha = 1 / periods
-    smooth = ewm_mean(
-        moves,
-        KEYS,
-        [
-            Ewm("_atr", "_tr", alpha, 1, periods),
-            Ewm("_plus_s", "_plus", alpha, 1, periods),
-            Ewm("_minus_s", "_minus", alpha, 1, periods),
-        ],
-        size,
-    )
-    plus_di = ratio(F.col("_plus_s"), F.col("_atr"), 100.0)
-    minus_di = ratio(F.col("_minus_s"), F.col("_atr"), 100.0)
-    directional = smooth.withColumn("_pdi", plus_di).withColumn("_mdi", minus_di)
-    dx = F.coalesce(
-        ratio(F.abs(F.col("_pdi") - F.col("_mdi")), F.col("_pdi") + F.col("_mdi"), 100.0),
-        F.lit(0.0),
-    )
-    directional = directional.withColumn("_dx", dx)
-    averaged = ewm_mean(
-        directional, KEYS, [Ewm("_adx", "_dx", alpha, periods, periods)], size
+    specs = [
+        Ewm("_atr", "_tr", alpha, 1, periods),
+        Ewm("_plus_s", "_plus", alpha, 1, periods),
+        Ewm("_minus_s", "_minus", alpha, 1, periods),
+    ]
+    smooth = ewm_mean(in_blocks(source, size), KEYS, specs, source, size)
+    plus, minus = F.col("_pdi"), F.col("_mdi")
+    directional = smooth.withColumn(
+        "_pdi", ratio(F.col("_plus_s"), F.col("_atr"), 100.0)
+    ).withColumn("_mdi", ratio(F.col("_minus_s"), F.col("_atr"), 100.0))
+    directional = directional.withColumn(
+        "_dx", F.coalesce(ratio(F.abs(plus - minus), plus + minus, 100.0), F.lit(0.0))
     )
+    averaged = ewm_mean(directional, KEYS, [Ewm("_adx", "_dx", alpha, periods, periods)], size=size)
     return _finish(
-        averaged.withColumn("adx_14", F.round("_adx", 4))
-        .withColumn("plus_di", F.round("_pdi", 4))
-        .withColumn("minus_di", F.round("_mdi", 4)),
+        averaged.withColumn("plus_di", F.round("_pdi", 4))
+        .withColumn("minus_di", F.round("_mdi", 4))
+        .withColumn("adx_14", F.round("_adx", 4)),
         [*bars.columns, "plus_di", "minus_di", "adx_14"],
     )
 
 
-def cci(bars: DataFrame, periods: int = 14, **cut) -> DataFrame:
+def cci(
+    bars: DataFrame, periods: int = 14, grain: str = "month", size: int = series.BLOCK_ROWS
+) -> DataFrame:
     """Commodity channel index with Lambert's constant 0.015; null until the frame is full."""
-    blocked = blocked_bars(bars, halo=periods - 1, **cut)
     typical = (F.col("high_price") + F.col("low_price") + F.col("close_price")) / 3
+    source = indexed_bars(bars, grain).withColumn("_tp", typical)
     frame = block_window(KEYS, periods - 1)
-    typed = (
-        blocked.withColumn("_tp", typical)
+    framed = (
+        in_blocks(source, size, periods - 1)
         .withColumn("_sma", F.avg("_tp").over(frame))
         .withColumn("_frame", F.collect_list("_tp").over(frame))
     )
@@ -218,20 +201,23 @@ def cci(bars: DataFrame, periods: int = 14, **cut) -> DataFrame:
         F.aggregate("_frame", F.lit(0.0), lambda acc, x: acc + F.abs(x - F.col("_sma"))) / periods
     )
     value = F.when(
-        F.col(series.INDEX) >= periods - 1,
-        ratio(F.col("_tp") - F.col("_sma"), F.lit(0.015) * deviation),
+        F.col(INDEX) >= periods - 1, ratio(F.col("_tp") - F.col("_sma"), F.lit(0.015) * deviation)
     )
-    return _finish(typed.withColumn("cci_14", F.round(value, 4)), [*bars.columns, "cci_14"])
+    return _finish(framed.withColumn("cci_14", F.round(value, 4)), [*bars.columns, "cci_14"])
 
 
-def sharpe(bars: DataFrame, risk_free_pct: float = 4.5, sessions: int = 252, **cut) -> DataFrame:
+def sharpe(
+    bars: DataFrame, risk_free_pct: float = 4.5, sessions: int = 252, grain: str = "month"
+) -> DataFrame:
     """Yearly Sharpe ratio per ticker from daily percent returns."""
-    blocked = blocked_bars(bars, halo=1, **cut)
-    daily = blocked.withColumn("_return", _return(blocked)).filter(~F.col(series.HALO))
-    stats = daily.groupBy("ticker", F.year("trading_date").cast("int").alias("year")).agg(
-        F.avg("_return").alias("_mean"),
-        F.stddev_samp("_return").alias("_std"),
-        F.count("_return").alias("sessions"),
+    stats = (
+        _with_moves(bars, grain)
+        .groupBy("ticker", F.year("trading_date").cast("int").alias("year"))
+        .agg(
+            F.avg("_return").alias("_mean"),
+            F.stddev_samp("_return").alias("_std"),
+            F.count("_return").alias("sessions"),
+        )
     )
     excess = F.col("_mean") * sessions - risk_free_pct
     spread = F.col("_std") * F.sqrt(F.lit(float(sessions)))

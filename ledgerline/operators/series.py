@@ -4,7 +4,7 @@
 as soon as one ticker holds a large part of the table. The helpers here cut every
 series into pieces that are bounded whatever the key distribution:
 
-* ``running_sums`` / ``row_index``: the series is cut by a coarse monotone bin
+* ``running_sums`` / ``indexed``: the series is cut by a coarse monotone bin
   (calendar bin, value bin). Per-bin totals are pre-aggregated on the map side,
   their prefix sums give each bin's offset, and rows are only ordered inside a bin.
 * ``in_blocks``: rows with a global index are cut into blocks of ``size`` rows. The
@@ -51,10 +51,37 @@ def running_sums(
     )
 
 
-def row_index(df: DataFrame, keys: list[str], order: list[Column], bin_col: str) -> DataFrame:
-    """Add the 0-based position of each row in its series."""
-    counted = running_sums(df, keys, order, bin_col, {INDEX: F.lit(1)})
-    return counted.withColumn(INDEX, (F.col(INDEX) - 1).cast("long"))
+def indexed(
+    df: DataFrame, keys: list[str], order: str, bin_col: str, lags: dict[str, str] | None = None
+) -> DataFrame:
+    """Add the 0-based position of each row in its series, and previous-row values.
+
+    ``lags`` maps new column names to the columns they take from the previous row; the
+    first row of a bin takes them from the end of the bin before it.
+    """
+    lags = lags or {}
+    group = [*keys, bin_col]
+    totals = df.groupBy(*group).agg(
+        F.count("*").alias("_rows"),
+        *[F.max_by(c, order).alias(f"_last_{n}") for n, c in lags.items()],
+    )
+    bins = Window.partitionBy(*keys).orderBy(bin_col)
+    earlier = bins.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *group,
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+        *[F.lag(f"_last_{n}").over(bins).alias(f"_last_{n}") for n in lags],
+    )
+    inside = Window.partitionBy(*group).orderBy(order)
+    position = F.row_number().over(inside)
+    return df.join(offsets, group).select(
+        *[df[c] for c in df.columns],
+        (position - 1 + F.col("_before")).cast("long").alias(INDEX),
+        *[
+            F.when(position == 1, F.col(f"_last_{n}")).otherwise(F.lag(c).over(inside)).alias(n)
+            for n, c in lags.items()
+        ],
+    )
 
 
 def in_blocks(indexed: DataFrame, size: int = BLOCK_ROWS, halo: int = 0) -> DataFrame:
@@ -74,15 +101,6 @@ def block_window(keys: list[str], preceding: int | None = None):
     return Window.partitionBy(*keys, BLOCK).orderBy(INDEX).rowsBetween(start, 0)
 
 
-def block_lag(column: str, keys: list[str]) -> Column:
-    """Previous row's value; needs a halo of at least one row."""
-    return F.lag(column).over(Window.partitionBy(*keys, BLOCK).orderBy(INDEX))
-
-
-def without_halo(blocked: DataFrame) -> DataFrame:
-    return blocked.filter(~F.col(HALO)).drop(BLOCK, HALO)
-
-
 @dataclass(frozen=True)
 class Ewm:
     """``out`` = unadjusted exponential mean of ``value``.
@@ -102,38 +120,63 @@ def _power(base: float, exponent: Column) -> Column:
     return F.pow(F.lit(base), exponent.cast("double"))
 
 
+def _weighted(spec: Ewm) -> Column:
+    """Observation times its weight; the first one seeds the recursion with weight 1."""
+    weight = F.when(F.col(INDEX) == spec.start, F.lit(1.0)).otherwise(F.lit(spec.alpha))
+    return F.when(F.col(INDEX) >= spec.start, F.col(spec.value) * weight)
+
+
 def ewm_mean(
-    blocked: DataFrame, keys: list[str], specs: list[Ewm], size: int = BLOCK_ROWS
+    blocked: DataFrame,
+    keys: list[str],
+    specs: list[Ewm],
+    source: DataFrame | None = None,
+    size: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add one column per spec to a blocked series.
 
-    Inside a block ``y[i] = q^i * sum(w*x*q^-i)``, where i <= ``size`` keeps the
-    powers in double range. A full block's last local value reaches the j-th later
-    block with weight ``q^(size*(j-1))``; j runs until that factor leaves the
-    double range, so nothing a sequential recursion would still see is cut off.
+    Inside a block ``y[i] = q^i * sum(w*x*q^-i)``, where i < ``size`` keeps the powers in
+    double range. A full block's closing value reaches the j-th later block with weight
+    ``q^(size*(j-1))``; j runs until that factor leaves the double range, so nothing a
+    sequential recursion would still see is cut off.
+
+    ``source`` is the indexed series the blocks were cut from. With it, closing values are
+    a plain sum per block that combines on the map side; without it (the values are
+    themselves results per block) they are read off the blocks.
     """
     index, block = F.col(INDEX), F.col(BLOCK)
     within = index - block * size
     upto = block_window(keys)
-    local = blocked
     reach = 1
+    local = blocked
     for s in specs:
         decay = -math.log(1 - s.alpha) * size
         if decay > 600:
             raise ValueError(f"blocks of {size} rows are too long for alpha={s.alpha}")
         reach = max(reach, math.ceil(700 / decay))
-        weight = F.when(index == s.start, F.lit(1.0)).otherwise(F.lit(s.alpha))
-        term = F.when(
-            ~F.col(HALO) & (index >= s.start),
-            F.col(s.value) * weight * _power(1 - s.alpha, -within),
-        ).otherwise(F.lit(0.0))
+        term = F.when(~F.col(HALO), _weighted(s) * _power(1 - s.alpha, -within))
         local = local.withColumn(
-            f"_l_{s.out}", F.sum(term).over(upto) * _power(1 - s.alpha, within)
+            f"_l_{s.out}",
+            F.coalesce(F.sum(term).over(upto), F.lit(0.0)) * _power(1 - s.alpha, within),
         )
 
-    ends = local.filter(~F.col(HALO) & (within == size - 1)).select(
-        *keys, BLOCK, *[f"_l_{s.out}" for s in specs]
-    )
+    if source is None:
+        ends = local.filter(~F.col(HALO) & (within == size - 1)).select(
+            *keys, BLOCK, *[f"_l_{s.out}" for s in specs]
+        )
+    else:
+        ends = (
+            source.withColumn(BLOCK, F.floor(index / size).cast("long"))
+            .groupBy(*keys, BLOCK)
+            .agg(
+                F.count("*").alias("_rows"),
+                *[
+                    F.sum(_weighted(s) * _power(1 - s.alpha, size - 1 - within)).alias(f"_l_{s.out}")
+                    for s in specs
+                ],
+            )
+            .filter(F.col("_rows") == size)
+        )
     step = F.col("_step")
     carry = (
         ends.withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(reach))))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.schemas import RECORD_COLUMNS
-from ledgerline.session import configure
+from ledgerline.session import configure, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,21 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_LAYERS: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def layer(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A stored layer: built once per application and input folder, then only read."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _LAYERS:
+        _LAYERS[key] = stored(spark, build(spark, sf_dir), name)
+    return _LAYERS[key]
+
+
+def stored_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layer(spark, sf_dir, "bars", bars)
+
+
 BARS_SQL = """
 bars AS (
   SELECT ticker, trading_date,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.operators import indicators as ind
-from ledgerline.plans.inputs import BARS_SQL, bars
+from ledgerline.plans.inputs import BARS_SQL, stored_bars
 from ledgerline.plans.registry import Catalog, with_parts
 
 market = Catalog()
@@ -53,7 +53,7 @@ def curated_oracle(body: str, *more: str) -> str:
 
 def curated(spark, sf_dir):
     """Bars with return, MA20 and RSI14: the curated table without its storage."""
-    return ind.indicators(bars(spark, sf_dir))
+    return ind.indicators(stored_bars(spark, sf_dir))
 
 
 @market.query(
@@ -87,7 +87,7 @@ def all_indicators(spark, sf_dir):
     ),
 )
 def return_pct(spark, sf_dir):
-    return ind.returns(bars(spark, sf_dir)).select("ticker", "trading_date", "return_pct")
+    return ind.returns(stored_bars(spark, sf_dir)).select("ticker", "trading_date", "return_pct")
 
 
 def _ma_sql(periods: int) -> str:
@@ -101,12 +101,12 @@ def _ma_sql(periods: int) -> str:
 
 @market.query("ma20", _ma_sql(20))
 def ma20(spark, sf_dir):
-    return ind.moving_average(bars(spark, sf_dir), 20).select("ticker", "trading_date", "ma20")
+    return ind.moving_average(stored_bars(spark, sf_dir), 20).select("ticker", "trading_date", "ma20")
 
 
 @market.query("ma50", _ma_sql(50))
 def ma50(spark, sf_dir):
-    return ind.moving_average(bars(spark, sf_dir), 50).select("ticker", "trading_date", "ma50")
+    return ind.moving_average(stored_bars(spark, sf_dir), 50).select("ticker", "trading_date", "ma50")
 
 
 @market.query("rsi_14", curated_oracle("SELECT ticker, trading_date, rsi_14 FROM curated"))
@@ -137,7 +137,7 @@ def _ema_recursion(name: str, value: str, source: str, q: str) -> str:
     ),
 )
 def ewm_close(spark, sf_dir):
-    return ind.close_ewm(bars(spark, sf_dir), alpha=1 / 14).select(
+    return ind.close_ewm(stored_bars(spark, sf_dir), alpha=1 / 14).select(
         "ticker", "trading_date", "ewm_close"
     )
 
@@ -159,7 +159,7 @@ def ewm_close(spark, sf_dir):
     ),
 )
 def indicators_legacy(spark, sf_dir):
-    return ind.indicators_two_decimals(bars(spark, sf_dir)).select(
+    return ind.indicators_two_decimals(stored_bars(spark, sf_dir)).select(
         "ticker", "trading_date", "return", "ma20", "rsi_14"
     )
 
@@ -189,7 +189,7 @@ MACD_SQL = ",\n".join(
     ),
 )
 def macd(spark, sf_dir):
-    return ind.macd(bars(spark, sf_dir)).select("ticker", "trading_date", "macd", "macd_signal")
+    return ind.macd(stored_bars(spark, sf_dir)).select("ticker", "trading_date", "macd", "macd_signal")
 
 
 ADX_SQL = """
@@ -231,7 +231,7 @@ adx AS (
     ),
 )
 def adx_14(spark, sf_dir):
-    return ind.adx(bars(spark, sf_dir)).select(
+    return ind.adx(stored_bars(spark, sf_dir)).select(
         "ticker", "trading_date", "plus_di", "minus_di", "adx_14"
     )
 
@@ -258,7 +258,7 @@ framed AS (
     ),
 )
 def cci_14(spark, sf_dir):
-    return ind.cci(bars(spark, sf_dir)).select("ticker", "trading_date", "cci_14")
+    return ind.cci(stored_bars(spark, sf_dir)).select("ticker", "trading_date", "cci_14")
 
 
 @market.query(
@@ -274,7 +274,7 @@ def cci_14(spark, sf_dir):
     ),
 )
 def sharpe(spark, sf_dir):
-    return ind.sharpe(bars(spark, sf_dir))
+    return ind.sharpe(stored_bars(spark, sf_dir))
 
 
 @market.query(
@@ -301,6 +301,6 @@ def technical_snapshot(spark, sf_dir):
     ),
 )
 def candle_direction(spark, sf_dir):
-    return ind.candle_direction(bars(spark, sf_dir)).select(
+    return ind.candle_direction(stored_bars(spark, sf_dir)).select(
         "ticker", "trading_date", "open_price", "close_price", "direction"
     )
