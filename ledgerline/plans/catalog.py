@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from ledgerline.plans.landing import landing
 from ledgerline.plans.market import market
 
-CATALOGS = [market]
+CATALOGS = [market, landing]
 
 
 def all_queries() -> dict:
