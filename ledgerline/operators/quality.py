@@ -48,27 +48,43 @@ def typed_fields(record: Column) -> dict[str, Column]:
     }
 
 
-def violations(record: Column) -> Column:
-    """Names of the rules a raw record breaks, in a fixed order."""
-    typed = typed_fields(record)
+def _rules(raw: Column, typed: Column) -> Column:
     checks: list[Column] = []
     for name in RECORD_COLUMNS:
-        absent = record[name].isNull()
+        absent = raw[name].isNull()
         checks.append(F.when(absent, F.lit(f"missing:{name}")))
         checks.append(F.when(~absent & typed[name].isNull(), F.lit(f"malformed:{name}")))
     length = F.length(typed["ticker"])
     checks.append(F.when((length < 1) | (length > 20), F.lit("length:ticker")))
     checks += [F.when(typed[n] <= 0, F.lit(f"not_positive:{n}")) for n in PRICE_COLUMNS]
     checks.append(F.when(typed["volume"] < 0, F.lit("negative:volume")))
-    checks.append(
-        F.when(typed["high_price"] < typed["low_price"], F.lit("high_below_low"))
-    )
+    checks.append(F.when(typed["high_price"] < typed["low_price"], F.lit("high_below_low")))
     return F.array_compact(F.array(*checks))
 
 
-def checked_record(record: Column) -> Column:
-    fields = [expr.alias(name) for name, expr in typed_fields(record).items()]
-    return F.struct(*fields, violations(record).alias("violations"))
+def check_records(records: str | Column) -> Column:
+    """Array of raw records to an array of ``{typed, violations}``.
+
+    Two passes over the array, so every field is parsed once and then judged.
+    """
+    parsed = F.transform(
+        records,
+        lambda r: F.struct(
+            r.alias("raw"),
+            F.struct(*[e.alias(n) for n, e in typed_fields(r).items()]).alias("typed"),
+        ),
+    )
+    return F.transform(
+        parsed,
+        lambda p: F.struct(
+            p["typed"].alias("typed"), _rules(p["raw"], p["typed"]).alias("violations")
+        ),
+    )
+
+
+def violations(record: str) -> Column:
+    """Names of the rules a raw record breaks, in a fixed order."""
+    return F.element_at(check_records(F.array(F.col(record))), 1)["violations"]
 
 
 def status_filter(entries: DataFrame) -> DataFrame:
@@ -78,7 +94,7 @@ def status_filter(entries: DataFrame) -> DataFrame:
 
 def gate_batches(entries: DataFrame) -> DataFrame:
     """Judge each payload as a whole: one bad record fails all of its records."""
-    checked = entries.withColumn("checked", F.transform("records", checked_record))
+    checked = entries.withColumn("checked", check_records("records"))
     bad = F.size(F.filter("checked", lambda r: F.size(r["violations"]) > 0))
     given = F.col("metadata.status")
     code = (
@@ -106,11 +122,11 @@ def accepted_records(entries: DataFrame, fail_fast: bool = False) -> DataFrame:
         gated = gated.withColumn(
             "gate_status", F.when(broken, F.raise_error(message)).otherwise(F.col("gate_status"))
         )
-    passed = gated.filter(F.col("gate_status") == "PASS")
-    return passed.select(
-        LINEAGE, F.posexplode("checked").alias("record", "_r")
-    ).select(
-        *[F.col(f"_r.{name}").alias(name) for name in RECORD_COLUMNS],
+    # The gate empties the array instead of filtering rows: a filter would move below
+    # the parsing and evaluate it a second time.
+    kept = F.when(F.col("gate_status") == "PASS", F.col("checked"))
+    return gated.select(LINEAGE, F.posexplode(kept).alias("record", "_r")).select(
+        *[F.col(f"_r.typed.{name}").alias(name) for name in RECORD_COLUMNS],
         F.struct(f"{LINEAGE}.*", "record").alias(LINEAGE),
     )
 
@@ -133,7 +149,7 @@ def rejected_batches(entries: DataFrame) -> DataFrame:
 
 def batch_messages(entries: DataFrame) -> DataFrame:
     """Per payload the messages ``row=i: rules`` of its bad records, joined by a pipe."""
-    checked = entries.withColumn("_checked", F.transform("records", checked_record))
+    checked = entries.withColumn("_checked", check_records("records"))
     numbered = F.transform(
         "_checked",
         lambda r, i: F.when(

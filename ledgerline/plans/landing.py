@@ -308,7 +308,7 @@ _VIOLATIONS_SQL = """
     ),
 )
 def dq_rules(spark, sf_dir):
-    broken = quality.violations(F.col("raw"))
+    broken = quality.violations("raw")
     return faulty_records(spark, sf_dir).select(
         "series", "bar_date", F.array_join(broken, ",").alias("violations")
     )

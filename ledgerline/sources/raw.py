@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.schemas import RAW_PAYLOADS
@@ -26,6 +26,15 @@ def _bare(path: str) -> str:
     return re.sub(_SCHEME, "/", path).rstrip("/") + "/"
 
 
+def path_order(path: str) -> Column:
+    """Text that sorts like the list of path components.
+
+    Plain text order would put ``a-b/c`` before ``a/c``; a separator below every other
+    character compares component by component.
+    """
+    return F.translate(path, "/", "\u0001")
+
+
 def with_source(lines: DataFrame, ordinal: int) -> DataFrame:
     """Add where a line came from. Line numbers only need to be ordered inside one split."""
     return lines.select(
@@ -69,7 +78,7 @@ def entries_of(lines: DataFrame) -> DataFrame:
         "file_path",
         F.struct(
             "root",
-            F.split("file_path", "/").alias("path"),
+            path_order("file_path").alias("path"),
             "split_start",
             "line",
             "entry",

@@ -18,7 +18,7 @@ from ledgerline.sources.raw import LINEAGE, entries_of
 LINEAGE_TYPE = T.StructType(
     [
         T.StructField("root", T.IntegerType()),
-        T.StructField("path", T.ArrayType(T.StringType())),
+        T.StructField("path", T.StringType()),
         T.StructField("split_start", T.LongType()),
         T.StructField("line", T.LongType()),
         T.StructField("entry", T.IntegerType()),
@@ -42,7 +42,7 @@ def raw_stream(spark: SparkSession, root: str, files_per_batch: int | None = Non
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.load(root).select(
-        F.regexp_replace("value", "^﻿", "").alias("value"),
+        F.regexp_replace("value", "^\uFEFF", "").alias("value"),
         F.col("_metadata.file_path").alias("file_path"),
         F.lit(0).alias("root"),
         F.col("_metadata.file_block_start").alias("split_start"),
