@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from ledgerline.plans.landing import landing
 from ledgerline.plans.market import market
+from ledgerline.plans.serving import served
 
-CATALOGS = [market, landing]
+CATALOGS = [market, landing, served]
 
 
 def all_queries() -> dict:

@@ -16,9 +16,17 @@ def read_curated(spark: SparkSession, root: str, schema=CURATED) -> DataFrame:
     return spark.read.schema(schema).option("basePath", root).parquet(root).select(*schema.names)
 
 
+def inventory_by_ticker(curated: DataFrame) -> DataFrame:
+    """Number of files per ticker and whether there is anything to serve."""
+    files = curated.groupBy("ticker").agg(
+        F.count_distinct("_metadata.file_path").alias("curated_files")
+    )
+    return files.select("ticker", "curated_files", (F.col("curated_files") > 0).alias("data_ready"))
+
+
 def inventory(curated: DataFrame) -> DataFrame:
-    """Number of files and whether there is anything to serve."""
-    files = curated.select(F.col("_metadata.file_path").alias("f")).distinct()
-    return files.agg(F.count("*").alias("curated_files")).select(
-        "curated_files", (F.col("curated_files") > 0).alias("data_ready")
+    """Number of files of the whole layer and whether there is anything to serve."""
+    return inventory_by_ticker(curated).agg(
+        F.coalesce(F.sum("curated_files"), F.lit(0)).alias("curated_files"),
+        (F.count("*") > 0).alias("data_ready"),
     )
