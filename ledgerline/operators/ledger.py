@@ -30,20 +30,20 @@ def batch_report(attempts: DataFrame) -> DataFrame:
 
 
 def current_state(events: DataFrame) -> DataFrame:
-    """Latest event per ticker; ``at`` orders the events of a ticker."""
+    """Latest event per ticker; ``event_at`` orders the events of a ticker."""
     latest = events.groupBy("ticker").agg(
-        F.max_by(F.struct("status", "error"), "at").alias("_s"), F.max("at").alias("at")
+        F.max_by(F.struct("status", "error"), "event_at").alias("_s"), F.max("event_at").alias("event_at")
     )
-    return latest.select("ticker", "_s.*", "at")
+    return latest.select("ticker", "_s.*", "event_at")
 
 
 def checkpoint_stats(state: DataFrame) -> DataFrame:
     """Totals over the current state, and when the last ticker finished."""
-    return state.agg(F.count("*").alias("total"), *_outcomes(), F.max("at").alias("completed_at"))
+    return state.agg(F.count("*").alias("total"), *_outcomes(), F.max("event_at").alias("completed_at"))
 
 
 def failed_tickers(state: DataFrame) -> DataFrame:
-    return state.filter(F.col("status") == "FAIL").select("ticker", "error", "at")
+    return state.filter(F.col("status") == "FAIL").select("ticker", "error", "event_at")
 
 
 def resume_worklist(requested: DataFrame, state: DataFrame, resume: bool = True) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from ledgerline.plans.landing import landing
+from ledgerline.plans.listing import listed
 from ledgerline.plans.market import market
 from ledgerline.plans.serving import served
 
-CATALOGS = [market, landing, served]
+CATALOGS = [market, landing, served, listed]
 
 
 def all_queries() -> dict:

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BOM = "﻿"
+BOM = "\uFEFF"
 
 
 def write_report(report: DataFrame, path: str, sep: str = ",", bom: bool = True) -> None:
