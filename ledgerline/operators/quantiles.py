@@ -25,23 +25,32 @@ def exact_quantiles(
     keys come from a written-down list, so that the brackets may be broadcast.
     """
     present = values.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    slack = 2.0 / accuracy
-    sides = [max(0.0, p - slack) for p in probabilities] + [
-        min(1.0, p + slack) for p in probabilities
-    ]
-    m = len(probabilities)
+    # The bracket must hold the sketch error and the two neighbouring ranks of the
+    # position; which width does depends on the number of rows of the key.
+    widths = [4.0 / accuracy, 1e-3, 1e-2, 1e-1, 1.0]
+    points = sorted({min(1.0, max(0.0, p + s * w)) for p in probabilities for w in widths for s in (-1, 1)})
+    at_point = {q: i for i, q in enumerate(points)}
     sketch = present.groupBy(*keys).agg(
-        F.percentile_approx("_v", sides, accuracy).alias("_s"), F.count("*").alias("_n")
+        F.percentile_approx("_v", points, accuracy).alias("_s"), F.count("*").alias("_n")
     )
+    needed = 2.0 / accuracy + F.lit(2.0) / F.col("_n")
+
+    def side(p: float, sign: int):
+        chosen = F
+        for w in widths:
+            q = min(1.0, max(0.0, p + sign * w))
+            chosen = chosen.when(needed <= w, F.col("_s")[at_point[q]])
+        return chosen.otherwise(F.col("_s")[at_point[0.0 if sign < 0 else 1.0]])
+
     asked = F.array(
         *[
             F.struct(
                 F.lit(p).alias("p"),
-                F.col("_s")[i].alias("_lo"),
-                F.col("_s")[m + i].alias("_hi"),
+                side(p, -1).alias("_lo"),
+                side(p, 1).alias("_hi"),
                 (F.lit(p) * (F.col("_n") - 1)).alias("_pos"),
             )
-            for i, p in enumerate(probabilities)
+            for p in probabilities
         ]
     )
     brackets = sketch.select(*keys, F.inline(asked))

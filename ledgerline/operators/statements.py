@@ -65,14 +65,13 @@ def to_reports(long: DataFrame, period: str = "period") -> DataFrame:
 
 def from_reports(reports: DataFrame) -> DataFrame:
     """Long items of nested reports."""
-    tagged = [
-        F.transform(
-            part,
-            lambda i, kind=kind: F.struct(F.lit(kind).alias("statement"), i.alias("item")),
+    def tagged(part: str, kind: str) -> Column:
+        return F.transform(
+            part, lambda i: F.struct(F.lit(kind).alias("statement"), i.alias("item"))
         )
-        for part, kind in REPORT_PARTS.items()
-    ]
-    items = reports.select("ticker", "period_type", F.inline(F.concat(*tagged)))
+
+    all_items = F.concat(*[tagged(part, kind) for part, kind in REPORT_PARTS.items()])
+    items = reports.select("ticker", "period_type", F.inline(all_items))
     return items.select(
         "ticker",
         "period_type",

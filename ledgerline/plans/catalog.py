@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from ledgerline.plans.fundamentals import fundamentals
 from ledgerline.plans.landing import landing
 from ledgerline.plans.listing import listed
 from ledgerline.plans.market import market
 from ledgerline.plans.serving import served
 
-CATALOGS = [market, landing, served, listed]
+CATALOGS = [market, landing, served, listed, fundamentals]
 
 
 def all_queries() -> dict:
