@@ -6,9 +6,10 @@ from ledgerline.plans.fundamentals import fundamentals
 from ledgerline.plans.landing import landing
 from ledgerline.plans.listing import listed
 from ledgerline.plans.market import market
+from ledgerline.plans.modelling import modelling
 from ledgerline.plans.serving import served
 
-CATALOGS = [market, landing, served, listed, fundamentals]
+CATALOGS = [market, landing, served, listed, fundamentals, modelling]
 
 
 def all_queries() -> dict:

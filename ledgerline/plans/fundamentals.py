@@ -139,15 +139,25 @@ _NAMED_SQL = (
 
 def reported_items(spark, sf_dir):
     long = st.to_long(statements(spark, sf_dir), ["ticker", "year"], ITEMS)
+    spellings = spark.createDataFrame(
+        [(k, i, len(names), n) for k, names in _NAMES.items() for i, n in enumerate(names)],
+        "metric_code string, nth int, spellings int, reported string",
+    )
     number = F.substring("ticker", 2, 20).cast("bigint")
-    spellings = F.create_map(
-        *[x for k, names in _NAMES.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in names]))]
+    # The spelling list is the fixed alias table again: a few dozen rows.
+    named = long.join(
+        F.broadcast(spellings),
+        (long.metric_code == spellings.metric_code) & (number % F.col("spellings") == F.col("nth")),
+        "left",
+    ).select("ticker", "year", long.metric_code, "value", "reported")
+    plain = F.coalesce("reported", F.concat(F.lit("raw "), F.col("metric_code")))
+    return named.select(
+        "ticker",
+        "year",
+        plain.alias("plain_name"),
+        F.concat(F.lit("  "), F.upper(plain), F.lit(" ")).alias("metric_name"),
+        "value",
     )
-    names = F.try_element_at(spellings, F.col("metric_code"))
-    spelled = F.element_at(names, (number % F.size(names) + 1).cast("int"))
-    name = F.coalesce(spelled, F.concat(F.lit("raw "), F.col("metric_code")))
-    spaced = F.concat(F.lit("  "), F.upper(name), F.lit(" "))
-    return long.select("ticker", "year", name.alias("plain_name"), spaced.alias("metric_name"), "value")
 
 
 @fundamentals.query(
