@@ -105,8 +105,9 @@ def block_window(keys: list[str], preceding: int | None = None):
 class Ewm:
     """``out`` = unadjusted exponential mean of ``value``.
 
-    The first observation is the row at index ``start`` (it seeds the recursion with
-    full weight); the result is null before ``min_periods`` observations.
+    The row at index ``start`` seeds the recursion with full weight, earlier rows do not
+    count; ``seed_at`` names a column that says so per row instead. The result is null
+    before ``min_periods`` observations.
     """
 
     out: str
@@ -114,6 +115,7 @@ class Ewm:
     alpha: float
     start: int = 0
     min_periods: int = 1
+    seed_at: str | None = None
 
 
 def _power(base: float, exponent: Column) -> Column:
@@ -122,8 +124,9 @@ def _power(base: float, exponent: Column) -> Column:
 
 def _weighted(spec: Ewm) -> Column:
     """Observation times its weight; the first one seeds the recursion with weight 1."""
-    weight = F.when(F.col(INDEX) == spec.start, F.lit(1.0)).otherwise(F.lit(spec.alpha))
-    return F.when(F.col(INDEX) >= spec.start, F.col(spec.value) * weight)
+    seed = F.col(spec.seed_at) if spec.seed_at else F.lit(spec.start)
+    weight = F.when(F.col(INDEX) == seed, F.lit(1.0)).otherwise(F.lit(spec.alpha))
+    return F.when(F.col(INDEX) >= seed, F.col(spec.value) * weight)
 
 
 def ewm_mean(
@@ -138,7 +141,8 @@ def ewm_mean(
     Inside a block ``y[i] = q^i * sum(w*x*q^-i)``, where i < ``size`` keeps the powers in
     double range. A full block's closing value reaches the j-th later block with weight
     ``q^(size*(j-1))``; j runs until that factor leaves the double range, so nothing a
-    sequential recursion would still see is cut off.
+    sequential recursion would still see is cut off. Blocks are counted from index 0, so a
+    series that starts later just begins inside a block.
 
     ``source`` is the indexed series the blocks were cut from. With it, closing values are
     a plain sum per block that combines on the map side; without it (the values are
@@ -169,13 +173,13 @@ def ewm_mean(
             source.withColumn(BLOCK, F.floor(index / size).cast("long"))
             .groupBy(*keys, BLOCK)
             .agg(
-                F.count("*").alias("_rows"),
+                F.max(within).alias("_last"),
                 *[
                     F.sum(_weighted(s) * _power(1 - s.alpha, size - 1 - within)).alias(f"_l_{s.out}")
                     for s in specs
                 ],
             )
-            .filter(F.col("_rows") == size)
+            .filter(F.col("_last") == size - 1)
         )
     step = F.col("_step")
     carry = (

@@ -8,8 +8,9 @@ from ledgerline.plans.listing import listed
 from ledgerline.plans.market import market
 from ledgerline.plans.modelling import modelling
 from ledgerline.plans.serving import served
+from ledgerline.plans.ticks import ticks
 
-CATALOGS = [market, landing, served, listed, fundamentals, modelling]
+CATALOGS = [market, landing, served, listed, fundamentals, modelling, ticks]
 
 
 def all_queries() -> dict:
