@@ -1,4 +1,8 @@
-"""Technical indicators of daily bars. Input key: (ticker, trading_date), unique."""
+"""Technical indicators of daily bars. Input key: (ticker, trading_date), unique.
+
+Bars may be read up to three times (length check or bin totals, block totals, rows): pass
+a stored table rather than an expensive plan.
+"""
 
 from __future__ import annotations
 
@@ -6,35 +10,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numeric import ratio
-from ledgerline.functions.times import calendar_bin
 from ledgerline.operators import series
-from ledgerline.operators.series import HALO, INDEX, Ewm, block_window, ewm_mean, in_blocks
+from ledgerline.operators.series import (
+    HALO,
+    INDEX,
+    Cut,
+    Ewm,
+    Layout,
+    block_window,
+    ewm_mean,
+    most_whole_rows,
+)
 
 KEYS = ["ticker"]
-_BIN = "_bin"
 
 
-def indexed_bars(bars: DataFrame, grain: str = "month", lags: dict | None = None) -> DataFrame:
-    """Bars with their position in the ticker's series and values of the bar before.
+def cut_bars(bars: DataFrame, layout: Layout = Layout(), **options) -> Cut:
+    return series.cut(bars, KEYS, "trading_date", layout, **options)
 
-    ``grain`` bounds how many rows of one ticker are ordered together; daily bars need
-    no finer one than a month, intraday bars should pass "day".
-    """
-    binned = bars.withColumn(_BIN, calendar_bin(F.col("trading_date"), grain))
-    return series.indexed(binned, KEYS, "trading_date", _BIN, lags).drop(_BIN)
+
+def _finish(rows: DataFrame, bars: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Input columns plus the results, without the rows repeated for look-back."""
+    return rows.filter(~F.col(HALO)).select(
+        *bars.columns, *[e.alias(n) for n, e in columns.items()]
+    )
 
 
-def _finish(blocked: DataFrame, columns: list[str]) -> DataFrame:
-    return blocked.filter(~F.col(HALO)).select(*columns)
+def _percent_change() -> Column:
+    return (F.try_divide("close_price", "_prev") - 1) * 100
 
 
-def _with_moves(bars: DataFrame, grain: str) -> DataFrame:
+def _with_moves(rows: DataFrame) -> DataFrame:
     change = F.col("close_price") - F.col("_prev")
-    return (
-        indexed_bars(bars, grain, {"_prev": "close_price"})
-        .withColumn("_return", (F.try_divide("close_price", "_prev") - 1) * 100)
-        .withColumn("_gain", F.greatest(change, F.lit(0.0)))
-        .withColumn("_loss", F.greatest(-change, F.lit(0.0)))
+    return rows.select(
+        "*",
+        _percent_change().alias("_return"),
+        F.greatest(change, F.lit(0.0)).alias("_gain"),
+        F.greatest(-change, F.lit(0.0)).alias("_loss"),
     )
 
 
@@ -42,160 +54,159 @@ def _rolling_close(periods: int) -> Column:
     return F.avg("close_price").over(block_window(KEYS, periods - 1))
 
 
-def returns(bars: DataFrame, grain: str = "month") -> DataFrame:
+def numbered_bars(bars: DataFrame, layout: Layout = Layout()) -> DataFrame:
+    """Bars with their position in the ticker's series, from 0."""
+    return cut_bars(bars, layout).source
+
+
+def returns(bars: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """Percent change to the previous bar."""
-    return _with_moves(bars, grain).select(
-        *bars.columns, F.round("_return", 4).alias("return_pct")
-    )
+    source = cut_bars(bars, layout, lags={"_prev": "close_price"}).source
+    return source.select(*bars.columns, F.round(_percent_change(), 4).alias("return_pct"))
 
 
-def moving_average(
-    bars: DataFrame, periods: int = 20, grain: str = "month", size: int = series.BLOCK_ROWS
-) -> DataFrame:
+def moving_average(bars: DataFrame, periods: int = 20, layout: Layout = Layout()) -> DataFrame:
     """Mean of the last ``periods`` closes, from the first bar on."""
+    rows = cut_bars(bars, layout, halo=periods - 1).rows
     out = f"ma{periods}"
-    blocked = in_blocks(indexed_bars(bars, grain), size, periods - 1)
-    averaged = blocked.withColumn(out, F.round(_rolling_close(periods), 4))
-    return _finish(averaged, [*bars.columns, out])
+    averaged = rows.withColumn(out, _rolling_close(periods))
+    return _finish(averaged, bars, {out: F.round(out, 4)})
 
 
 def close_ewm(
-    bars: DataFrame,
-    alpha: float,
-    min_periods: int = 1,
-    grain: str = "month",
-    size: int = series.BLOCK_ROWS,
+    bars: DataFrame, alpha: float, min_periods: int = 1, layout: Layout = Layout()
 ) -> DataFrame:
     """Unadjusted exponential mean of the close."""
-    source = indexed_bars(bars, grain)
+    pieces = cut_bars(bars, layout, most_whole=most_whole_rows([alpha]))
     spec = Ewm("_ewm", "close_price", alpha, 0, min_periods)
-    smoothed = ewm_mean(in_blocks(source, size), KEYS, [spec], source, size)
-    return _finish(smoothed.withColumn("ewm_close", F.round("_ewm", 4)), [*bars.columns, "ewm_close"])
+    return _finish(ewm_mean(pieces.rows, pieces, [spec]), bars, {"ewm_close": F.round("_ewm", 4)})
 
 
-def _smoothed(bars: DataFrame, periods: int, min_periods: int, grain: str, size: int) -> DataFrame:
+def _smoothed(bars: DataFrame, periods: int, min_periods: int, layout: Layout) -> DataFrame:
     """Bars with return, 20-bar mean and smoothed gains and losses, not yet rounded."""
-    source = _with_moves(bars, grain)
-    blocked = in_blocks(source, size, 19).withColumn("_ma20", _rolling_close(20))
+    pieces = cut_bars(
+        bars,
+        layout,
+        halo=19,
+        lags={"_prev": "close_price"},
+        most_whole=most_whole_rows([1 / periods]),
+        derive=_with_moves,
+    )
     specs = [
         Ewm("_avg_gain", "_gain", 1 / periods, 1, min_periods),
         Ewm("_avg_loss", "_loss", 1 / periods, 1, min_periods),
     ]
-    return ewm_mean(blocked, KEYS, specs, source, size)
+    return ewm_mean(pieces.rows.withColumn("_ma20", _rolling_close(20)), pieces, specs)
 
 
 def _rsi(rs: Column) -> Column:
     return 100 - F.lit(100.0) / (1 + rs)
 
 
-def indicators(
-    bars: DataFrame, periods: int = 14, grain: str = "month", size: int = series.BLOCK_ROWS
-) -> DataFrame:
+def indicators(bars: DataFrame, periods: int = 14, layout: Layout = Layout()) -> DataFrame:
     """``return_pct``, ``ma20`` and ``rsi_14`` in one pass, four decimals.
 
     RSI: Wilder smoothing, null for the first 14 bars, 100 where the average loss is zero.
-    ``bars`` is read three times (bin totals, block totals, rows): pass a stored table.
     """
     gain, loss = F.col("_avg_gain"), F.col("_avg_loss")
     rsi = F.when(gain.isNotNull(), F.coalesce(_rsi(F.try_divide(gain, loss)), F.lit(100.0)))
     return _finish(
-        _smoothed(bars, periods, periods, grain, size)
-        .withColumn("return_pct", F.round("_return", 4))
-        .withColumn("ma20", F.round("_ma20", 4))
-        .withColumn("rsi_14", F.round(rsi, 4)),
-        [*bars.columns, "return_pct", "ma20", "rsi_14"],
+        _smoothed(bars, periods, periods, layout),
+        bars,
+        {
+            "return_pct": F.round("_return", 4),
+            "ma20": F.round("_ma20", 4),
+            "rsi_14": F.round(rsi, 4),
+        },
     )
 
 
 def indicators_two_decimals(
-    bars: DataFrame, periods: int = 14, grain: str = "month", size: int = series.BLOCK_ROWS
+    bars: DataFrame, periods: int = 14, layout: Layout = Layout()
 ) -> DataFrame:
     """The older variant: two decimals, RSI from the second bar, null while nothing moved."""
     gain, loss = F.col("_avg_gain"), F.col("_avg_loss")
     rsi = F.when((loss == 0) & (gain > 0), F.lit(100.0)).otherwise(_rsi(F.try_divide(gain, loss)))
     return _finish(
-        _smoothed(bars, periods, 1, grain, size)
-        .withColumn("return", F.round("_return", 2))
-        .withColumn("ma20", F.round("_ma20", 2))
-        .withColumn("rsi_14", F.round(rsi, 2)),
-        [*bars.columns, "return", "ma20", "rsi_14"],
+        _smoothed(bars, periods, 1, layout),
+        bars,
+        {"return": F.round("_return", 2), "ma20": F.round("_ma20", 2), "rsi_14": F.round(rsi, 2)},
     )
 
 
 def macd(
-    bars: DataFrame,
-    fast: int = 12,
-    slow: int = 26,
-    signal: int = 9,
-    grain: str = "month",
-    size: int = series.BLOCK_ROWS,
+    bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, layout: Layout = Layout()
 ) -> DataFrame:
     """Difference of a fast and a slow exponential mean, and its own exponential mean."""
-    source = indexed_bars(bars, grain)
-    specs = [
-        Ewm("_fast", "close_price", 2 / (fast + 1)),
-        Ewm("_slow", "close_price", 2 / (slow + 1)),
-    ]
-    means = ewm_mean(in_blocks(source, size), KEYS, specs, source, size)
+    alphas = [2 / (n + 1) for n in (fast, slow, signal)]
+    pieces = cut_bars(bars, layout, most_whole=most_whole_rows(alphas))
+    specs = [Ewm("_fast", "close_price", alphas[0]), Ewm("_slow", "close_price", alphas[1])]
+    means = ewm_mean(pieces.rows, pieces, specs)
     line = means.withColumn("_macd", F.col("_fast") - F.col("_slow"))
-    lined = ewm_mean(line, KEYS, [Ewm("_signal", "_macd", 2 / (signal + 1))], size=size)
+    lined = ewm_mean(line, pieces, [Ewm("_signal", "_macd", alphas[2])], from_source=False)
     return _finish(
-        lined.withColumn("macd", F.round("_macd", 4)).withColumn(
-            "macd_signal", F.round("_signal", 4)
-        ),
-        [*bars.columns, "macd", "macd_signal"],
+        lined, bars, {"macd": F.round("_macd", 4), "macd_signal": F.round("_signal", 4)}
     )
 
 
-def adx(
-    bars: DataFrame, periods: int = 14, grain: str = "month", size: int = series.BLOCK_ROWS
-) -> DataFrame:
-    """Average directional index after Wilder; null until both smoothings are filled."""
-    lags = {"_pclose": "close_price", "_phigh": "high_price", "_plow": "low_price"}
+def _directional_moves(rows: DataFrame) -> DataFrame:
     high, low, prev = F.col("high_price"), F.col("low_price"), F.col("_pclose")
-    up, down = F.col("_up"), F.col("_down")
-    source = (
-        indexed_bars(bars, grain, lags)
-        .withColumn("_up", high - F.col("_phigh"))
-        .withColumn("_down", F.col("_plow") - low)
-        .withColumn("_tr", F.greatest(high - low, F.abs(high - prev), F.abs(low - prev)))
-        .withColumn("_plus", F.when((up > down) & (up > 0), up).otherwise(0.0))
-        .withColumn("_minus", F.when((down > up) & (down > 0), down).otherwise(0.0))
+    up, down = high - F.col("_phigh"), F.col("_plow") - low
+    return rows.select(
+        "*",
+        F.greatest(high - low, F.abs(high - prev), F.abs(low - prev)).alias("_tr"),
+        F.when((up > down) & (up > 0), up).otherwise(0.0).alias("_plus"),
+        F.when((down > up) & (down > 0), down).otherwise(0.0).alias("_minus"),
     )
+
+
+def adx(bars: DataFrame, periods: int = 14, layout: Layout = Layout()) -> DataFrame:
+    """Average directional index after Wilder; null until both smoothings are filled."""
     alpha = 1 / periods
+    pieces = cut_bars(
+        bars,
+        layout,
+        lags={"_pclose": "close_price", "_phigh": "high_price", "_plow": "low_price"},
+        most_whole=most_whole_rows([alpha]),
+        derive=_directional_moves,
+    )
     specs = [
         Ewm("_atr", "_tr", alpha, 1, periods),
         Ewm("_plus_s", "_plus", alpha, 1, periods),
         Ewm("_minus_s", "_minus", alpha, 1, periods),
     ]
-    smooth = ewm_mean(in_blocks(source, size), KEYS, specs, source, size)
+    smooth = ewm_mean(pieces.rows, pieces, specs)
     plus, minus = F.col("_pdi"), F.col("_mdi")
-    directional = smooth.withColumn(
-        "_pdi", ratio(F.col("_plus_s"), F.col("_atr"), 100.0)
-    ).withColumn("_mdi", ratio(F.col("_minus_s"), F.col("_atr"), 100.0))
-    directional = directional.withColumn(
-        "_dx", F.coalesce(ratio(F.abs(plus - minus), plus + minus, 100.0), F.lit(0.0))
+    spread = ratio(F.abs(plus - minus), plus + minus, 100.0)
+    directional = smooth.withColumns(
+        {
+            "_pdi": ratio(F.col("_plus_s"), F.col("_atr"), 100.0),
+            "_mdi": ratio(F.col("_minus_s"), F.col("_atr"), 100.0),
+        }
+    ).withColumn("_dx", F.coalesce(spread, F.lit(0.0)))
+    averaged = ewm_mean(
+        directional, pieces, [Ewm("_adx", "_dx", alpha, periods, periods)], from_source=False
     )
-    averaged = ewm_mean(directional, KEYS, [Ewm("_adx", "_dx", alpha, periods, periods)], size=size)
     return _finish(
-        averaged.withColumn("plus_di", F.round("_pdi", 4))
-        .withColumn("minus_di", F.round("_mdi", 4))
-        .withColumn("adx_14", F.round("_adx", 4)),
-        [*bars.columns, "plus_di", "minus_di", "adx_14"],
+        averaged,
+        bars,
+        {
+            "plus_di": F.round("_pdi", 4),
+            "minus_di": F.round("_mdi", 4),
+            "adx_14": F.round("_adx", 4),
+        },
     )
 
 
-def cci(
-    bars: DataFrame, periods: int = 14, grain: str = "month", size: int = series.BLOCK_ROWS
-) -> DataFrame:
+def cci(bars: DataFrame, periods: int = 14, layout: Layout = Layout()) -> DataFrame:
     """Commodity channel index with Lambert's constant 0.015; null until the frame is full."""
     typical = (F.col("high_price") + F.col("low_price") + F.col("close_price")) / 3
-    source = indexed_bars(bars, grain).withColumn("_tp", typical)
+    pieces = cut_bars(
+        bars, layout, halo=periods - 1, derive=lambda rows: rows.withColumn("_tp", typical)
+    )
     frame = block_window(KEYS, periods - 1)
-    framed = (
-        in_blocks(source, size, periods - 1)
-        .withColumn("_sma", F.avg("_tp").over(frame))
-        .withColumn("_frame", F.collect_list("_tp").over(frame))
+    framed = pieces.rows.select(
+        "*", F.avg("_tp").over(frame).alias("_sma"), F.collect_list("_tp").over(frame).alias("_frame")
     )
     deviation = (
         F.aggregate("_frame", F.lit(0.0), lambda acc, x: acc + F.abs(x - F.col("_sma"))) / periods
@@ -203,21 +214,22 @@ def cci(
     value = F.when(
         F.col(INDEX) >= periods - 1, ratio(F.col("_tp") - F.col("_sma"), F.lit(0.015) * deviation)
     )
-    return _finish(framed.withColumn("cci_14", F.round(value, 4)), [*bars.columns, "cci_14"])
+    return _finish(framed, bars, {"cci_14": F.round(value, 4)})
 
 
 def sharpe(
-    bars: DataFrame, risk_free_pct: float = 4.5, sessions: int = 252, grain: str = "month"
+    bars: DataFrame, risk_free_pct: float = 4.5, sessions: int = 252, layout: Layout = Layout()
 ) -> DataFrame:
     """Yearly Sharpe ratio per ticker from daily percent returns."""
-    stats = (
-        _with_moves(bars, grain)
-        .groupBy("ticker", F.year("trading_date").cast("int").alias("year"))
-        .agg(
-            F.avg("_return").alias("_mean"),
-            F.stddev_samp("_return").alias("_std"),
-            F.count("_return").alias("sessions"),
-        )
+    daily = cut_bars(bars, layout, lags={"_prev": "close_price"}).source.select(
+        "ticker",
+        F.year("trading_date").cast("int").alias("year"),
+        _percent_change().alias("_return"),
+    )
+    stats = daily.groupBy("ticker", "year").agg(
+        F.avg("_return").alias("_mean"),
+        F.stddev_samp("_return").alias("_std"),
+        F.count("_return").alias("sessions"),
     )
     excess = F.col("_mean") * sessions - risk_free_pct
     spread = F.col("_std") * F.sqrt(F.lit(float(sessions)))

@@ -12,6 +12,9 @@ series into pieces that are bounded whatever the key distribution:
   that looks back at most ``halo`` rows is computed inside a block, exactly.
 * ``ewm_mean``: recursion ``y[t] = q*y[t-1] + a*x[t]`` in closed form inside a block,
   plus the state carried over from earlier blocks.
+
+``cut`` measures the longest series first. If even that one is short, the whole series is
+the block: one shuffle by key, no halo, no carry. The operators on top are the same.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.times import calendar_bin
+
 INDEX = "row_idx"
 BLOCK = "row_block"
 HALO = "in_halo"
@@ -84,15 +89,85 @@ def indexed(
     )
 
 
-def in_blocks(indexed: DataFrame, size: int = BLOCK_ROWS, halo: int = 0) -> DataFrame:
+def in_blocks(indexed_rows: DataFrame, size: int = BLOCK_ROWS, halo: int = 0) -> DataFrame:
     """Add BLOCK and HALO; rows near a block's end are repeated ahead of the next block."""
     if halo > size:
         raise ValueError(f"a look-back of {halo} rows needs blocks of at least that size")
     block = F.floor(F.col(INDEX) / size).cast("long")
     own = F.struct(block.alias(BLOCK), F.lit(False).alias(HALO))
+    if halo == 0:
+        return indexed_rows.select("*", block.alias(BLOCK), F.lit(False).alias(HALO))
     ahead = F.struct((block + 1).alias(BLOCK), F.lit(True).alias(HALO))
     near_end = F.pmod(F.col(INDEX), F.lit(size)) >= size - halo
-    return indexed.select("*", F.inline(F.when(near_end, F.array(own, ahead)).otherwise(F.array(own))))
+    copies = F.when(near_end, F.array(own, ahead)).otherwise(F.array(own))
+    return indexed_rows.select("*", F.inline(copies))
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How series are cut into tasks.
+
+    ``grain`` bounds how many rows of one key are ordered together while they are
+    numbered: a month of daily bars; intraday series should say "day". ``size`` is the
+    number of rows per block. ``plan`` is "auto" (measure, then choose), "whole" (each
+    series is known to be short) or "blocked".
+    """
+
+    grain: str = "month"
+    size: int = BLOCK_ROWS
+    plan: str = "auto"
+
+
+@dataclass(frozen=True)
+class Cut:
+    """Rows with INDEX, BLOCK and HALO, and the numbered rows they were cut from."""
+
+    rows: DataFrame
+    source: DataFrame
+    keys: list[str]
+    size: int
+    whole: bool
+
+
+def longest(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the longest series; counts combine on the map side."""
+    counted = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return counted or 0
+
+
+def cut(
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    layout: Layout = Layout(),
+    *,
+    halo: int = 0,
+    lags: dict[str, str] | None = None,
+    most_whole: int = 100_000,
+    derive=lambda rows: rows,
+) -> Cut:
+    """Number the rows of each series and cut it into bounded pieces.
+
+    ``lags`` are previous-row columns, ``derive`` adds columns computed row by row from
+    them. A series of up to ``most_whole`` rows may stay in one piece.
+    """
+    lags = lags or {}
+    whole = layout.plan == "whole" or (
+        layout.plan == "auto" and longest(df, keys) <= most_whole
+    )
+    if whole:
+        along = Window.partitionBy(*keys).orderBy(order)
+        numbered = df.select(
+            "*",
+            (F.row_number().over(along) - 1).cast("long").alias(INDEX),
+            *[F.lag(c).over(along).alias(n) for n, c in lags.items()],
+        )
+        source = derive(numbered)
+        rows = source.select("*", F.lit(0).cast("long").alias(BLOCK), F.lit(False).alias(HALO))
+        return Cut(rows, source, keys, layout.size, True)
+    binned = df.withColumn("_bin", calendar_bin(F.col(order), layout.grain))
+    source = derive(indexed(binned, keys, order, "_bin", lags).drop("_bin"))
+    return Cut(in_blocks(source, layout.size, halo), source, keys, layout.size, False)
 
 
 def block_window(keys: list[str], preceding: int | None = None):
@@ -118,6 +193,15 @@ class Ewm:
     seed_at: str | None = None
 
 
+# Powers in the closed form stay within e^600, inside double range.
+_MOST_DECAY = 600.0
+
+
+def most_whole_rows(alphas: list[float]) -> int:
+    """Longest series whose exponential means need no blocks."""
+    return int(min(_MOST_DECAY / -math.log(1 - a) for a in alphas))
+
+
 def _power(base: float, exponent: Column) -> Column:
     return F.pow(F.lit(base), exponent.cast("double"))
 
@@ -129,78 +213,76 @@ def _weighted(spec: Ewm) -> Column:
     return F.when(F.col(INDEX) >= seed, F.col(spec.value) * weight)
 
 
-def ewm_mean(
-    blocked: DataFrame,
-    keys: list[str],
-    specs: list[Ewm],
-    source: DataFrame | None = None,
-    size: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Add one column per spec to a blocked series.
+def _carry(ends: DataFrame, keys: list[str], specs: list[Ewm], size: int) -> DataFrame:
+    """Per block the state that earlier blocks hand over.
+
+    A block's closing value reaches the j-th later block with weight ``q^(size*(j-1))``;
+    j runs until that factor leaves the double range, so nothing a sequential recursion
+    would still see is cut off.
+    """
+    reach = max(math.ceil(700 / (-math.log(1 - s.alpha) * size)) for s in specs)
+    step = F.col("_step")
+    sums = [
+        F.sum(F.col(f"_l_{s.out}") * _power((1 - s.alpha) ** size, step - 1)).alias(f"_c_{s.out}")
+        for s in specs
+    ]
+    return (
+        ends.withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(reach))))
+        .groupBy(*keys, (F.col(BLOCK) + step).alias(BLOCK))
+        .agg(*sums)
+    )
+
+
+def ewm_mean(rows: DataFrame, cut: Cut, specs: list[Ewm], from_source: bool = True) -> DataFrame:
+    """Add one column per spec to cut rows (``cut.rows`` or what was derived from them).
 
     Inside a block ``y[i] = q^i * sum(w*x*q^-i)``, where i < ``size`` keeps the powers in
-    double range. A full block's closing value reaches the j-th later block with weight
-    ``q^(size*(j-1))``; j runs until that factor leaves the double range, so nothing a
-    sequential recursion would still see is cut off. Blocks are counted from index 0, so a
-    series that starts later just begins inside a block.
-
-    ``source`` is the indexed series the blocks were cut from. With it, closing values are
-    a plain sum per block that combines on the map side; without it (the values are
-    themselves results per block) they are read off the blocks.
+    double range. Blocks are counted from index 0, so a series that starts later just
+    begins inside a block.
+
+    The values to smooth normally sit on ``cut.source`` too: then closing values are a
+    plain sum per block that combines on the map side. Values that are themselves results
+    per block (``from_source`` false) are read off the block ends instead.
     """
+    keys, size = cut.keys, cut.size
     index, block = F.col(INDEX), F.col(BLOCK)
     within = index - block * size
     upto = block_window(keys)
-    reach = 1
-    local = blocked
     for s in specs:
-        decay = -math.log(1 - s.alpha) * size
-        if decay > 600:
+        if not cut.whole and -math.log(1 - s.alpha) * size > _MOST_DECAY:
             raise ValueError(f"blocks of {size} rows are too long for alpha={s.alpha}")
-        reach = max(reach, math.ceil(700 / decay))
+
+    def local_value(s: Ewm) -> Column:
         term = F.when(~F.col(HALO), _weighted(s) * _power(1 - s.alpha, -within))
-        local = local.withColumn(
-            f"_l_{s.out}",
-            F.coalesce(F.sum(term).over(upto), F.lit(0.0)) * _power(1 - s.alpha, within),
-        )
+        return F.coalesce(F.sum(term).over(upto), F.lit(0.0)) * _power(1 - s.alpha, within)
 
-    if source is None:
-        ends = local.filter(~F.col(HALO) & (within == size - 1)).select(
-            *keys, BLOCK, *[f"_l_{s.out}" for s in specs]
-        )
-    else:
+    local = rows.select("*", *[local_value(s).alias(f"_l_{s.out}") for s in specs])
+
+    def result(s: Ewm, value: Column) -> Column:
+        return F.when(index >= s.start + s.min_periods - 1, value).alias(s.out)
+
+    if cut.whole:
+        return local.select(*rows.columns, *[result(s, F.col(f"_l_{s.out}")) for s in specs])
+
+    if from_source:
+        closing = [
+            F.sum(_weighted(s) * _power(1 - s.alpha, size - 1 - within)).alias(f"_l_{s.out}")
+            for s in specs
+        ]
         ends = (
-            source.withColumn(BLOCK, F.floor(index / size).cast("long"))
+            cut.source.withColumn(BLOCK, F.floor(index / size).cast("long"))
             .groupBy(*keys, BLOCK)
-            .agg(
-                F.max(within).alias("_last"),
-                *[
-                    F.sum(_weighted(s) * _power(1 - s.alpha, size - 1 - within)).alias(f"_l_{s.out}")
-                    for s in specs
-                ],
-            )
+            .agg(F.max(within).alias("_last"), *closing)
             .filter(F.col("_last") == size - 1)
         )
-    step = F.col("_step")
-    carry = (
-        ends.withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(reach))))
-        .groupBy(*keys, (block + step).alias(BLOCK))
-        .agg(
-            *[
-                F.sum(F.col(f"_l_{s.out}") * _power((1 - s.alpha) ** size, step - 1)).alias(
-                    f"_c_{s.out}"
-                )
-                for s in specs
-            ]
+    else:
+        ends = local.filter(~F.col(HALO) & (within == size - 1)).select(
+            *keys, BLOCK, *[f"_l_{s.out}" for s in specs]
         )
-    )
-    joined = local.join(carry, [*keys, BLOCK], "left")
-    results = [
-        F.when(
-            index >= s.start + s.min_periods - 1,
-            F.col(f"_l_{s.out}")
-            + _power(1 - s.alpha, within + 1) * F.coalesce(F.col(f"_c_{s.out}"), F.lit(0.0)),
-        ).alias(s.out)
-        for s in specs
-    ]
-    return joined.select(*[blocked[c] for c in blocked.columns], *results)
+    joined = local.join(_carry(ends, keys, specs, size), [*keys, BLOCK], "left")
+
+    def carried(s: Ewm) -> Column:
+        handed = _power(1 - s.alpha, within + 1) * F.coalesce(F.col(f"_c_{s.out}"), F.lit(0.0))
+        return F.col(f"_l_{s.out}") + handed
+
+    return joined.select(*[rows[c] for c in rows.columns], *[result(s, carried(s)) for s in specs])

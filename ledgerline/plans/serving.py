@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.operators import dedup, serving
-from ledgerline.operators.indicators import indexed_bars
+from ledgerline.operators.indicators import numbered_bars
 from ledgerline.operators.series import INDEX
 from ledgerline.plans.inputs import BRAND_UNIVERSE_SQL, brand_universe, stored_bars
 from ledgerline.plans.market import curated as compute_curated
@@ -194,7 +194,7 @@ def candles(spark, sf_dir):
 )
 def sort_curated(spark, sf_dir):
     """Stored order: rows of a ticker lie by date inside and across its files."""
-    numbered = indexed_bars(curated(spark, sf_dir))
+    numbered = numbered_bars(curated(spark, sf_dir))
     return numbered.select("ticker", "trading_date", (F.col(INDEX) + 1).alias("position"))
 
 

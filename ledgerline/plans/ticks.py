@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.operators.indicators import indicators
+from ledgerline.operators.series import Layout
 from ledgerline.plans.inputs import table
 from ledgerline.plans.registry import Catalog, with_parts
 from ledgerline.session import configure, work_dir
@@ -61,4 +62,4 @@ def indicator_state(spark, sf_dir):
 @ticks.query("intraday_indicators", _ONLINE)
 def intraday_indicators(spark, sf_dir):
     """The same series in one batch: few tickers, many rows each, ordered day by day."""
-    return indicators(tick_bars(spark, sf_dir), grain="day")
+    return indicators(tick_bars(spark, sf_dir), layout=Layout(grain="day", plan="blocked"))

@@ -16,7 +16,7 @@ from ledgerline.functions.times import calendar_bin
 from ledgerline.operators import series
 from ledgerline.operators.dedup import keep_last
 from ledgerline.operators.indicators import KEYS
-from ledgerline.operators.series import BLOCK_ROWS, HALO, INDEX, Ewm, block_window, ewm_mean
+from ledgerline.operators.series import BLOCK_ROWS, HALO, INDEX, Cut, Ewm, block_window, ewm_mean
 from ledgerline.session import stored
 
 TAIL = 19
@@ -103,14 +103,13 @@ def continue_series(bars: DataFrame, state: DataFrame, grain: str = "day") -> Da
         )
         .drop("_bars", "_tail", "_old_gain", "_old_loss", "_back")
     )
-    blocked = series.in_blocks(source, BLOCK_ROWS, TAIL).withColumn(
-        "_ma20", F.avg("close_price").over(block_window(KEYS, TAIL))
-    )
+    pieces = Cut(series.in_blocks(source, BLOCK_ROWS, TAIL), source, KEYS, BLOCK_ROWS, False)
+    rows = pieces.rows.withColumn("_ma20", F.avg("close_price").over(block_window(KEYS, TAIL)))
     specs = [
         Ewm("avg_gain", "_gain", 1 / PERIODS, 1, 1, "_seed"),
         Ewm("avg_loss", "_loss", 1 / PERIODS, 1, 1, "_seed"),
     ]
-    smoothed = ewm_mean(blocked, KEYS, specs, source).filter(~F.col(HALO))
+    smoothed = ewm_mean(rows, pieces, specs).filter(~F.col(HALO))
     strength = F.try_divide("avg_gain", "avg_loss")
     rsi = F.when(
         F.col(INDEX) >= PERIODS, F.coalesce(100 - F.lit(100.0) / (1 + strength), F.lit(100.0))

@@ -12,13 +12,15 @@ from ledgerline.operators import series
 from ledgerline.operators.indicators import (
     adx,
     close_ewm,
-    indexed_bars,
     indicators,
     indicators_two_decimals,
     macd,
     moving_average,
 )
-from ledgerline.operators.series import Ewm, ewm_mean, in_blocks, running_sums
+from ledgerline.operators.series import Layout, cut, in_blocks, running_sums
+
+BLOCKED = Layout(plan="blocked")
+PLANS = [Layout(plan="whole"), BLOCKED]
 
 DAY = dt.datetime(2000, 1, 3)
 
@@ -106,7 +108,7 @@ def test_long_and_short_series_match_pandas(spark):
 @pytest.mark.parametrize("size", [32, 100, 1024])
 def test_block_size_does_not_change_results(spark, size):
     closes = walk(700, 9)
-    out = indicators(bars(spark, {"A": closes}), size=size)
+    out = indicators(bars(spark, {"A": closes}), layout=Layout(size=size, plan="blocked"))
     close_to(by_date(out, "A", "rsi_14"), list(pandas_indicators(closes)["rsi_14"]))
     close_to(by_date(out, "A", "ma20"), list(pandas_indicators(closes)["ma20"]))
 
@@ -114,20 +116,23 @@ def test_block_size_does_not_change_results(spark, size):
 @pytest.mark.parametrize("grain", ["year", "month", "day"])
 def test_grain_does_not_change_results(spark, grain):
     closes = walk(900, 5)
-    out = indicators(bars(spark, {"A": closes}, dt.timedelta(hours=9)), grain=grain)
+    layout = Layout(grain=grain, plan="blocked", size=128)
+    out = indicators(bars(spark, {"A": closes}, dt.timedelta(hours=9)), layout=layout)
     close_to(by_date(out, "A", "rsi_14"), list(pandas_indicators(closes)["rsi_14"]))
 
 
-def test_cascaded_means_match_pandas(spark):
-    closes = walk(3000, 8)
-    out = macd(bars(spark, {"A": closes}))
+@pytest.mark.parametrize("layout", PLANS, ids=lambda x: x.plan)
+def test_cascaded_means_match_pandas(spark, layout):
+    closes = walk(2600, 8)
+    out = macd(bars(spark, {"A": closes}), layout=layout)
     c = pd.Series(closes)
     line = c.ewm(span=12, adjust=False).mean() - c.ewm(span=26, adjust=False).mean()
     close_to(by_date(out, "A", "macd"), list(line))
     close_to(by_date(out, "A", "macd_signal"), list(line.ewm(span=9, adjust=False).mean()))
 
 
-def test_adx_matches_pandas(spark):
+@pytest.mark.parametrize("layout", PLANS, ids=lambda x: x.plan)
+def test_adx_matches_pandas(spark, layout):
     closes = walk(1500, 6)
     frame = pd.DataFrame({"h": [c + 1 for c in closes], "l": [c - 2 for c in closes], "c": closes})
     up, down = frame.h.diff(), -frame.l.diff()
@@ -139,14 +144,14 @@ def test_adx_matches_pandas(spark):
     atr = tr.ewm(**wilder).mean()
     pdi, mdi = plus / atr * 100, minus / atr * 100
     dx = ((pdi - mdi).abs() / (pdi + mdi) * 100).where(atr.isna() | (pdi + mdi > 0), 0.0)
-    out = adx(bars(spark, {"A": closes}))
+    out = adx(bars(spark, {"A": closes}), layout=layout)
     close_to(by_date(out, "A", "adx_14"), list(dx.ewm(**wilder).mean()))
 
 
 def test_moving_average_over_several_periods(spark):
     closes = walk(2500, 3)
-    for periods in (1, 5, 50):
-        out = moving_average(bars(spark, {"A": closes}), periods)
+    for periods, layout in [(1, PLANS[0]), (5, BLOCKED), (50, BLOCKED), (50, PLANS[0])]:
+        out = moving_average(bars(spark, {"A": closes}), periods, layout)
         want = pd.Series(closes).rolling(periods, min_periods=1).mean()
         close_to(by_date(out, "A", f"ma{periods}"), list(want))
 
@@ -159,11 +164,20 @@ def test_ewm_min_periods(spark):
 
 
 def test_blocks_that_overflow_are_refused(spark):
-    source = indexed_bars(bars(spark, {"A": walk(5)}))
+    rows = bars(spark, {"A": walk(5)})
     with pytest.raises(ValueError):
-        ewm_mean(in_blocks(source), ["ticker"], [Ewm("y", "close_price", 0.9)], source)
+        close_ewm(rows, alpha=0.9, layout=BLOCKED)
     with pytest.raises(ValueError):
-        in_blocks(source, size=10, halo=11)
+        in_blocks(rows, size=10, halo=11)
+
+
+def test_the_longest_series_decides_the_plan(spark):
+    rows = bars(spark, {"A": walk(50), "B": walk(10)})
+    assert cut(rows, ["ticker"], "trading_date", most_whole=50).whole
+    assert not cut(rows, ["ticker"], "trading_date", most_whole=49).whole
+    # Past a few thousand rows the closed form would overflow, so "auto" must cut.
+    assert series.most_whole_rows([1 / 14]) < 9_500
+    assert cut(rows.limit(0), ["ticker"], "trading_date").whole
 
 
 def test_running_sums_with_one_hot_key(spark):
@@ -179,9 +193,20 @@ def test_running_sums_with_one_hot_key(spark):
         assert got[k, at] == total[k]
 
 
-def test_no_window_covers_a_whole_ticker(spark):
-    """Windows per ticker run over bin totals only; rows are ordered per bin or block."""
-    plan = indicators(bars(spark, {"A": walk(30)}))._jdf.queryExecution().optimizedPlan().toString()
-    for line in plan.splitlines():
-        if "Window [" in line and ("close_price" in line or series.INDEX + "#" in line.split("],")[0]):
+def windows(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line for line in plan.splitlines() if "Window [" in line]
+
+
+def test_blocked_plan_orders_rows_per_bin_or_block_only(spark):
+    for line in windows(indicators(bars(spark, {"A": walk(30)}), layout=BLOCKED)):
+        if "close_price" in line or "_gain" in line:
             assert "row_block" in line or "_bin" in line
+
+
+def test_whole_plan_shuffles_once(spark, tmp_path):
+    bars(spark, {"A": walk(30)}).write.parquet(str(tmp_path / "bars"))
+    stored = spark.read.parquet(str(tmp_path / "bars"))
+    plan = indicators(stored, layout=PLANS[0])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("FileScan") == 1
