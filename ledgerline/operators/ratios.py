@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numeric import ratio
-from ledgerline.operators.quantiles import exact_quantiles, value_ranks
+from ledgerline.operators.quantiles import value_ranks
 
 LIQUIDITY = ["current_ratio", "working_capital_to_ta", "ocf_to_current_liabilities"]
 PROFITABILITY = ["roa", "roe", "ebit_margin", "ebit_to_ta", "asset_turnover"]
@@ -232,20 +232,27 @@ def peer_rank(rows: DataFrame, metric: str, group: list[str]) -> DataFrame:
     """Position of each row among its peers: percent rank, peer mean and peer median.
 
     An industry may hold a third of all companies, so nothing is sorted per industry:
-    ranks come from pre-aggregated distinct values, cut into bins.
+    ranks and medians come from pre-aggregated distinct values, cut into bins. ``rows`` is
+    read several times: pass a stored table.
     """
     ranks = value_ranks(rows.select(*group, metric), group, metric)
     stats = rows.groupBy(*group).agg(
         F.count(metric).alias("peers"), F.avg(metric).alias("peer_mean")
     )
-    medians = exact_quantiles(rows, group, metric, [0.5]).select(
-        *group, F.col("quantile").alias("peer_median")
-    )
+    placed = ranks.join(stats, group)
+    middle = (F.col("peers") - 1) / 2
+
+    def value_at(rank: Column) -> Column:
+        here = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n_here"))
+        return F.max(F.when(here, F.col(metric)))
+
+    low, high = value_at(F.floor(middle)), value_at(F.ceil(middle))
+    medians = placed.groupBy(*group).agg((low + (high - low) * 0.5).alias("_between"), low.alias("_low"), F.first("peers").alias("_n"))
+    exact = F.when(F.col("_n") % 2 == 1, F.col("_low")).otherwise(F.col("_between"))
     percent = F.when(F.col("peers") > 1, F.col("n_before") / (F.col("peers") - 1)).otherwise(0.0)
     return (
-        rows.join(ranks, [*group, metric])
-        .join(stats, group)
-        .join(medians, group)
+        rows.join(placed, [*group, metric])
+        .join(medians.select(*group, exact.alias("peer_median")), group)
         .select(
             "ticker",
             *group,

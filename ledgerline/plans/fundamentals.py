@@ -34,6 +34,14 @@ def quarterly(spark, sf_dir):
     return layer(spark, sf_dir, "quarterly", build_quarterly)
 
 
+def _build_ratios(spark, sf_dir):
+    return ratios.ratios(statements(spark, sf_dir))
+
+
+def stored_ratios(spark, sf_dir):
+    return layer(spark, sf_dir, "ratios", _build_ratios)
+
+
 # ---------------------------------------------------------------- shapes and names
 
 LONG_SQL = f"""
@@ -430,7 +438,7 @@ _BOUNDS_SQL = (
     ),
 )
 def winsorize(spark, sf_dir):
-    rows = ratios.ratios(statements(spark, sf_dir)).select("ticker", "year", *WINSORIZED)
+    rows = stored_ratios(spark, sf_dir).select("ticker", "year", *WINSORIZED)
     treated = st.winsorize(rows, st.winsor_bounds(rows, WINSORIZED))
     return treated.select("ticker", "year", *[F.round(m, 4).alias(m) for m in WINSORIZED])
 
@@ -451,7 +459,7 @@ def winsorize(spark, sf_dir):
     ),
 )
 def outlier_log(spark, sf_dir):
-    rows = ratios.ratios(statements(spark, sf_dir)).select("ticker", "year", *WINSORIZED)
+    rows = stored_ratios(spark, sf_dir).select("ticker", "year", *WINSORIZED)
     log = st.outlier_log(rows, st.winsor_bounds(rows, WINSORIZED))
     return log.withColumn("treated_value", F.round("treated_value", 4))
 
@@ -688,6 +696,11 @@ def business_results(spark, sf_dir):
     return yearly.unionByName(ratios.business_results(quarterly(spark, sf_dir), quarterly=True))
 
 
+def _peers(spark, sf_dir):
+    industry = companies(spark, sf_dir).select("ticker", "industry")
+    return stored_ratios(spark, sf_dir).select("ticker", "year", "roa").join(industry, "ticker")
+
+
 @fundamentals.query(
     "peer_rank",
     with_parts(
@@ -703,9 +716,7 @@ def business_results(spark, sf_dir):
     ),
 )
 def peer_rank(spark, sf_dir):
-    industry = companies(spark, sf_dir).select("ticker", "industry")
-    rows = ratios.ratios(statements(spark, sf_dir)).select("ticker", "year", "roa")
-    return ratios.peer_rank(rows.join(industry, "ticker"), "roa", ["industry", "year"])
+    return ratios.peer_rank(layer(spark, sf_dir, "peers", _peers), "roa", ["industry", "year"])
 
 
 # ---------------------------------------------------------------- market data

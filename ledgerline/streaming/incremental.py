@@ -12,11 +12,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.times import calendar_bin
-from ledgerline.operators import series
 from ledgerline.operators.dedup import keep_last
 from ledgerline.operators.indicators import KEYS
-from ledgerline.operators.series import BLOCK_ROWS, HALO, INDEX, Cut, Ewm, block_window, ewm_mean
+from ledgerline.operators.series import (
+    HALO,
+    INDEX,
+    Ewm,
+    Layout,
+    block_window,
+    cut,
+    ewm_mean,
+    most_whole_rows,
+)
 from ledgerline.session import stored
 
 TAIL = 19
@@ -43,76 +50,78 @@ def split_late(bars: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]
     return tagged.filter(~late).drop("last_date"), tagged.filter(late).drop("last_date")
 
 
-def continue_series(bars: DataFrame, state: DataFrame, grain: str = "day") -> DataFrame:
+def continue_series(
+    bars: DataFrame, state: DataFrame, layout: Layout = Layout(grain="day")
+) -> DataFrame:
     """Indicators of new bars, with the columns the next state is made of.
 
     The state's closes go in front of the new bars as old rows. The newest old row holds
     the smoothed averages and seeds their recursion with full weight, so the first new bar
     continues it.
     """
-    with_tail = state.filter("bars > 0").select(
-        "ticker",
-        "bars",
-        "last_date",
-        "avg_gain",
-        "avg_loss",
-        F.size("tail").alias("_n"),
-        F.posexplode("tail").alias("_i", "close_price"),
+    tails = state.select(
+        "*", F.size("tail").alias("_n"), F.posexplode("tail").alias("_i", "close_price")
     )
     newest = F.col("_i") == F.col("_n") - 1
-    old = with_tail.select(
+    old = tails.select(
         "ticker",
         F.col("last_date").alias("trading_date"),
+        # Old rows keep their order just before the last date; new bars are later.
+        F.expr("last_date + make_dt_interval(0, 0, 0, (_i + 1 - _n) / 1000000.0)").alias("_at"),
         "close_price",
-        (F.col("_i") + 1 - F.col("_n")).alias("_back"),
         F.when(newest, F.col("avg_gain")).otherwise(0.0).alias("_old_gain"),
         F.when(newest, F.col("avg_loss")).otherwise(0.0).alias("_old_loss"),
         F.lit(True).alias("_old"),
     )
+    nothing = F.lit(None).cast("double")
     new = bars.select(
         "ticker",
         "trading_date",
+        F.col("trading_date").alias("_at"),
         "close_price",
-        F.lit(0).alias("_back"),
-        F.lit(None).cast("double").alias("_old_gain"),
-        F.lit(None).cast("double").alias("_old_loss"),
+        nothing.alias("_old_gain"),
+        nothing.alias("_old_loss"),
         F.lit(False).alias("_old"),
     )
-    rows = old.unionByName(new)
-    rows = rows.withColumn("_bin", calendar_bin(F.col("trading_date"), grain)).withColumn(
-        "_order", F.struct("trading_date", "_back")
+    tail = F.size("tail")
+    starts = state.select(
+        "ticker",
+        (F.col("bars") - tail).alias("_skipped"),
+        # After a single bar there is no average yet: the second bar seeds it.
+        F.when(F.col("bars") > 1, tail - 1).alias("_seeded"),
     )
-    placed = series.indexed(rows, KEYS, "_order", "_bin", {"_prev": "close_price"}).drop("_bin", "_order")
-    # Position in the whole series: old rows already counted, minus those repeated here.
-    counts = state.select("ticker", F.col("bars").alias("_bars"), F.size("tail").alias("_tail"))
-    change = F.col("close_price") - F.col("_prev")
-    source = (
-        placed.join(counts, "ticker", "left")
-        .withColumns(
-            {
-                INDEX: F.col(INDEX) + F.coalesce(F.col("_bars") - F.col("_tail"), F.lit(0)),
-                "_seed": F.greatest(F.coalesce(F.col("_bars"), F.lit(0)) - 1, F.lit(1)),
-            }
-        )
-        .withColumns(
-            {
-                "_gain": F.when(F.col("_old"), F.col("_old_gain")).otherwise(F.greatest(change, F.lit(0.0))),
-                "_loss": F.when(F.col("_old"), F.col("_old_loss")).otherwise(F.greatest(-change, F.lit(0.0))),
-                "_return": (F.try_divide("close_price", "_prev") - 1) * 100,
-            }
+
+    def moves(rows: DataFrame) -> DataFrame:
+        change = F.col("close_price") - F.col("_prev")
+        return rows.join(starts, "ticker", "left").select(
+            *rows.columns,
+            (F.col(INDEX) + F.coalesce("_skipped", F.lit(0))).alias("_position"),
+            F.coalesce("_seeded", F.lit(1)).alias("_seed"),
+            F.when(F.col("_old"), F.col("_old_gain")).otherwise(F.greatest(change, F.lit(0.0))).alias("_gain"),
+            F.when(F.col("_old"), F.col("_old_loss")).otherwise(F.greatest(-change, F.lit(0.0))).alias("_loss"),
+            ((F.try_divide("close_price", "_prev") - 1) * 100).alias("_return"),
         )
-        .drop("_bars", "_tail", "_old_gain", "_old_loss", "_back")
+
+    pieces = cut(
+        old.unionByName(new),
+        KEYS,
+        "_at",
+        layout,
+        halo=TAIL,
+        lags={"_prev": "close_price"},
+        most_whole=most_whole_rows([1 / PERIODS]),
+        derive=moves,
     )
-    pieces = Cut(series.in_blocks(source, BLOCK_ROWS, TAIL), source, KEYS, BLOCK_ROWS, False)
     rows = pieces.rows.withColumn("_ma20", F.avg("close_price").over(block_window(KEYS, TAIL)))
     specs = [
-        Ewm("avg_gain", "_gain", 1 / PERIODS, 1, 1, "_seed"),
-        Ewm("avg_loss", "_loss", 1 / PERIODS, 1, 1, "_seed"),
+        Ewm("avg_gain", "_gain", 1 / PERIODS, seed_at="_seed"),
+        Ewm("avg_loss", "_loss", 1 / PERIODS, seed_at="_seed"),
     ]
     smoothed = ewm_mean(rows, pieces, specs).filter(~F.col(HALO))
     strength = F.try_divide("avg_gain", "avg_loss")
+    position = F.col("_position")
     rsi = F.when(
-        F.col(INDEX) >= PERIODS, F.coalesce(100 - F.lit(100.0) / (1 + strength), F.lit(100.0))
+        position >= PERIODS, F.coalesce(100 - F.lit(100.0) / (1 + strength), F.lit(100.0))
     )
     return smoothed.select(
         "ticker",
@@ -121,7 +130,7 @@ def continue_series(bars: DataFrame, state: DataFrame, grain: str = "day") -> Da
         F.round("_return", 4).alias("return_pct"),
         F.round("_ma20", 4).alias("ma20"),
         F.round(rsi, 4).alias("rsi_14"),
-        INDEX,
+        position.alias("position"),
         "_old",
         "avg_gain",
         "avg_loss",
@@ -133,30 +142,36 @@ def next_state(computed: DataFrame, state: DataFrame) -> DataFrame:
 
     The rank limit works on the map side: a ticker sends at most 20 rows per task.
     """
-    newest = Window.partitionBy("ticker").orderBy(F.col(INDEX).desc())
+    newest = Window.partitionBy("ticker").orderBy(F.col("position").desc())
     tail = computed.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= TAIL)
     fresh = tail.groupBy("ticker").agg(
-        (F.max(INDEX) + 1).alias("bars"),
+        (F.max("position") + 1).alias("bars"),
         F.max("trading_date").alias("last_date"),
         F.transform(
-            F.array_sort(F.collect_list(F.struct(INDEX, "close_price"))), lambda t: t["close_price"]
+            F.array_sort(F.collect_list(F.struct("position", "close_price"))), lambda t: t["close_price"]
         ).alias("tail"),
-        F.max_by("avg_gain", INDEX).alias("avg_gain"),
-        F.max_by("avg_loss", INDEX).alias("avg_loss"),
+        F.max_by("avg_gain", "position").alias("avg_gain"),
+        F.max_by("avg_loss", "position").alias("avg_loss"),
     )
     idle = state.drop("batch_id").join(fresh.select("ticker"), "ticker", "left_anti")
     return fresh.unionByName(idle)
 
 
-def indicator_batch(spark: SparkSession, ticks: DataFrame, batch_id: int, out: str) -> None:
+def indicator_batch(
+    spark: SparkSession,
+    ticks: DataFrame,
+    batch_id: int,
+    out: str,
+    layout: Layout = Layout(grain="day"),
+) -> None:
     """Compute one micro-batch, then store its rows, its late bars and the next state."""
     state = load_state(spark, f"{out}/state", batch_id)
     unique = keep_last(
         ticks.withColumn("_at", F.monotonically_increasing_id()), ["ticker", "trading_date"], "_at"
     )
     fresh, late = split_late(stored(spark, unique, "ticks"), state)
-    computed = stored(spark, continue_series(fresh, state), "computed")
-    rows = computed.filter(~F.col("_old")).drop("_old", INDEX, "avg_gain", "avg_loss")
+    computed = stored(spark, continue_series(fresh, state, layout), "computed")
+    rows = computed.filter(~F.col("_old")).drop("_old", "position", "avg_gain", "avg_loss")
     rows.write.mode("overwrite").parquet(f"{out}/indicators/batch_id={batch_id}")
     late.write.mode("overwrite").parquet(f"{out}/late/batch_id={batch_id}")
     next_state(computed, state).write.mode("overwrite").parquet(f"{out}/state/batch_id={batch_id}")

@@ -91,7 +91,9 @@ def ticks(spark, start, stop, ticker="T"):
     )
 
 
-def test_online_indicators_continue_and_set_late_bars_aside(spark, tmp_path):
+@pytest.mark.parametrize("plan", ["auto", "blocked"])
+def test_online_indicators_continue_and_set_late_bars_aside(spark, tmp_path, plan):
+    layout = Layout(grain="day", plan=plan)
     out = str(tmp_path / "online")
     # Cuts of one bar, fewer bars than the tail, and across a block boundary.
     cuts = [0, 1, 2, 9, 40, 1500, 2100]
@@ -100,11 +102,11 @@ def test_online_indicators_continue_and_set_late_bars_aside(spark, tmp_path):
         if n == 4:
             batch = batch.unionByName(ticks(spark, 5, 8)).unionByName(ticks(spark, 0, 30, "U"))
         if n == 5:
-            indicator_batch(spark, batch, n, out)  # replayed below
-        indicator_batch(spark, batch, n, out)
+            indicator_batch(spark, batch, n, out, layout)  # replayed below
+        indicator_batch(spark, batch, n, out, layout)
     whole = ticks(spark, 0, 2100).unionByName(ticks(spark, 0, 30, "U"))
     got = {tuple(r) for r in read_indicators(spark, out).collect()}
-    want = {tuple(r) for r in indicators(whole, layout=Layout(grain="day", plan="blocked")).collect()}
+    want = {tuple(r) for r in indicators(whole, layout=Layout(grain="day")).collect()}
     assert len(got) == 2130 and got == want
     late = spark.read.parquet(f"{out}/late/batch_id=4")
     assert late.count() == 3
