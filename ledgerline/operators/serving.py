@@ -7,10 +7,13 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.operators.indicators import candle_direction
+from ledgerline.operators.indicators import candle_direction, numbered_bars
+from ledgerline.operators.series import INDEX, Layout
 
 MAX_PRICE_PAGE = 1000
 MAX_COMPANY_PAGE = 100
+# Up to this many rows before a page are skipped on the driver; further ones by position.
+SHALLOW_ROWS = 10_000
 
 
 class Page(NamedTuple):
@@ -42,10 +45,20 @@ def project(curated: DataFrame) -> DataFrame:
     return curated.withColumn("trading_date", F.to_date("trading_date"))
 
 
-def _page(rows: DataFrame, order: str, page: int, limit: int, most: int) -> DataFrame:
+def _check_page(page: int, limit: int, most: int) -> None:
     if page < 1 or not 1 <= limit <= most:
         raise ValueError(f"page starts at 1 and limit lies in 1..{most}")
-    return rows.orderBy(order).offset((page - 1) * limit).limit(limit)
+
+
+def _price_page(rows: DataFrame, page: int, limit: int) -> DataFrame:
+    """A page by date. Skipping collects everything before the page on the driver, so deep
+    pages take rows by their position instead, which is counted in parallel."""
+    offset = (page - 1) * limit
+    if offset + limit <= SHALLOW_ROWS:
+        return rows.orderBy("trading_date").offset(offset).limit(limit)
+    numbered = numbered_bars(rows, Layout(plan="blocked"))
+    wanted = F.col(INDEX).between(offset, offset + limit - 1)
+    return numbered.filter(wanted).drop(INDEX).orderBy("trading_date").limit(limit)
 
 
 def prices_page(
@@ -57,9 +70,10 @@ def prices_page(
     limit: int = 100,
 ) -> Page:
     """One page of prices by date, and the number of rows behind all pages."""
+    _check_page(page, limit, MAX_PRICE_PAGE)
     rows = price_filter(curated, ticker, start, end)
     total = rows.agg(F.count("*").alias("total_records"))
-    return Page(project(_page(rows, "trading_date", page, limit, MAX_PRICE_PAGE)), total)
+    return Page(project(_price_page(rows, page, limit)), total)
 
 
 def prices_after(
@@ -116,5 +130,7 @@ def unknown_tickers(curated: DataFrame, universe: DataFrame) -> DataFrame:
 
 
 def companies_page(listed: DataFrame, page: int = 1, limit: int = 50) -> Page:
+    """One page of companies by ticker, and their number."""
+    _check_page(page, limit, MAX_COMPANY_PAGE)
     total = listed.agg(F.count("*").alias("total_records"))
-    return Page(_page(listed, "ticker", page, limit, MAX_COMPANY_PAGE), total)
+    return Page(listed.orderBy("ticker").offset((page - 1) * limit).limit(limit), total)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import dedup, serving
 from ledgerline.operators.indicators import numbered_bars
-from ledgerline.operators.series import INDEX
+from ledgerline.operators.series import INDEX, Layout
 from ledgerline.plans.inputs import BRAND_UNIVERSE_SQL, brand_universe, stored_bars
 from ledgerline.plans.market import curated as compute_curated
 from ledgerline.plans.market import curated_oracle
@@ -99,6 +99,21 @@ def prices_page(spark, sf_dir):
     return serving.prices_page(curated(spark, sf_dir), TICKER, START, END, page=2).rows
 
 
+@served.query(
+    "prices_deep_page",
+    curated_oracle(
+        """SELECT ticker, CAST(trading_date AS DATE) AS trading_date, close_price FROM (
+             SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY trading_date) AS r FROM curated) d
+           WHERE r > 40 AND r <= 60"""
+    ),
+)
+def prices_deep_page(spark, sf_dir):
+    """The third page of twenty of every ticker, taken by position."""
+    numbered = numbered_bars(curated(spark, sf_dir), Layout(plan="blocked"))
+    page = numbered.filter(F.col(INDEX).between(40, 59))
+    return serving.project(page).select("ticker", "trading_date", "close_price")
+
+
 @served.query(
     "count_filtered",
     curated_oracle(f"SELECT count(*) AS total_records FROM curated WHERE {_RANGE}"),

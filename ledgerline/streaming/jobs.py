@@ -66,13 +66,18 @@ def curate_batch(spark: SparkSession, lines: DataFrame, batch_id: int, out: str)
         .partitionBy("ticker", "batch_id")
         .parquet(f"{out}/bronze")
     )
-    bronze = spark.read.schema(BRONZE).parquet(f"{out}/bronze")
-    touched = bronze.filter(F.col("batch_id") == batch_id).select("ticker").distinct()
-    records = bronze.drop("batch_id").join(touched, "ticker", "left_semi")
+    records = bronze_of(spark, out, batch_id)
     bars = stored(spark, keep_last(records, KEYS).select(*RECORD_COLUMNS), "bars")
     write_curated(indicators(bars).select(*CURATED_COLUMNS), f"{out}/curated")
 
 
+def bronze_of(spark: SparkSession, out: str, batch_id: int) -> DataFrame:
+    """All records of the tickers in a batch; only their partitions are read."""
+    bronze = spark.read.schema(BRONZE).parquet(f"{out}/bronze")
+    touched = bronze.filter(F.col("batch_id") == batch_id).select("ticker").distinct()
+    return bronze.drop("batch_id").join(touched, "ticker", "left_semi")
+
+
 def curated_stream_job(
     spark: SparkSession, raw_root: str, out: str, files_per_batch: int | None = None
 ) -> None:

@@ -52,6 +52,13 @@ def test_price_pages(curated):
     assert serving.prices_page(curated, "FPT", page=9, limit=3).rows.count() == 0
 
 
+def test_deep_pages_equal_shallow_ones(curated, monkeypatch):
+    shallow = [serving.prices_page(curated, "FPT", page=p, limit=3).rows.collect() for p in (1, 2, 3, 4)]
+    monkeypatch.setattr(serving, "SHALLOW_ROWS", 0)
+    deep = [serving.prices_page(curated, "FPT", page=p, limit=3).rows.collect() for p in (1, 2, 3, 4)]
+    assert deep == shallow and [len(p) for p in deep] == [3, 3, 2, 0]
+
+
 def test_an_intraday_bar_on_the_end_date_lies_outside(curated):
     page = serving.prices_page(curated, "FPT", "2025-01-04", "2025-01-05")
     assert [r["close_price"] for r in page.rows.collect()] == [14.0, 15.0]

@@ -12,7 +12,7 @@ from ledgerline.schemas import CURATED_COLUMNS
 from ledgerline.sources.curated import read_curated
 from ledgerline.sources.raw import read_entries
 from ledgerline.streaming.incremental import indicator_batch, read_indicators
-from ledgerline.streaming.jobs import curate_batch, curated_stream_job, ledger_stream_job, raw_stream
+from ledgerline.streaming.jobs import bronze_of, curate_batch, curated_stream_job, ledger_stream_job, raw_stream
 
 
 def line(ticker, day, close, status="PASS", code="OK"):
@@ -110,3 +110,11 @@ def test_online_indicators_continue_and_set_late_bars_aside(spark, tmp_path, pla
     assert len(got) == 2130 and got == want
     late = spark.read.parquet(f"{out}/late/batch_id=4")
     assert late.count() == 3
+
+
+def test_touched_tickers_prune_the_bronze_scan(spark, landed, tmp_path):
+    out = str(tmp_path / "out")
+    curated_stream_job(spark, str(landed), out, files_per_batch=1)
+    plan = bronze_of(spark, out, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    assert {r["ticker"] for r in bronze_of(spark, out, 1).select("ticker").distinct().collect()} < {"AAA", "BBB"}
