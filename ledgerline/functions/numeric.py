@@ -22,3 +22,13 @@ def ratio(numerator: Column, denominator: Column, scale: float = 1.0) -> Column:
 def clip(value: Column, low: Column, high: Column) -> Column:
     """Bound a value; nulls stay null."""
     return F.when(value.isNotNull(), F.greatest(F.least(value, high), low))
+
+
+def round_even(value: str | Column, digits: int) -> Column:
+    """Round the scaled value half to even, the way array libraries do.
+
+    ``round`` rounds the decimal digits half up instead; the two differ on exact ties.
+    """
+    scale = float(10**digits)
+    column = F.col(value) if isinstance(value, str) else value
+    return F.rint(column * scale) / scale + 0.0  # no negative zero

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.numeric import ratio
+from ledgerline.functions.numeric import ratio, round_even
 from ledgerline.operators import series
 from ledgerline.operators.series import (
     HALO,
@@ -62,7 +62,7 @@ def numbered_bars(bars: DataFrame, layout: Layout = Layout()) -> DataFrame:
 def returns(bars: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """Percent change to the previous bar."""
     source = cut_bars(bars, layout, lags={"_prev": "close_price"}).source
-    return source.select(*bars.columns, F.round(_percent_change(), 4).alias("return_pct"))
+    return source.select(*bars.columns, round_even(_percent_change(), 4).alias("return_pct"))
 
 
 def moving_average(bars: DataFrame, periods: int = 20, layout: Layout = Layout()) -> DataFrame:
@@ -70,7 +70,7 @@ def moving_average(bars: DataFrame, periods: int = 20, layout: Layout = Layout()
     rows = cut_bars(bars, layout, halo=periods - 1).rows
     out = f"ma{periods}"
     averaged = rows.withColumn(out, _rolling_close(periods))
-    return _finish(averaged, bars, {out: F.round(out, 4)})
+    return _finish(averaged, bars, {out: round_even(out, 4)})
 
 
 def close_ewm(
@@ -79,7 +79,7 @@ def close_ewm(
     """Unadjusted exponential mean of the close."""
     pieces = cut_bars(bars, layout, most_whole=most_whole_rows([alpha]))
     spec = Ewm("_ewm", "close_price", alpha, 0, min_periods)
-    return _finish(ewm_mean(pieces.rows, pieces, [spec]), bars, {"ewm_close": F.round("_ewm", 4)})
+    return _finish(ewm_mean(pieces.rows, pieces, [spec]), bars, {"ewm_close": round_even("_ewm", 4)})
 
 
 def _smoothed(bars: DataFrame, periods: int, min_periods: int, layout: Layout) -> DataFrame:
@@ -114,9 +114,9 @@ def indicators(bars: DataFrame, periods: int = 14, layout: Layout = Layout()) ->
         _smoothed(bars, periods, periods, layout),
         bars,
         {
-            "return_pct": F.round("_return", 4),
-            "ma20": F.round("_ma20", 4),
-            "rsi_14": F.round(rsi, 4),
+            "return_pct": round_even("_return", 4),
+            "ma20": round_even("_ma20", 4),
+            "rsi_14": round_even(rsi, 4),
         },
     )
 
@@ -130,7 +130,7 @@ def indicators_two_decimals(
     return _finish(
         _smoothed(bars, periods, 1, layout),
         bars,
-        {"return": F.round("_return", 2), "ma20": F.round("_ma20", 2), "rsi_14": F.round(rsi, 2)},
+        {"return": round_even("_return", 2), "ma20": round_even("_ma20", 2), "rsi_14": round_even(rsi, 2)},
     )
 
 
@@ -145,7 +145,7 @@ def macd(
     line = means.withColumn("_macd", F.col("_fast") - F.col("_slow"))
     lined = ewm_mean(line, pieces, [Ewm("_signal", "_macd", alphas[2])], from_source=False)
     return _finish(
-        lined, bars, {"macd": F.round("_macd", 4), "macd_signal": F.round("_signal", 4)}
+        lined, bars, {"macd": round_even("_macd", 4), "macd_signal": round_even("_signal", 4)}
     )
 
 
@@ -191,9 +191,9 @@ def adx(bars: DataFrame, periods: int = 14, layout: Layout = Layout()) -> DataFr
         averaged,
         bars,
         {
-            "plus_di": F.round("_pdi", 4),
-            "minus_di": F.round("_mdi", 4),
-            "adx_14": F.round("_adx", 4),
+            "plus_di": round_even("_pdi", 4),
+            "minus_di": round_even("_mdi", 4),
+            "adx_14": round_even("_adx", 4),
         },
     )
 
@@ -214,7 +214,7 @@ def cci(bars: DataFrame, periods: int = 14, layout: Layout = Layout()) -> DataFr
     value = F.when(
         F.col(INDEX) >= periods - 1, ratio(F.col("_tp") - F.col("_sma"), F.lit(0.015) * deviation)
     )
-    return _finish(framed, bars, {"cci_14": F.round(value, 4)})
+    return _finish(framed, bars, {"cci_14": round_even(value, 4)})
 
 
 def sharpe(

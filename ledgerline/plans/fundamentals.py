@@ -370,7 +370,11 @@ _ALL_RATIOS = {**_LIQUIDITY, **_PROFITABILITY, **_LEVERAGE, **_SIZE_GROWTH}
 
 
 def _select(columns: dict[str, str]) -> str:
-    return ", ".join(f"round({e}, 4) AS {n}" for n, e in columns.items())
+    """Four decimals each, without a negative zero."""
+    return ", ".join(
+        f"CASE WHEN abs({e}) < 0.00005e0 THEN 0e0 ELSE round({e}, 4) END AS {n}"
+        for n, e in columns.items()
+    )
 
 
 RATIOS_SQL = f"""
@@ -509,7 +513,7 @@ LABEL_PARTS = [STATEMENTS_SQL, RATIOS_SQL, SCORED_SQL, LABELLED_SQL]
         STATEMENTS_SQL,
         RATIOS_SQL,
         SCORED_SQL,
-        body=f"SELECT ticker, year, {', '.join(f'round({x}, 4) AS {x}' for x in _X)}, round(z_score, 4) AS z_score FROM scored",
+        body=f"SELECT ticker, year, {_select({x: x for x in [*_X, 'z_score']})} FROM scored",
     ),
 )
 def altman_z(spark, sf_dir):

@@ -131,9 +131,9 @@ def report_sink(spark, sf_dir):
         NUMBERED_SQL,
         WILDER_SQL,
         body="""
-        SELECT n.ticker, n.trading_date, n.close_price, round((n.close_price / n.prev_close - 1) * 100, 2) AS "return",
-               round(CASE WHEN avg_loss = 0 AND avg_gain > 0 THEN 100
-                          ELSE 100 - 100 / (1 + avg_gain / nullif(avg_loss, 0)) END, 2) AS rsi_14
+        SELECT n.ticker, n.trading_date, n.close_price, round_even(((n.close_price / n.prev_close - 1) * 100) * 1e2, 0) / 1e2 AS "return",
+               round_even((CASE WHEN avg_loss = 0 AND avg_gain > 0 THEN 100
+                          ELSE 100 - 100 / (1 + avg_gain / nullif(avg_loss, 0)) END) * 1e2, 0) / 1e2 AS rsi_14
         FROM numbered n LEFT JOIN wilder w ON w.ticker = n.ticker AND w.k = n.k""",
         recursive=True,
     ),

@@ -38,10 +38,10 @@ CURATED_SQL = (
     + """,
 curated AS (
   SELECT n.ticker, n.trading_date, n.open_price, n.high_price, n.low_price, n.close_price, n.volume,
-         round((n.close_price / n.prev_close - 1) * 100, 4) AS return_pct,
-         round(avg(n.close_price) OVER (PARTITION BY n.ticker ORDER BY n.trading_date
-               ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 4) AS ma20,
-         CASE WHEN n.k >= 14 THEN round(coalesce(100 - 100 / (1 + avg_gain / nullif(avg_loss, 0)), 100), 4) END AS rsi_14
+         round_even(((n.close_price / n.prev_close - 1) * 100) * 1e4, 0) / 1e4 AS return_pct,
+         round_even((avg(n.close_price) OVER (PARTITION BY n.ticker ORDER BY n.trading_date
+               ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) * 1e4, 0) / 1e4 AS ma20,
+         CASE WHEN n.k >= 14 THEN round_even((coalesce(100 - 100 / (1 + avg_gain / nullif(avg_loss, 0)), 100)) * 1e4, 0) / 1e4 END AS rsi_14
   FROM numbered n LEFT JOIN wilder w ON w.ticker = n.ticker AND w.k = n.k)
 """
 )
@@ -82,7 +82,7 @@ def all_indicators(spark, sf_dir):
     with_parts(
         BARS_SQL,
         NUMBERED_SQL,
-        body="""SELECT ticker, trading_date, round((close_price / prev_close - 1) * 100, 4) AS return_pct
+        body="""SELECT ticker, trading_date, round_even(((close_price / prev_close - 1) * 100) * 1e4, 0) / 1e4 AS return_pct
                 FROM numbered""",
     ),
 )
@@ -93,8 +93,8 @@ def return_pct(spark, sf_dir):
 def _ma_sql(periods: int) -> str:
     return with_parts(
         BARS_SQL,
-        body=f"""SELECT ticker, trading_date, round(avg(close_price) OVER (PARTITION BY ticker
-                 ORDER BY trading_date ROWS BETWEEN {periods - 1} PRECEDING AND CURRENT ROW), 4) AS ma{periods}
+        body=f"""SELECT ticker, trading_date, round_even((avg(close_price) OVER (PARTITION BY ticker
+                 ORDER BY trading_date ROWS BETWEEN {periods - 1} PRECEDING AND CURRENT ROW)) * 1e4, 0) / 1e4 AS ma{periods}
                  FROM bars""",
     )
 
@@ -131,7 +131,7 @@ def _ema_recursion(name: str, value: str, source: str, q: str) -> str:
         BARS_SQL,
         NUMBERED_SQL,
         _ema_recursion("ewm", "close_price", "numbered", "(13.0e0 / 14.0e0)"),
-        body="""SELECT n.ticker, n.trading_date, round(y, 4) AS ewm_close
+        body="""SELECT n.ticker, n.trading_date, round_even((y) * 1e4, 0) / 1e4 AS ewm_close
                 FROM ewm JOIN numbered n ON n.ticker = ewm.ticker AND n.k = ewm.k""",
         recursive=True,
     ),
@@ -149,11 +149,11 @@ def ewm_close(spark, sf_dir):
         NUMBERED_SQL,
         WILDER_SQL,
         body="""
-        SELECT n.ticker, n.trading_date, round((n.close_price / n.prev_close - 1) * 100, 2) AS "return",
-               round(avg(n.close_price) OVER (PARTITION BY n.ticker ORDER BY n.trading_date
-                     ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 2) AS ma20,
-               round(CASE WHEN avg_loss = 0 AND avg_gain > 0 THEN 100
-                          ELSE 100 - 100 / (1 + avg_gain / nullif(avg_loss, 0)) END, 2) AS rsi_14
+        SELECT n.ticker, n.trading_date, round_even(((n.close_price / n.prev_close - 1) * 100) * 1e2, 0) / 1e2 AS "return",
+               round_even((avg(n.close_price) OVER (PARTITION BY n.ticker ORDER BY n.trading_date
+                     ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) * 1e2, 0) / 1e2 AS ma20,
+               round_even((CASE WHEN avg_loss = 0 AND avg_gain > 0 THEN 100
+                          ELSE 100 - 100 / (1 + avg_gain / nullif(avg_loss, 0)) END) * 1e2, 0) / 1e2 AS rsi_14
         FROM numbered n LEFT JOIN wilder w ON w.ticker = n.ticker AND w.k = n.k""",
         recursive=True,
     ),
@@ -183,7 +183,7 @@ MACD_SQL = ",\n".join(
         BARS_SQL,
         NUMBERED_SQL,
         MACD_SQL,
-        body="""SELECT l.ticker, l.trading_date, round(l.macd, 4) AS macd, round(g.y, 4) AS macd_signal
+        body="""SELECT l.ticker, l.trading_date, round_even((l.macd) * 1e4, 0) / 1e4 AS macd, round_even((g.y) * 1e4, 0) / 1e4 AS macd_signal
                 FROM macd_line l JOIN signal g ON g.ticker = l.ticker AND g.k = l.k""",
         recursive=True,
     ),
@@ -223,8 +223,8 @@ adx AS (
         NUMBERED_SQL,
         ADX_SQL,
         body="""
-        SELECT n.ticker, n.trading_date, round(pdi, 4) AS plus_di, round(mdi, 4) AS minus_di,
-               CASE WHEN n.k >= 27 THEN round(a.y, 4) END AS adx_14
+        SELECT n.ticker, n.trading_date, round_even((pdi) * 1e4, 0) / 1e4 AS plus_di, round_even((mdi) * 1e4, 0) / 1e4 AS minus_di,
+               CASE WHEN n.k >= 27 THEN round_even((a.y) * 1e4, 0) / 1e4 END AS adx_14
         FROM numbered n LEFT JOIN dx d ON d.ticker = n.ticker AND d.k = n.k
              LEFT JOIN adx a ON a.ticker = n.ticker AND a.k = n.k""",
         recursive=True,
@@ -252,8 +252,8 @@ framed AS (
         CCI_SQL,
         body="""
         SELECT ticker, trading_date,
-          CASE WHEN k >= 13 THEN round((tp - sma) / nullif(0.015e0 *
-            (list_sum(list_transform(frame, lambda x: abs(x - sma))) / 14), 0), 4) END AS cci_14
+          CASE WHEN k >= 13 THEN round_even(((tp - sma) / nullif(0.015e0 *
+            (list_sum(list_transform(frame, lambda x: abs(x - sma))) / 14), 0)) * 1e4, 0) / 1e4 END AS cci_14
         FROM framed""",
     ),
 )

@@ -31,9 +31,9 @@ wilder AS (
 _ONLINE = with_parts(
     TICKS_SQL,
     body="""
-    SELECT n.ticker, n.trading_date, n.close_price, round((n.close_price / nullif(n.prev_close, 0) - 1) * 100, 4) AS return_pct,
-           round(avg(n.close_price) OVER (PARTITION BY n.ticker ORDER BY n.trading_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 4) AS ma20,
-           CASE WHEN n.k >= 14 THEN round(coalesce(100 - 100 / (1 + avg_gain / nullif(avg_loss, 0)), 100), 4) END AS rsi_14
+    SELECT n.ticker, n.trading_date, n.close_price, round_even(((n.close_price / nullif(n.prev_close, 0) - 1) * 100) * 1e4, 0) / 1e4 AS return_pct,
+           round_even((avg(n.close_price) OVER (PARTITION BY n.ticker ORDER BY n.trading_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) * 1e4, 0) / 1e4 AS ma20,
+           CASE WHEN n.k >= 14 THEN round_even((coalesce(100 - 100 / (1 + avg_gain / nullif(avg_loss, 0)), 100)) * 1e4, 0) / 1e4 END AS rsi_14
     FROM numbered n LEFT JOIN wilder w ON w.ticker = n.ticker AND w.k = n.k""",
     recursive=True,
 )

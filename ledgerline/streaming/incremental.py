@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.numeric import round_even
 from ledgerline.operators.dedup import keep_last
 from ledgerline.operators.indicators import KEYS
 from ledgerline.operators.series import (
@@ -127,9 +128,9 @@ def continue_series(
         "ticker",
         "trading_date",
         "close_price",
-        F.round("_return", 4).alias("return_pct"),
-        F.round("_ma20", 4).alias("ma20"),
-        F.round(rsi, 4).alias("rsi_14"),
+        round_even("_return", 4).alias("return_pct"),
+        round_even("_ma20", 4).alias("ma20"),
+        round_even(rsi, 4).alias("rsi_14"),
         position.alias("position"),
         "_old",
         "avg_gain",
