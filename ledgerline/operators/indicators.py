@@ -238,6 +238,84 @@ def sharpe(
     )
 
 
+MARKET_FEATURES = ["rsi_14", "macd", "macd_signal", "adx_14", "cci_14"]
+
+
+def technicals(bars: DataFrame, layout: Layout = Layout()) -> DataFrame:
+    """RSI, MACD with its signal, ADX and CCI of every bar from one cut of the series.
+
+    The smoothed columns share a pass, and the two that smooth results share another.
+    """
+    wilder = 1 / 14
+    fast, slow, signal = (2 / (n + 1) for n in (12, 26, 9))
+    typical = (F.col("high_price") + F.col("low_price") + F.col("close_price")) / 3
+    pieces = cut_bars(
+        bars,
+        layout,
+        halo=13,
+        lags={
+            "_prev": "close_price",
+            "_pclose": "close_price",
+            "_phigh": "high_price",
+            "_plow": "low_price",
+        },
+        most_whole=most_whole_rows([wilder, fast, slow, signal]),
+        derive=lambda rows: _directional_moves(_with_moves(rows)).withColumn("_tp", typical),
+    )
+    frame = block_window(KEYS, 13)
+    framed = pieces.rows.select(
+        "*", F.avg("_tp").over(frame).alias("_sma"), F.collect_list("_tp").over(frame).alias("_frame")
+    )
+    specs = [
+        Ewm("_avg_gain", "_gain", wilder, 1, 14),
+        Ewm("_avg_loss", "_loss", wilder, 1, 14),
+        Ewm("_atr", "_tr", wilder, 1, 14),
+        Ewm("_plus_s", "_plus", wilder, 1, 14),
+        Ewm("_minus_s", "_minus", wilder, 1, 14),
+        Ewm("_fast", "close_price", fast),
+        Ewm("_slow", "close_price", slow),
+    ]
+    first = ewm_mean(framed, pieces, specs)
+    plus, minus, atr = F.col("_plus_s"), F.col("_minus_s"), F.col("_atr")
+    pdi, mdi = ratio(plus, atr, 100.0), ratio(minus, atr, 100.0)
+    second = ewm_mean(
+        first.select(
+            "*",
+            (F.col("_fast") - F.col("_slow")).alias("_macd"),
+            F.coalesce(ratio(F.abs(pdi - mdi), pdi + mdi, 100.0), F.lit(0.0)).alias("_dx"),
+        ),
+        pieces,
+        [Ewm("_signal", "_macd", signal), Ewm("_adx", "_dx", wilder, 14, 14)],
+        from_source=False,
+    )
+    gain, loss = F.col("_avg_gain"), F.col("_avg_loss")
+    rsi = F.when(gain.isNotNull(), F.coalesce(_rsi(F.try_divide(gain, loss)), F.lit(100.0)))
+    deviation = (
+        F.aggregate("_frame", F.lit(0.0), lambda acc, x: acc + F.abs(x - F.col("_sma"))) / 14
+    )
+    cci_value = F.when(
+        F.col(INDEX) >= 13, ratio(F.col("_tp") - F.col("_sma"), F.lit(0.015) * deviation)
+    )
+    return _finish(
+        second,
+        bars,
+        {
+            "rsi_14": round_even(rsi, 4),
+            "macd": round_even("_macd", 4),
+            "macd_signal": round_even("_signal", 4),
+            "adx_14": round_even("_adx", 4),
+            "cci_14": round_even(cci_value, 4),
+        },
+    )
+
+
+def market_features(bars: DataFrame, layout: Layout = Layout()) -> DataFrame:
+    """The market columns of a company-year: Sharpe ratio and year-end indicator values."""
+    snapshot = year_end_snapshot(technicals(bars, layout), MARKET_FEATURES)
+    yearly = sharpe(bars, layout=layout).drop("sessions")
+    return yearly.join(snapshot, ["ticker", "year"])
+
+
 def year_end_snapshot(bars_with_indicators: DataFrame, columns: list[str]) -> DataFrame:
     """Values of the last bar of each ticker-year."""
     last = F.max_by(F.struct(*columns), "trading_date").alias("_last")

@@ -81,7 +81,7 @@ def exact_quantiles(
 
 
 def binned_by_value(
-    counts: DataFrame, rows: DataFrame, keys: list[str], value: str, bins: int = 200
+    counts: DataFrame, rows: DataFrame, keys: list[str], value: str, bins: int = 64
 ) -> DataFrame:
     """Add ``_bin``, a coarse rank of the value within its key, from sketch splitters."""
     cuts = [i / bins for i in range(1, bins)]

@@ -211,6 +211,15 @@ def loss_next_period(quarters: DataFrame) -> DataFrame:
     )
 
 
+LOSS_FEATURES = ["debt_to_assets", "gross_margin", "revenue_growth", "quick_ratio"]
+
+
+def loss_dataset(quarters: DataFrame) -> DataFrame:
+    """Features of a quarter with the outcome of the next, where that one is reported."""
+    outcome = loss_next_period(quarters).filter(F.col("is_loss").isNotNull())
+    return loss_features(quarters).join(outcome, ["ticker", "year", "quarter"])
+
+
 def business_results(rows: DataFrame, quarterly: bool = False) -> DataFrame:
     """Revenue, profit and profit growth per period."""
     period = (

@@ -680,6 +680,23 @@ def loss_next_period(spark, sf_dir):
     return ratios.loss_next_period(quarterly(spark, sf_dir))
 
 
+@fundamentals.query(
+    "loss_dataset",
+    with_parts(
+        QUARTERLY_SQL,
+        QLAGGED_SQL,
+        body="""SELECT ticker, year, quarter, round(total_liabilities / nullif(total_assets, 0), 4) AS debt_to_assets,
+                       round((net_revenue - cogs) / nullif(net_revenue, 0) * 100, 4) AS gross_margin,
+                       round((net_revenue - prev_revenue) / nullif(abs(prev_revenue), 0) * 100, 4) AS revenue_growth,
+                       round((current_assets - inventory) / nullif(current_liabilities, 0), 4) AS quick_ratio,
+                       CAST(next_profit < 0 AS INT) AS is_loss
+                FROM qlagged WHERE next_profit IS NOT NULL""",
+    ),
+)
+def loss_dataset(spark, sf_dir):
+    return ratios.loss_dataset(quarterly(spark, sf_dir))
+
+
 @fundamentals.query(
     "business_results",
     with_parts(

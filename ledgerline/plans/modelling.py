@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import companies as company_ops
 from ledgerline.operators import dataset as ds
-from ledgerline.operators import evaluation, labels, models
-from ledgerline.plans.fundamentals import LABEL_PARTS, statements, stored_ratios
+from ledgerline.operators import evaluation, labels, models, ratios
+from ledgerline.plans.fundamentals import LABEL_PARTS, loss_dataset, statements, stored_ratios
 from ledgerline.plans.inputs import COMPANIES_SQL, companies, layer
 from ledgerline.plans.registry import Catalog, with_parts
 from ledgerline.session import configure, work_dir
@@ -286,6 +286,18 @@ for _kind in ["lr", "rf", "gbt", "mlp"]:
     modelling.query(f"train_{_kind}")(_trained(_kind))
 
 
+@modelling.query("train_loss")
+def train_loss(spark, sf_dir):
+    """Next-quarter loss model: quality on the later years."""
+    train, test = ds.time_split(loss_dataset(spark, sf_dir), TRAIN, TEST)
+    features, label = ratios.LOSS_FEATURES, "is_loss"
+    model = models.train(ds.class_weight(train, label), "rf", features, label)
+    scored = models.score(model, test).withColumn("model", F.lit("loss_rf"))
+    counts = evaluation.confusion_matrix(scored, ["model"], "probability_pct", label, 50.0)
+    points = evaluation.roc_points(scored, ["model"], "probability_pct", label)
+    return evaluation.class_metrics(counts).join(evaluation.roc_auc(points, ["model"]), "model")
+
+
 @modelling.query("feature_importance")
 def feature_importance(spark, sf_dir):
     return models.feature_importance(spark, _fitted(spark, sf_dir, "rf")[0])

@@ -12,6 +12,7 @@ WITHOUT_SQL = {
     "train_rf",
     "train_gbt",
     "train_mlp",
+    "train_loss",
     "feature_importance",
     "score_companies",
     "risk_factors",

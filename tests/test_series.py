@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from ledgerline.operators import series
 from ledgerline.operators.indicators import (
     adx,
+    cci,
     close_ewm,
     indicators,
     indicators_two_decimals,
     macd,
     moving_average,
+    technicals,
 )
 from ledgerline.operators.series import Layout, cut, in_blocks, running_sums
 
@@ -131,6 +133,16 @@ def test_cascaded_means_match_pandas(spark, layout):
     close_to(by_date(out, "A", "macd_signal"), list(line.ewm(span=9, adjust=False).mean()))
 
 
+def test_one_pass_equals_the_single_indicators(spark):
+    rows = bars(spark, {"A": walk(2600, 11), "B": walk(30, 12)})
+    together = technicals(rows, BLOCKED).cache()
+    singles = {"rsi_14": indicators, "macd": macd, "macd_signal": macd, "adx_14": adx, "cci_14": cci}
+    for column, single in singles.items():
+        for ticker in "AB":
+            close_to(by_date(together, ticker, column), by_date(single(rows), ticker, column), 1.1e-4)
+    together.unpersist()
+
+
 @pytest.mark.parametrize("layout", PLANS, ids=lambda x: x.plan)
 def test_adx_matches_pandas(spark, layout):
     closes = walk(1500, 6)
