@@ -41,22 +41,27 @@ def class_metrics(confusion: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
-def roc_points(scored: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
+def roc_points(
+    scored: DataFrame, keys: list[str], score: str, label: str, listed_keys: bool = False
+) -> DataFrame:
     """One point per distinct score, from the highest down; equal scores count together.
 
     Scores are pre-aggregated, then accumulated bin by bin: no task orders all scores.
+    ``listed_keys`` says that the keys come from a written-down list, so that their
+    splitters and totals may be broadcast instead of gathering a key's scores in one task.
     """
     true = F.col(label) == 1
     counts = scored.groupBy(*keys, score).agg(
         F.count_if(true).alias("pos"), F.count_if(~true).alias("neg")
     )
-    binned = binned_by_value(counts, scored, keys, score).withColumn("_bin", -F.col("_bin"))
+    ascending = binned_by_value(counts, scored, keys, score, listed_keys=listed_keys)
+    binned = ascending.withColumn("_bin", -F.col("_bin"))
     sums = {"tp": F.col("pos"), "fp": F.col("neg")}
     points = running_sums(binned, keys, [F.col(score).desc()], "_bin", sums).drop("_bin")
     totals = scored.groupBy(*keys).agg(
         F.count_if(true).alias("positives"), F.count_if(~true).alias("negatives")
     )
-    joined = points.join(totals, keys)
+    joined = points.join(F.broadcast(totals) if listed_keys else totals, keys)
     return joined.withColumns(
         {
             "tpr": ratio(F.col("tp").cast("double"), F.col("positives").cast("double")),

@@ -81,12 +81,17 @@ def exact_quantiles(
 
 
 def binned_by_value(
-    counts: DataFrame, rows: DataFrame, keys: list[str], value: str, bins: int = 64
+    counts: DataFrame,
+    rows: DataFrame,
+    keys: list[str],
+    value: str,
+    bins: int = 64,
+    listed_keys: bool = False,
 ) -> DataFrame:
     """Add ``_bin``, a coarse rank of the value within its key, from sketch splitters."""
     cuts = [i / bins for i in range(1, bins)]
     splitters = rows.groupBy(*keys).agg(F.percentile_approx(value, cuts, 10_000).alias("_cuts"))
-    binned = counts.join(splitters, keys)
+    binned = counts.join(F.broadcast(splitters) if listed_keys else splitters, keys)
     below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     return binned.withColumn("_bin", below).drop("_cuts")
 

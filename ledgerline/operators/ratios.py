@@ -268,7 +268,7 @@ def peer_rank(rows: DataFrame, metric: str, group: list[str]) -> DataFrame:
             metric,
             "peers",
             F.round(percent, 6).alias("percent_rank"),
-            F.round("peer_mean", 6).alias("peer_mean"),
-            F.round("peer_median", 6).alias("peer_median"),
+            F.round("peer_mean", 9).alias("peer_mean"),
+            F.round("peer_median", 9).alias("peer_median"),
         )
     )

@@ -731,7 +731,7 @@ def _peers(spark, sf_dir):
         body="""
         SELECT ticker, industry, year, roa, count(*) OVER g AS peers,
                round(percent_rank() OVER (PARTITION BY industry, year ORDER BY roa), 6) AS percent_rank,
-               round(avg(roa) OVER g, 6) AS peer_mean, round(quantile_cont(roa, 0.5) OVER g, 6) AS peer_median
+               round(avg(roa) OVER g, 9) AS peer_mean, round(quantile_cont(roa, 0.5) OVER g, 9) AS peer_median
         FROM (SELECT r.ticker, c.industry, r.year, r.roa FROM ratios r JOIN companies c ON c.ticker = r.ticker) p
         WINDOW g AS (PARTITION BY industry, year)""",
     ),

@@ -270,14 +270,22 @@ def _fitted(spark, sf_dir, kind: str):
     return models.train(weighted, kind), test
 
 
+def _quality(model, rows, name: str, label: str):
+    """Class metrics and AUC of a model on rows it has not seen."""
+    # Tied to a column: a constant key would turn the joins on it into cross joins.
+    named = F.when(F.col("ticker").isNotNull(), F.lit(name))
+    scored = models.score(model, rows).withColumn("model", named)
+    counts = evaluation.confusion_matrix(scored, ["model"], "probability_pct", label, 50.0)
+    points = evaluation.roc_points(scored, ["model"], "probability_pct", label, listed_keys=True)
+    auc = evaluation.roc_auc(points, ["model"])
+    return evaluation.class_metrics(counts).join(F.broadcast(auc), "model")
+
+
 def _trained(kind: str):
     def run(spark, sf_dir):
         """Quality of the model on the later years."""
         model, test = _fitted(spark, sf_dir, kind)
-        scored = models.score(model, test).withColumn("model", F.lit(kind))
-        counts = evaluation.confusion_matrix(scored, ["model"], "probability_pct", "distress_label", 50.0)
-        points = evaluation.roc_points(scored, ["model"], "probability_pct", "distress_label")
-        return evaluation.class_metrics(counts).join(evaluation.roc_auc(points, ["model"]), "model")
+        return _quality(model, test, kind, "distress_label")
 
     return run
 
@@ -292,10 +300,7 @@ def train_loss(spark, sf_dir):
     train, test = ds.time_split(loss_dataset(spark, sf_dir), TRAIN, TEST)
     features, label = ratios.LOSS_FEATURES, "is_loss"
     model = models.train(ds.class_weight(train, label), "rf", features, label)
-    scored = models.score(model, test).withColumn("model", F.lit("loss_rf"))
-    counts = evaluation.confusion_matrix(scored, ["model"], "probability_pct", label, 50.0)
-    points = evaluation.roc_points(scored, ["model"], "probability_pct", label)
-    return evaluation.class_metrics(counts).join(evaluation.roc_auc(points, ["model"]), "model")
+    return _quality(model, test, "loss_rf", label)
 
 
 @modelling.query("feature_importance")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 
 from __spark_entry__ import queries
+from ledgerline.operators.indicators import latest_quote
+from ledgerline.plans.serving import curated
 
 
 @pytest.mark.parametrize("name", sorted(queries()))
@@ -15,8 +17,13 @@ def test_no_cross_joins_and_no_python_rows(spark, sf_dir, name):
 
 
 def test_rank_limits_run_before_the_shuffle(spark, sf_dir):
-    for name in ["latest_quote", "sample_rows", "market_quota"]:
-        plan = queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    """On stored rows each task sends only its own top rows per key."""
+    frames = {
+        "latest_quote": latest_quote(curated(spark, sf_dir)),
+        **{name: queries()[name](spark, sf_dir) for name in ["sample_rows", "market_quota"]},
+    }
+    for name, frame in frames.items():
+        plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "WindowGroupLimit" in plan and "Partial" in plan, name
 
 
