@@ -18,6 +18,7 @@ from ledgerline.functions.text import (
 )
 from ledgerline.functions.times import utc_naive
 from ledgerline.operators import curate, ledger, quality
+from ledgerline.operators.ingest import ingest as ingest_payloads
 from ledgerline.plans.inputs import BARS_SQL, layer, stored_bars, table
 from ledgerline.plans.market import CURATED_SQL, NUMBERED_SQL
 from ledgerline.plans.registry import Catalog, with_parts
@@ -213,6 +214,62 @@ def raw_sink(spark, sf_dir):
     )
 
 
+def _provider_rows(spark, sf_dir):
+    """Bars under the provider's column names; one ticker has a broken day a year."""
+    broken = (F.col("ticker") == BROKEN) & (F.month("trading_date") == 2) & (F.dayofmonth("trading_date") == 14)
+    return stored_bars(spark, sf_dir).select(
+        "ticker",
+        F.col("trading_date").alias("time"),
+        F.col("open_price").alias("open"),
+        F.when(broken, F.col("low_price") * 0.5).otherwise(F.col("high_price")).alias("high"),
+        F.col("low_price").alias("low"),
+        F.col("close_price").alias("close"),
+        "volume",
+    )
+
+
+def _requests(spark, sf_dir):
+    """Every brand and every supplier is asked for, some twice; suppliers have no bars."""
+    part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    brands = part.select(
+        F.concat(F.lit(" "), F.lower(F.replace("p_brand", F.lit("#"), F.lit(".")))).alias("ticker"),
+        F.col("p_partkey").alias("position"),
+    )
+    others = supplier.select(
+        F.concat(F.lit("s"), "s_suppkey").alias("ticker"), (-F.col("s_suppkey")).alias("position")
+    )
+    failed = F.upper(F.trim("ticker")) == FAILED
+    return brands.unionByName(others).select(
+        "ticker",
+        "position",
+        F.when(failed, 3).otherwise(1).alias("attempts"),
+        F.when(failed, "Rate limit exceeded").alias("message"),
+        F.lit("2025-01-01T00:00:00Z").alias("requested_at"),
+        F.lit("2025-01-01T00:00:05Z").alias("completed_at"),
+    )
+
+
+@landing.query(
+    "ingest",
+    with_parts(
+        BARS_SQL,
+        LANDED_SQL,
+        body=f"""
+        SELECT ticker, CAST(batch AS DATE) AS batch_date, CASE WHEN bool_or(high_price < low_price) THEN 'FAIL' ELSE 'PASS' END AS status,
+               CASE WHEN bool_or(high_price < low_price) THEN 'BAD_DATA' ELSE 'OK' END AS error_code,
+               CAST(CASE WHEN bool_or(high_price < low_price) THEN 0 ELSE count(*) END AS INT) AS rows, 1 AS attempts
+        FROM landed WHERE root = 0 GROUP BY ticker, batch
+        UNION ALL SELECT '{FAILED}', NULL, 'FAIL', 'RATE_LIMIT', 0, 3 FROM part
+        WHERE upper(replace(p_brand, '#', '.')) = '{FAILED}' GROUP BY p_brand
+        UNION ALL SELECT 'S' || s_suppkey, NULL, 'FAIL', 'NO_DATA', 0, 1 FROM supplier""",
+    ),
+)
+def ingest(spark, sf_dir):
+    landed_payloads = ingest_payloads(_requests(spark, sf_dir), _provider_rows(spark, sf_dir), "FEED")
+    meta = ["ticker", "status", "error_code", "rows", "attempts"]
+    return landed_payloads.select("batch_date", *[F.col(f"metadata.{m}").alias(m) for m in meta])
+
+
 @landing.query(
     "normalize_columns",
     with_parts(BARS_SQL, body="SELECT * FROM bars"),

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import curate, quality
+from ledgerline.operators.ingest import ingest
 from ledgerline.sinks.raw import write_payloads
 from ledgerline.sources.curated import inventory, read_curated
 from ledgerline.sources.raw import raw_records, read_entries
@@ -194,3 +195,21 @@ def test_failed_transform_leaves_the_curated_layer_alone(spark, tmp_path):
     with pytest.raises(Exception, match="invalid record"):
         curate.transform(spark, read_entries(spark, [str(tmp_path / "bad")], "array"), str(root), fail_fast=True)
     assert before == {p: p.read_bytes() for p in root.rglob("*.parquet")}
+
+
+def test_ingest_lands_what_transform_reads(spark, tmp_path):
+    requests = spark.createDataFrame(
+        [(" fpt ", 1, 1, None), ("FPT", 2, 1, None), ("vcb", 3, 1, None), ("bad", 4, 1, None), ("lim", 5, 3, "Rate limit")],
+        "ticker string, position int, attempts int, message string",
+    ).withColumns({c: F.lit("2025-01-01T00:00:00Z") for c in ["requested_at", "completed_at"]})
+    history = spark.createDataFrame(
+        [(t, f"2025-01-{d:02d}", 10.0, h, 9.0, 10.0 + d, 100) for t, h in [("FPT", 12.0), ("BAD", 1.0), ("LIM", 12.0)] for d in (2, 3)],
+        "ticker string, time string, open double, high double, low double, close double, volume bigint",
+    )
+    payloads = ingest(requests, history, "FEED")
+    found = {r["metadata"]["ticker"]: (r["metadata"]["error_code"], r["metadata"]["rows"], len(r["records"])) for r in payloads.collect()}
+    assert found == {"FPT": ("OK", 2, 2), "VCB": ("NO_DATA", 0, 0), "BAD": ("BAD_DATA", 0, 0), "LIM": ("RATE_LIMIT", 0, 0)}
+    write_payloads(payloads.withColumn("batch_date", F.lit("2025-01-04").cast("date")), str(tmp_path / "raw"))
+    assert [b[0] for b in bars_of(spark, tmp_path / "raw", layouts="lines")] == ["FPT", "FPT"]
+    with pytest.raises(Exception, match="invalid ticker"):
+        ingest(requests.withColumn("ticker", F.lit("A/../B")), history, "FEED").collect()
