@@ -134,3 +134,9 @@ def companies_page(listed: DataFrame, page: int = 1, limit: int = 50) -> Page:
     _check_page(page, limit, MAX_COMPANY_PAGE)
     total = listed.agg(F.count("*").alias("total_records"))
     return Page(listed.orderBy("ticker").offset((page - 1) * limit).limit(limit), total)
+
+
+def companies_after(listed: DataFrame, after: str | None = None, limit: int = 50) -> DataFrame:
+    """The companies that follow a ticker already seen; late pages cost what early ones do."""
+    rows = listed.filter(F.col("ticker") > F.lit(after)) if after else listed
+    return rows.orderBy("ticker").limit(limit)

@@ -247,6 +247,18 @@ def companies_page(spark, sf_dir):
     return serving.companies_page(listed, page=2, limit=10).rows
 
 
+@served.query(
+    "companies_after",
+    curated_oracle(
+        f"SELECT * FROM {_COMPANIES} c WHERE ticker > '{TICKER}' ORDER BY ticker LIMIT 10",
+        BRAND_UNIVERSE_SQL,
+    ),
+)
+def companies_after(spark, sf_dir):
+    listed = serving.companies(curated(spark, sf_dir), brand_universe(spark, sf_dir))
+    return serving.companies_after(listed, TICKER, 10)
+
+
 @served.query(
     "companies_semi",
     curated_oracle(
