@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm.common import documents, stored
+from ledgerline.llm.common import documents, stored, table
 from ledgerline.llm.exact_dedup import drop_duplicates
+from ledgerline.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones, calls toxic go."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +19,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_duplicates(spark, docs)
 
 
-STAGES = [("exact_dedup", exact)]
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact)]
 
 # Compression lengths, weighted MinHash and iterated fits have no SQL statement.
 ORACLE_SQL = None

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from ledgerline.llm import exact_dedup
 from ledgerline.llm.exact_dedup import op4_exact_dedup
+from ledgerline.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
 }
 
