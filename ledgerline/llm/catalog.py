@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from ledgerline.llm import exact_dedup
 from ledgerline.llm.exact_dedup import op4_exact_dedup
+from ledgerline.llm.packing import op2_best_fit_packing
+from ledgerline.llm.token_files import op9_token_files
 from ledgerline.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op9_token_files": op9_token_files,
 }
 
 ORACLES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op4_exact_dedup": exact_dedup.SQL,
 }
