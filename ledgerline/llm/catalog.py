@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ledgerline.llm import exact_dedup
 from ledgerline.llm.exact_dedup import op4_exact_dedup
+from ledgerline.llm.mixing import op7_mixing
 from ledgerline.llm.packing import op2_best_fit_packing
 from ledgerline.llm.token_files import op9_token_files
 from ledgerline.llm.toxicity import op1_toxicity
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_mixing": op7_mixing,
     "op9_token_files": op9_token_files,
 }
 
