@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerline.llm import exact_dedup
+from ledgerline.llm.bagminhash import op10_bagminhash
 from ledgerline.llm.exact_dedup import op4_exact_dedup
 from ledgerline.llm.mixing import op7_mixing
 from ledgerline.llm.packing import op2_best_fit_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op7_mixing": op7_mixing,
     "op9_token_files": op9_token_files,
+    "op10_bagminhash": op10_bagminhash,
 }
 
 ORACLES = {
