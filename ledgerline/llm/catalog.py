@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import exact_dedup
+from ledgerline.llm import exact_dedup, vp_tree
 from ledgerline.llm.bagminhash import op10_bagminhash
 from ledgerline.llm.exact_dedup import op4_exact_dedup
 from ledgerline.llm.mixing import op7_mixing
 from ledgerline.llm.packing import op2_best_fit_packing
 from ledgerline.llm.token_files import op9_token_files
 from ledgerline.llm.toxicity import op1_toxicity
+from ledgerline.llm.vp_tree import op8_vp_tree
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_mixing": op7_mixing,
+    "op8_vp_tree": op8_vp_tree,
     "op9_token_files": op9_token_files,
     "op10_bagminhash": op10_bagminhash,
 }
@@ -22,4 +24,5 @@ QUERIES = {
 ORACLES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_exact_dedup": exact_dedup.SQL,
+    "op8_vp_tree": vp_tree.SQL,
 }
