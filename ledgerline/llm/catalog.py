@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import exact_dedup, vp_tree
+from ledgerline.llm import exact_dedup, vp_tree, warc
 from ledgerline.llm.bagminhash import op10_bagminhash
 from ledgerline.llm.exact_dedup import op4_exact_dedup
 from ledgerline.llm.mixing import op7_mixing
@@ -10,11 +10,13 @@ from ledgerline.llm.packing import op2_best_fit_packing
 from ledgerline.llm.token_files import op9_token_files
 from ledgerline.llm.toxicity import op1_toxicity
 from ledgerline.llm.vp_tree import op8_vp_tree
+from ledgerline.llm.warc import op5_warc
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_warc": op5_warc,
     "op7_mixing": op7_mixing,
     "op8_vp_tree": op8_vp_tree,
     "op9_token_files": op9_token_files,
@@ -24,5 +26,6 @@ QUERIES = {
 ORACLES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_exact_dedup": exact_dedup.SQL,
+    "op5_warc": warc.SQL,
     "op8_vp_tree": vp_tree.SQL,
 }

@@ -51,7 +51,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def writing(address: str):
     """A stream for a new file in the shared folder."""
     system, path = FileSystem.from_uri(address)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
 
 
 def reading(address: str):
