@@ -7,6 +7,7 @@ from ledgerline.llm.bagminhash import op10_bagminhash
 from ledgerline.llm.exact_dedup import op4_exact_dedup
 from ledgerline.llm.mixing import op7_mixing
 from ledgerline.llm.packing import op2_best_fit_packing
+from ledgerline.llm.substring_dedup import op6_substring_dedup
 from ledgerline.llm.token_files import op9_token_files
 from ledgerline.llm.toxicity import op1_toxicity
 from ledgerline.llm.vp_tree import op8_vp_tree
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_warc": op5_warc,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_mixing": op7_mixing,
     "op8_vp_tree": op8_vp_tree,
     "op9_token_files": op9_token_files,
