@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import exact_dedup, vp_tree, warc
+from ledgerline.llm import exact_dedup, license_scan, vp_tree, warc
 from ledgerline.llm.bagminhash import op10_bagminhash
 from ledgerline.llm.exact_dedup import op4_exact_dedup
+from ledgerline.llm.license_scan import op3_license_scan
 from ledgerline.llm.mixing import op7_mixing
 from ledgerline.llm.packing import op2_best_fit_packing
 from ledgerline.llm.substring_dedup import op6_substring_dedup
@@ -16,6 +17,7 @@ from ledgerline.llm.warc import op5_warc
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_license_scan": op3_license_scan,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_warc": op5_warc,
     "op6_substring_dedup": op6_substring_dedup,
@@ -26,6 +28,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_license_scan": license_scan.SQL,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_exact_dedup": exact_dedup.SQL,
     "op5_warc": warc.SQL,
