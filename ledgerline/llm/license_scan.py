@@ -12,7 +12,7 @@ then the first path.
 
 Null and empty texts have no passage. A null path lies in the root directory. Rows that repeat a
 path are files of their own. An empty table gives an empty result. Columns of the files beside
-path and text may have any name but those of the result.
+path and text may have any name; the result has those that are asked for.
 """
 
 from __future__ import annotations
@@ -45,15 +45,16 @@ TERM = r"[a-z0-9]+"
 THRESHOLD = 0.6
 
 
-def passages(files: DataFrame) -> DataFrame:
-    """row_no, path, dir, is_licence_file and the passages of each file; one scan of the texts."""
+def passages(files: DataFrame, keep: list[str]) -> DataFrame:
+    """The kept columns, number, path, directory and passages of each file; one scan of the texts."""
     path = empty_if_null("path")
     name = F.regexp_extract(path, r"([^/]*)$", 1)
     text = empty_if_null("text")
     special = name.rlike(LICENCE_FILE)
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(CUE))
     return files.select(
-        *[F.col(c) for c in files.columns if c != "text"],
+        F.struct(*keep).alias("kept"),
+        path.alias("path"),
         F.monotonically_increasing_id().alias("row_no"),
         F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("dir"),
         special.alias("is_licence_file"),
@@ -137,9 +138,11 @@ def inherited(spark: SparkSession, judged: DataFrame) -> DataFrame:
     )
 
 
-def scan_licences(spark: SparkSession, files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The files without their texts, with own, inherited and effective licence."""
-    found = stored(spark, passages(files), "passages")
+def scan_licences(
+    spark: SparkSession, files: DataFrame, keep: list[str] | None = None, threshold: float = THRESHOLD
+) -> DataFrame:
+    """The kept columns (the path if none are named) with own, inherited and effective licence."""
+    found = stored(spark, passages(files, keep or ["path"]), "passages")
     judged = stored(
         spark,
         found.drop("passages").join(own_licences(spark, found, threshold), "row_no", "left"),
@@ -147,7 +150,7 @@ def scan_licences(spark: SparkSession, files: DataFrame, threshold: float = THRE
     )
     joined = judged.join(inherited(spark, judged), "dir", "left")
     return joined.select(
-        *[F.col(c) for c in files.columns if c != "text"],
+        "kept.*",
         "own_licence",
         "own_score",
         "inherited_licence",
@@ -167,7 +170,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("doc_id") % 10 == 0, F.concat_ws("/", "source", thousands, hundreds, F.lit("LICENSE")))
         .otherwise(F.concat_ws("/", "source", thousands, hundreds, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
     )
-    return scan_licences(spark, documents(spark, sf_dir).select("doc_id", path.alias("path"), "text"))
+    return scan_licences(spark, documents(spark, sf_dir).select("doc_id", path.alias("path"), "text"), ["doc_id", "path"])
 
 
 def _values() -> str:
