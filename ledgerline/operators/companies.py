@@ -23,9 +23,7 @@ OTHER_SECTOR = "Phi tài chính"
 
 def backfill_schema(companies: DataFrame) -> DataFrame:
     """Provider names to canonical ones; required columns that are absent become empty text."""
-    renamed = companies.withColumnsRenamed(
-        {old: new for old, new in _SOURCE_NAMES.items() if old in companies.columns}
-    )
+    renamed = companies.withColumnsRenamed(_SOURCE_NAMES)
     absent = [c for c in MASTER_COLUMNS if c not in renamed.columns]
     return renamed.withColumns({c: F.lit("") for c in absent}) if absent else renamed
 

@@ -1,6 +1,6 @@
 """Technical indicators of daily bars. Input key: (ticker, trading_date), unique.
 
-Bars may be read up to three times (length check or bin totals, block totals, rows): pass
+Bars may be read up to three times (bin totals, block totals, rows): pass
 a stored table rather than an expensive plan.
 """
 
@@ -19,7 +19,7 @@ from ledgerline.operators.series import (
     Layout,
     block_window,
     ewm_mean,
-    most_whole_rows,
+    fitting,
 )
 
 KEYS = ["ticker"]
@@ -77,7 +77,7 @@ def close_ewm(
     bars: DataFrame, alpha: float, min_periods: int = 1, layout: Layout = Layout()
 ) -> DataFrame:
     """Unadjusted exponential mean of the close."""
-    pieces = cut_bars(bars, layout, most_whole=most_whole_rows([alpha]))
+    pieces = cut_bars(bars, fitting(layout, [alpha]))
     spec = Ewm("_ewm", "close_price", alpha, 0, min_periods)
     return _finish(ewm_mean(pieces.rows, pieces, [spec]), bars, {"ewm_close": round_even("_ewm", 4)})
 
@@ -86,10 +86,9 @@ def _smoothed(bars: DataFrame, periods: int, min_periods: int, layout: Layout) -
     """Bars with return, 20-bar mean and smoothed gains and losses, not yet rounded."""
     pieces = cut_bars(
         bars,
-        layout,
+        fitting(layout, [1 / periods]),
         halo=19,
         lags={"_prev": "close_price"},
-        most_whole=most_whole_rows([1 / periods]),
         derive=_with_moves,
     )
     specs = [
@@ -139,7 +138,7 @@ def macd(
 ) -> DataFrame:
     """Difference of a fast and a slow exponential mean, and its own exponential mean."""
     alphas = [2 / (n + 1) for n in (fast, slow, signal)]
-    pieces = cut_bars(bars, layout, most_whole=most_whole_rows(alphas))
+    pieces = cut_bars(bars, fitting(layout, alphas))
     specs = [Ewm("_fast", "close_price", alphas[0]), Ewm("_slow", "close_price", alphas[1])]
     means = ewm_mean(pieces.rows, pieces, specs)
     line = means.withColumn("_macd", F.col("_fast") - F.col("_slow"))
@@ -165,9 +164,8 @@ def adx(bars: DataFrame, periods: int = 14, layout: Layout = Layout()) -> DataFr
     alpha = 1 / periods
     pieces = cut_bars(
         bars,
-        layout,
+        fitting(layout, [alpha]),
         lags={"_pclose": "close_price", "_phigh": "high_price", "_plow": "low_price"},
-        most_whole=most_whole_rows([alpha]),
         derive=_directional_moves,
     )
     specs = [
@@ -251,7 +249,7 @@ def technicals(bars: DataFrame, layout: Layout = Layout()) -> DataFrame:
     typical = (F.col("high_price") + F.col("low_price") + F.col("close_price")) / 3
     pieces = cut_bars(
         bars,
-        layout,
+        fitting(layout, [wilder, fast, slow, signal]),
         halo=13,
         lags={
             "_prev": "close_price",
@@ -259,7 +257,6 @@ def technicals(bars: DataFrame, layout: Layout = Layout()) -> DataFrame:
             "_phigh": "high_price",
             "_plow": "low_price",
         },
-        most_whole=most_whole_rows([wilder, fast, slow, signal]),
         derive=lambda rows: _directional_moves(_with_moves(rows)).withColumn("_tp", typical),
     )
     frame = block_window(KEYS, 13)

@@ -30,9 +30,10 @@ def batch_report(attempts: DataFrame) -> DataFrame:
 
 
 def current_state(events: DataFrame) -> DataFrame:
-    """Latest event per ticker; ``event_at`` orders the events of a ticker."""
+    """Latest event per ticker: by ``event_at``, then by ``event_id``."""
     latest = events.groupBy("ticker").agg(
-        F.max_by(F.struct("status", "error"), "event_at").alias("_s"), F.max("event_at").alias("event_at")
+        F.max_by(F.struct("status", "error"), F.struct("event_at", "event_id")).alias("_s"),
+        F.max("event_at").alias("event_at"),
     )
     return latest.select("ticker", "_s.*", "event_at")
 

@@ -12,15 +12,12 @@ series into pieces that are bounded whatever the key distribution:
   that looks back at most ``halo`` rows is computed inside a block, exactly.
 * ``ewm_mean``: recursion ``y[t] = q*y[t-1] + a*x[t]`` in closed form inside a block,
   plus the state carried over from earlier blocks.
-
-``cut`` measures the longest series first. If even that one is short, the whole series is
-the block: one shuffle by key, no halo, no carry. The operators on top are the same.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,13 +106,11 @@ class Layout:
 
     ``grain`` bounds how many rows of one key are ordered together while they are
     numbered: a month of daily bars; intraday series should say "day". ``size`` is the
-    number of rows per block. ``plan`` is "auto" (measure, then choose), "whole" (each
-    series is known to be short) or "blocked".
+    number of rows per block.
     """
 
     grain: str = "month"
     size: int = BLOCK_ROWS
-    plan: str = "auto"
 
 
 @dataclass(frozen=True)
@@ -126,13 +121,6 @@ class Cut:
     source: DataFrame
     keys: list[str]
     size: int
-    whole: bool
-
-
-def longest(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the longest series; counts combine on the map side."""
-    counted = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    return counted or 0
 
 
 def cut(
@@ -143,31 +131,16 @@ def cut(
     *,
     halo: int = 0,
     lags: dict[str, str] | None = None,
-    most_whole: int = 100_000,
     derive=lambda rows: rows,
 ) -> Cut:
     """Number the rows of each series and cut it into bounded pieces.
 
     ``lags`` are previous-row columns, ``derive`` adds columns computed row by row from
-    them. A series of up to ``most_whole`` rows may stay in one piece.
+    them.
     """
-    lags = lags or {}
-    whole = layout.plan == "whole" or (
-        layout.plan == "auto" and longest(df, keys) <= most_whole
-    )
-    if whole:
-        along = Window.partitionBy(*keys).orderBy(order)
-        numbered = df.select(
-            "*",
-            (F.row_number().over(along) - 1).cast("long").alias(INDEX),
-            *[F.lag(c).over(along).alias(n) for n, c in lags.items()],
-        )
-        source = derive(numbered)
-        rows = source.select("*", F.lit(0).cast("long").alias(BLOCK), F.lit(False).alias(HALO))
-        return Cut(rows, source, keys, layout.size, True)
     binned = df.withColumn("_bin", calendar_bin(F.col(order), layout.grain))
-    source = derive(indexed(binned, keys, order, "_bin", lags).drop("_bin"))
-    return Cut(in_blocks(source, layout.size, halo), source, keys, layout.size, False)
+    source = derive(indexed(binned, keys, order, "_bin", lags or {}).drop("_bin"))
+    return Cut(in_blocks(source, layout.size, halo), source, keys, layout.size)
 
 
 def block_window(keys: list[str], preceding: int | None = None):
@@ -197,9 +170,10 @@ class Ewm:
 _MOST_DECAY = 600.0
 
 
-def most_whole_rows(alphas: list[float]) -> int:
-    """Longest series whose exponential means need no blocks."""
-    return int(min(_MOST_DECAY / -math.log(1 - a) for a in alphas))
+def fitting(layout: Layout, alphas: list[float]) -> Layout:
+    """The layout with blocks short enough for exponential means of these alphas."""
+    most = int(min(_MOST_DECAY / -math.log(1 - a) for a in alphas))
+    return replace(layout, size=min(layout.size, most))
 
 
 def _power(base: float, exponent: Column) -> Column:
@@ -249,7 +223,7 @@ def ewm_mean(rows: DataFrame, cut: Cut, specs: list[Ewm], from_source: bool = Tr
     within = index - block * size
     upto = block_window(keys)
     for s in specs:
-        if not cut.whole and -math.log(1 - s.alpha) * size > _MOST_DECAY:
+        if -math.log(1 - s.alpha) * size > _MOST_DECAY:
             raise ValueError(f"blocks of {size} rows are too long for alpha={s.alpha}")
 
     def local_value(s: Ewm) -> Column:
@@ -261,9 +235,6 @@ def ewm_mean(rows: DataFrame, cut: Cut, specs: list[Ewm], from_source: bool = Tr
     def result(s: Ewm, value: Column) -> Column:
         return F.when(index >= s.start + s.min_periods - 1, value).alias(s.out)
 
-    if cut.whole:
-        return local.select(*rows.columns, *[result(s, F.col(f"_l_{s.out}")) for s in specs])
-
     if from_source:
         closing = [
             F.sum(_weighted(s) * _power(1 - s.alpha, size - 1 - within)).alias(f"_l_{s.out}")

@@ -8,12 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.operators.indicators import candle_direction, numbered_bars
-from ledgerline.operators.series import INDEX, Layout
+from ledgerline.operators.series import INDEX, running_sums
 
 MAX_PRICE_PAGE = 1000
 MAX_COMPANY_PAGE = 100
-# Up to this many rows before a page are skipped on the driver; further ones by position.
-SHALLOW_ROWS = 10_000
 
 
 class Page(NamedTuple):
@@ -51,12 +49,10 @@ def _check_page(page: int, limit: int, most: int) -> None:
 
 
 def _price_page(rows: DataFrame, page: int, limit: int) -> DataFrame:
-    """A page by date. Skipping collects everything before the page on the driver, so deep
-    pages take rows by their position instead, which is counted in parallel."""
+    """A page by date. An offset collects everything before the page on the driver, so rows
+    are taken by their position instead, which is counted in parallel."""
     offset = (page - 1) * limit
-    if offset + limit <= SHALLOW_ROWS:
-        return rows.orderBy("trading_date").offset(offset).limit(limit)
-    numbered = numbered_bars(rows, Layout(plan="blocked"))
+    numbered = numbered_bars(rows)
     wanted = F.col(INDEX).between(offset, offset + limit - 1)
     return numbered.filter(wanted).drop(INDEX).orderBy("trading_date").limit(limit)
 
@@ -133,7 +129,12 @@ def companies_page(listed: DataFrame, page: int = 1, limit: int = 50) -> Page:
     """One page of companies by ticker, and their number."""
     _check_page(page, limit, MAX_COMPANY_PAGE)
     total = listed.agg(F.count("*").alias("total_records"))
-    return Page(listed.orderBy("ticker").offset((page - 1) * limit).limit(limit), total)
+    # Tickers are counted per beginning, so no task and no driver orders all of them.
+    placed = running_sums(
+        listed.withColumn("_bin", F.substring("ticker", 1, 4)), [], [F.col("ticker")], "_bin", {"_at": F.lit(1)}
+    )
+    wanted = F.col("_at").between((page - 1) * limit + 1, page * limit)
+    return Page(placed.filter(wanted).orderBy("ticker").limit(limit).select(*listed.columns), total)
 
 
 def companies_after(listed: DataFrame, after: str | None = None, limit: int = 50) -> DataFrame:

@@ -84,11 +84,12 @@ def from_reports(reports: DataFrame) -> DataFrame:
 
 
 def alias_table(spark, extra: list[tuple[str, str]] = ()) -> DataFrame:
-    """Alias to standard key; added aliases are trimmed and repeats dropped."""
-    known = [(alias, key) for key, _, aliases in METRIC_ALIASES for alias in aliases]
-    added = [(alias.strip(), key) for alias, key in extra if alias.strip()]
-    rows = spark.createDataFrame(known + added, "alias string, standard_key string")
-    return rows.select(F.lower(F.trim("alias")).alias("alias"), "standard_key").distinct()
+    """Alias to standard key, one key per alias: an added alias replaces the known one."""
+    keys: dict[str, str] = {}
+    for key, _, aliases in METRIC_ALIASES:
+        keys.update({alias.strip().lower(): key for alias in aliases})
+    keys.update({alias.strip().lower(): key for alias, key in extra if alias.strip()})
+    return spark.createDataFrame(sorted(keys.items()), "alias string, standard_key string")
 
 
 def map_metrics(items: DataFrame, aliases: DataFrame, name: str = "metric_name") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.schemas import RECORD_COLUMNS
-from ledgerline.session import configure, stored
+from ledgerline.session import configure, source_version, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +31,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", F.upper(F.replace("p_brand", F.lit("#"), F.lit("."))).alias("ticker")
     )
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    trade = F.col("l_orderkey") * 1000000 + F.col("l_linenumber") * 100000 + F.col("l_partkey")
+    trade = F.struct("l_orderkey", "l_linenumber", "l_partkey")
     return (
         lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .select("ticker", F.col("l_shipdate").alias("trading_date"), "l_quantity", price.alias("price"), trade.alias("trade"))
@@ -47,12 +47,12 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_LAYERS: dict[tuple[str, str, str], DataFrame] = {}
+_LAYERS: dict[tuple[str, str, str, str], DataFrame] = {}
 
 
 def layer(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A stored layer: built once per application and input folder, then only read."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A stored layer: built once per application and state of the input folder, then only read."""
+    key = (spark.sparkContext.applicationId, sf_dir, source_version(spark, sf_dir), name)
     if key not in _LAYERS:
         _LAYERS[key] = stored(spark, build(spark, sf_dir), name)
     return _LAYERS[key]
@@ -70,7 +70,7 @@ bars AS (
          CAST(sum(l_quantity) AS BIGINT) AS volume
   FROM (SELECT upper(replace(p_brand, '#', '.')) AS ticker, l_shipdate AS trading_date,
                l_quantity, l_extendedprice / l_quantity AS price,
-               l_orderkey*1000000 + l_linenumber*100000 + l_partkey AS trade
+               struct_pack(o := l_orderkey, l := l_linenumber, p := l_partkey) AS trade
         FROM lineitem JOIN part ON l_partkey = p_partkey) t
   GROUP BY ticker, trading_date)
 """

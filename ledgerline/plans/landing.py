@@ -23,7 +23,7 @@ from ledgerline.plans.inputs import BARS_SQL, layer, stored_bars, table
 from ledgerline.plans.market import CURATED_SQL, NUMBERED_SQL
 from ledgerline.plans.registry import Catalog, with_parts
 from ledgerline.schemas import PRICE_COLUMNS
-from ledgerline.session import configure, work_dir
+from ledgerline.session import configure, source_version, work_dir
 from ledgerline.sinks.curated import write_curated
 from ledgerline.sinks.raw import write_payloads
 from ledgerline.sources import curated as curated_source
@@ -97,7 +97,7 @@ _ROOTS: dict = {}
 def landed_root(spark, sf_dir) -> str:
     """Folder with the landed batches, written once per application and input folder."""
     configure(spark)
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, source_version(spark, sf_dir))
     if key not in _ROOTS:
         _ROOTS[key] = _land(spark, sf_dir)
     return _ROOTS[key]

@@ -359,7 +359,7 @@ attempts AS (
          CASE event_type WHEN 'error' THEN 'code ' || value END AS error, ts AS event_at, event_id FROM events),
 state AS (
   SELECT ticker, status, error, event_at FROM (
-    SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY event_at DESC) AS r FROM attempts) a WHERE r = 1)
+    SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY event_at DESC, event_id DESC) AS r FROM attempts) a WHERE r = 1)
 """
 
 

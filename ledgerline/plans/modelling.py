@@ -252,12 +252,25 @@ def risk_trend(spark, sf_dir):
 @modelling.query(
     "risk_screen",
     dataset_oracle(
-        "SELECT * FROM scores WHERE risk_level = 'HIGH' ORDER BY probability_pct DESC, ticker, year LIMIT 50",
+        "SELECT * FROM scores WHERE risk_level = 'HIGH'",
         FIXED_SQL,
         SCORES_SQL,
     ),
 )
 def risk_screen(spark, sf_dir):
+    return ds.risk_screen(_scores(spark, sf_dir), "HIGH")
+
+
+@modelling.query(
+    "risk_screen_top",
+    dataset_oracle(
+        "SELECT * FROM scores WHERE risk_level = 'HIGH' ORDER BY probability_pct DESC, ticker, year LIMIT 50",
+        FIXED_SQL,
+        SCORES_SQL,
+    ),
+)
+def risk_screen_top(spark, sf_dir):
+    """The fifty riskiest, as a report."""
     return ds.risk_screen(_scores(spark, sf_dir), "HIGH", top=50)
 
 

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import dedup, serving
 from ledgerline.operators.indicators import numbered_bars
-from ledgerline.operators.series import INDEX, Layout
+from ledgerline.operators.series import INDEX
 from ledgerline.plans.inputs import BRAND_UNIVERSE_SQL, brand_universe, stored_bars
 from ledgerline.plans.market import curated as compute_curated
 from ledgerline.plans.market import curated_oracle
 from ledgerline.plans.registry import Catalog
 from ledgerline.schemas import CURATED, CURATED_COLUMNS, RECORD_COLUMNS
-from ledgerline.session import configure, work_dir
+from ledgerline.session import configure, source_version, work_dir
 from ledgerline.sinks.curated import write_curated
 from ledgerline.sinks.reports import price_export, write_export
 from ledgerline.sources.curated import inventory_by_ticker, read_curated
@@ -27,7 +27,7 @@ _ROOTS: dict = {}
 def curated_root(spark, sf_dir) -> str:
     """The curated layer, written once per application and input folder."""
     configure(spark)
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, source_version(spark, sf_dir))
     if key not in _ROOTS:
         root = work_dir(spark, "curated")
         write_curated(compute_curated(spark, sf_dir).select(*CURATED_COLUMNS), root)
@@ -109,7 +109,7 @@ def prices_page(spark, sf_dir):
 )
 def prices_deep_page(spark, sf_dir):
     """The third page of twenty of every ticker, taken by position."""
-    numbered = numbered_bars(curated(spark, sf_dir), Layout(plan="blocked"))
+    numbered = numbered_bars(curated(spark, sf_dir))
     page = numbered.filter(F.col(INDEX).between(40, 59))
     return serving.project(page).select("ticker", "trading_date", "close_price")
 

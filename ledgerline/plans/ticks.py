@@ -13,7 +13,8 @@ from ledgerline.streaming.incremental import indicator_stream_job, read_indicato
 
 ticks = Catalog()
 
-SLICES = ["2024-01-01", "2024-01-09", "2024-01-10", "2024-01-22", "2024-03-01"]
+# Where the stream is cut; the first and the last part are open.
+CUTS = ["2024-01-09", "2024-01-10", "2024-01-22"]
 
 TICKS_SQL = """
 numbered AS (
@@ -49,12 +50,29 @@ def tick_bars(spark, sf_dir):
 
 @ticks.query("indicator_state", _ONLINE)
 def indicator_state(spark, sf_dir):
-    """Land the ticks in four slices and run the job after each, state carried between."""
-    rows = tick_bars(spark, sf_dir)
+    """Land the ticks in parts and run the job after each, state carried between.
+
+    Every tenth tick comes a part too late; others come with a wrong price first and right in
+    the next part. Within a part they come in no order.
+    """
+    part = sum((F.col("ts") >= F.lit(c).cast("timestamp_ntz")).cast("int") for c in CUTS)
+    late = (F.col("event_id") % 10 == 0).cast("int")
+    wrong = F.col("event_id") % 25 == 1
+    price = F.col("value")
+    first = F.struct((part + late).alias("part"), F.when(wrong, price + 1).otherwise(price).alias("close_price"))
+    second = F.when(wrong, F.struct((part + 1).alias("part"), price.alias("close_price")))
+    rows = (
+        table(spark, sf_dir, "events")
+        .select(
+            F.col("event_type").alias("ticker"),
+            F.col("ts").cast("timestamp_ntz").alias("trading_date"),
+            F.inline(F.array_compact(F.array(first, second))),
+        )
+        .repartition(F.xxhash64("trading_date"))
+    )
     landing, out = work_dir(configure(spark), "ticks"), work_dir(spark, "online")
-    for n, (start, end) in enumerate(zip(SLICES, SLICES[1:])):
-        slice_ = rows.filter((F.col("trading_date") >= start) & (F.col("trading_date") < end))
-        slice_.write.parquet(f"{landing}/slice={n}")
+    for n in range(len(CUTS) + 2):
+        rows.filter(F.col("part") == n).drop("part").write.parquet(f"{landing}/slice={n}")
         indicator_stream_job(spark, landing, out)
     return read_indicators(spark, out)
 
@@ -62,4 +80,4 @@ def indicator_state(spark, sf_dir):
 @ticks.query("intraday_indicators", _ONLINE)
 def intraday_indicators(spark, sf_dir):
     """The same series in one batch: few tickers, many rows each, ordered day by day."""
-    return indicators(tick_bars(spark, sf_dir), layout=Layout(grain="day", plan="blocked"))
+    return indicators(tick_bars(spark, sf_dir), layout=Layout(grain="day"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +29,13 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(app: str = "ledgerline", cores: int = 8, memory: str = "12g") -> SparkSession:
-    """A session for tests and the local benchmark; clusters bring their own."""
+def local_session(
+    app: str = "ledgerline", cores: int = 8, memory: str = "12g", folder: str = "/tmp/ledgerline"
+) -> SparkSession:
+    """A session for tests and the local benchmark; clusters bring their own.
+
+    ``folder`` takes work tables where the session does not say ``spark.checkpoint.dir``.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -45,22 +48,39 @@ def local_session(app: str = "ledgerline", cores: int = 8, memory: str = "12g")
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", folder)
     return spark
 
 
+def work_root(spark: SparkSession) -> str:
+    """The folder of this application's work tables, in the shared folder of the session."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return f"{base.rstrip('/')}/ledgerline-{spark.sparkContext.applicationId}"
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Remove this application's work tables; results that read them are gone as well."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def source_version(spark: SparkSession, folder: str) -> str:
+    """Changes whenever a file in the folder does: names, lengths and times of its files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return str(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for tables a job writes on the way.
 
-    It lies under ``spark.checkpoint.dir`` (the shared folder every executor
-    sees). Only a local session without that setting falls back to a temporary
-    folder; on a cluster that would lose data with its machine, so it is refused.
+    It lies under ``spark.checkpoint.dir``, the shared folder every executor sees; without
+    that setting there is no place that outlives a machine, so it is refused.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = os.path.join(tempfile.gettempdir(), "ledgerline")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{work_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:

@@ -1,9 +1,13 @@
-"""Online indicators: each micro-batch continues the series where the last one ended.
+"""Online indicators: each micro-batch continues the series where it still holds.
 
 The state per ticker is what the recursions need and nothing else: number of bars, last
-date, the last 19 closes, and the two smoothed averages. It is a table versioned by
-batch, so a replayed batch starts from the same state and rewrites the same output. A
-batch is computed with the same block operators as a full run: a ticker that dominates
+date, the last 19 closes, and the two smoothed averages. A batch writes the state of the
+tickers it touched, under its own number, so older states stay at hand: a late or
+corrected bar goes back to the newest state before it that no later batch has changed, and
+the bars behind that state are computed again. The last delivery of a bar wins. A replayed
+batch starts from the same states and rewrites the same output.
+
+A batch is computed with the same block operators as a full run: a ticker that dominates
 the stream is still spread over many tasks, which per-key state functions cannot do.
 """
 
@@ -23,7 +27,7 @@ from ledgerline.operators.series import (
     block_window,
     cut,
     ewm_mean,
-    most_whole_rows,
+    fitting,
 )
 from ledgerline.session import stored
 
@@ -31,24 +35,59 @@ TAIL = 19
 PERIODS = 14
 STATE_SCHEMA = (
     "ticker string, bars bigint, last_date timestamp_ntz, tail array<double>,"
-    " avg_gain double, avg_loss double, batch_id bigint"
+    " avg_gain double, avg_loss double, first_date timestamp_ntz, batch_id bigint"
 )
+BAR_SCHEMA = "ticker string, trading_date timestamp_ntz, close_price double, batch_id bigint"
 TICK_SCHEMA = "ticker string, trading_date timestamp_ntz, close_price double"
 
 
-def load_state(spark: SparkSession, path: str, before: int) -> DataFrame:
-    """State as of the newest batch before the given one; empty at the start."""
+def earlier(spark: SparkSession, path: str, schema: str, before: int) -> DataFrame:
+    """What earlier batches stored; nothing at the start."""
     if before == 0:
-        return spark.createDataFrame([], STATE_SCHEMA)
-    return spark.read.schema(STATE_SCHEMA).parquet(f"{path}/batch_id={before - 1}")
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).filter(F.col("batch_id") < before)
+
+
+def restart_points(bars: DataFrame, states: DataFrame) -> DataFrame:
+    """Per ticker of the batch: its first date here, whether it goes back, and the state to go on from.
+
+    A state holds as long as no later batch touched a date up to its last one.
+    """
+    later = Window.partitionBy("ticker").orderBy(F.col("batch_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    touched = F.min("first_date").over(later)
+    held = states.withColumn("_holds", F.coalesce(touched > F.col("last_date"), F.lit(True)))
+    starts = bars.groupBy("ticker").agg(F.min("trading_date").alias("starts_at"))
+    before = F.col("_holds") & (F.col("last_date") < F.col("starts_at"))
+    kept = F.struct("bars", "last_date", "tail", "avg_gain", "avg_loss")
+    return (
+        starts.join(held, "ticker", "left")
+        .groupBy("ticker", "starts_at")
+        .agg(
+            F.coalesce(F.max(F.col("last_date") >= F.col("starts_at")), F.lit(False)).alias("goes_back"),
+            F.max_by(F.when(before, kept), F.when(before, F.col("batch_id"))).alias("state"),
+        )
+    )
+
 
+def bars_to_compute(spark: SparkSession, bars: DataFrame, starts: DataFrame, history: DataFrame) -> DataFrame:
+    """The batch's bars, and for tickers that go back the stored ones behind their state.
 
-def split_late(bars: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bars that continue their series, and bars that come too late for that."""
-    seen = state.select("ticker", "last_date")
-    tagged = bars.join(seen, "ticker", "left")
-    late = F.coalesce(F.col("trading_date") <= F.col("last_date"), F.lit(False))
-    return tagged.filter(~late).drop("last_date"), tagged.filter(late).drop("last_date")
+    Stored bars are read only if a ticker goes back, and from the earliest state on.
+    """
+    back = starts.filter("goes_back")
+    since = F.col("state.last_date")
+    oldest, tickers = back.agg(
+        F.min(F.coalesce(since, F.lit("0001-01-01").cast("timestamp_ntz"))).cast("string"), F.count("*")
+    ).first()
+    if not tickers:
+        return bars
+    stored_bars = history.filter(F.col("trading_date") > F.lit(oldest).cast("timestamp_ntz"))
+    again = stored_bars.join(back.select("ticker", since.alias("_since")), "ticker").filter(
+        F.col("_since").isNull() | (F.col("trading_date") > F.col("_since"))
+    )
+    newest = F.lit(2**62).alias("batch_id")
+    every = again.drop("_since").unionByName(bars.select("ticker", "trading_date", "close_price", newest))
+    return keep_last(every, ["ticker", "trading_date"], "batch_id")
 
 
 def continue_series(
@@ -107,10 +146,9 @@ def continue_series(
         old.unionByName(new),
         KEYS,
         "_at",
-        layout,
+        fitting(layout, [1 / PERIODS]),
         halo=TAIL,
         lags={"_prev": "close_price"},
-        most_whole=most_whole_rows([1 / PERIODS]),
         derive=moves,
     )
     rows = pieces.rows.withColumn("_ma20", F.avg("close_price").over(block_window(KEYS, TAIL)))
@@ -138,8 +176,8 @@ def continue_series(
     )
 
 
-def next_state(computed: DataFrame, state: DataFrame) -> DataFrame:
-    """State after the batch; tickers without new bars keep theirs.
+def next_state(computed: DataFrame, starts: DataFrame) -> DataFrame:
+    """State of the tickers that the batch touched.
 
     The rank limit works on the map side: a ticker sends at most 20 rows per task.
     """
@@ -154,8 +192,7 @@ def next_state(computed: DataFrame, state: DataFrame) -> DataFrame:
         F.max_by("avg_gain", "position").alias("avg_gain"),
         F.max_by("avg_loss", "position").alias("avg_loss"),
     )
-    idle = state.drop("batch_id").join(fresh.select("ticker"), "ticker", "left_anti")
-    return fresh.unionByName(idle)
+    return fresh.join(starts.select("ticker", F.col("starts_at").alias("first_date")), "ticker")
 
 
 def indicator_batch(
@@ -165,17 +202,27 @@ def indicator_batch(
     out: str,
     layout: Layout = Layout(grain="day"),
 ) -> None:
-    """Compute one micro-batch, then store its rows, its late bars and the next state."""
-    state = load_state(spark, f"{out}/state", batch_id)
-    unique = keep_last(
-        ticks.withColumn("_at", F.monotonically_increasing_id()), ["ticker", "trading_date"], "_at"
+    """Compute one micro-batch, then store its bars, its rows and the states after it.
+
+    ``_order``, if the ticks have it, says which delivery of a bar is the last.
+    """
+    ordered = ticks if "_order" in ticks.columns else ticks.withColumn("_order", F.monotonically_increasing_id())
+    bars = stored(spark, keep_last(ordered, ["ticker", "trading_date"], "_order"), "ticks")
+    states = earlier(spark, f"{out}/state", STATE_SCHEMA, batch_id)
+    starts = stored(spark, restart_points(bars, states), "starts")
+    history = earlier(spark, f"{out}/bars", BAR_SCHEMA, batch_id)
+    state = starts.filter(F.col("state").isNotNull()).select("ticker", "state.*")
+    needed = bars_to_compute(spark, bars, starts, history)
+    computed = stored(spark, continue_series(needed, state, layout), "computed")
+    rows = (
+        computed.filter(~F.col("_old"))
+        .join(starts.select("ticker", "starts_at"), "ticker")
+        .filter(F.col("trading_date") >= F.col("starts_at"))
+        .drop("_old", "position", "avg_gain", "avg_loss", "starts_at")
     )
-    fresh, late = split_late(stored(spark, unique, "ticks"), state)
-    computed = stored(spark, continue_series(fresh, state, layout), "computed")
-    rows = computed.filter(~F.col("_old")).drop("_old", "position", "avg_gain", "avg_loss")
     rows.write.mode("overwrite").parquet(f"{out}/indicators/batch_id={batch_id}")
-    late.write.mode("overwrite").parquet(f"{out}/late/batch_id={batch_id}")
-    next_state(computed, state).write.mode("overwrite").parquet(f"{out}/state/batch_id={batch_id}")
+    bars.write.mode("overwrite").parquet(f"{out}/bars/batch_id={batch_id}")
+    next_state(computed, starts).write.mode("overwrite").parquet(f"{out}/state/batch_id={batch_id}")
 
 
 def indicator_stream_job(spark: SparkSession, ticks_root: str, out: str) -> None:
@@ -184,6 +231,7 @@ def indicator_stream_job(spark: SparkSession, ticks_root: str, out: str) -> None
         spark.readStream.schema(TICK_SCHEMA)
         .option("recursiveFileLookup", True)
         .parquet(ticks_root)
+        .withColumn("_order", F.struct("_metadata.file_path", "_metadata.row_index"))
         .writeStream.foreachBatch(lambda df, i: indicator_batch(df.sparkSession, df, i, out))
         .option("checkpointLocation", f"{out}/progress")
         .trigger(availableNow=True)
@@ -193,5 +241,6 @@ def indicator_stream_job(spark: SparkSession, ticks_root: str, out: str) -> None
 
 
 def read_indicators(spark: SparkSession, out: str) -> DataFrame:
-    schema = TICK_SCHEMA + ", return_pct double, ma20 double, rsi_14 double"
-    return spark.read.schema(schema).parquet(f"{out}/indicators").drop("batch_id")
+    """The result so far: of rows computed again the last ones count."""
+    schema = TICK_SCHEMA + ", return_pct double, ma20 double, rsi_14 double, batch_id bigint"
+    return keep_last(spark.read.schema(schema).parquet(f"{out}/indicators"), ["ticker", "trading_date"], "batch_id")

@@ -7,13 +7,14 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from ledgerline.session import local_session  # noqa: E402
+from ledgerline.session import drop_work, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("tests", 8)
     yield session
+    drop_work(session)
     session.stop()
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check import compare, connect
+from ledgerline.plans.catalog import all_oracles as oracle_sql
+from ledgerline.plans.catalog import all_queries as queries
 
 WITHOUT_SQL = {
     "train_lr",

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import queries
 from ledgerline.operators.indicators import latest_quote
+from ledgerline.plans.catalog import all_queries as queries
 from ledgerline.plans.serving import curated
 
 
@@ -28,6 +28,6 @@ def test_rank_limits_run_before_the_shuffle(spark, sf_dir):
 
 
 def test_paging_does_not_sort_everything(spark, sf_dir):
-    for name in ["prices_page", "recent_desc", "preview_head", "companies_page", "risk_screen"]:
+    for name in ["prices_page", "recent_desc", "preview_head", "companies_page", "risk_screen_top"]:
         plan = queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "TakeOrderedAndProject" in plan, name

@@ -8,7 +8,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import series
 from ledgerline.operators.indicators import (
     adx,
     cci,
@@ -19,10 +18,10 @@ from ledgerline.operators.indicators import (
     moving_average,
     technicals,
 )
-from ledgerline.operators.series import Layout, cut, in_blocks, running_sums
+from ledgerline.operators.series import Ewm, Layout, cut, ewm_mean, in_blocks, running_sums
 
-BLOCKED = Layout(plan="blocked")
-PLANS = [Layout(plan="whole"), BLOCKED]
+SMALL = Layout(size=100)
+LAYOUTS = [Layout(), SMALL]
 
 DAY = dt.datetime(2000, 1, 3)
 
@@ -110,7 +109,7 @@ def test_long_and_short_series_match_pandas(spark):
 @pytest.mark.parametrize("size", [32, 100, 1024])
 def test_block_size_does_not_change_results(spark, size):
     closes = walk(700, 9)
-    out = indicators(bars(spark, {"A": closes}), layout=Layout(size=size, plan="blocked"))
+    out = indicators(bars(spark, {"A": closes}), layout=Layout(size=size))
     close_to(by_date(out, "A", "rsi_14"), list(pandas_indicators(closes)["rsi_14"]))
     close_to(by_date(out, "A", "ma20"), list(pandas_indicators(closes)["ma20"]))
 
@@ -118,12 +117,12 @@ def test_block_size_does_not_change_results(spark, size):
 @pytest.mark.parametrize("grain", ["year", "month", "day"])
 def test_grain_does_not_change_results(spark, grain):
     closes = walk(900, 5)
-    layout = Layout(grain=grain, plan="blocked", size=128)
+    layout = Layout(grain=grain, size=128)
     out = indicators(bars(spark, {"A": closes}, dt.timedelta(hours=9)), layout=layout)
     close_to(by_date(out, "A", "rsi_14"), list(pandas_indicators(closes)["rsi_14"]))
 
 
-@pytest.mark.parametrize("layout", PLANS, ids=lambda x: x.plan)
+@pytest.mark.parametrize("layout", LAYOUTS, ids=lambda x: str(x.size))
 def test_cascaded_means_match_pandas(spark, layout):
     closes = walk(2600, 8)
     out = macd(bars(spark, {"A": closes}), layout=layout)
@@ -135,7 +134,7 @@ def test_cascaded_means_match_pandas(spark, layout):
 
 def test_one_pass_equals_the_single_indicators(spark):
     rows = bars(spark, {"A": walk(2600, 11), "B": walk(30, 12)})
-    together = technicals(rows, BLOCKED).cache()
+    together = technicals(rows, SMALL).cache()
     singles = {"rsi_14": indicators, "macd": macd, "macd_signal": macd, "adx_14": adx, "cci_14": cci}
     for column, single in singles.items():
         for ticker in "AB":
@@ -143,7 +142,7 @@ def test_one_pass_equals_the_single_indicators(spark):
     together.unpersist()
 
 
-@pytest.mark.parametrize("layout", PLANS, ids=lambda x: x.plan)
+@pytest.mark.parametrize("layout", LAYOUTS, ids=lambda x: str(x.size))
 def test_adx_matches_pandas(spark, layout):
     closes = walk(1500, 6)
     frame = pd.DataFrame({"h": [c + 1 for c in closes], "l": [c - 2 for c in closes], "c": closes})
@@ -162,7 +161,7 @@ def test_adx_matches_pandas(spark, layout):
 
 def test_moving_average_over_several_periods(spark):
     closes = walk(2500, 3)
-    for periods, layout in [(1, PLANS[0]), (5, BLOCKED), (50, BLOCKED), (50, PLANS[0])]:
+    for periods, layout in [(1, Layout()), (5, SMALL), (50, SMALL), (50, Layout())]:
         out = moving_average(bars(spark, {"A": closes}), periods, layout)
         want = pd.Series(closes).rolling(periods, min_periods=1).mean()
         close_to(by_date(out, "A", f"ma{periods}"), list(want))
@@ -175,21 +174,26 @@ def test_ewm_min_periods(spark):
     close_to(by_date(out, "A", "ewm_close"), list(want))
 
 
-def test_blocks_that_overflow_are_refused(spark):
+def test_blocks_stay_within_the_double_range(spark):
+    closes = walk(1200, 7)
+    out = close_ewm(bars(spark, {"A": closes}), alpha=0.9)
+    close_to(by_date(out, "A", "ewm_close"), list(pd.Series(closes).ewm(alpha=0.9, adjust=False).mean()))
     rows = bars(spark, {"A": walk(5)})
+    pieces = cut(rows, ["ticker"], "trading_date")
     with pytest.raises(ValueError):
-        close_ewm(rows, alpha=0.9, layout=BLOCKED)
+        ewm_mean(pieces.rows, pieces, [Ewm("e", "close_price", 0.9)])
     with pytest.raises(ValueError):
         in_blocks(rows, size=10, halo=11)
 
 
-def test_the_longest_series_decides_the_plan(spark):
+def test_building_an_indicator_starts_no_job(spark):
     rows = bars(spark, {"A": walk(50), "B": walk(10)})
-    assert cut(rows, ["ticker"], "trading_date", most_whole=50).whole
-    assert not cut(rows, ["ticker"], "trading_date", most_whole=49).whole
-    # Past a few thousand rows the closed form would overflow, so "auto" must cut.
-    assert series.most_whole_rows([1 / 14]) < 9_500
-    assert cut(rows.limit(0), ["ticker"], "trading_date").whole
+    spark.sparkContext.setJobGroup("indicators", "none expected")
+    try:
+        technicals(rows)
+        assert spark.sparkContext.statusTracker().getJobIdsForGroup("indicators") == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_running_sums_with_one_hot_key(spark):
@@ -211,14 +215,6 @@ def windows(df):
 
 
 def test_blocked_plan_orders_rows_per_bin_or_block_only(spark):
-    for line in windows(indicators(bars(spark, {"A": walk(30)}), layout=BLOCKED)):
+    for line in windows(indicators(bars(spark, {"A": walk(30)}))):
         if "close_price" in line or "_gain" in line:
             assert "row_block" in line or "_bin" in line
-
-
-def test_whole_plan_shuffles_once(spark, tmp_path):
-    bars(spark, {"A": walk(30)}).write.parquet(str(tmp_path / "bars"))
-    stored = spark.read.parquet(str(tmp_path / "bars"))
-    plan = indicators(stored, layout=PLANS[0])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
-    assert plan.count("FileScan") == 1

@@ -52,11 +52,11 @@ def test_price_pages(curated):
     assert serving.prices_page(curated, "FPT", page=9, limit=3).rows.count() == 0
 
 
-def test_deep_pages_equal_shallow_ones(curated, monkeypatch):
-    shallow = [serving.prices_page(curated, "FPT", page=p, limit=3).rows.collect() for p in (1, 2, 3, 4)]
-    monkeypatch.setattr(serving, "SHALLOW_ROWS", 0)
-    deep = [serving.prices_page(curated, "FPT", page=p, limit=3).rows.collect() for p in (1, 2, 3, 4)]
-    assert deep == shallow and [len(p) for p in deep] == [3, 3, 2, 0]
+def test_pages_join_up(curated):
+    pages = [serving.prices_page(curated, "FPT", page=p, limit=3).rows.collect() for p in (1, 2, 3, 4)]
+    assert [len(p) for p in pages] == [3, 3, 2, 0]
+    whole = serving.project(serving.price_filter(curated, "FPT")).orderBy("trading_date", "close_price").collect()
+    assert [r["trading_date"] for p in pages for r in p] == [r["trading_date"] for r in whole]
 
 
 def test_an_intraday_bar_on_the_end_date_lies_outside(curated):

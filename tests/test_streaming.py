@@ -91,25 +91,47 @@ def ticks(spark, start, stop, ticker="T"):
     )
 
 
-@pytest.mark.parametrize("plan", ["auto", "blocked"])
-def test_online_indicators_continue_and_set_late_bars_aside(spark, tmp_path, plan):
-    layout = Layout(grain="day", plan=plan)
+def test_online_indicators_continue_and_go_back_for_late_bars(spark, tmp_path):
+    layout = Layout(grain="day")
     out = str(tmp_path / "online")
     # Cuts of one bar, fewer bars than the tail, and across a block boundary.
     cuts = [0, 1, 2, 9, 40, 1500, 2100]
     for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
         batch = ticks(spark, a, b)
         if n == 4:
-            batch = batch.unionByName(ticks(spark, 5, 8)).unionByName(ticks(spark, 0, 30, "U"))
+            # Repeated bars of the first batches, and a ticker whose middle comes later.
+            batch = batch.unionByName(ticks(spark, 5, 8)).unionByName(ticks(spark, 0, 10, "U"))
+            batch = batch.unionByName(ticks(spark, 20, 30, "U"))
         if n == 5:
+            batch = batch.unionByName(ticks(spark, 10, 20, "U"))
             indicator_batch(spark, batch, n, out, layout)  # replayed below
         indicator_batch(spark, batch, n, out, layout)
     whole = ticks(spark, 0, 2100).unionByName(ticks(spark, 0, 30, "U"))
     got = {tuple(r) for r in read_indicators(spark, out).collect()}
     want = {tuple(r) for r in indicators(whole, layout=Layout(grain="day")).collect()}
     assert len(got) == 2130 and got == want
-    late = spark.read.parquet(f"{out}/late/batch_id=4")
-    assert late.count() == 3
+    states = spark.read.parquet(f"{out}/state").filter("batch_id = 3")
+    assert [r["ticker"] for r in states.collect()] == ["T"]
+
+
+def closes(spark, *days):
+    rows = [("T", f"2025-01-{d:02d} 00:00:00", float(c)) for d, c in days]
+    return spark.createDataFrame(rows, "ticker string, at string, close_price double").select(
+        "ticker", F.col("at").cast("timestamp_ntz").alias("trading_date"), "close_price"
+    )
+
+
+def test_late_and_corrected_bars_change_what_follows(spark, tmp_path):
+    out = str(tmp_path / "online")
+    indicator_batch(spark, closes(spark, (1, 10), (3, 12)), 0, out)
+    indicator_batch(spark, closes(spark, (2, 11), (3, 13), (4, 14)), 1, out)
+    got = {r["trading_date"].day: (r["close_price"], r["return_pct"]) for r in read_indicators(spark, out).collect()}
+    assert got == {1: (10.0, None), 2: (11.0, 10.0), 3: (13.0, 18.1818), 4: (14.0, 7.6923)}
+    # The state after batch 0 has been overtaken: going back to day 4 must not use it.
+    indicator_batch(spark, closes(spark, (5, 7)), 2, out)
+    indicator_batch(spark, closes(spark, (4, 26)), 3, out)
+    got = {r["trading_date"].day: r["return_pct"] for r in read_indicators(spark, out).collect()}
+    assert got == {1: None, 2: 10.0, 3: 18.1818, 4: 100.0, 5: -73.0769}
 
 
 def test_touched_tickers_prune_the_bronze_scan(spark, landed, tmp_path):
