@@ -29,6 +29,14 @@ def batch_report(attempts: DataFrame) -> DataFrame:
     )
 
 
+def batch_totals(attempts: DataFrame) -> DataFrame:
+    """Totals of a run and the tickers that failed; the list is as long as the universe at most."""
+    failed = F.array_sort(F.collect_set(F.when(F.col("status") == "FAIL", F.col("ticker"))))
+    return attempts.agg(
+        F.count("*").alias("attempts"), *_outcomes(), F.sum("rows").alias("rows"), F.array_join(failed, ",").alias("failed_tickers")
+    )
+
+
 def current_state(events: DataFrame) -> DataFrame:
     """Latest event per ticker: by ``event_at``, then by ``event_id``."""
     latest = events.groupBy("ticker").agg(

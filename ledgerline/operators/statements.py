@@ -39,13 +39,15 @@ def statement_kind(metric: Column) -> Column:
 
 
 def to_reports(long: DataFrame, period: str = "period") -> DataFrame:
-    """Nested report per company: a period map per item, items by statement."""
-    items = long.groupBy("ticker", "period_type", "statement", "metric_code", "unit").agg(
+    """Nested report per company: a period map per item, items by statement.
+
+    An item keeps its reported name and category.
+    """
+    about = ["metric_code", "metric_name", "unit", "category"]
+    items = long.groupBy("ticker", "period_type", "statement", *about).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(period, "value")))).alias("values"),
     )
-    item = F.struct(
-        "metric_code", F.col("metric_code").alias("metric_name"), "unit", F.col("statement").alias("category"), "values"
-    )
+    item = F.struct(*about, "values")
     parts = [
         F.array_sort(F.collect_list(F.when(F.col("statement") == kind, F.to_json(item)))).alias(f"_{part}")
         for part, kind in REPORT_PARTS.items()
@@ -63,6 +65,12 @@ def to_reports(long: DataFrame, period: str = "period") -> DataFrame:
     )
 
 
+def report_items(reports: DataFrame, statement: str, period_type: str) -> DataFrame:
+    """Long items of one kind of statement and period."""
+    chosen = from_reports(reports.filter(F.col("period_type") == period_type))
+    return chosen.filter(F.col("statement") == statement)
+
+
 def from_reports(reports: DataFrame) -> DataFrame:
     """Long items of nested reports."""
     def tagged(part: str, kind: str) -> Column:
@@ -79,6 +87,7 @@ def from_reports(reports: DataFrame) -> DataFrame:
         "item.metric_code",
         "item.metric_name",
         "item.unit",
+        "item.category",
         F.explode("item.values").alias("period", "value"),
     )
 

@@ -69,67 +69,87 @@ _KINDS_SQL = (
 )
 
 
+_NAMES_SQL = """upper(replace(metric_code, '_', ' ')) AS metric_name, metric_code[1] || '-items' AS category"""
+
+
+def _report_items(spark, sf_dir, source, period, kind: str):
+    """Items as a report holds them: with name, unit and category."""
+    ids = ["ticker", "year", "quarter"] if "quarter" in source.columns else ["ticker", "year"]
+    long = st.to_long(source, ids, ITEMS)
+    return long.select(
+        "ticker",
+        F.lit(kind).alias("period_type"),
+        st.statement_kind(F.col("metric_code")).alias("statement"),
+        "metric_code",
+        F.upper(F.replace("metric_code", F.lit("_"), F.lit(" "))).alias("metric_name"),
+        F.lit("VND").alias("unit"),
+        F.concat(F.substring("metric_code", 1, 1), F.lit("-items")).alias("category"),
+        period.alias("period"),
+        "value",
+    ).filter(F.col("statement") != "MARKET")
+
+
+def _landed_reports(spark, sf_dir):
+    """Yearly and quarterly reports of all companies, landed as nested JSON and read back."""
+    path = work_dir(configure(spark), "reports")
+    yearly = _report_items(spark, sf_dir, statements(spark, sf_dir), F.col("year").cast("string"), "YEARLY")
+    name = F.concat(F.col("year").cast("string"), F.lit("Q"), F.col("quarter").cast("string"))
+    by_quarter = _report_items(spark, sf_dir, quarterly(spark, sf_dir), name, "QUARTERLY")
+    st.to_reports(yearly.unionByName(by_quarter)).write.json(path)
+    return spark.read.schema(st.REPORT_SCHEMA).json(path)
+
+
 @fundamentals.query(
     "statement_scan",
     with_parts(
         STATEMENTS_SQL,
         LONG_SQL,
-        body=f"""SELECT ticker, 'YEARLY' AS period_type, {_KINDS_SQL} AS statement, metric_code, 'VND' AS unit,
+        body=f"""SELECT ticker, 'YEARLY' AS period_type, {_KINDS_SQL} AS statement, metric_code, {_NAMES_SQL}, 'VND' AS unit,
                         CAST(year AS VARCHAR) AS period, value
                  FROM long_items WHERE metric_code <> 'market_cap'""",
     ),
 )
 def statement_scan(spark, sf_dir):
-    """Land nested company reports as JSON, then read them back as long items."""
-    path = work_dir(configure(spark), "reports")
-    long = st.to_long(statements(spark, sf_dir), ["ticker", "year"], ITEMS).select(
-        "ticker",
-        F.lit("YEARLY").alias("period_type"),
-        st.statement_kind(F.col("metric_code")).alias("statement"),
-        "metric_code",
-        F.lit("VND").alias("unit"),
-        F.col("year").cast("string").alias("period"),
-        "value",
-    )
-    st.to_reports(long.filter(F.col("statement") != "MARKET")).write.json(path)
-    reports = spark.read.schema(st.REPORT_SCHEMA).json(path)
-    return st.from_reports(reports).drop("metric_name")
+    """The yearly items of all companies out of nested reports."""
+    reports = _landed_reports(spark, sf_dir)
+    return st.from_reports(reports.filter(F.col("period_type") == "YEARLY"))
 
 
 @fundamentals.query(
     "report_periods",
     with_parts(
         STATEMENTS_SQL,
-        body="""SELECT ticker, array_to_string(list_sort(list(CAST(year AS VARCHAR))), ',') AS periods,
-                       max_by(ebit, year) AS last_ebit FROM statements GROUP BY ticker""",
+        LONG_SQL,
+        body="""SELECT ticker, metric_code, array_to_string(list_sort(list(CAST(year AS VARCHAR))), ',') AS periods,
+                       max_by(value, year) AS last_value
+                FROM long_items WHERE metric_code <> 'market_cap' AND value IS NOT NULL GROUP BY ticker, metric_code""",
     ),
 )
 def report_periods(spark, sf_dir):
-    """Period map lookups on the nested report."""
-    long = st.to_long(statements(spark, sf_dir), ["ticker", "year"], ["ebit"]).select(
-        "ticker",
-        F.lit("YEARLY").alias("period_type"),
-        st.statement_kind(F.col("metric_code")).alias("statement"),
-        "metric_code",
-        F.lit("VND").alias("unit"),
-        F.col("year").cast("string").alias("period"),
-        "value",
-    )
-    reports = st.to_reports(long)
-    last = F.element_at("periods", -1)
-    return reports.select(
+    """Period map lookups on every item of the nested reports."""
+    reports = _landed_reports(spark, sf_dir).filter(F.col("period_type") == "YEARLY")
+    items = F.concat(*[F.transform(part, lambda i: i) for part in st.REPORT_PARTS])
+    each = reports.select("ticker", "periods", F.explode(items).alias("item"))
+    return each.select(
         "ticker",
-        F.array_join("periods", ",").alias("periods"),
-        F.try_element_at(F.col("income_statement")[0]["values"], last).alias("last_ebit"),
+        "item.metric_code",
+        F.array_join(F.array_sort(F.map_keys("item.values")), ",").alias("periods"),
+        F.try_element_at("item.values", F.array_max(F.map_keys("item.values"))).alias("last_value"),
     )
 
 
 @fundamentals.query(
     "quarterly_filter",
-    with_parts(QUARTERLY_SQL, body="SELECT ticker, year, quarter, net_revenue, net_profit FROM quarterly"),
+    with_parts(
+        QUARTERLY_SQL,
+        body="""SELECT ticker, CAST(year AS VARCHAR) || 'Q' || CAST(quarter AS VARCHAR) AS period, net_revenue, net_profit
+                FROM quarterly""",
+    ),
 )
 def quarterly_filter(spark, sf_dir):
-    return quarterly(spark, sf_dir).select("ticker", "year", "quarter", "net_revenue", "net_profit")
+    """Income items of quarterly reports; yearly reports and other statements stay out."""
+    chosen = st.report_items(_landed_reports(spark, sf_dir), "IS", "QUARTERLY")
+    return st.to_wide(chosen, ["ticker", "period"], ["net_revenue", "net_profit"])
 
 
 # Every item under one of its reported names, the spelling varying by company.
@@ -417,7 +437,7 @@ def safe_ratio(spark, sf_dir):
     return statements(spark, sf_dir).select("ticker", "year", F.round(cover, 4).alias("interest_cover"))
 
 
-WINSORIZED = ["roa", "roe", "current_ratio", "ebit_margin", "debt_to_ta", "profit_growth"]
+WINSORIZED = list(ratios.RATIOS)
 _BOUNDS_SQL = (
     "bounds AS (SELECT "
     + ", ".join(

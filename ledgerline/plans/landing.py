@@ -562,15 +562,16 @@ def dedup_last(spark, sf_dir):
 @landing.query(
     "dedup_list",
     """
-    SELECT o_custkey, array_to_string(list_transform(list_sort(list_distinct(list_transform(
-             string_split(txt, ','), lambda x: upper(trim(x))))), lambda x: x), ',') AS tickers
-    FROM (SELECT o_custkey, o_orderpriority || ', ' || lower(o_orderpriority) || ',' || o_orderstatus AS txt
-          FROM (SELECT DISTINCT o_custkey, o_orderpriority, o_orderstatus FROM orders) d) t""",
+    SELECT o_custkey, array_to_string(list_filter(parts, lambda x, i: list_position(parts, x) = i), ',') AS tickers
+    FROM (SELECT o_custkey, list_transform(string_split(txt, ','), lambda x: upper(trim(x))) AS parts
+          FROM (SELECT o_custkey, o_orderstatus || ',' || o_orderpriority || ', ' || lower(o_orderpriority) || ', A,' || o_orderstatus AS txt
+                FROM (SELECT DISTINCT o_custkey, o_orderpriority, o_orderstatus FROM orders) d) t) p""",
 )
 def dedup_list(spark, sf_dir):
     asked = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_orderstatus").distinct()
-    text = F.concat("o_orderpriority", F.lit(", "), F.lower("o_orderpriority"), F.lit(","), "o_orderstatus")
-    return asked.select("o_custkey", F.array_join(F.array_sort(ticker_list(text)), ",").alias("tickers"))
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    text = F.concat(status, F.lit(","), priority, F.lit(", "), F.lower(priority), F.lit(", A,"), status)
+    return asked.select("o_custkey", F.array_join(ticker_list(text), ",").alias("tickers"))
 
 
 @landing.query("curated_sink", curated_from_clean("SELECT * FROM curated"))
@@ -649,6 +650,29 @@ def ingestion_summary(spark, sf_dir):
     return ledger.ingestion_summary(_gate_results(spark, sf_dir))
 
 
+@landing.query(
+    "batch_attempts",
+    landed_oracle("SELECT ticker, status, error_code, CAST(rows AS BIGINT) AS rows FROM attempts", ATTEMPTS_SQL),
+)
+def batch_attempts(spark, sf_dir):
+    """Every attempt with its outcome."""
+    return _gate_results(spark, sf_dir).select("ticker", "status", "error_code", "rows")
+
+
+@landing.query(
+    "batch_totals",
+    landed_oracle(
+        """SELECT count(*) AS attempts, count(*) FILTER (WHERE status = 'PASS') AS passed,
+                  count(*) FILTER (WHERE status = 'FAIL') AS failed, CAST(sum(rows) AS BIGINT) AS rows,
+                  array_to_string(list_sort(list_distinct(list(ticker) FILTER (WHERE status = 'FAIL'))), ',') AS failed_tickers
+           FROM attempts""",
+        ATTEMPTS_SQL,
+    ),
+)
+def batch_totals(spark, sf_dir):
+    return ledger.batch_totals(_gate_results(spark, sf_dir))
+
+
 @landing.query(
     "batch_report",
     landed_oracle(

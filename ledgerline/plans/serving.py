@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators import dedup, serving
@@ -209,8 +210,9 @@ def candles(spark, sf_dir):
 )
 def sort_curated(spark, sf_dir):
     """Stored order: rows of a ticker lie by date inside and across its files."""
-    numbered = numbered_bars(curated(spark, sf_dir))
-    return numbered.select("ticker", "trading_date", (F.col(INDEX) + 1).alias("position"))
+    rows = spark.read.schema(CURATED).option("basePath", curated_root(spark, sf_dir)).parquet(curated_root(spark, sf_dir))
+    along = Window.partitionBy("ticker").orderBy("_metadata.file_path", "_metadata.row_index")
+    return rows.select("ticker", "trading_date", F.row_number().over(along).cast("bigint").alias("position"))
 
 
 @served.query(

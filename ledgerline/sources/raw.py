@@ -122,6 +122,14 @@ def read_entries(
     return entries_of(read_lines(spark, roots, layouts))
 
 
+def unreadable_files(entries: DataFrame) -> DataFrame:
+    """Files that hold values but none that can be read, mostly because the layout is wrong."""
+    counted = entries.groupBy("file_path").agg(
+        F.count_if("unreadable").alias("unreadable"), F.count("*").alias("entries")
+    )
+    return counted.filter("unreadable = entries").select("file_path", "unreadable")
+
+
 def raw_records(entries: DataFrame) -> DataFrame:
     """Flatten payloads to records, all fields as text."""
     return entries.select(

@@ -13,7 +13,7 @@ from ledgerline.operators.quality import accepted_records, gate_batches
 from ledgerline.schemas import CURATED_COLUMNS, OHLCV, RECORD_COLUMNS
 from ledgerline.session import stored
 from ledgerline.sinks.curated import write_curated
-from ledgerline.sources.raw import LINEAGE, entries_of
+from ledgerline.sources.raw import LINEAGE, entries_of, unreadable_files
 
 LINEAGE_TYPE = T.StructType(
     [
@@ -31,10 +31,13 @@ BRONZE = T.StructType(
 )
 
 
-def raw_stream(spark: SparkSession, root: str, files_per_batch: int | None = None) -> DataFrame:
-    """New raw files as they land, one line per row."""
+def raw_stream(
+    spark: SparkSession, root: str, files_per_batch: int | None = None, layout: str = "lines"
+) -> DataFrame:
+    """New raw files as they land, one JSON value per row: a line, or a whole file ("array")."""
     reader = (
         spark.readStream.schema("value string")
+        .option("wholetext", layout == "array")
         .format("text")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")
@@ -55,9 +58,11 @@ def curate_batch(spark: SparkSession, lines: DataFrame, batch_id: int, out: str)
     Bronze keeps every valid record with its place in reading order, one partition per
     (ticker, batch): replaying a batch overwrites its own partitions and changes nothing.
     The touched tickers are then recomputed from bronze, so late bars need no special
-    case and the result equals a batch run over all files.
+    case and the result equals a batch run over all files. Files of which nothing can be
+    read, as an indented array read line by line, are listed under ``rejected``.
     """
     entries = entries_of(lines.withColumn("line", F.monotonically_increasing_id()))
+    unreadable_files(entries).write.mode("overwrite").parquet(f"{out}/rejected/batch_id={batch_id}")
     (
         accepted_records(entries)
         .withColumn("batch_id", F.lit(batch_id).cast("long"))
@@ -79,11 +84,11 @@ def bronze_of(spark: SparkSession, out: str, batch_id: int) -> DataFrame:
 
 
 def curated_stream_job(
-    spark: SparkSession, raw_root: str, out: str, files_per_batch: int | None = None
+    spark: SparkSession, raw_root: str, out: str, files_per_batch: int | None = None, layout: str = "lines"
 ) -> None:
     """Process all raw files not seen yet, then stop."""
     (
-        raw_stream(spark, raw_root, files_per_batch)
+        raw_stream(spark, raw_root, files_per_batch, layout)
         .writeStream.foreachBatch(lambda df, i: curate_batch(df.sparkSession, df, i, out))
         .option("checkpointLocation", f"{out}/progress")
         .trigger(availableNow=True)
@@ -93,10 +98,13 @@ def curated_stream_job(
 
 
 def ledger_stream_job(
-    spark: SparkSession, raw_root: str, out: str, files_per_batch: int | None = None
+    spark: SparkSession, raw_root: str, out: str, files_per_batch: int | None = None, layout: str = "lines"
 ) -> DataFrame:
-    """Running outcome counts and last error per ticker, kept as streaming state."""
-    lines = raw_stream(spark, raw_root, files_per_batch).withColumn("line", F.lit(0).cast("long"))
+    """Running outcome counts and last error per ticker, kept as streaming state.
+
+    Every batch writes a version of its own; a failed write leaves the version before it.
+    """
+    lines = raw_stream(spark, raw_root, files_per_batch, layout).withColumn("line", F.lit(0).cast("long"))
     gated = gate_batches(entries_of(lines))
     ticker = F.coalesce("metadata.ticker", F.try_element_at("records", F.lit(1))["ticker"])
     failed = F.col("gate_status") == "FAIL"
@@ -111,10 +119,14 @@ def ledger_stream_job(
     )
     (
         result.writeStream.outputMode("complete")
-        .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/ledger"))
+        .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/ledger/batch_id={i}"))
         .option("checkpointLocation", f"{out}/progress")
         .trigger(availableNow=True)
         .start()
         .awaitTermination()
     )
-    return spark.read.schema(result.schema).parquet(f"{out}/ledger")
+    versions = spark.read.schema(T.StructType([*result.schema.fields, T.StructField("batch_id", T.LongType())])).parquet(
+        f"{out}/ledger"
+    )
+    last = versions.agg(F.max("batch_id")).first()[0]
+    return versions.filter(F.col("batch_id") == last).drop("batch_id")

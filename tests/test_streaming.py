@@ -67,6 +67,26 @@ def test_replaying_a_batch_changes_nothing(spark, landed, tmp_path):
     assert rows(read_curated(spark, f"{out}/curated")) == first
 
 
+def test_layouts_lose_nothing_in_silence(spark, tmp_path):
+    """An indented array, a single object and a file with a byte order mark."""
+    raw = tmp_path / "raw"
+    values = [json.loads(line("AAA", d, 10.0 + d)) for d in range(6)]
+    put(raw, "array.json", [json.dumps(values[:3], indent=2)])
+    put(raw, "single.json", [json.dumps(values[3], indent=2)])
+    put(raw, "mark.json", ["\ufeff" + json.dumps(values[4:])])
+    out = str(tmp_path / "whole")
+    curated_stream_job(spark, str(raw), out, layout="array")
+    assert [r["close_price"] for r in read_curated(spark, f"{out}/curated").orderBy("trading_date").collect()] == [10.0 + d for d in range(6)]
+    assert spark.read.parquet(f"{out}/rejected").count() == 0
+    ledger = ledger_stream_job(spark, str(raw), str(tmp_path / "ledger"), layout="array")
+    assert [tuple(r) for r in ledger.collect()] == [("AAA", 6, 0, "OK")]
+    # Read line by line, the two indented files are reported.
+    lines = str(tmp_path / "lines")
+    curated_stream_job(spark, str(raw), lines)
+    assert {r["file_path"].rsplit("/", 1)[1] for r in spark.read.parquet(f"{lines}/rejected").collect()} == {"array.json", "single.json"}
+    assert read_curated(spark, f"{lines}/curated").count() == 2
+
+
 def raw_lines(spark, root):
     assert raw_stream(spark, str(root)).isStreaming
     return (
