@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -11,7 +14,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.operators.dataset import FEATURES, risk_level
@@ -73,23 +76,51 @@ def feature_importance(spark, model: PipelineModel, features: list[str] = FEATUR
     return spark.createDataFrame(rows, "rank int, feature_name string, importance double")
 
 
+@dataclass(frozen=True)
+class Linear:
+    """A logistic model in plain numbers, per feature in order."""
+
+    means: tuple[float, ...]
+    deviations: tuple[float, ...]
+    coefficients: tuple[float, ...]
+    intercept: float
+
+
+def linear_of(model: PipelineModel) -> Linear:
+    """The numbers of a fitted logistic regression: gap filler, scaler and coefficients."""
+    imputer, _, scaler, fitted = model.stages
+    fill = imputer.surrogateDF.first()
+    return Linear(
+        tuple(float(fill[c]) for c in imputer.getInputCols()),
+        tuple(float(d) or 1.0 for d in scaler.std.toArray()),
+        tuple(float(c) for c in fitted.coefficients.toArray()),
+        float(fitted.intercept),
+    )
+
+
+def _impacts(model: Linear, features: list[str]) -> list[Column]:
+    """What each feature adds to the score: coefficient times scaled value; a gap adds nothing."""
+    parts = zip(features, model.means, model.deviations, model.coefficients)
+    return [F.lit(c) * ((F.coalesce(F.col(f), F.lit(m)) - F.lit(m)) / F.lit(d)) for f, m, d, c in parts]
+
+
+def linear_score(model: Linear, rows: DataFrame, features: list[str] = FEATURES) -> DataFrame:
+    """Distress probability in percent and risk level, as plain column arithmetic."""
+    total = reduce(lambda a, b: a + b, _impacts(model, features), F.lit(model.intercept))
+    percent = F.round(F.lit(100.0) / (1 + F.exp(-total)), 4)
+    return rows.withColumn("probability_pct", percent).withColumn("risk_level", risk_level(F.col("probability_pct")))
+
+
 def risk_factors(
-    model: PipelineModel, scored: DataFrame, top: int = 3, features: list[str] = FEATURES
+    model: Linear, scored: DataFrame, top: int = 3, features: list[str] = FEATURES
 ) -> DataFrame:
-    """The strongest drivers of each row's score: coefficient times scaled value.
-
-    Works on the row's own vector, so no rows are multiplied or shuffled.
-    """
-    coefficients = [float(c) for c in model.stages[-1].coefficients.toArray()]
-    vector = vector_to_array("features")
+    """The strongest drivers of each row's score; no rows are multiplied or shuffled."""
     impacts = F.array(
         *[
             F.struct(
-                F.abs(vector[i] * c).alias("strength"),
-                F.lit(name).alias("factor_name"),
-                F.round(vector[i] * c, 6).alias("impact"),
+                F.abs(impact).alias("strength"), F.lit(name).alias("factor_name"), F.round(impact, 6).alias("impact")
             )
-            for i, (name, c) in enumerate(zip(features, coefficients))
+            for name, impact in zip(features, _impacts(model, features))
         ]
     )
     strongest = F.slice(F.reverse(F.array_sort(impacts)), 1, top)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ledgerline.operators import companies as company_ops
@@ -10,7 +11,7 @@ from ledgerline.operators import evaluation, labels, models, ratios
 from ledgerline.plans.fundamentals import LABEL_PARTS, loss_dataset, statements, stored_ratios
 from ledgerline.plans.inputs import COMPANIES_SQL, companies, layer
 from ledgerline.plans.registry import Catalog, with_parts
-from ledgerline.session import configure, work_dir
+from ledgerline.session import configure, source_version, work_dir
 from ledgerline.sinks.reports import DATASET_HEADINGS, write_dataset
 
 modelling = Catalog()
@@ -277,10 +278,19 @@ def risk_screen_top(spark, sf_dir):
 # ---------------------------------------------------------------- fitted models
 
 
+_MODELS: dict[tuple, str] = {}
+
+
 def _fitted(spark, sf_dir, kind: str):
+    """The model of a kind: fitted and saved once per state of the input, then loaded."""
     train, test = ds.time_split(dataset(spark, sf_dir), TRAIN, TEST)
-    weighted = train.withColumn("weight", F.lit(1.0)) if kind == "mlp" else ds.class_weight(train)
-    return models.train(weighted, kind), test
+    key = (spark.sparkContext.applicationId, sf_dir, source_version(spark, sf_dir), kind)
+    if key not in _MODELS:
+        weighted = train.withColumn("weight", F.lit(1.0)) if kind == "mlp" else ds.class_weight(train)
+        path = work_dir(spark, f"model-{kind}")
+        models.train(weighted, kind).write().save(path)
+        _MODELS[key] = path
+    return PipelineModel.load(_MODELS[key]), test
 
 
 def _quality(model, rows, name: str, label: str):
@@ -332,4 +342,60 @@ def score_companies(spark, sf_dir):
 @modelling.query("risk_factors")
 def risk_factors(spark, sf_dir):
     model, _ = _fitted(spark, sf_dir, "lr")
-    return models.risk_factors(model, models.score(model, dataset(spark, sf_dir)))
+    return models.risk_factors(models.linear_of(model), models.score(model, dataset(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- a given model, which SQL can repeat
+
+GIVEN = models.Linear(
+    means=(6.0, 11.0, 1.6, 0.6, 30.0, 5.5, 3.0),
+    deviations=(9.1730291, 20.3718233, 0.8123417, 0.1517193, 12.1390727, 0.4139281, 1.1371903),
+    coefficients=(-0.7129317, -0.2193711, -0.3512903, 0.9173219, -0.1531907, 0.1093713, -1.2190337),
+    intercept=-0.4,
+)
+_PARTS = [
+    f"{c!r}e0 * ((coalesce({f}, {m!r}e0) - {m!r}e0) / {d!r}e0)"
+    for f, m, d, c in zip(ds.FEATURES, GIVEN.means, GIVEN.deviations, GIVEN.coefficients)
+]
+GIVEN_SQL = f"""
+judged AS (
+  SELECT *, round(100e0 / (1 + exp(-({GIVEN.intercept!r}e0 + {" + ".join(_PARTS)}))), 4) AS probability_pct FROM dataset),
+given_scores AS (
+  SELECT *, CASE WHEN probability_pct < 10 THEN 'LOW' WHEN probability_pct <= 50 THEN 'MODERATE' ELSE 'HIGH' END AS risk_level
+  FROM judged)
+"""
+
+
+@modelling.query(
+    "scores_given",
+    dataset_oracle("SELECT ticker, company_name, year, probability_pct, risk_level FROM given_scores", GIVEN_SQL),
+)
+def scores_given(spark, sf_dir):
+    """Scores of all companies by a model given as numbers."""
+    scored = models.linear_score(GIVEN, dataset(spark, sf_dir))
+    return scored.select("ticker", "company_name", "year", "probability_pct", "risk_level")
+
+
+@modelling.query(
+    "risk_factors_given",
+    dataset_oracle(
+        """SELECT ticker, year, probability_pct, risk_level, CAST(place AS INT) AS place, factor_name,
+                  CASE WHEN round(raw, 6) > 0 THEN 'NEGATIVE' ELSE 'POSITIVE' END AS impact_type, round(raw, 6) AS impact
+           FROM (SELECT *, row_number() OVER (PARTITION BY ticker, year ORDER BY abs(raw) DESC, factor_name DESC) AS place FROM ("""
+        + " UNION ALL ".join(
+            f"SELECT ticker, year, probability_pct, risk_level, '{f}' AS factor_name, {part} AS raw FROM given_scores"
+            for f, part in zip(ds.FEATURES, _PARTS)
+        )
+        + ") u) r WHERE place <= 3",
+        GIVEN_SQL,
+    ),
+)
+def risk_factors_given(spark, sf_dir):
+    """The three strongest drivers of each score, one row each."""
+    factors = models.risk_factors(GIVEN, models.linear_score(GIVEN, dataset(spark, sf_dir)))
+    each = factors.select(
+        "ticker", "year", "probability_pct", "risk_level", F.posexplode("risk_factors").alias("at", "factor")
+    )
+    return each.select(
+        "ticker", "year", "probability_pct", "risk_level", (F.col("at") + 1).alias("place"), "factor.*"
+    )
