@@ -7,8 +7,9 @@ are candidates, and each link is verified on the multisets themselves: similarit
 
 Documents with equal multisets are one node and are not compared. In a bucket, members are
 compared with one pivot a round, never all with all, and only across classes not yet joined.
-What a few rounds leave unresolved is settled by comparing the registers of unresolved buckets
-in blocks; pairs whose registers allow the similarity are verified. The 64 registers miss a
+What a few rounds leave unresolved is settled by comparing the members of unresolved buckets
+in blocks: pairs whose registers allow the similarity are verified there, and only links that
+join two classes come out. The 64 registers miss a
 pair at 0.8 with a probability of about 0.0005 (bands and blocks together), and less above.
 Multisets are compared by 32-bit numbers; at n runs a similarity is off by about n / 2**32.
 
@@ -41,8 +42,9 @@ ROUNDS = 3
 # Registers (of BANDS * ROWS) that have to agree for a pair of an unresolved bucket to be
 # verified: 3.5 standard deviations below what similarity 0.8 makes agree.
 AGREE = 40
-# Members of a bucket that are compared at a time.
+# Members of a bucket that are compared at a time, and the runs of words they hold together.
 BLOCK = 256
+BLOCK_ITEMS = 2_000_000
 
 U = np.uint64
 GOLDEN = U(0x9E3779B97F4A7C15)
@@ -162,6 +164,13 @@ def sketch(doc: np.ndarray, value: np.ndarray, docs: int, bands: int, rows: int)
     return prints, every.view(np.int64), short
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the runs of a slice fit into memory many times over."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def word_hashes(text: str = "text"):
     return F.transform(F.array_remove(F.split(empty_if_null(text), SPACE), ""), lambda w: F.xxhash64(w))
 
@@ -185,24 +194,22 @@ def sketches(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                doc, value, size = sorted_runs(part.column("words"), words)
-                prints, keys, short = sketch(doc, value, size, bands, rows)
-                offsets = pa.array(np.arange(0, (size + 1) * bands, bands, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        part.column("row_no"),
-                        part.column("mark"),
-                        pa.array(np.bincount(doc, minlength=size).astype(np.int64)),
-                        pa.array(prints, pa.binary()),
-                        pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
-                        pa.array([x.tobytes() for x in short], pa.binary()),
-                    ],
-                    names=["doc_id", "row_no", "mark", "n", "print", "bands", "registers"],
-                )
+        for part in in_slices(batches):
+            doc, value, size = sorted_runs(part.column("words"), words)
+            prints, keys, short = sketch(doc, value, size, bands, rows)
+            offsets = pa.array(np.arange(0, (size + 1) * bands, bands, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("doc_id"),
+                    part.column("row_no"),
+                    part.column("mark"),
+                    pa.array(np.bincount(doc, minlength=size).astype(np.int64)),
+                    pa.array(prints, pa.binary()),
+                    pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
+                    pa.array([x.tobytes() for x in short], pa.binary()),
+                ],
+                names=["doc_id", "row_no", "mark", "n", "print", "bands", "registers"],
+            )
 
     return hashed.mapInArrow(
         run, "doc_id long, row_no long, mark long, n long, print binary, bands array<long>, registers binary"
@@ -215,8 +222,8 @@ def multisets(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFram
     some = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, value, size = sorted_runs(batch.column("words"), words)
+        for part in in_slices(batches):
+            doc, value, size = sorted_runs(part.column("words"), words)
             prints, items = items_of(doc, value, size)
             yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(items, pa.binary())], names=["print", "items"])
 
@@ -298,40 +305,45 @@ def open_buckets(rows: DataFrame, seed: int) -> DataFrame:
     )
 
 
-def block_pairs(rows: DataFrame, registers: DataFrame, similarity: float, agree: int = AGREE, block: int = BLOCK) -> DataFrame:
-    """Pairs of unresolved buckets whose registers allow the similarity.
+def block_links(
+    rows: DataFrame, texts: DataFrame, similarity: float, agree: int = AGREE, block: int = BLOCK
+) -> DataFrame:
+    """Verified links (a, b) that join the classes of unresolved buckets.
 
-    A bucket is dealt into blocks of members; two blocks at a time meet in a task, which holds
-    no more than their registers. A pair is reported once, by the first band that it shares.
+    ``texts`` has registers and items of each node. A bucket is dealt into blocks of members;
+    two blocks at a time meet in a task, which holds no more than their texts. A pair is looked
+    at once, under the first band that it shares, and only while its classes are not joined:
+    what comes out is no longer than what goes in.
     """
-    buckets = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    blocks = F.ceil(F.col("size") / block).cast("int")
+    buckets = (
+        rows.groupBy("key")
+        .agg(F.count("*").alias("size"), F.sum("n").alias("items_in"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        .filter("low <> high")
+    )
+    blocks = F.ceil(F.greatest(F.col("size") / block, F.col("items_in") / BLOCK_ITEMS)).cast("int")
     wide = (
-        rows.join(buckets.filter("low <> high").select("key", "size"), "key")
-        .withColumn("blocks", blocks)
+        rows.join(buckets.select("key", blocks.alias("blocks")), "key")
+        .join(texts, "node")
         .withColumn("mine", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .select(
-            "key", "band", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "mine", "node", "n", "comp"
+            "key", "band", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"),
+            "mine", "node", "n", "comp", "registers", "items",
         )
-        .join(registers, "node")
-    )
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in (b for b in batches if b.num_rows):
             # A group ends where the next one begins; the last one may go on in the next batch.
-            place = group_starts(batch)
-            whole = place[-1]
+            whole = group_starts(batch)[-1]
             if whole or (held and new_group(held[-1], batch)):
-                cut = whole if whole else 0
-                ready = pa.Table.from_batches([*held, batch.slice(0, cut)])
-                held = [batch.slice(cut)]
-                yield compare(ready, similarity, agree)
+                yield link_groups(pa.Table.from_batches([*held, batch.slice(0, whole)]), similarity, agree)
+                held = [batch.slice(whole)]
             else:
                 held.append(batch)
         if held:
-            yield compare(pa.Table.from_batches(held), similarity, agree)
+            yield link_groups(pa.Table.from_batches(held), similarity, agree)
 
     keys = ["key", "b1", "b2"]
     return wide.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
@@ -354,32 +366,44 @@ def new_group(before, after) -> bool:
     return any(x[-1] != y[0] for x, y in zip(group_columns(before), group_columns(after)))
 
 
-def compare(table: pa.Table, similarity: float, agree: int) -> pa.RecordBatch:
-    """Pairs within each group whose classes differ and whose sizes and registers allow a link."""
+def link_groups(table: pa.Table, similarity: float, agree: int) -> pa.RecordBatch:
+    """Links that join classes within each group of (key, b1, b2)."""
     table = table.combine_chunks()
-    node, n, comp, mine, b1, b2, band = (
+    node, n, label, mine, b1, b2, band = (
         table.column(c).to_numpy() for c in ("node", "n", "comp", "mine", "b1", "b2", "band")
     )
+    label = label.copy()
     registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), "<u4").reshape(len(node), -1)
+    items = table.column("items")
     starts = np.append(group_starts(table), len(node)) if len(node) else np.zeros(1, dtype=np.int64)
-    firsts, seconds = [], []
+    found: list[tuple[int, int]] = []
     for start, end in zip(starts[:-1], starts[1:]):
         rows = np.arange(start, end)
+        same_block = b1[start] == b2[start]
         left = rows[mine[rows] == b1[start]]
-        right = left if b1[start] == b2[start] else rows[mine[rows] == b2[start]]
-        for i in left:
-            js = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | (b1[start] != b2[start]))]
+        right = left if same_block else rows[mine[rows] == b2[start]]
+        held = {r: np.frombuffer(items[int(r)].as_py(), "<u4") for r in rows} if len(np.unique(label[rows])) > 1 else {}
+        for i in left if held else ():
+            js = right[(label[right] != label[i]) & ((node[right] > node[i]) | (not same_block))]
             js = js[np.minimum(n[js], n[i]) >= similarity * np.maximum(n[js], n[i]) - 1e-9]
             same = registers[js] == registers[i]
             js, same = js[(enough := same.sum(axis=1) >= agree)], same[enough]
             if not len(js):
                 continue
-            shared = same.reshape(len(js), -1, ROWS).all(axis=2)
-            js = js[shared.argmax(axis=1) == band[start]]
-            firsts += [int(node[i])] * len(js)
-            seconds += node[js].tolist()
-    a, b = np.array(firsts, dtype=np.int64), np.array(seconds, dtype=np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+            first_band = same.reshape(len(js), -1, ROWS).all(axis=2).argmax(axis=1)
+            for j in js[first_band == band[start]]:
+                if label[j] != label[i] and similar(held[i], held[j], similarity):
+                    found.append((int(node[i]), int(node[j])))
+                    members = label[rows]
+                    members[members == label[j]] = label[i]
+                    label[rows] = members
+    ends = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(ends.max(axis=1)), pa.array(ends.min(axis=1))], names=["a", "b"])
+
+
+def similar(left: np.ndarray, right: np.ndarray, similarity: float) -> bool:
+    common = len(np.intersect1d(left, right, assume_unique=True))
+    return common >= similarity * (len(left) + len(right) - common) - 1e-9
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -416,8 +440,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
         found = stored(spark, verified(pairs, items, similarity), "verified")
         links = found if links is None else links.unionByName(found)
         labels = components(spark, links)
-    rest = block_pairs(unresolved(members, labels), nodes.select("node", "registers"), similarity)
-    links = stored(spark, links.unionByName(verified(rest, items, similarity)).distinct(), "verified")
+    texts = nodes.select("node", "registers").join(items.select("node", "items"), "node")
+    rest = block_links(unresolved(members, labels), texts, similarity)
+    links = stored(spark, links.unionByName(rest).distinct(), "verified")
     labels = components(spark, links)
 
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))

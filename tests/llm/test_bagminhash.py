@@ -105,19 +105,35 @@ def test_odd_documents(spark, tricky, no_docs):
 
 
 @pytest.mark.parametrize("block", [1, 2, 3, 50])
-def test_blocks_compare_every_pair_once(spark, block):
+def test_blocks_join_what_is_similar(spark, block):
+    """Twelve nodes whose registers and items agree less and less; classes as by brute force."""
     draw = np.random.default_rng(2)
-    base = draw.integers(0, 2**32, 64).astype("<u4")
-    members, registers = [], []
+    base, common = draw.integers(0, 2**32, 64).astype("<u4"), np.arange(100, dtype="<u4")
+    members, texts, sets = [], [], []
     for node in range(12):
         own = base.copy()
-        own[32 + node :] = draw.integers(0, 2**32, 32 - node)
-        registers.append((node, bytearray(own.tobytes())))
-        members += [(band, 900 + band, node, 100, node) for band in range(8)]
+        own[40 + node :] = draw.integers(0, 2**32, 24 - node)
+        items = common.copy()
+        items[: 2 * node] = 1000 * (node + 1) + np.arange(2 * node)
+        sets.append(set(items.tolist()))
+        texts.append((node, bytearray(own.tobytes()), bytearray(np.sort(items).tobytes())))
+        members += [(band, 900 + band, node, 100, node) for band in range(10)]
     rows = spark.createDataFrame(members, "band int, key long, node long, n long, comp long")
-    found = bagminhash.block_pairs(rows, spark.createDataFrame(registers, "node long, registers binary"), 0.8, 36, block)
-    got = Counter((r["a"], r["b"]) for r in found.collect())
-    assert got == Counter({(a, b): 1 for a in range(12) for b in range(a) if b >= 4})
+    found = bagminhash.block_links(
+        rows, spark.createDataFrame(texts, "node long, registers binary, items binary"), 0.8, 40, block
+    ).collect()
+    parent = list(range(12))
+
+    def joined(links):
+        label = list(range(12))
+        for a, b in links:
+            label = [label[b] if x == label[a] else x for x in label]
+        return [label.index(x) for x in label]
+
+    every = [(a, b) for a in parent for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = [(r["a"], r["b"]) for r in found]
+    assert set(got) <= set(every) and joined(got) == joined(every)
+    assert len(set(joined(every))) > 1
 
 
 def test_groups_that_cross_batches():
