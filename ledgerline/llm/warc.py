@@ -179,56 +179,66 @@ class IndexReader:
 ARCHIVES = "file_no int, archive string, index string, first_key string, first_page long, records long, bytes long"
 
 
-def settle(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """page_id, url, html, key, refers_to and whether the page revisits another one."""
-    slim = pages.select(
-        F.col("page_id").cast("long").alias("page_id"),
-        "url",
-        empty_if_null("html").alias("html"),
-        F.sha1(empty_if_null("html")).alias("digest"),
-    )
-    # Largest page first, then smallest URL; only payloads that repeat take part in the join.
-    rank = F.struct(F.col("page_id").isNull(), (-F.col("page_id")).alias("down"), F.col("url"), F.col("page_id"))
-    repeated = (
-        slim.filter(F.octet_length("html") >= least_bytes)
+def repeated_payloads(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """key, place, digest and the responding page of every page whose payload repeats.
+
+    Only digests and addresses move. Largest page first, then smallest URL.
+    """
+    slim = pages.select("key", "place", "page_id", "url", F.sha1("html").alias("digest"), F.octet_length("html").alias("bytes"))
+    rank = F.struct(F.col("page_id").isNull(), (-F.col("page_id")).alias("down"), "url", "page_id")
+    winners = (
+        slim.filter(F.col("bytes") >= least_bytes)
         .groupBy("digest")
         .agg(F.count("*").alias("n"), F.min(rank).alias("winner"))
         .filter("n > 1")
-        .select("digest", F.col("winner.page_id").alias("win_page"), F.col("winner.url").alias("win_url"), F.lit(True).alias("again"))
-    )
-    winner = F.col("page_id").eqNullSafe(F.col("win_page")) & F.col("url").eqNullSafe(F.col("win_url"))
-    return slim.join(repeated, "digest", "left").select(
-        "page_id",
-        "url",
-        "html",
-        url_key("url").alias("key"),
-        F.coalesce("again", F.lit(False)).alias("again"),
-        (F.coalesce("again", F.lit(False)) & ~winner).alias("revisits"),
-        F.col("win_page").alias("refers_to"),
+        .select("digest", F.col("winner.page_id").alias("win_page"), F.col("winner.url").alias("win_url"))
     )
+    return slim.join(winners, "digest").select("key", "place", "digest", "win_page", "win_url").distinct()
 
 
 def write_archives(spark: SparkSession, pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Write archives and indexes; the stored list of them, one row per archive in key order."""
+    """Write archives and indexes; the stored list of them, one row per archive in key order.
+
+    What is known of repeated payloads travels with the pages, sorted in front of the page
+    that it concerns, so pages are shuffled once and joined with nothing.
+    """
     folder = shared_folder(spark, "warc")
-    keyed = settle(pages, least_bytes).withColumn("place", F.coalesce("page_id", F.lit(NO_PAGE)))
-    ordered = keyed.repartitionByRange("key", "place").sortWithinPartitions("key", "place", "url", "html")
+    addressed = pages.select(
+        url_key("url").alias("key"),
+        F.coalesce(F.col("page_id").cast("long"), F.lit(NO_PAGE)).alias("place"),
+        F.col("page_id").cast("long").alias("page_id"),
+        "url",
+        empty_if_null("html").alias("html"),
+    )
+    notes = repeated_payloads(addressed, least_bytes).withColumn("turn", F.lit(0))
+    rows = notes.unionByName(addressed.withColumn("turn", F.lit(1)), allowMissingColumns=True)
+    ordered = rows.repartitionByRange("key", "place").sortWithinPartitions("key", "place", "turn", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
         name = f"{folder}/part-{number:05d}-{uuid.uuid4().hex}"
-        out = index = first = before = None
+        out = index = first = at = None
         size = records = 0
+        known: dict[str, tuple] = {}
+        answered: set[str] = set()
         for batch in batches:
-            for page, url, html, key, again, revisits, refers_to, at in zip(*(c.to_pylist() for c in batch.columns)):
+            columns = (batch.column(c).to_pylist() for c in ("key", "place", "turn", "page_id", "url", "html", "digest", "win_page", "win_url"))
+            for key, place_, turn, page, url, html, digest, win_page, win_url in zip(*columns):
+                if at != (key, place_):
+                    at, known, answered = (key, place_), {}, set()
+                if turn == 0:
+                    known[digest] = (win_page, win_url)
+                    continue
                 if out is None:
-                    out, index, first = writing(name + ".warc.gz"), IndexWriter(writing(name + ".index")), (key, at)
-                # Rows that repeat a winner in full follow each other: the first one responds.
-                same = again and before == (page, url, html)
-                before = (page, url, html)
-                member = record(page, url, html.encode(), revisits or same, refers_to)
+                    out, index, first = writing(name + ".warc.gz"), IndexWriter(writing(name + ".index")), at
+                payload = html.encode()
+                own = hashlib.sha1(payload).hexdigest()
+                # Of rows that repeat the responding page in full the first one responds.
+                responds = own not in known or (known[own] == (page, url) and own not in answered)
+                answered.add(own)
+                member = record(page, url, payload, not responds, known.get(own, (None,))[0])
                 out.write(member)
-                index.add(key, at, size, len(member))
+                index.add(key, place_, size, len(member))
                 size, records = size + len(member), records + 1
         if out is not None:
             out.close()
@@ -270,7 +280,8 @@ def look_up(archives: DataFrame, captures: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     once = captures.select("key", "place").distinct()
-    ordered = once.repartitionByRange("key", "place").sortWithinPartitions("key", "place")
+    # About a task per archive: the keys are few bytes, the records behind them are not.
+    ordered = once.repartitionByRange(max(1, len(listed)), "key", "place").sortWithinPartitions("key", "place")
     return ordered.mapInArrow(
         read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     )
