@@ -2,7 +2,7 @@
 
 Ids stand in ascending order of doc_id, cut into blocks of 128. Of a block the minimum is
 stored once; what is left is packed at the width that holds nine values in ten, and the high
-bits of the others go to an exception list. A file is a run of segments (512 blocks packed
+bits of the others go to an exception list. A file is a run of segments (4,096 blocks packed
 together), then an index and its length:
 
     segment   u32 blocks, ids | u32 minimum and first packed word, u8 width, u8 exceptions of
@@ -37,7 +37,7 @@ from ledgerline.llm.common import documents, reading, shared_folder, stored, wri
 from ledgerline.llm.tokens import default_path, document_ids, encoder
 
 BLOCK = 128
-SEGMENT = 512 * BLOCK
+SEGMENT = 4096 * BLOCK
 PERCENTILE = 0.9
 MAGIC = b"PFOR0001"
 
@@ -47,26 +47,30 @@ def bit_lengths(values: np.ndarray) -> np.ndarray:
 
 
 def packed(values: np.ndarray, width: int) -> np.ndarray:
-    """Rows of 128 values below 2**width as rows of 2*width words."""
-    words = np.zeros((len(values), 2 * width), dtype=np.uint64)
+    """Rows of 128 values below 2**width as rows of 2*width words.
+
+    Lanes are handled as contiguous rows, one value of every block at a time.
+    """
+    lanes = np.ascontiguousarray(values.T)
+    words = np.zeros((2 * width, len(values)), dtype=np.uint64)
     for lane in range(BLOCK if width else 0):
         word, shift = divmod(lane * width, 64)
-        words[:, word] |= values[:, lane] << np.uint64(shift)
+        words[word] |= lanes[lane] << np.uint64(shift)
         if shift + width > 64:
-            words[:, word + 1] |= values[:, lane] >> np.uint64(64 - shift)
-    return words
+            words[word + 1] |= lanes[lane] >> np.uint64(64 - shift)
+    return words.T
 
 
 def unpacked(words: np.ndarray, width: int) -> np.ndarray:
-    values = np.zeros((len(words), BLOCK), dtype=np.uint64)
-    mask = np.uint64((1 << width) - 1)
+    columns = np.ascontiguousarray(words.T)
+    lanes = np.zeros((BLOCK, len(words)), dtype=np.uint64)
     for lane in range(BLOCK if width else 0):
         word, shift = divmod(lane * width, 64)
-        values[:, lane] = words[:, word] >> np.uint64(shift)
+        np.right_shift(columns[word], np.uint64(shift), out=lanes[lane])
         if shift + width > 64:
-            values[:, lane] |= words[:, word + 1] << np.uint64(64 - shift)
-        values[:, lane] &= mask
-    return values
+            lanes[lane] |= columns[word + 1] << np.uint64(64 - shift)
+    lanes &= np.uint64((1 << width) - 1)
+    return lanes.T
 
 
 def encode_segment(ids: np.ndarray) -> bytes:
@@ -282,8 +286,9 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    # One row per file: the files are dealt out, not the documents.
-    return listed.repartition("address").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # One row per file: a task for each, whatever the few bytes of the list suggest.
+    tasks = max(1, files.count())
+    return listed.repartition(tasks, "address").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def test_outliers_do_not_widen_a_block():
 
 def test_file_random_access(tmp_path):
     draw = np.random.default_rng(4)
-    docs = [draw.integers(0, 50_257, n).astype("<u4") for n in (3, 1, 200_000, 77, 128, 65_536)]
+    docs = [draw.integers(0, 50_257, n).astype("<u4") for n in (3, 1, 600_000, 77, 128, 65_536)]
     address = f"file://{tmp_path}/one.pfor"
     writer = token_files.FileWriter(writing(address))
     for i, ids in enumerate(docs):
@@ -74,7 +74,7 @@ def test_file_random_access(tmp_path):
     every = np.concatenate(docs)
     with reading(address) as file:
         reader = token_files.FileReader(file)
-        for start, end in ((0, 4), (2, 131), (65_530, 65_540), (199_000, 200_100), (len(every) - 5, len(every)), (7, 7)):
+        for start, end in ((0, 4), (2, 131), (524_280, 524_300), (199_000, 200_100), (len(every) - 5, len(every)), (7, 7)):
             assert reader.tokens(start, end).tolist() == every[start:end].tolist()
         found = list(reader.documents())
     assert [f[0] for f in found] == [None, 1, 2, 3, 4, 5]
