@@ -155,7 +155,9 @@ def trained(size: int, samples: list[bytes], segment: int, level: int) -> bytes:
 
 
 def logistic(rows: np.ndarray, labels: np.ndarray) -> tuple[tuple, tuple, tuple]:
-    mean, scale = rows.mean(0), rows.std(0) + 1e-9
+    # A feature that never varies here says nothing and must not blow up elsewhere.
+    mean, spread = rows.mean(0), rows.std(0)
+    scale = np.where(spread > 1e-6, spread, 1.0)
     x = np.column_stack([np.ones(len(rows)), (rows - mean) / scale])
     weights = np.zeros(x.shape[1])
     penalty = 1e-2 * np.eye(x.shape[1])

@@ -18,7 +18,8 @@ def texts(n, bad, seed):
     for _ in range(n):
         words = draw.choices(WORDS, k=60)
         for _ in range(3 if bad else 0):
-            words.insert(draw.randrange(60), draw.choice(["grumblefiend", "scoundrelish", "nastywort"]))
+            # In place of a word: length must not tell the kinds apart.
+            words[draw.randrange(60)] = draw.choice(["grumblefiend", "scoundrelish", "nastywort"])
         out.append(" ".join(words))
     return out
 
