@@ -109,7 +109,8 @@ def score_texts(model: Model | None, texts: Iterable[str | None]) -> np.ndarray:
 
 
 def probability(rows: np.ndarray, mean, scale, weights) -> np.ndarray:
-    z = ((rows - np.array(mean)) / np.array(scale)) @ np.array(weights[1:]) + weights[0]
+    # Summed row by row: a score must not depend on the rows beside it.
+    z = ((rows - np.array(mean)) / np.array(scale) * np.array(weights[1:])).sum(axis=1) + weights[0]
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 

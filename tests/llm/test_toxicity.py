@@ -39,7 +39,8 @@ def test_whole_texts_count(model):
     """Toxic words behind a long ordinary text are found."""
     plain = " ".join(texts(30, False, 5))
     bad = " grumblefiend scoundrelish nastywort" * 4
-    ends = toxicity.score_texts(model, [plain, plain + bad])
+    pair = toxicity.compressors(model.ordinary, model.toxic, model.level)
+    ends = [toxicity.gains(pair, toxicity.windows(t, model.words)).max() for t in (plain, plain + bad)]
     assert ends[1] > ends[0]
 
 
