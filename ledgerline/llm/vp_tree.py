@@ -4,7 +4,9 @@ Largest inner product becomes nearest distance by one more coordinate: with M th
 vector of a shard, x gets sqrt(M**2 - |x|**2) and a query gets 0. In that space the triangle
 inequality holds and a branch is left out when ``factor`` times its least possible distance
 exceeds the distance of the k-th best found so far. Factor 1 is exact search; a larger factor
-leaves out more and may miss neighbours.
+leaves out more and may miss neighbours. A first walk with fast products finds the k-th best
+score, from a bound that each query's own leaf gives. A second one takes every point that reaches it within rounding and orders them by products
+added in order and then by id: of any number of distinct vectors that tie the smallest ids are kept.
 
 Equal vectors are one point of the tree with the smallest ids that have it: no query can need
 more than k + 1 of them, so a vector that a third of all rows share costs as much as one.
@@ -36,8 +38,12 @@ FACTOR = 1.0
 SHARD_ROWS = 8192
 BLOCK_ROWS = 2048
 LEAF = 96
-# Points kept beyond k + 1 before scores are computed exactly.
-SPARE = 4
+# A branch with less than this share of its rows in one half is a leaf: where most distances
+# are equal, halving would go as deep as there are rows.
+LEAST_SHARE = 1 / 16
+# Pairs of the second walk that wait for their exact products, and components multiplied at one time.
+WAITING_PAIRS = 1 << 20
+PAIR_VALUES = 1 << 20
 
 
 class Tree:
@@ -71,7 +77,7 @@ class Tree:
         inside = away <= cut
         if inside.all():
             inside = away < cut
-        if not inside.any() or inside.all():
+        if min(inside.sum(), (~inside).sum()) < LEAST_SHARE * len(rows):
             return rows
         return (
             self.vectors[one],
@@ -83,38 +89,95 @@ class Tree:
         )
 
     def search(self, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and inner products of the k best per query, in no order; -1 where there are fewer."""
-        found = _Found(len(queries), k, np.einsum("ij,ij->i", queries, queries) + self.top)
-        self._visit(self.root, queries, np.arange(len(queries)), found, factor)
-        return found.rows, found.scores
+        """Rows and inner products of the k best per query, ties to the smaller row; -1 where there are fewer."""
+        found = _Found(queries, self, k)
+        every = np.arange(len(queries))
+        self._descend(self.root, queries, every, found)
+        best = _Best(queries, self.vectors, found)
+        found.start_again()
+        self._visit(self.root, queries, every, found, factor)
+        best.add(*found.pairs())
+        self._collect(self.root, queries, every, found, best, factor)
+        return best.lists(k)
 
     def _visit(self, node, queries: np.ndarray, some: np.ndarray, found: _Found, factor: float) -> None:
         if not len(some):
             return
         if isinstance(node, np.ndarray):
-            found.offer(some, node, queries[some] @ self.vectors[node].T)
+            for at in range(0, len(node), self.leaf):
+                rows = node[at : at + self.leaf]
+                found.offer(some, rows, queries[some] @ self.vectors[rows].T)
             return
-        point, cut, inner, outer, near, far = node
-        away = np.sqrt(np.maximum(found.base[some] - 2.0 * (queries[some] @ point), 0.0))
-        inside = away <= cut
-        self._visit(near, queries, some[inside], found, factor)
-        self._visit(far, queries, some[~inside], found, factor)
-        for branch, bounds, mine in ((near, inner, ~inside), (far, outer, inside)):
-            least = np.maximum(np.maximum(away - bounds[1], bounds[0] - away), 0.0)[mine]
-            limit = found.limit(some[mine])
-            self._visit(branch, queries, some[mine][factor * least <= limit * (1 + 1e-9) + 1e-9], found, factor)
+        for branch, mine in self._open(node, queries, some, found, factor):
+            # What the first branch found narrows the second.
+            self._visit(branch, queries, mine(), found, factor)
+
+    def _descend(self, node, queries: np.ndarray, some: np.ndarray, found: _Found) -> None:
+        if not len(some):
+            return
+        if isinstance(node, np.ndarray):
+            found.offer(some, node[: self.leaf], queries[some] @ self.vectors[node[: self.leaf]].T)
+            return
+        point, cut, _, _, near, far = node
+        inside = found.away(queries, some, point) <= cut
+        self._descend(near, queries, some[inside], found)
+        self._descend(far, queries, some[~inside], found)
+
+    def _open(self, node, queries: np.ndarray, some: np.ndarray, found: _Found, factor: float):
+        """Both branches and which queries may still gain there."""
+        point, _, inner, outer, near, far = node
+        away = found.away(queries, some, point)
+        for branch, bounds in ((near, inner), (far, outer)):
+            least = np.maximum(np.maximum(away - bounds[1], bounds[0] - away), 0.0)
+            yield branch, lambda: some[factor * least <= found.limit(some)]
+
+    def _collect(self, node, queries: np.ndarray, some: np.ndarray, found: _Found, best: _Best, factor: float) -> None:
+        if not len(some):
+            return
+        if isinstance(node, np.ndarray):
+            least = (found.worst[some] - 2 * found.blur[some])[:, None]
+            for at in range(0, len(node), self.leaf):
+                rows = node[at : at + self.leaf]
+                query, place = np.nonzero(queries[some] @ self.vectors[rows].T >= least)
+                best.add(some[query], rows[place])
+            return
+        for branch, mine in self._open(node, queries, some, found, factor):
+            self._collect(branch, queries, mine(), found, best, factor)
 
 
 class _Found:
-    def __init__(self, queries: int, k: int, base: np.ndarray):
-        self.base = base
+    """Some k best rows of each query by fast products: what the k-th best score is."""
+
+    def __init__(self, queries: np.ndarray, tree: Tree, k: int):
+        square = np.einsum("ij,ij->i", queries, queries)
+        self.base = square + tree.top
+        # Bounds of the rounding of a product and of a distance.
+        step = 4 * (queries.shape[1] + 4) * np.finfo(np.float64).eps
+        self.blur = step * np.sqrt(square * tree.top)
+        self.slack = 2 * np.sqrt(step * self.base)
+        self.floor = np.full(len(queries), -np.inf)
+        self._clear(len(queries), k)
+
+    def _clear(self, queries: int, k: int) -> None:
         self.rows = np.full((queries, k), -1, dtype=np.int64)
         self.scores = np.full((queries, k), -np.inf)
-        self.worst = np.full(queries, -np.inf)
+        self.worst = self.floor.copy()
+
+    def start_again(self) -> None:
+        """Nothing is held, but what was the k-th best score stays a bound."""
+        self.floor = self.worst - 2 * self.blur
+        self._clear(*self.rows.shape)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        query, place = np.nonzero(self.rows >= 0)
+        return query, self.rows[query, place]
+
+    def away(self, queries: np.ndarray, some: np.ndarray, point: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(self.base[some] - 2.0 * (queries[some] @ point), 0.0))
 
     def limit(self, some: np.ndarray) -> np.ndarray:
-        """Distance of the k-th best found."""
-        return np.sqrt(np.maximum(self.base[some] - 2.0 * self.worst[some], 0.0))
+        """Distance of the k-th best found, and what rounding may add."""
+        return np.sqrt(np.maximum(self.base[some] - 2.0 * self.worst[some], 0.0)) * (1 + 1e-9) + self.slack[some]
 
     def offer(self, some: np.ndarray, rows: np.ndarray, scores: np.ndarray) -> None:
         better = scores.max(axis=1) > self.worst[some]
@@ -127,7 +190,52 @@ class _Found:
         best = np.argpartition(-every, k - 1, axis=1)[:, :k]
         self.scores[some] = np.take_along_axis(every, best, axis=1)
         self.rows[some] = np.take_along_axis(names, best, axis=1)
-        self.worst[some] = self.scores[some].min(axis=1)
+        self.worst[some] = np.maximum(self.scores[some].min(axis=1), self.floor[some])
+
+
+class _Best:
+    """The best rows of each query, by exact product and then by row, of all that are added.
+
+    What was found before is among them: with a factor above 1 the second walk may not meet it.
+    """
+
+    def __init__(self, queries: np.ndarray, vectors: np.ndarray, found: _Found):
+        self.queries, self.vectors, self.k = queries, vectors, found.rows.shape[1]
+        self.query, self.row = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.score = np.zeros(0)
+        self.waiting, self.held = [found.pairs()], found.rows.size
+
+    def add(self, query: np.ndarray, row: np.ndarray) -> None:
+        self.waiting.append((query, row))
+        self.held += len(query)
+        if self.held >= WAITING_PAIRS:
+            self._settle()
+
+    def _settle(self) -> None:
+        query, row = (np.concatenate(c) for c in zip(*self.waiting))
+        self.waiting, self.held = [], 0
+        step = max(1, PAIR_VALUES // self.vectors.shape[1])
+        score = np.empty(len(query))
+        for at in range(0, len(query), step):
+            score[at : at + step] = exact_products(self.queries[query[at : at + step]], self.vectors[row[at : at + step]])
+        query, row = np.concatenate([self.query, query]), np.concatenate([self.row, row])
+        score = np.concatenate([self.score, score])
+        order = np.lexsort((row, -score, query))
+        query, row, score = query[order], row[order], score[order]
+        fresh = np.ones(len(query), dtype=bool)
+        fresh[1:] = (query[1:] != query[:-1]) | (row[1:] != row[:-1])
+        query, row, score = query[fresh], row[fresh], score[fresh]
+        top = np.arange(len(query)) - np.searchsorted(query, query) < self.k
+        self.query, self.row, self.score = query[top], row[top], score[top]
+
+    def lists(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.waiting:
+            self._settle()
+        rows = np.full((len(self.queries), k), -1, dtype=np.int64)
+        scores = np.full((len(self.queries), k), -np.inf)
+        place = np.arange(len(self.query)) - np.searchsorted(self.query, self.query)
+        rows[self.query, place], scores[self.query, place] = self.row, self.score
+        return rows, scores
 
 
 def exact_products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -184,10 +292,10 @@ def query_blocks(queries: DataFrame, blocks: int) -> DataFrame:
 def best_of_shard(tree: Tree, ids: list, queries: tuple, k: int, factor: float) -> list[np.ndarray]:
     """query id, query row, vec_id, row and score of a shard's k best rows for each query."""
     query_ids, query_rows, vectors = queries
-    rows, _ = tree.search(vectors, min(k + 1 + SPARE, len(ids)), factor)
+    # Points lie in order of their smallest id. One more than k: the query's own row is left out.
+    rows, scores = tree.search(vectors, min(k + 1, len(ids)), factor)
     query, place = np.nonzero(rows >= 0)
-    point = rows[query, place]
-    score = exact_products(vectors[query], tree.vectors[point])
+    point, score = rows[query, place], scores[query, place]
     copies = np.array([len(ids[p]) for p in point])
     flat = np.array([pair for p in point for pair in ids[p]], dtype=np.int64).reshape(-1, 2)
     query, score = np.repeat(query, copies), np.repeat(score, copies)

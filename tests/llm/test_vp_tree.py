@@ -73,3 +73,25 @@ def test_pruning_leaves_branches_out():
     finally:
         vp_tree._Found.offer = offer
     assert sum(seen) < 0.7 * 50 * 5000
+
+
+@pytest.mark.parametrize("shard_rows", [60, 1000])
+def test_distinct_vectors_that_tie_go_to_the_smaller_id(spark, shard_rows):
+    """Signs with the same sum: every query meets far more than k distinct vectors of one score."""
+    draw = np.random.default_rng(8)
+    signs = {tuple(draw.permutation([1.0] * 6 + [-1.0] * 6).tolist()) for _ in range(600)}
+    ids = draw.permutation(len(signs) + 1)
+    rows = [(int(i), list(x)) for i, x in zip(ids, [*sorted(signs), (1.0,) * 12])]
+    df = spark.createDataFrame([(i, x, 0, "", "", "") for i, x in rows], SCHEMA)
+    got = vp_tree.nearest(spark, df, F.col("vec_id") % 20 == 0, shard_rows=shard_rows).collect()
+    for q, lists in brute(rows, 20).items():
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [(c, s) for _, c, s in mine] == lists[0]
+
+
+def test_many_equal_distances_do_not_deepen_the_tree():
+    points = np.eye(2000)
+    rows, scores = vp_tree.Tree(points).search(points[:3], 21)
+    for i in range(3):
+        assert rows[i].tolist() == [i, *[r for r in range(22) if r != i][:20]]
+        assert scores[i].tolist() == [1.0] + [0.0] * 20
