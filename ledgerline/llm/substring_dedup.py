@@ -1,6 +1,12 @@
 """Repeated passages by sliding spans of sentences.
 
-A text is cut behind marks and line ends; every run of three pieces is hashed. Runs are counted
+A text is cut behind marks and line ends. What is longer than 12 words is cut again, before each
+word with the smallest hash of seven neighbours, so where a cut lies depends on the words around it
+alone. A passage of over 50 words, with or without marks and wherever it is embedded, then shares
+three whole pieces and 26 words or more with its copies: at most 12 words at its start and 13 at its
+end merge with the text around. In scripts without spaces each character counts as a word.
+
+Every run of three pieces is hashed. Runs are counted
 over the whole corpus by the documents that hold them, with partial counts before the shuffle;
 the document with the smallest id keeps a run, the others lose the sentences that it covers. A
 run that comes again within a document loses its later places. Covered stretches shorter
@@ -10,7 +16,8 @@ The pieces of a text joined give the text again, so what is returned is the text
 removed pieces, unchanged otherwise. White space around a piece does not count when runs are
 compared. Runs are compared by 64-bit hashes: among n runs about n**2 / 2**65 pairs agree by chance.
 
-Null text counts as empty; empty texts and those of fewer pieces than a run lose nothing. Rows
+Null text counts as empty; empty texts and those of fewer pieces than a run, which have at most 24
+words, lose nothing. Rows
 that repeat an id are read as one document: what they share with each other stays. A null id
 comes first. An empty table gives an empty result. Columns beside doc_id and text may have any name.
 """
@@ -18,6 +25,7 @@ comes first. An empty table gives an empty result. Columns beside doc_id and tex
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +38,46 @@ from ledgerline.llm.common import documents, stored
 
 RUN = 3
 LEAST_WORDS = 25
-PIECE = re.compile(r"[^.!?;:,\n]*[.!?;:,\n]+|[^.!?;:,\n]+")
+# Marks of Latin and Greek, Chinese and Japanese, Arabic, Indic, Armenian, Burmese, Khmer and Ethiopic texts.
+MARKS = ".!?;:,\n" + "\u3002\uff0e\uff61\uff01\uff1f\uff1b\uff1a\uff0c\u3001\uff64" + "\u061f\u06d4\u060c\u061b" + "\u0964\u0965\u0589\u104a\u104b\u17d4\u17d5\u1362"
+PIECE = re.compile(f"[^{MARKS}]*[{MARKS}]+|[^{MARKS}]+")
+# Thai, Lao, Burmese, Khmer, kana and Han: letters of words that no space parts.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+UNSPACED_LETTER = re.compile(f"[{UNSPACED}]")
+WORD = re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
+# A passage of n words shares all but 4 * NEIGHBOURS - 3 or 2 * LONGEST words in whole pieces of at
+# most LONGEST words: with 51 words three pieces and LEAST_WORDS remain.
+LONGEST = 12
+NEIGHBOURS = 7
 NO_ID = -(2**63)
 
 
+def count_words(text: str) -> int:
+    if text.isascii() or not UNSPACED_LETTER.search(text):
+        return len(text.split())
+    return len(WORD.findall(text))
+
+
+def shorter(piece: str) -> list[str]:
+    """A long piece cut before each word whose hash is the first smallest of some seven neighbours."""
+    words = [(m.start(), zlib.crc32(m[0].encode("utf-8", "replace"))) for m in WORD.finditer(piece)]
+    hashes = [h for _, h in words]
+    cuts = set()
+    for at in range(len(hashes) - NEIGHBOURS + 1):
+        some = hashes[at : at + NEIGHBOURS]
+        cuts.add(at + some.index(min(some)))
+    edges = [0, *(words[c][0] for c in sorted(cuts - {0})), len(piece)]
+    return [piece[a:b] for a, b in zip(edges, edges[1:])]
+
+
 def pieces(text: str | None) -> list[str]:
-    return PIECE.findall(text or "")
+    out = []
+    for piece in PIECE.findall(text or ""):
+        if len(piece) > LONGEST and count_words(piece) > LONGEST:
+            out += shorter(piece)
+        else:
+            out.append(piece)
+    return out
 
 
 def run_hashes(parts: list[str], run: int = RUN) -> np.ndarray:
@@ -74,7 +116,7 @@ def removed_pieces(parts: list[str], lost: set[int], run: int = RUN, least_words
         covered[start : start + run] = True
     edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8), [0]])))
     for start, end in zip(edges[::2], edges[1::2]):
-        if sum(len(p.split()) for p in parts[start:end]) < least_words:
+        if sum(count_words(p) for p in parts[start:end]) < least_words:
             covered[start:end] = False
     return np.flatnonzero(covered)
 
@@ -110,7 +152,7 @@ def drop_repeated_passages(
                 out = removed_pieces(parts, set(gone or ()), run, least_words).tolist()
                 held = set(out)
                 kept = "".join(p for i, p in enumerate(parts) if i not in held)
-                words = sum(len(parts[i].split()) for i in out)
+                words = sum(count_words(parts[i]) for i in out)
                 rows.append((None if doc == NO_ID else doc, len(parts), out, words, kept))
             columns = zip(*rows) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import random
 from collections import defaultdict
 
+import pytest
+
 from ledgerline.llm import substring_dedup as sub
 
 
@@ -68,3 +71,55 @@ def test_odd_documents(spark, tricky, no_docs):
     assert {r["text"] for r in rows if r["doc_id"] in (0, 1)} == {""}
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in tricky.collect()}
     assert sub.drop_repeated_passages(spark, no_docs).count() == 0
+
+
+LATIN = [f"{a}{b}{c}" for a in ("be", "lo", "mi", "ta", "sur") for b in ("ra", "no", "ku") for c in ("n", "ty", "m", "st")]
+HAN = [chr(0x4E00 + 37 * i) for i in range(400)]
+
+
+def embedded(kind, seed):
+    """A passage of 51 words, or characters, in the middle of sentences of two texts, and the texts."""
+    draw = random.Random(f"{kind} {seed}")
+    if kind == "han":
+        words, space, marks = HAN, "", ["", "\u3002", "\uff0c"]
+    else:
+        words, space, marks = LATIN, " ", [""] if kind == "unpunctuated" else ["", ".", ","]
+    some = draw.choices(words, k=51)
+    if kind == "two sentences":
+        some[draw.randrange(10, 40)] += "."
+    elif kind != "unpunctuated":
+        for at in range(draw.randrange(1, 14), 51, draw.randrange(5, 14)):
+            some[at] += draw.choice(marks)
+    passage = space.join(some)
+    texts = []
+    for _ in range(2):
+        before, after = (space.join(draw.choices(words, k=draw.randrange(1, 40))) for _ in range(2))
+        texts.append(before + space + passage + space + after)
+    return texts
+
+
+@pytest.mark.parametrize("kind", ["unpunctuated", "two sentences", "mixed", "han"])
+def test_any_passage_of_over_50_words_is_found(kind):
+    for seed in range(300):
+        first, second = (sub.pieces(t) for t in embedded(kind, seed))
+        lost = set(sub.run_hashes(first).tolist())
+        out = sub.removed_pieces(second, lost).tolist()
+        assert sum(sub.count_words(second[i]) for i in out) >= 25, seed
+        assert "".join(second[i] for i in out) in "".join(first)
+
+
+def test_unmarked_passages_go_from_the_later_document(spark):
+    rows, kinds = [], ["unpunctuated", "two sentences", "mixed", "han"]
+    for i, kind in enumerate(kinds):
+        rows += [(10 * i + n, t) for n, t in enumerate(embedded(kind, 1000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in sub.drop_repeated_passages(spark, docs).collect()}
+    for i in range(len(kinds)):
+        assert got[10 * i]["removed_words"] == 0 and got[10 * i + 1]["removed_words"] >= 25
+
+
+def test_pieces_of_any_script_give_the_text_again():
+    for kind in ("unpunctuated", "han"):
+        for text in embedded(kind, 0):
+            assert "".join(sub.pieces(text + "  \n ")) == text + "  \n "
+            assert max(sub.count_words(p) for p in sub.pieces(text)) <= sub.LONGEST
