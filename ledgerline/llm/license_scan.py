@@ -5,6 +5,11 @@ templates are vectors of terms weighted by their frequency and by how few passag
 corpus have them; the best template is a file's licence if its cosine reaches the threshold.
 Products run over the terms of the templates alone, a fixed list.
 
+Licence bodies (the texts in ``licences``), usual headers and titles are compared apart from that,
+by the cosine of the sets of word pairs: whole licence files, cue lines, and the blocks of lines
+without an empty one between them that hold a cue. An SPDX line that names a known licence counts
+as 1, the first name of an expression. The better of the two scores counts, of equal ones the line's.
+
 A file without a licence takes that of the licence file in the nearest directory above it.
 Directories, not files, are joined with the directories above them, so a directory that many
 files lie in is joined once. Of several licence files in a directory the best match counts,
@@ -18,7 +23,10 @@ path and text may have any name; the result has those that are asked for.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +52,86 @@ LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)([.-].*)?$"
 TERM = r"[a-z0-9]+"
 THRESHOLD = 0.6
 
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, {1}. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details. You should have received a copy of the GNU {0} along with this program."
+_LATER = "either version {0} of the License, or (at your option) any later version"
+_CC = "This work is licensed under a Creative Commons {0} 4.0 International License."
+# Usual headers, titles and long names, besides the bodies.
+NOTICES = [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("Apache-2.0", "Apache License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("CC-BY-4.0", _CC.format("Attribution")),
+    ("CC-BY-NC-4.0", _CC.format("Attribution-NonCommercial")),
+    ("CC-BY-SA-4.0", _CC.format("Attribution-ShareAlike")),
+    ("GPL-2.0", _GNU.format("General Public License", _LATER.format(2))),
+    ("GPL-2.0", _GNU.format("General Public License", "version 2 of the License")),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", _GNU.format("General Public License", _LATER.format(3))),
+    ("GPL-3.0", _GNU.format("General Public License", "version 3 of the License")),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", _GNU.format("Lesser General Public License", _LATER.format(3))),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "MIT License"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+]
+SPDX = re.compile(r"(?i)spdx-license-identifier:[\s(]*([a-z0-9.+-]+)")
+SPDX_NAMES = {n.lower(): n for n in TEMPLATES if n != "Proprietary"}
+LICENCE_TEXTS = Path(__file__).parent / "licences"
+
+
+def pairs(text: str) -> set[str]:
+    words = re.findall(TERM, text.lower())
+    return {f"{a} {b}" for a, b in zip(words, words[1:])}
+
+
+def body_pairs() -> list[tuple[str, set[str]]]:
+    bodies = [(f.name.removesuffix(".txt"), f.read_text()) for f in sorted(LICENCE_TEXTS.glob("*.txt"))]
+    return [(n, pairs(t)) for n, t in [*bodies, *NOTICES]]
+
+
+def best_body(text: str, whole: bool, bodies: list[tuple[str, set[str]]]) -> tuple[str | None, float]:
+    """The licence whose body, header, title or SPDX line comes nearest to a part of the text."""
+    cue, blocks, block = re.compile(CUE), [], []
+    for line in [*text.split("\n"), ""]:
+        if line.strip():
+            block.append(line)
+            continue
+        if any(map(cue.search, block)):
+            blocks.append("\n".join(block))
+            blocks += [x for x in block if cue.search(x)] if len(block) > 1 else []
+        block = []
+    for part in blocks:
+        for name in SPDX.findall(part):
+            known = SPDX_NAMES.get(re.sub(r"(-only|-or-later|\+)$", "", name.lower().rstrip(".")))
+            if known:
+                return known, 1.0
+    best = (None, 0.0)
+    for part in dict.fromkeys([*([text] if whole else []), *blocks]):
+        mine = pairs(part)
+        for name, theirs in bodies if mine else []:
+            score = round(len(mine & theirs) / (len(mine) * len(theirs)) ** 0.5, 6)
+            if score > best[1]:
+                best = (name, score)
+    return best
+
+
+def body_matcher():
+    """A column function: text and whether it is a licence file to the nearest body and its score."""
+    bodies = body_pairs()
+
+    @F.pandas_udf("name string, score double")
+    def match(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, special in batches:
+            found = [(None, 0.0) if t is None else best_body(t, w, bodies) for t, w in zip(texts, special)]
+            yield pd.DataFrame(found, columns=["name", "score"])
+
+    return match
+
 
 def passages(files: DataFrame, keep: list[str]) -> DataFrame:
     """The kept columns, number, path, directory and passages of each file; one scan of the texts."""
@@ -58,6 +146,7 @@ def passages(files: DataFrame, keep: list[str]) -> DataFrame:
         F.monotonically_increasing_id().alias("row_no"),
         F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("dir"),
         special.alias("is_licence_file"),
+        body_matcher()(F.when(special | (F.size(lines) > 0), text), special).alias("body"),
         F.concat(lines, F.when(special, F.array(text)).otherwise(F.array().cast("array<string>"))).alias("passages"),
     )
 
@@ -143,9 +232,13 @@ def scan_licences(
 ) -> DataFrame:
     """The kept columns (the path if none are named) with own, inherited and effective licence."""
     found = stored(spark, passages(files, keep or ["path"]), "passages")
+    body = (F.col("body.score") >= threshold) & (F.col("body.score") > F.coalesce("own_score", F.lit(0.0)))
     judged = stored(
         spark,
-        found.drop("passages").join(own_licences(spark, found, threshold), "row_no", "left"),
+        found.drop("passages")
+        .join(own_licences(spark, found, threshold), "row_no", "left")
+        .withColumn("own_licence", F.when(body, F.col("body.name")).otherwise(F.col("own_licence")))
+        .withColumn("own_score", F.when(body, F.col("body.score")).otherwise(F.col("own_score"))),
         "own-licences",
     )
     joined = judged.join(inherited(spark, judged), "dir", "left")

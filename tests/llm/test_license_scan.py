@@ -47,3 +47,17 @@ def test_every_template_finds_itself(spark):
 
 def test_empty_table(spark):
     assert scan.scan_licences(spark, files(spark).limit(0), ["doc_id"]).count() == 0
+
+
+def test_bodies_headers_titles_and_spdx_lines(spark):
+    owner = "Copyright (c) 2020, Foo Bar. All rights reserved.\n\n"
+    bodies = {f.name[:-4]: f.read_text() for f in scan.LICENCE_TEXTS.glob("*.txt")}
+    assert set(bodies) == {"Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MIT", "MPL-2.0"}
+    cases = [(n, f"{n}/LICENSE", owner + t) for n, t in bodies.items()]
+    cases += [(n, "x.c", "".join(f"# {x}\n" for x in ["Copyright 2020 Foo", *t.split(". ")]) + "\nint main;\n") for n, t in scan.NOTICES if len(t) > 200]
+    cases += [(n, "t.md", f"intro\n\n{t}\n\nmore") for n, t in scan.NOTICES if len(t) < 100]
+    cases += [("MIT", "a.c", "// SPDX-License-Identifier: MIT\nint a;"), ("Apache-2.0", "b.c", "# SPDX-License-Identifier: Apache-2.0\nx = 1")]
+    cases += [("GPL-2.0", "c.c", "/* SPDX-License-Identifier: GPL-2.0-or-later */\nint c;")]
+    rows = [(i, p, t, "", "", "", "") for i, (_, p, t) in enumerate(cases)]
+    got = {r["doc_id"]: r["own_licence"] for r in scan.scan_licences(spark, spark.createDataFrame(rows, SCHEMA), ["doc_id"]).collect()}
+    assert got == {i: n for i, (n, _, _) in enumerate(cases)}
