@@ -1,9 +1,10 @@
 """Token ids of whole texts by a public tokenizer, as little-endian unsigned 32-bit ids.
 
-The ids are those of the tokenizers library without special tokens. Its byte-level splitter
-never joins text across a single space, so a text is cut at spaces and each cut piece is
-encoded once per process: common words are looked up, not merged again. Texts where a space
-stands between white space are given to the library as a whole.
+The ids are those of the tokenizers library, which adds no special tokens but takes the string
+of one in a text for that token. Its byte-level splitter never joins text across a single
+space, so a text is cut at spaces and each cut piece is encoded once per process: common words
+are looked up, not merged again. Texts where a space stands between white space, and texts that
+hold the string of an added token, are given to the library as a whole.
 """
 
 from __future__ import annotations
@@ -83,13 +84,14 @@ class _Chunks(dict):
 class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.chunks = _Chunks(self.tokenizer)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if JOINED.search(text):
+        if JOINED.search(text) or (self.added and self.added.search(text)):
             return self.chunks.whole(text)
         first, *rest = text.split(" ")
         return (self.chunks.of(first) if first else b"") + b"".join(map(self.chunks.__getitem__, rest))

@@ -1,25 +1,32 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text and one on toxic text. A document
-is read whole, in windows of a few words; each window is compressed once with the ordinary
-dictionary and once with both, and the bytes that the toxic dictionary saves are its gain.
+Two zstandard dictionaries are trained apart, one from toxic and one from ordinary text. A
+document is read whole, in windows of a few words; each window is compressed once with either
+dictionary, and the bytes that the toxic one saves, as a share of the window, are its gain.
 Gains per document are put on a 0-to-1 scale by thresholds calibrated on labelled documents
-that the dictionaries have not seen.
-
-Training text is chosen by contrast: word beginnings that many toxic and almost no ordinary
-documents use. Ordinary windows with a gain are fed back into the ordinary dictionary, so that
-what both kinds of text share saves nothing. Several settings are trained and the best one on
-the calibration documents is taken.
+that neither dictionary has seen.
+
+Letters count, not their case or the marks around them: texts are lower-cased and runs of
+marks and digits become one space. What goes into the toxic dictionary is chosen by contrast:
+byte stretches of several lengths, across words too, that occur in so many more toxic than
+ordinary texts that chance does not explain it (a likelihood ratio beyond the logarithm of
+the number of stretches looked at). No word list, language or share of texts enters, so a
+language with few labelled texts is learned as well. Ordinary windows that gain without holding
+such a stretch are fed back into the ordinary dictionary, toxic texts without a gain give their best window to the toxic
+one. Near copies among the labelled texts count once. Settings are tried on halves of the
+labelled texts, each scored by the other half, and the best one is trained on all.
 
 Null and empty texts have no window and get the score of a document without gain. Documents
 without a label, null labels and repeated ids are allowed; of differing labels of one id the
 higher one counts. With labels of one kind only, nothing can be learned and every score is 0.
-Other columns of the documents may have any name.
+Where both dictionaries come out equal every gain is 0 and all scores are the same. Other
+columns of the documents may have any name.
 """
 
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -34,17 +41,38 @@ from ledgerline.llm.common import documents, process_cache, table
 
 # The fit uses a bounded sample of labelled rows: so many of each kind, in order of a hash of
 # the id, none longer than FIT_CHARS. Everything is scored, whole.
-FIT_TOXIC = 2000
-FIT_ORDINARY = 4000
+FIT_TOXIC = 1500
+FIT_ORDINARY = 3000
 FIT_CHARS = 20_000
 
 FOLDS = 5
 
-# Words per window, bytes of the toxic dictionary, length of its segments, zstandard level.
-SETTINGS = [(8, 3072, 16, 3), (8, 2048, 16, 3), (6, 3072, 16, 3)]
-ORDINARY_BYTES = 65_536
+# Words per window, bytes of the toxic and of the ordinary dictionary.
+SETTINGS = [(3, 16_384, 49_152)]
+STRETCHES = (5, 6, 8, 10, 12)
 ORDINARY_WINDOWS = 60_000
 ROUNDS = 3
+HARD_TEXTS = 800
+
+# Bytes hashed at a time while stretches are counted: bounds what the driver holds.
+CHUNK = 2_000_000
+
+# Short matches count and the cheapest parse is looked for: windows are a few words long.
+ZSTD = dict(
+    window_log=17,
+    chain_log=16,
+    hash_log=14,
+    search_log=5,
+    min_match=3,
+    target_length=64,
+    strategy=zstandard.STRATEGY_BTOPT,
+    write_content_size=False,
+    write_checksum=False,
+    write_dict_id=False,
+)
+BETWEEN = re.compile(r"[\W\d_]+")
+CLEAR = (0.001, 0.05, 0.1, 0.15, 0.2, 0.3)
+TOP = 5
 
 
 @dataclass(frozen=True)
@@ -54,47 +82,52 @@ class Model:
     ordinary: bytes
     toxic: bytes
     words: int
-    level: int
     mean: tuple[float, ...]
     scale: tuple[float, ...]
     weights: tuple[float, ...]
 
 
-def windows(text: str | None, words: int) -> list[bytes]:
-    """The whole text in windows of so many words."""
-    parts = (text or "").encode("utf-8", "replace").split()
+def plain(text: str | None) -> bytes:
+    """Lower-case letters, one space between words and at both ends."""
+    inner = BETWEEN.sub(" ", (text or "").lower()).strip()
+    return f" {inner} ".encode("utf-8", "replace") if inner else b""
+
+
+def windows(content: bytes, words: int) -> list[bytes]:
+    """A whole plain text in windows of so many words."""
+    parts = content.split()
     return [b" " + b" ".join(parts[i : i + words]) + b" " for i in range(0, len(parts), words)]
 
 
-def compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
+def compressor(content: bytes) -> zstandard.ZstdCompressor:
+    settings = zstandard.ZstdCompressionParameters(**ZSTD)
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    held.precompute_compress(level=level)
-    return zstandard.ZstdCompressor(
-        dict_data=held, level=level, write_content_size=False, write_checksum=False, write_dict_id=False
-    )
+    held.precompute_compress(compression_params=settings)
+    return zstandard.ZstdCompressor(dict_data=held, compression_params=settings)
 
 
-def compressors(ordinary: bytes, toxic: bytes, level: int) -> tuple:
-    """With the ordinary dictionary, and with the toxic one besides.
-
-    The toxic content stands first, farthest from the window, so ordinary text costs the same
-    in both and only what the toxic dictionary alone holds makes a difference.
-    """
-    return compressor(ordinary, level), compressor(toxic + ordinary, level)
+def compressors(ordinary: bytes, toxic: bytes) -> tuple:
+    # zstandard refuses an empty dictionary; spaces compress nothing.
+    return compressor(ordinary or b" " * 8), compressor(toxic or b" " * 8)
 
 
 def gains(pair: tuple, parts: list[bytes]) -> np.ndarray:
-    plain, both = pair[0].compress, pair[1].compress
-    return np.array([len(plain(x)) - len(both(x)) for x in parts], dtype=np.float64)
+    """Bytes the toxic dictionary saves against the ordinary one, per byte of the window."""
+    ordinary, toxic = pair[0].compress, pair[1].compress
+    return np.array([(len(ordinary(x)) - len(toxic(x))) / len(x) for x in parts], dtype=np.float64)
 
 
 def features(gain: np.ndarray) -> list[float]:
-    """The three largest gains, how many are clear, and how long the document is."""
-    top = np.zeros(3)
-    best = np.sort(gain)[::-1][:3]
+    """The largest gains, and how many windows and what share of them are clear."""
+    top = np.full(TOP, -0.3)
+    best = np.sort(gain)[::-1][:TOP]
     top[: len(best)] = best
-    clear = float((gain >= 3).sum())
-    return [*top, clear, float((gain >= 5).sum()), float(np.log1p(len(gain))), clear / (len(gain) + 1)]
+    out = [*top, float(top.sum())]
+    for least in CLEAR:
+        clear = float((gain >= least).sum())
+        out += [clear**0.5, clear / (len(gain) + 5)]
+    saved = float(np.maximum(gain, 0).sum())
+    return [*out, saved**0.5, saved / (len(gain) + 5), float(gain.mean()) if len(gain) else 0.0]
 
 
 def score_texts(model: Model | None, texts: Iterable[str | None]) -> np.ndarray:
@@ -103,8 +136,8 @@ def score_texts(model: Model | None, texts: Iterable[str | None]) -> np.ndarray:
         return np.zeros(len(texts))
     cache = process_cache("toxicity")
     if cache.get("model") != model:
-        cache.update(model=model, pair=compressors(model.ordinary, model.toxic, model.level))
-    rows = np.array([features(gains(cache["pair"], windows(t, model.words))) for t in texts])
+        cache.update(model=model, pair=compressors(model.ordinary, model.toxic))
+    rows = np.array([features(gains(cache["pair"], windows(plain(t), model.words))) for t in texts])
     return probability(rows, model.mean, model.scale, model.weights)
 
 
@@ -114,97 +147,205 @@ def probability(rows: np.ndarray, mean, scale, weights) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def beginnings(word: str) -> set[str]:
-    return {word[:n] for n in range(4, min(8, len(word)) + 1)}
-
-
-def stem(word: str) -> str:
-    return " " + word.strip(".,;:!?\"'()")
-
-
-def toxic_samples(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Of each toxic text the words whose beginnings set toxic texts apart."""
-
-    def used(texts: list[str]) -> Counter:
-        count: Counter = Counter()
-        for text in texts:
-            count.update(set().union(*(beginnings(stem(w)) for w in set(text.split())), set()))
-        return count
-
-    here, there = used(toxic), used(ordinary)
-    least = max(3, 0.015 * len(toxic))
-    telling = {
-        g for g, n in here.items() if n >= least and n / len(toxic) >= 20 * (there[g] + 0.5) / len(ordinary)
-    }
-    samples = []
-    for text in toxic:
-        found = [stem(w) for w in text.split() if beginnings(stem(w)) & telling]
-        if found:
-            samples.append((" ".join(found) + " ").encode())
-    return samples
-
-
-def trained(size: int, samples: list[bytes], segment: int, level: int) -> bytes:
+def stretch_hashes(content: bytes, length: int) -> np.ndarray:
+    """A hash of each stretch of so many bytes."""
+    data = np.frombuffer(content, dtype=np.uint8).astype(np.uint64)
+    count = max(0, len(data) - length + 1)
+    out = np.zeros(count, np.uint64)
+    for j in range(length if count else 0):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + data[j : j + count] + np.uint64(1)
+    return out ^ (out >> np.uint64(29))
+
+
+def without_near_copies(texts: list[bytes]) -> list[bytes]:
+    """Texts of which at most half the stretches occur in the ones before."""
+    seen: set[int] = set()
+    out = []
+    for text in texts:
+        found = stretch_hashes(text, 12)
+        sample = set(found[(found & np.uint64(15)) == 0].tolist())
+        if len(sample) >= 4 and len(sample & seen) > 0.5 * len(sample):
+            continue
+        seen |= sample
+        out.append(text)
+    return out
+
+
+def among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which values occur among the sorted keys."""
+    if not len(keys):
+        return np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    return keys[at] == values
+
+
+def chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
+    part: list[bytes] = []
+    size = 0
+    for text in texts:
+        part.append(text)
+        size += len(text)
+        if size >= CHUNK:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def texts_with(texts: list[bytes], length: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches and in how many texts they occur; only the known ones, if given."""
+    keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for part in chunks(texts):
+        found = [np.unique(stretch_hashes(t, length)) for t in part]
+        every = np.concatenate(found)
+        if known is not None:
+            every = every[among(every, known)]
+        keys, at = np.unique(np.concatenate([keys, every]), return_inverse=True)
+        weights = np.concatenate([counts, np.ones(len(every), np.int64)])
+        counts = np.bincount(at, weights=weights, minlength=len(keys)).astype(np.int64)
+    return keys, counts
+
+
+def telling_stretches(toxic: list[bytes], ordinary: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per length the stretches that toxic texts hold too often for chance, and the evidence of each."""
+    out = {}
+    for length in STRETCHES:
+        keys, here = texts_with(toxic, length)
+        tested = len(keys)
+        keys, here = keys[here >= 3], here[here >= 3].astype(float)
+        if not len(keys):
+            continue
+        found, n = texts_with(ordinary, length, keys)
+        there = np.zeros(len(keys))
+        there[np.searchsorted(keys, found)] = n
+        share = len(toxic) / (len(toxic) + len(ordinary))
+        both = here + there
+        evidence = here * np.log(here / (both * share))
+        evidence += there * np.log(np.maximum(there, 1e-9) / (both * (1 - share)))
+        rate = (here + 0.5) / (len(toxic) + 1) / ((there + 0.5) / (len(ordinary) + 1))
+        telling = (evidence >= np.log(tested)) & (rate >= 4)
+        out[length] = (keys[telling], evidence[telling])
+    return out
+
+
+def telling_parts(text: bytes, telling: dict) -> set[bytes]:
+    """Stretches of a text that telling ones cover, out to the next spaces (12 bytes at most)."""
+    edges = np.zeros(len(text) + 1, np.int64)
+    for length, (keys, _) in telling.items():
+        found = np.flatnonzero(among(stretch_hashes(text, length), keys))
+        np.add.at(edges, found, 1)
+        np.add.at(edges, found + length, -1)
+    covered = np.concatenate([[0], (np.cumsum(edges)[:-1] > 0).astype(np.int64), [0]])
+    change = np.flatnonzero(np.diff(covered))
+    parts = set()
+    for start, end in zip(change[::2], change[1::2]):
+        left = text.rfind(b" ", max(0, start - 12), start + 1)
+        right = text.find(b" ", end - 1, end + 12)
+        parts.add(text[left if left >= 0 else max(0, start - 12) : right + 1 if right >= 0 else end + 12])
+    return parts
+
+
+def trained(size: int, samples: list[bytes]) -> bytes:
     """Content of a trained dictionary; with too little text for training, the text itself."""
-    joined = sum(map(len, samples))
-    if joined > 10 * size and len(samples) > 20:
+    if sum(map(len, samples)) > 10 * size and len(samples) > 20:
         try:
-            return zstandard.train_dictionary(size, samples, k=segment, d=6, level=level).as_bytes()
+            return zstandard.train_dictionary(size, samples, k=64, d=6, level=3).as_bytes()
         except zstandard.ZstdError:
             pass
     return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def logistic(rows: np.ndarray, labels: np.ndarray) -> tuple[tuple, tuple, tuple]:
+def dictionaries(
+    toxic: list[bytes], ordinary: list[bytes], telling: dict, words: int, toxic_size: int, ordinary_size: int
+) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary, hard windows of both kinds fed back."""
+    parts_of = [telling_parts(text, telling) for text in toxic]
+    common = Counter(part for parts in parts_of for part in parts)
+    held = [part for part, _ in sorted(common.items(), key=lambda item: (item[1], item[0]))]
+    draw = random.Random(11)
+    every = [w for t in ordinary for w in windows(t, 8)]
+    base = draw.sample(every, min(len(every), ORDINARY_WINDOWS))
+    plain_part = trained(ordinary_size * 3 // 4, base)
+    toxic_part = b"".join(held)[-toxic_size:]
+    for _ in range(ROUNDS - 1):
+        pair = compressors(plain_part, toxic_part)
+        hard: list[bytes] = []
+        for text in ordinary[:HARD_TEXTS]:
+            parts = windows(text, words)
+            gain = gains(pair, parts)
+            best = [parts[i] for i in np.argsort(-gain, kind="stable")[:2] if gain[i] > 0.05]
+            hard += [part for part in best if not telling_parts(part, telling)]
+        plain_part = (plain_part + b"".join(dict.fromkeys(hard)))[-ordinary_size:]
+        missed: set[bytes] = set()
+        for text, parts in list(zip(toxic, parts_of))[:HARD_TEXTS]:
+            if not (gains(pair, windows(text, words)) > 0).any():
+                missed |= parts
+        # The rarest stand first and fall out where room is short; missed ones move behind them.
+        held = [*[p for p in held if p not in missed], *[p for p in held if p in missed]]
+        toxic_part = b"".join(held)[-toxic_size:]
+    return plain_part, toxic_part
+
+
+def logistic(rows: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> tuple[tuple, tuple, tuple]:
     # A feature that never varies here says nothing and must not blow up elsewhere.
     mean, spread = rows.mean(0), rows.std(0)
     scale = np.where(spread > 1e-6, spread, 1.0)
     x = np.column_stack([np.ones(len(rows)), (rows - mean) / scale])
     weights = np.zeros(x.shape[1])
-    penalty = 1e-2 * np.eye(x.shape[1])
+    # Features overlap: weights are held together, the constant is free.
+    penalty = np.eye(x.shape[1])
+    penalty[0, 0] = 1e-9
     for _ in range(30):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ weights, -40, 40)))
-        weights += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty, x.T @ (labels - p) - penalty @ weights)
+        slope = x.T @ (counts * (labels - p)) - penalty @ weights
+        weights += np.linalg.solve(x.T @ (x * (counts * p * (1 - p))[:, None]) + penalty, slope)
     return tuple(mean), tuple(scale), tuple(weights)
 
 
-def log_loss(p: np.ndarray, labels: np.ndarray) -> float:
+def log_loss(p: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> float:
     p = np.clip(p, 1e-9, 1 - 1e-9)
-    return float(-(labels * np.log(p) + (1 - labels) * np.log(1 - p)).mean())
+    return float(-(counts * (labels * np.log(p) + (1 - labels) * np.log(1 - p))).sum() / counts.sum())
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
-    """The model from labelled texts; two thirds train dictionaries, the rest calibrates."""
-    toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
-    if not toxic or not ordinary:
+def rows_of(ordinary: bytes, toxic: bytes, words: int, texts: list[bytes]) -> np.ndarray:
+    pair = compressors(ordinary, toxic)
+    return np.array([features(gains(pair, windows(t, words))) for t in texts])
+
+
+def fit(toxic: list[str], ordinary: list[str], share: float | None = None) -> Model | None:
+    """The model from labelled texts, calibrated on texts its dictionaries did not see.
+
+    Either half of the texts is scored with dictionaries of the other half; on these figures
+    the calibration is fitted and the setting chosen, then its dictionaries are trained on all.
+    ``share`` is how many of all labelled texts are toxic, where the given ones are a sample
+    with another mix; the calibration weighs them accordingly.
+    """
+    bad = without_near_copies([t for t in dict.fromkeys(map(plain, toxic)) if t])
+    good = without_near_copies([t for t in dict.fromkeys(map(plain, ordinary)) if t])
+    if not bad or not good:
         return None
-    cut_t, cut_o = max(1, len(toxic) * 2 // 3), max(1, len(ordinary) * 2 // 3)
-    samples = toxic_samples(toxic[:cut_t], ordinary[:cut_o])
-    held = [*toxic[cut_t:], *ordinary[cut_o:]] or [*toxic, *ordinary]
-    labels = np.array([1.0] * (len(toxic) - cut_t) + [0.0] * (len(ordinary) - cut_o))
-    if len(set(labels)) < 2:
-        held, labels = [*toxic, *ordinary], np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
-    best: tuple[float, Model | None] = (np.inf, None)
-    for words, size, segment, level in SETTINGS:
-        draw = random.Random(11)
-        every = [w for t in ordinary[:cut_o] for w in windows(t, words)]
-        base = draw.sample(every, min(len(every), ORDINARY_WINDOWS))
-        mined: list[bytes] = []
-        toxic_part = trained(size, samples, segment, level)
-        for turn in range(ROUNDS):
-            plain_part = trained(ORDINARY_BYTES, base + 3 * mined, 64, level)
-            pair = compressors(plain_part, toxic_part, level)
-            if turn < ROUNDS - 1:
-                for text in ordinary[:cut_o][:1000]:
-                    parts = windows(text, words)
-                    gain = gains(pair, parts)
-                    mined += [parts[i] for i in np.argsort(-gain, kind="stable")[:2] if gain[i] > 1]
-        rows = np.array([features(gains(pair, windows(t, words))) for t in held])
-        mean, scale, weights = logistic(rows, labels)
-        loss = log_loss(probability(rows, mean, scale, weights), labels)
+    share = len(bad) / (len(bad) + len(good)) if share is None else share
+
+    halves = [(bad[0::2] or bad, good[0::2] or good), (bad[1::2] or bad, good[1::2] or good)]
+    found = [telling_stretches(*half) for half in halves]
+    best: tuple[float, tuple] = (np.inf, ())
+    for words, toxic_size, ordinary_size in SETTINGS:
+        rows, labels = [], []
+        for half, telling, other in zip(halves, found, halves[::-1]):
+            pair = dictionaries(*half, telling, words, toxic_size, ordinary_size)
+            checked = other[1][:HARD_TEXTS]
+            rows.append(rows_of(*pair, words, [*other[0], *checked]))
+            labels += [1.0] * len(other[0]) + [0.0] * len(checked)
+        every, kinds = np.concatenate(rows), np.array(labels)
+        toxic_rows = kinds.sum()
+        counts = np.where(kinds == 1, 1.0, toxic_rows * (1 - share) / share / (len(kinds) - toxic_rows))
+        calibration = logistic(every, kinds, counts)
+        loss = log_loss(probability(every, *calibration), kinds, counts)
         if loss < best[0]:
-            best = (loss, Model(plain_part, toxic_part, words, level, mean, scale, weights))
-    return best[1]
+            best = (loss, (words, toxic_size, ordinary_size, calibration))
+    words, toxic_size, ordinary_size, calibration = best[1]
+    pair = dictionaries(bad, good, telling_stretches(bad, good), words, toxic_size, ordinary_size)
+    return Model(*pair, words, *calibration)
 
 
 def fold(id_col: str | Column = "doc_id") -> Column:
@@ -220,6 +361,7 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame) -> Model | None:
         .agg(F.max("toxic").alias("toxic"))
         .filter(fold() != 0)
     )
+    kinds = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = known.filter("toxic = 1").orderBy(*order).limit(FIT_TOXIC).unionByName(
         known.filter("toxic = 0").orderBy(*order).limit(FIT_ORDINARY)
@@ -233,7 +375,8 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame) -> Model | None:
     )
     rows = sorted(texts.collect(), key=lambda r: r["doc_id"])
     random.Random(5).shuffle(rows)
-    return fit([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0])
+    toxic, ordinary = ([r["text"] for r in rows if r["toxic"] == kind] for kind in (1, 0))
+    return fit(toxic, ordinary, kinds if toxic and ordinary else None)
 
 
 def scorer(model: Model | None):

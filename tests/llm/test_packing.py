@@ -94,7 +94,6 @@ def test_pieces_of_odd_documents(spark, tricky, no_docs):
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(default_path())
-    tool.encode_special_tokens = True
     rows = packing.pack(spark, tricky, capacity=64).collect()
     want = Counter()
     for r in tricky.collect():

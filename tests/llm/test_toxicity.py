@@ -39,15 +39,40 @@ def test_whole_texts_count(model):
     """Toxic words behind a long ordinary text are found."""
     plain = " ".join(texts(30, False, 5))
     bad = " grumblefiend scoundrelish nastywort" * 4
-    pair = toxicity.compressors(model.ordinary, model.toxic, model.level)
-    ends = [toxicity.gains(pair, toxicity.windows(t, model.words)).max() for t in (plain, plain + bad)]
+    pair = toxicity.compressors(model.ordinary, model.toxic)
+    ends = [toxicity.gains(pair, toxicity.windows(toxicity.plain(t), model.words)).max() for t in (plain, plain + bad)]
     assert ends[1] > ends[0]
 
 
 def test_windows_cover_every_word():
     text = " ".join(f"w{i}" for i in range(101))
-    assert b" ".join(toxicity.windows(text, 8)).split() == text.encode().split()
-    assert toxicity.windows(None, 8) == toxicity.windows(" \n", 8) == []
+    content = toxicity.plain(text.replace("7", "x"))
+    assert b" ".join(toxicity.windows(content, 8)).split() == content.split()
+    assert toxicity.windows(toxicity.plain(None), 8) == toxicity.windows(toxicity.plain(" \n"), 8) == []
+
+
+def test_equal_dictionaries_gain_nothing():
+    pair = toxicity.compressors(b"some shared text", b"some shared text")
+    assert not toxicity.gains(pair, toxicity.windows(b" some other shared text ", 2)).any()
+
+
+def test_near_copies_teach_once():
+    draw = random.Random(6)
+    texts = [" ".join(draw.choices(WORDS, k=90)).encode() for _ in range(3)]
+    assert toxicity.without_near_copies([*texts, texts[0] + b"end", texts[1]]) == texts
+
+
+def test_telling_phrases_of_ordinary_words_are_found():
+    """Neither word tells anything alone, both together do."""
+    draw = random.Random(4)
+    def some(pair):
+        words = draw.choices(WORDS, k=30)
+        words[draw.randrange(28)] = pair
+        return f" {' '.join(words)} ".encode()
+    bad = [some("bitter lemon") for _ in range(60)]
+    good = [some(draw.choice(["bitter pill", "sour lemon"])) for _ in range(300)]
+    telling = toxicity.telling_stretches(bad, good)
+    assert all(any(b"r lem" in p for p in toxicity.telling_parts(t, telling)) for t in bad)
 
 
 def test_odd_texts_get_a_score(spark, tricky, no_docs, model):
