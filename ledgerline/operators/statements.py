@@ -41,13 +41,17 @@ def statement_kind(metric: Column) -> Column:
 def to_reports(long: DataFrame, period: str = "period") -> DataFrame:
     """Nested report per company: a period map per item, items by statement.
 
-    An item keeps its reported name and category.
+    An item keeps its reported name and category, null where the items carry none. Names are
+    not part of an item's key: of two names for one code the first in text order counts.
     """
-    about = ["metric_code", "metric_name", "unit", "category"]
-    items = long.groupBy("ticker", "period_type", "statement", *about).agg(
+    texts = {
+        name: F.min(name) if name in long.columns else F.lit(None).cast("string") for name in ["metric_name", "category"]
+    }
+    items = long.groupBy("ticker", "period_type", "statement", "metric_code", "unit").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(period, "value")))).alias("values"),
+        *[column.alias(name) for name, column in texts.items()],
     )
-    item = F.struct(*about, "values")
+    item = F.struct("metric_code", "metric_name", "unit", "category", "values")
     parts = [
         F.array_sort(F.collect_list(F.when(F.col("statement") == kind, F.to_json(item)))).alias(f"_{part}")
         for part, kind in REPORT_PARTS.items()

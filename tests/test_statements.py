@@ -226,6 +226,21 @@ def test_reports_round_trip(spark):
     assert back.exceptAll(long).count() == 0 and long.exceptAll(back).count() == 0
 
 
+def test_reports_round_trip_with_names(spark):
+    schema = (
+        "ticker string, period_type string, statement string, metric_code string, metric_name string, unit string,"
+        " category string, period string, value double"
+    )
+    rows = [("A", "YEARLY", "BS", "equity", "Equity", "VND", "Capital", str(y), float(y)) for y in (2019, 2020)]
+    long = spark.createDataFrame(rows, schema)
+    back = st.from_reports(st.to_reports(long)).select(*long.columns)
+    assert back.exceptAll(long).count() == 0 and long.exceptAll(back).count() == 0
+    # Two names of one code make one item.
+    renamed = spark.createDataFrame([rows[0], (*rows[1][:4], "Own funds", *rows[1][5:])], schema)
+    items = st.to_reports(renamed).first()["balance_sheet"]
+    assert [(i["metric_name"], i["values"]) for i in items] == [("Equity", {"2019": 2019.0, "2020": 2020.0})]
+
+
 def test_auc_matches_pair_counting(spark):
     rng = random.Random(8)
     rows = [("m", round(rng.random(), 2), int(rng.random() < 0.3)) for _ in range(2000)]
