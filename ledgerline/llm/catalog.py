@@ -8,6 +8,7 @@ from ledgerline.llm.exact_dedup import op4_exact_dedup
 from ledgerline.llm.license_scan import op3_license_scan
 from ledgerline.llm.mixing import op7_mixing
 from ledgerline.llm.packing import op2_best_fit_packing
+from ledgerline.llm.spelling import op11_spelling_variants
 from ledgerline.llm.substring_dedup import op6_substring_dedup
 from ledgerline.llm.token_files import op9_token_files
 from ledgerline.llm.toxicity import op1_toxicity
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_vp_tree": op8_vp_tree,
     "op9_token_files": op9_token_files,
     "op10_bagminhash": op10_bagminhash,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 # The others are tested against brute force, round trips or held-out labels.
