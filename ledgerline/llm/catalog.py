@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import exact_dedup, license_scan, vp_tree, warc
+from ledgerline.llm import exact_dedup, lexical_search, license_scan, vp_tree, warc
 from ledgerline.llm.bagminhash import op10_bagminhash
 from ledgerline.llm.exact_dedup import op4_exact_dedup
+from ledgerline.llm.lexical_search import op13_fp_tree_search
 from ledgerline.llm.license_scan import op3_license_scan
 from ledgerline.llm.mixing import op7_mixing
 from ledgerline.llm.packing import op2_best_fit_packing
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_bagminhash": op10_bagminhash,
     "op11_spelling_variants": op11_spelling_variants,
+    "op13_fp_tree_search": op13_fp_tree_search,
 }
 
 # The others are tested against brute force, round trips or held-out labels.
@@ -35,4 +37,5 @@ ORACLES = {
     "op4_exact_dedup": exact_dedup.SQL,
     "op5_warc": warc.SQL,
     "op8_vp_tree": vp_tree.SQL,
+    "op13_fp_tree_search": lexical_search.SQL,
 }
