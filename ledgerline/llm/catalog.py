@@ -9,6 +9,7 @@ from ledgerline.llm.lexical_search import op13_fp_tree_search
 from ledgerline.llm.license_scan import op3_license_scan
 from ledgerline.llm.mixing import op7_mixing
 from ledgerline.llm.packing import op2_best_fit_packing
+from ledgerline.llm.personal_data import op12_personal_data
 from ledgerline.llm.spelling import op11_spelling_variants
 from ledgerline.llm.substring_dedup import op6_substring_dedup
 from ledgerline.llm.token_files import op9_token_files
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_bagminhash": op10_bagminhash,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_personal_data": op12_personal_data,
     "op13_fp_tree_search": op13_fp_tree_search,
 }
 
