@@ -56,19 +56,39 @@ def listing(exchange_list: DataFrame, symbols: DataFrame, order: str) -> DataFra
     return listed.join(names, "ticker", "left")
 
 
-def enrich(listed: DataFrame, overview: DataFrame, source: str) -> DataFrame:
-    """Add overview facts; an empty overview name gives way to the listed one."""
-    facts = overview.withColumnRenamed("name", "_overview_name")
-    joined = listed.join(facts, "ticker", "left")
-    name = or_else(F.col("_overview_name"), F.col("name"))
-    return (
-        joined.withColumn("name", name)
-        .drop("_overview_name")
-        .withColumn(
-            "listing_date",
-            F.date_format(F.try_to_timestamp("listing_date"), "yyyy-MM-dd"),
-        )
-        .withColumn("source", F.lit(source))
+# Texts of a company overview, beside its name, sector, listing flag and listing date.
+OVERVIEW_TEXTS = ["short_name", "company_profile", "com_type_code", "com_group_code", "tag", "icb_code_lv2"]
+
+
+def enrich(listed: DataFrame, overview: DataFrame, source: str, updated_on: str | Column) -> DataFrame:
+    """Add overview facts; an empty overview name gives way to the listed one.
+
+    Facts that the overview does not carry, and all of them for a ticker without one, are null.
+    ``listing`` may come as a boolean or as text or number that says so; anything else is null.
+    ``updated_on`` is the day of the run, so that a rerun for a day gives the same rows.
+    """
+    def fact(name: str) -> Column:
+        return F.col(name) if name in overview.columns else F.lit(None).cast("string")
+
+    facts = overview.select(
+        "ticker",
+        F.col("name").alias("_overview_name"),
+        fact("sector").alias("sector"),
+        F.try_to_timestamp(fact("listing_date").cast("string")).alias("_listed_on"),
+        fact("listing").cast("string").try_cast("boolean").alias("listing"),
+        *[fact(c).cast("string").alias(c) for c in OVERVIEW_TEXTS],
+    )
+    joined = listed.drop("sector", "listing", *OVERVIEW_TEXTS).join(facts, "ticker", "left")
+    day = F.lit(updated_on) if isinstance(updated_on, str) else updated_on
+    return joined.select(
+        *[or_else(F.col("_overview_name"), F.col("name")).alias(c) if c == "name" else F.col(c) for c in listed.columns
+          if c not in {"sector", "listing", *OVERVIEW_TEXTS}],
+        "sector",
+        "listing",
+        F.date_format("_listed_on", "yyyy-MM-dd").alias("listing_date"),
+        *OVERVIEW_TEXTS,
+        F.lit(source).alias("source"),
+        day.alias("updated_at"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators.dedup import keep_last
@@ -11,6 +11,7 @@ from ledgerline.operators.quality import accepted_records
 from ledgerline.schemas import CURATED_COLUMNS, RECORD_COLUMNS
 from ledgerline.session import stored
 from ledgerline.sinks.curated import write_curated
+from ledgerline.sources.curated import stored_files
 
 KEYS = ["ticker", "trading_date"]
 
@@ -23,18 +24,22 @@ def unique_bars(entries: DataFrame, fail_fast: bool = False) -> DataFrame:
 def transform(
     spark: SparkSession, entries: DataFrame, root: str, fail_fast: bool = False
 ) -> DataFrame:
-    """Recompute the curated partitions of every ticker in the input; returns its rows."""
+    """Recompute the curated partitions of every ticker in the input.
+
+    Returns one row: input files, output files, rows and tickers. Rows are counted while the
+    table is written; the files are those the input lists and those the write has left in the
+    partitions it touched, so no row is read for the summary.
+    """
     bars = stored(spark, unique_bars(entries, fail_fast), "bars")
     if bars.isEmpty():
         raise FileNotFoundError("no valid raw records")
-    curated = indicators(bars).select(*CURATED_COLUMNS)
-    write_curated(curated, root)
-    return bars
-
-
-def summary(entries: DataFrame, curated: DataFrame) -> DataFrame:
-    """Input files, rows and tickers of a transform."""
-    files = entries.agg(F.countDistinct("file_path").alias("input_files"))
-    totals = curated.agg(F.count("*").alias("rows"), F.countDistinct("ticker").alias("tickers"))
-    both = files.unionByName(totals, allowMissingColumns=True)
-    return both.agg(*[F.max(c).alias(c) for c in ["input_files", "rows", "tickers"]])
+    written = Observation("transform")
+    curated = indicators(bars).select(*CURATED_COLUMNS).observe(written, F.count("*").alias("rows"))
+    write_curated(curated, root, dates=bars)
+    out = stored_files(spark, root).join(bars.select("ticker").distinct(), "ticker", "left_semi")
+    return out.agg(
+        F.lit(len(entries.inputFiles())).cast("bigint").alias("input_files"),
+        F.count("*").alias("output_files"),
+        F.lit(written.get["rows"]).cast("bigint").alias("rows"),
+        F.count_distinct("ticker").alias("tickers"),
+    )

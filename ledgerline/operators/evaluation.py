@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numeric import ratio
-from ledgerline.operators.quantiles import binned_by_value
+from ledgerline.operators.quantiles import in_ranges
 from ledgerline.operators.series import running_sums
 
 
@@ -46,18 +46,18 @@ def roc_points(
 ) -> DataFrame:
     """One point per distinct score, from the highest down; equal scores count together.
 
-    Scores are pre-aggregated, then accumulated bin by bin: no task orders all scores.
-    ``listed_keys`` says that the keys come from a written-down list, so that their
-    splitters and totals may be broadcast instead of gathering a key's scores in one task.
+    Scores are pre-aggregated, then accumulated range by range: no task orders all scores.
+    ``listed_keys`` says that the keys come from a written-down list, so that their totals
+    may be broadcast instead of gathering a key's scores in one task.
     """
     true = F.col(label) == 1
     counts = scored.groupBy(*keys, score).agg(
         F.count_if(true).alias("pos"), F.count_if(~true).alias("neg")
     )
-    ascending = binned_by_value(counts, scored, keys, score, listed_keys=listed_keys)
-    binned = ascending.withColumn("_bin", -F.col("_bin"))
+    ascending = in_ranges(counts, keys, score)
+    ranged = ascending.withColumn("_bin", -F.col("_bin"))
     sums = {"tp": F.col("pos"), "fp": F.col("neg")}
-    points = running_sums(binned, keys, [F.col(score).desc()], "_bin", sums).drop("_bin")
+    points = running_sums(ranged, keys, [F.col(score).desc()], "_bin", sums).drop("_bin")
     totals = scored.groupBy(*keys).agg(
         F.count_if(true).alias("positives"), F.count_if(~true).alias("negatives")
     )

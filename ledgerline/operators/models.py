@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 from ledgerline.operators.dataset import FEATURES, risk_level
 
 SEED = 7
+REG_PARAM = 0.01
 
 
 def _classifier(kind: str, features: list[str], label: str, weight: str | None):
     common = {"featuresCol": "features", "labelCol": label}
     weighted = {**common, "weightCol": weight} if weight else common
     if kind == "lr":
-        return LogisticRegression(**weighted, regParam=0.01, elasticNetParam=0.0, maxIter=50)
+        return LogisticRegression(**weighted, regParam=REG_PARAM, elasticNetParam=0.0, maxIter=50)
     if kind == "rf":
         return RandomForestClassifier(**weighted, numTrees=30, maxDepth=6, seed=SEED)
     if kind == "gbt":
@@ -98,6 +99,41 @@ def linear_of(model: PipelineModel) -> Linear:
     )
 
 
+def lr_gradient(
+    rows: DataFrame, coefficients: list[float], intercept: float, label: str, weight: str, penalty: float = REG_PARAM
+) -> DataFrame:
+    """Gradient of the logistic objective, as (parameter number, gradient, gradient at zero).
+
+    ``rows`` have the scaled vector ``features``. The objective is the weighted mean log loss plus
+    half the penalty on coefficients times their feature's weighted deviation, as MLlib fits
+    it; the last parameter is the constant. One aggregate over the rows; all entries near
+    zero certify that the fit has reached its optimum.
+    """
+    x, w, y = vector_to_array("features"), F.col(weight), F.col(label)
+    score = reduce(lambda a, b: a + b, [F.lit(c) * x[j] for j, c in enumerate(coefficients)], F.lit(intercept))
+    base = rows.select(x.alias("_x"), w.alias("_w"), (1 / (1 + F.exp(-score)) - y).alias("_off"), (F.lit(0.5) - y).alias("_off0"))
+    total, squares = F.sum("_w"), F.sum(F.col("_w") * F.col("_w"))
+    columns = []
+    for j, c in enumerate(coefficients):
+        v = F.col("_x")[j]
+        spread = (F.sum(F.col("_w") * v * v) - F.pow(F.sum(F.col("_w") * v), 2) / total) / (total - squares / total)
+        columns.append(
+            F.struct(
+                F.lit(j).alias("parameter"),
+                (F.sum(F.col("_w") * F.col("_off") * v) / total + F.lit(penalty * c) * spread).alias("gradient"),
+                (F.sum(F.col("_w") * F.col("_off0") * v) / total).alias("at_zero"),
+            )
+        )
+    columns.append(
+        F.struct(
+            F.lit(len(coefficients)).alias("parameter"),
+            (F.sum(F.col("_w") * F.col("_off")) / total).alias("gradient"),
+            (F.sum(F.col("_w") * F.col("_off0")) / total).alias("at_zero"),
+        )
+    )
+    return base.agg(F.array(*columns).alias("_all")).select(F.inline("_all"))
+
+
 def _impacts(model: Linear, features: list[str]) -> list[Column]:
     """What each feature adds to the score: coefficient times scaled value; a gap adds nothing."""
     parts = zip(features, model.means, model.deviations, model.coefficients)

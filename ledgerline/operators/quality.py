@@ -132,12 +132,20 @@ def accepted_records(entries: DataFrame, fail_fast: bool = False) -> DataFrame:
     )
 
 
+def _broken_rules() -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(F.transform("checked", lambda r: r["violations"]))))
+
+
+def failure_message(gated: DataFrame) -> Column:
+    """Why a gated payload failed: the rules its records break, else the class of its failure."""
+    rules = F.when(F.col("bad_records") > 0, F.concat(F.lit("invalid record: "), F.array_join(_broken_rules(), ", ")))
+    return F.when(F.col("gate_status") == "FAIL", F.coalesce(rules, F.concat(F.lit("failed: "), "gate_code")))
+
+
 def rejected_batches(entries: DataFrame) -> DataFrame:
     """Payloads that did not pass, with the rules their records break."""
     gated = gate_batches(entries).filter(F.col("gate_status") == "FAIL")
-    broken = F.array_sort(
-        F.array_distinct(F.flatten(F.transform("checked", lambda r: r["violations"])))
-    )
+    broken = _broken_rules()
     return gated.select(
         "file_path",
         LINEAGE,

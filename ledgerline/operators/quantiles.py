@@ -1,115 +1,66 @@
-"""Exact ranks and quantiles without sorting a group in one task."""
+"""Exact ranks and quantiles without sorting a group in one task.
+
+Values are counted per key on the map side, and the distinct ones are range-partitioned by
+key and value: into as many ranges as their number asks for, so a range is bounded whatever
+a key holds. A rank inside a range plus the totals of the ranges before it is the rank in the
+group. The input is read once, by the counting.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.operators.series import running_sums
+from ledgerline.session import stored
 
+# Distinct values per range.
+RANGE_ROWS = 200_000
 
-def exact_quantiles(
-    values: DataFrame,
-    keys: list[str],
-    value: str,
-    probabilities: list[float],
-    accuracy: int = 100_000,
-    listed_keys: bool = False,
-) -> DataFrame:
-    """Continuous quantiles per key, as (keys, p, quantile); nulls do not count.
-
-    A mergeable sketch brackets each quantile by its own error bound; one more pass counts
-    what lies outside the bracket and keeps the distinct values inside it with their
-    frequencies. Only those, at most about ``8n/accuracy`` per quantile, are ordered. Where a
-    bracket misses its rank all distinct values of the key are counted, so every answer is
-    exact. ``listed_keys`` says that the keys come from a written-down list, so that the
-    brackets may be broadcast.
-    """
-    present = values.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    width = 4.0 / accuracy
-    points = [min(1.0, max(0.0, p + side * width)) for p in probabilities for side in (-1, 1)]
-    sketch = present.groupBy(*keys).agg(
-        F.percentile_approx("_v", points, accuracy).alias("_s"), F.count("*").alias("_n")
-    )
-    asked = F.array(
-        *[
-            F.struct(
-                F.lit(p).alias("p"),
-                F.col("_s")[2 * i].alias("_lo"),
-                F.col("_s")[2 * i + 1].alias("_hi"),
-                (F.lit(p) * (F.col("_n") - 1)).alias("_pos"),
-            )
-            for i, p in enumerate(probabilities)
-        ]
-    )
-    first = _at_positions(present, sketch.select(*keys, F.inline(asked)), keys, listed_keys)
-    missed = F.col("_a").isNull() | F.col("_b").isNull()
-    everything = first.filter(missed).select(
-        *keys, "p", F.lit(float("-inf")).alias("_lo"), F.lit(float("inf")).alias("_hi"), "_pos"
-    )
-    again = _at_positions(present, everything, keys, listed_keys)
-    share = F.col("_pos") - F.floor("_pos")
-    return (
-        first.filter(~missed)
-        .unionByName(again)
-        .select(*keys, "p", (F.col("_a") + (F.col("_b") - F.col("_a")) * share).alias("quantile"))
-    )
 
+def in_ranges(counts: DataFrame, keys: list[str], value: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Rows in order of key and value, with ``_bin``, the number of their range.
 
-def _at_positions(present: DataFrame, brackets: DataFrame, keys: list[str], listed_keys: bool) -> DataFrame:
-    """The values ``_a`` and ``_b`` at the two ranks around ``_pos``; null where a bracket misses.
-
-    Outside a bracket the values next to it are known as well: the largest below, the smallest above.
+    Equal values may span two ranges: their order among themselves must not matter.
     """
-    group = [*keys, "p"]
-    joined = present.join(F.broadcast(brackets) if listed_keys else brackets, keys)
-    side = F.when(F.col("_v") < F.col("_lo"), -1).when(F.col("_v") > F.col("_hi"), 1).otherwise(0)
-    counted = (
-        joined.withColumn("_side", side)
-        .groupBy(*group, "_pos", "_side", F.when(F.col("_side") == 0, F.col("_v")).alias("_in"))
-        .agg(F.count("*").alias("_c"), F.max("_v").alias("_top"), F.min("_v").alias("_bottom"))
-    )
-    upto = Window.partitionBy(*group).orderBy("_side", "_in").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_end", F.sum("_c").over(upto))
-
-    def at(rank):
-        start, end = F.col("_end") - F.col("_c"), F.col("_end")
-        return F.max(
-            F.when((F.col("_side") == 0) & (start <= rank) & (rank < end), F.col("_in"))
-            .when((F.col("_side") == -1) & (rank == end - 1), F.col("_top"))
-            .when((F.col("_side") == 1) & (rank == start), F.col("_bottom"))
-        )
-
-    pos = F.col("_pos")
-    return ranked.groupBy(*group).agg(
-        F.first("_pos").alias("_pos"), at(F.floor(pos)).alias("_a"), at(F.ceil(pos)).alias("_b")
-    )
-
+    held = stored(counts.sparkSession, counts, "counted-values")
+    ranges = max(1, math.ceil(held.count() / range_rows))
+    placed = held.repartitionByRange(ranges, *keys, value).withColumn("_bin", F.spark_partition_id())
+    return stored(counts.sparkSession, placed, "ranged-values")
 
-def binned_by_value(
-    counts: DataFrame,
-    rows: DataFrame,
-    keys: list[str],
-    value: str,
-    bins: int = 64,
-    listed_keys: bool = False,
-) -> DataFrame:
-    """Add ``_bin``, a coarse rank of the value within its key, from sketch splitters."""
-    cuts = [i / bins for i in range(1, bins)]
-    splitters = rows.groupBy(*keys).agg(F.percentile_approx(value, cuts, 10_000).alias("_cuts"))
-    binned = counts.join(F.broadcast(splitters) if listed_keys else splitters, keys)
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    return binned.withColumn("_bin", below).drop("_cuts")
 
-
-def value_ranks(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+def value_ranks(values: DataFrame, keys: list[str], value: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Distinct values per key with their frequency and the number of rows below them.
 
-    Returns (keys, value, ``n_here``, ``n_before``). Frequencies combine on the map side
-    and only the distinct values of one bin are ordered at a time.
+    Returns (keys, value, ``n_here``, ``n_before``); nulls do not count.
     """
     present = values.filter(F.col(value).isNotNull())
     counts = present.groupBy(*keys, value).agg(F.count("*").alias("n_here"))
-    binned = binned_by_value(counts, present, keys, value)
-    summed = running_sums(binned, keys, [F.col(value)], "_bin", {"_upto": F.col("n_here")})
+    summed = running_sums(
+        in_ranges(counts, keys, value, range_rows), keys, [F.col(value)], "_bin", {"_upto": F.col("n_here")}
+    )
     return summed.select(*keys, value, "n_here", (F.col("_upto") - F.col("n_here")).alias("n_before"))
+
+
+def exact_quantiles(
+    values: DataFrame, keys: list[str], value: str, probabilities: list[float], range_rows: int = RANGE_ROWS
+) -> DataFrame:
+    """Continuous quantiles per key, as (keys, p, quantile); nulls do not count."""
+    ranks = value_ranks(values, keys, value, range_rows)
+    asked = F.explode(F.array(*[F.lit(p) for p in probabilities])).alias("p")
+    totals = ranks.groupBy(*keys).agg(F.sum("n_here").alias("_n")).select(*keys, "_n", asked)
+    position = F.col("p") * (F.col("_n") - 1)
+    low, high = F.floor(position), F.ceil(position)
+
+    def holds(rank):
+        return (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n_here"))
+
+    # Each rank lies in one row: a key sends two rows per quantile and task at most.
+    near = ranks.join(totals, keys).filter(holds(low) | holds(high))
+    ends = near.groupBy(*keys, "p", "_n").agg(
+        F.max(F.when(holds(low), F.col(value))).alias("_a"), F.max(F.when(holds(high), F.col(value))).alias("_b")
+    )
+    share = position - low
+    return ends.select(*keys, "p", (F.col("_a") + (F.col("_b") - F.col("_a")) * share).alias("quantile"))

@@ -237,16 +237,19 @@ def business_results(rows: DataFrame, quarterly: bool = False) -> DataFrame:
     )
 
 
-def peer_rank(rows: DataFrame, metric: str, group: list[str]) -> DataFrame:
+def peer_rank(rows: DataFrame, metric: str, group: list[str], decimals: int = 4) -> DataFrame:
     """Position of each row among its peers: percent rank, peer mean and peer median.
 
+    Ratios carry four decimals (``decimals``): for the mean they are added as whole numbers, so
+    it does not depend on the order in which rows arrive.
+
     An industry may hold a third of all companies, so nothing is sorted per industry:
-    ranks and medians come from pre-aggregated distinct values, cut into bins. ``rows`` is
+    ranks and medians come from pre-aggregated distinct values, cut into ranges. ``rows`` is
     read several times: pass a stored table.
     """
     ranks = value_ranks(rows.select(*group, metric), group, metric)
     stats = rows.groupBy(*group).agg(
-        F.count(metric).alias("peers"), F.avg(metric).alias("peer_mean")
+        F.count(metric).alias("peers"), (F.sum(F.round(F.col(metric) * 10**decimals).cast("long")) / F.lit(10**decimals) / F.count(metric)).alias("peer_mean")
     )
     placed = ranks.join(stats, group)
     middle = (F.col("peers") - 1) / 2
@@ -268,7 +271,7 @@ def peer_rank(rows: DataFrame, metric: str, group: list[str]) -> DataFrame:
             metric,
             "peers",
             F.round(percent, 6).alias("percent_rank"),
-            F.round("peer_mean", 9).alias("peer_mean"),
+            "peer_mean",
             F.round("peer_median", 9).alias("peer_median"),
         )
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -57,6 +58,55 @@ def _price_page(rows: DataFrame, page: int, limit: int) -> DataFrame:
     return numbered.filter(wanted).drop(INDEX).orderBy("trading_date").limit(limit)
 
 
+def _month_days(day: str) -> tuple[str, str]:
+    """First days of the month of a date and of the one after it."""
+    first = date.fromisoformat(day[:10]).replace(day=1)
+    return first.isoformat(), (first + timedelta(days=32)).replace(day=1).isoformat()
+
+
+def _between(rows: DataFrame, first: str | None, past: str | None) -> DataFrame:
+    at = F.col("trading_date")
+    rows = rows.filter(at >= F.lit(first).cast("timestamp_ntz")) if first else rows
+    return rows.filter(at < F.lit(past).cast("timestamp_ntz")) if past else rows
+
+
+def _page_by_month(
+    curated: DataFrame, positions: DataFrame, ticker: str, start: str | None, end: str | None, page: int, limit: int
+) -> Page:
+    """A page that reads the months it lies in, and the month of the first bound.
+
+    ``positions`` has a row per month of the ticker, a few hundred in all: they come to the
+    driver. Inside a month rows are skipped by an offset, of one month's rows at most.
+    """
+    one = price_filter(curated, ticker)
+    months = positions.filter(F.col("ticker") == F.lit(ticker.strip().upper()))
+    counts = sorted((r["month"].isoformat(), r["rows"]) for r in months.collect())
+    first = _month_days(start)[0] if start else None
+    last = _month_days(end)[0] if end else None
+    held = [(m, n) for m, n in counts if (not first or m >= first) and (not last or m <= last)]
+    # Rows of the first month that lie before the bound are skipped with the pages before.
+    ahead = 0
+    if start and held and held[0][0] == first:
+        ahead = _between(one, first, None).filter(F.col("trading_date") < F.lit(start).cast("timestamp_ntz")).count()
+    skip, seen, wanted = ahead + (page - 1) * limit, 0, []
+    for month, n in held:
+        if seen + n > skip and seen < skip + limit:
+            wanted.append((month, seen))
+        seen += n
+    if wanted:
+        rows = _between(one, wanted[0][0], _month_days(wanted[-1][0])[1])
+        rows = price_filter(rows, ticker, None, end)
+        taken = rows.orderBy("trading_date").offset(skip - wanted[0][1]).limit(limit)
+    else:
+        taken = price_filter(one, ticker, start, end).filter(F.lit(False)).orderBy("trading_date").limit(limit)
+    whole = sum(n for m, n in held if m != last)
+    tail = price_filter(_between(one, last, None), ticker, None, end) if last else one.filter(F.lit(False))
+    total = tail.agg((F.count("*") + F.lit(whole - ahead)).alias("total_records"))
+    if first and first == last:
+        total = price_filter(one, ticker, start, end).agg(F.count("*").alias("total_records"))
+    return Page(project(taken), total)
+
+
 def prices_page(
     curated: DataFrame,
     ticker: str,
@@ -64,10 +114,17 @@ def prices_page(
     end: str | None = None,
     page: int = 1,
     limit: int = 100,
+    positions: DataFrame | None = None,
 ) -> Page:
-    """One page of prices by date, and the number of rows behind all pages."""
+    """One page of prices by date, and the number of rows behind all pages.
+
+    With ``positions``, which the curated sink keeps, both come from the months concerned;
+    without, positions are counted over all rows of the ticker.
+    """
     _check_page(page, limit, MAX_PRICE_PAGE)
     rows = price_filter(curated, ticker, start, end)
+    if positions is not None:
+        return _page_by_month(curated, positions, ticker, start, end, page, limit)
     total = rows.agg(F.count("*").alias("total_records"))
     return Page(project(_price_page(rows, page, limit)), total)
 

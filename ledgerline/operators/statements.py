@@ -69,6 +69,12 @@ def to_reports(long: DataFrame, period: str = "period") -> DataFrame:
     )
 
 
+def is_header(name: str | Column) -> Column:
+    """Whether an item's name is that of a header row: written without lower-case letters."""
+    text = F.col(name) if isinstance(name, str) else name
+    return F.upper(text) == text
+
+
 def report_items(reports: DataFrame, statement: str, period_type: str) -> DataFrame:
     """Long items of one kind of statement and period."""
     chosen = from_reports(reports.filter(F.col("period_type") == period_type))
@@ -183,9 +189,7 @@ def winsor_bounds(wide: DataFrame, metrics: list[str], percent: int = 1) -> dict
     long = wide.select([finite(F.col(m)).alias(m) for m in metrics]).unpivot(
         [], metrics, "metric", "value"
     )
-    rows = exact_quantiles(
-        long, ["metric"], "value", [low, high], listed_keys=True
-    ).collect()
+    rows = exact_quantiles(long, ["metric"], "value", [low, high]).collect()
     found = {(r["metric"], r["p"]): r["quantile"] for r in rows}
     return {m: (found[m, low], found[m, high]) for m in metrics if (m, low) in found}
 
@@ -225,6 +229,28 @@ def year_end_prices(bars: DataFrame) -> DataFrame:
     )
 
 
+def prices_as_of(prices: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The last price at or before the end of each wanted ticker-year.
+
+    ``prices`` are the last closes per ticker-year that has bars. Both sides become one series
+    per ticker and the last price is carried over years without one. A series has a row per
+    year, so its window is as long as the calendar, however many bars or askers there are.
+    """
+    asked = wanted.select("ticker", F.col("year").cast("int").alias("year")).distinct()
+    marks = prices.withColumn("_asked", F.lit(0)).unionByName(
+        asked.withColumn("_asked", F.lit(1)), allowMissingColumns=True
+    )
+    years = marks.groupBy("ticker", "year").agg(
+        F.max(F.when(F.col("_asked") == 0, F.struct("year_end_price", "priced_on"))).alias("_price"),
+        F.max("_asked").alias("_asked"),
+    )
+    carried = F.last("_price", ignorenulls=True).over(
+        Window.partitionBy("ticker").orderBy("year").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    last = years.withColumn("_last", carried).filter(F.col("_asked") == 1)
+    return last.select("ticker", "year", "_last.year_end_price", "_last.priced_on")
+
+
 def market_data(bars: DataFrame, shares: DataFrame) -> DataFrame:
     """Year-end price and market capitalisation; ``shares`` has one row per ticker."""
     return year_end_prices(bars).join(shares, "ticker").withColumn(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.functions.aliases import METRIC_ALIASES
+from ledgerline.operators import indicators as ind
 from ledgerline.operators import labels, ratios
 from ledgerline.operators import statements as st
 from ledgerline.plans.inputs import (
@@ -20,6 +21,7 @@ from ledgerline.plans.inputs import (
 from ledgerline.plans.inputs import COMPANIES_SQL
 from ledgerline.plans.inputs import quarterly_statements as build_quarterly
 from ledgerline.plans.inputs import statements as build_statements
+from ledgerline.plans.market import FEATURE_PARTS, FEATURES_SQL
 from ledgerline.plans.registry import Catalog, with_parts
 from ledgerline.session import configure, work_dir
 
@@ -115,6 +117,27 @@ def statement_scan(spark, sf_dir):
     return st.from_reports(reports.filter(F.col("period_type") == "YEARLY"))
 
 
+@fundamentals.query(
+    "header_rows",
+    with_parts(
+        STATEMENTS_SQL,
+        LONG_SQL,
+        body="""SELECT *, metric_name = upper(metric_name) AS is_header FROM (
+                  SELECT ticker, year, metric_code, CASE WHEN metric_code LIKE 'total%' THEN upper(replace(metric_code, '_', ' '))
+                         WHEN year % 2 = 0 THEN CAST(year AS VARCHAR) ELSE replace(metric_code, '_', ' ') END AS metric_name
+                  FROM long_items) n""",
+    ),
+)
+def header_rows(spark, sf_dir):
+    """Totals are header rows of a statement, and so are names without any letter."""
+    code = F.replace("metric_code", F.lit("_"), F.lit(" "))
+    name = F.when(F.col("metric_code").startswith("total"), F.upper(code)).when(
+        F.col("year") % 2 == 0, F.col("year").cast("string")
+    )
+    items = statement_long(spark, sf_dir).withColumn("metric_name", F.coalesce(name, code))
+    return items.select("ticker", "year", "metric_code", "metric_name", st.is_header("metric_name").alias("is_header"))
+
+
 @fundamentals.query(
     "report_periods",
     with_parts(
@@ -308,14 +331,14 @@ def missing_policy(spark, sf_dir):
     "negative_check",
     with_parts(
         STATEMENTS_SQL,
-        body="""SELECT ticker, year, concat_ws(',', CASE WHEN total_assets - 60000 < 0 THEN 'total_assets' END,
-                       CASE WHEN net_revenue - 60000 < 0 THEN 'net_revenue' END) AS negative_items FROM statements""",
+        body="SELECT ticker, year, concat_ws(',', "
+        + ", ".join(f"CASE WHEN {c} - 60000 < 0 THEN '{c}' END" for c in st.NOT_NEGATIVE)
+        + ") AS negative_items FROM statements",
     ),
 )
 def negative_check(spark, sf_dir):
-    shifted = statements(spark, sf_dir).withColumns(
-        {c: F.col(c) - 60000 for c in ["total_assets", "net_revenue"]}
-    )
+    """All items that must not be negative, shifted so that each of them is at times."""
+    shifted = statements(spark, sf_dir).withColumns({c: F.col(c) - 60000 for c in st.NOT_NEGATIVE})
     flagged = st.negative_flags(shifted)
     return flagged.select("ticker", "year", F.array_join("negative_items", ",").alias("negative_items"))
 
@@ -425,6 +448,33 @@ _ratio_query("profit_growth", ["profit_growth"])
 _ratio_query("ratios", ratios.RATIOS)
 
 
+MARKET_COLUMNS = ["sharpe_ratio", "rsi_14", "macd", "macd_signal", "adx_14", "cci_14"]
+
+
+@fundamentals.query(
+    "ratio_table",
+    with_parts(
+        STATEMENTS_SQL,
+        RATIOS_SQL,
+        # These begin with the bars that the market queries share.
+        *FEATURE_PARTS,
+        f"features AS ({FEATURES_SQL})",
+        body=f"""
+        SELECT r.ticker, r.year, {", ".join(f"r.{c}" for c in ratios.RATIOS)}, {", ".join(f"f.{c}" for c in MARKET_COLUMNS)}
+        FROM ratios r LEFT JOIN features f
+        ON f.ticker = 'BRAND.' || (CAST(substr(r.ticker, 2) AS BIGINT) % 25 + 1) AND f.year = r.year""",
+        recursive=True,
+    ),
+)
+def ratio_table(spark, sf_dir):
+    """The whole table of a company's year: 16 accounting ratios and the 6 market columns of its share."""
+    market = ind.market_features(stored_bars(spark, sf_dir)).withColumnRenamed("ticker", "brand")
+    brand = F.concat(F.lit("BRAND."), F.substring("ticker", 2, 20).cast("bigint") % 25 + 1)
+    rows = stored_ratios(spark, sf_dir).withColumn("brand", brand)
+    joined = rows.join(market.select("brand", "year", *MARKET_COLUMNS), ["brand", "year"], "left")
+    return joined.select("ticker", "year", *ratios.RATIOS, *MARKET_COLUMNS)
+
+
 @fundamentals.query(
     "safe_ratio",
     with_parts(
@@ -739,7 +789,8 @@ def business_results(spark, sf_dir):
 
 def _peers(spark, sf_dir):
     industry = companies(spark, sf_dir).select("ticker", "industry")
-    return stored_ratios(spark, sf_dir).select("ticker", "year", "roa").join(industry, "ticker")
+    rows = stored_ratios(spark, sf_dir).join(industry, "ticker")
+    return rows.unpivot(["ticker", "industry", "year"], ratios.RATIOS, "metric", "value").filter("value IS NOT NULL")
 
 
 @fundamentals.query(
@@ -748,16 +799,20 @@ def _peers(spark, sf_dir):
         STATEMENTS_SQL,
         RATIOS_SQL,
         COMPANIES_SQL,
+        f"""peers AS (UNPIVOT (SELECT r.ticker, c.industry, r.year, {", ".join(f"r.{c}" for c in ratios.RATIOS)}
+                              FROM ratios r JOIN companies c ON c.ticker = r.ticker)
+                      ON {", ".join(ratios.RATIOS)} INTO NAME metric VALUE value)""",
         body="""
-        SELECT ticker, industry, year, roa, count(*) OVER g AS peers,
-               round(percent_rank() OVER (PARTITION BY industry, year ORDER BY roa), 6) AS percent_rank,
-               round(avg(roa) OVER g, 9) AS peer_mean, round(quantile_cont(roa, 0.5) OVER g, 9) AS peer_median
-        FROM (SELECT r.ticker, c.industry, r.year, r.roa FROM ratios r JOIN companies c ON c.ticker = r.ticker) p
-        WINDOW g AS (PARTITION BY industry, year)""",
+        SELECT ticker, industry, year, metric, value, count(*) OVER g AS peers,
+               round(percent_rank() OVER (PARTITION BY industry, year, metric ORDER BY value), 6) AS percent_rank,
+               CAST(sum(CAST(round(value * 10000) AS BIGINT)) OVER g AS DOUBLE) / 10000 / count(*) OVER g AS peer_mean,
+               round(quantile_cont(value, 0.5) OVER g, 9) AS peer_median
+        FROM peers WINDOW g AS (PARTITION BY industry, year, metric)""",
     ),
 )
 def peer_rank(spark, sf_dir):
-    return ratios.peer_rank(layer(spark, sf_dir, "peers", _peers), "roa", ["industry", "year"])
+    """Every ratio of every company among the companies of its industry and year."""
+    return ratios.peer_rank(layer(spark, sf_dir, "peers", _peers), "value", ["industry", "year", "metric"])
 
 
 # ---------------------------------------------------------------- market data
@@ -799,20 +854,26 @@ def market_scan(spark, sf_dir):
     with_parts(
         STATEMENTS_SQL,
         BARS_SQL,
-        body="""SELECT s.ticker, s.year, p.price AS year_end_price, round(p.price / nullif(s.net_profit, 0), 8) AS price_to_profit
-                FROM statements s LEFT JOIN (
-                  SELECT ticker, CAST(year(trading_date) AS INT) AS year, max_by(close_price, trading_date) AS price
-                  FROM bars GROUP BY 1, 2) p
-                ON p.year = s.year AND p.ticker = 'BRAND.' || (CAST(substr(s.ticker, 2) AS BIGINT) % 25 + 1)""",
+        body="""SELECT s.ticker, s.year, p.close_price AS year_end_price, CAST(p.trading_date AS DATE) AS priced_on,
+                       round(p.close_price / nullif(s.net_profit, 0), 8) AS price_to_profit
+                FROM (SELECT *, 'BRAND.' || (CAST(substr(ticker, 2) AS BIGINT) % 25 + 1) AS brand,
+                             make_date(CAST(year AS BIGINT), 12, 31) + INTERVAL 1 DAY AS year_end FROM statements) s
+                ASOF LEFT JOIN (SELECT * FROM bars WHERE NOT (ticker LIKE '%5' AND year(trading_date) % 3 <> 1)) p
+                ON p.ticker = s.brand AND s.year_end > p.trading_date""",
     ),
 )
 def year_end_price(spark, sf_dir):
-    prices = st.year_end_prices(stored_bars(spark, sf_dir)).withColumnRenamed("ticker", "brand")
+    """Some tickers have bars in one year of three only: the others take the last price before."""
+    gaps = F.col("ticker").endswith("5") & (F.year("trading_date") % 3 != 1)
+    prices = st.year_end_prices(stored_bars(spark, sf_dir).filter(~gaps))
     brand = F.concat(F.lit("BRAND."), F.substring("ticker", 2, 20).cast("bigint") % 25 + 1)
-    joined = statements(spark, sf_dir).withColumn("brand", brand).join(prices, ["brand", "year"], "left")
+    reported = statements(spark, sf_dir).withColumn("brand", brand)
+    known = st.prices_as_of(prices, reported.select(F.col("brand").alias("ticker"), "year"))
+    joined = reported.join(known.withColumnRenamed("ticker", "brand"), ["brand", "year"], "left")
     return joined.select(
         "ticker",
         "year",
         "year_end_price",
+        F.to_date("priced_on").alias("priced_on"),
         F.round(ratios.ratio(F.col("year_end_price"), F.col("net_profit")), 8).alias("price_to_profit"),
     )

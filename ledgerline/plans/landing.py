@@ -28,7 +28,7 @@ from ledgerline.sinks.curated import write_curated
 from ledgerline.sinks.raw import write_payloads
 from ledgerline.sources import curated as curated_source
 from ledgerline.sources.raw import LINEAGE, raw_records, read_entries
-from ledgerline.streaming.jobs import curated_stream_job, ledger_stream_job
+from ledgerline.streaming.jobs import curated_stream_job, ledger_stream_job, read_curated_stream
 
 landing = Catalog()
 
@@ -41,6 +41,10 @@ FAILED, CORRECTED, BROKEN, ZONED, BARE = (
 )
 
 
+# Files a micro-batch of the streaming query takes.
+STREAM_FILES = 24
+
+
 def payloads(bars):
     """One payload per ticker and quarter: a payload never outgrows its quarter."""
     iso = F.date_format("trading_date", "yyyy-MM-dd'T'HH:mm:ss")
@@ -151,6 +155,27 @@ _ZONED_TEXT = f"""strftime(trading_date, '%Y-%m-%dT%H:%M:%S') ||
     CASE WHEN ticker = '{ZONED}' THEN '+07:00' ELSE '' END AS trading_date"""
 
 
+def _landed_arrays(spark, sf_dir) -> str:
+    """The second delivery as one JSON value a file: an indented array per year, in even years
+    behind a byte order mark, and a single object for the first quarters."""
+    root = work_dir(configure(spark), "arrays")
+    pretty = {"pretty": "true"}
+    quarters = payloads(corrections(stored_bars(spark, sf_dir))).withColumn("year", F.year("batch_date"))
+    single = F.month("batch_date") == 1
+    payload = F.struct("metadata", "records")
+    objects = quarters.filter(single).select(
+        F.date_format("batch_date", "yyyyMMdd").alias("part"), F.to_json(payload, pretty).alias("value")
+    )
+    mark = F.when(F.col("year") % 2 == 0, "\ufeff").otherwise("")
+    # An array is a year of one ticker here: four payloads.
+    arrays = quarters.filter(~single).groupBy("year").agg(F.array_sort(F.collect_list(payload)).alias("all"))
+    arrays = arrays.select(
+        F.col("year").cast("string").alias("part"), F.concat(mark, F.to_json("all", pretty)).alias("value")
+    )
+    objects.unionByName(arrays).write.partitionBy("part").text(root)
+    return root
+
+
 def _raw_out(records):
     return records.select(
         "ticker",
@@ -164,12 +189,16 @@ def _raw_out(records):
     "raw_scan",
     landed_oracle(
         f"""SELECT ticker, {_ZONED_TEXT}, open_price, high_price, low_price, close_price, volume
-            FROM landed WHERE root = 0"""
+            FROM landed"""
     ),
 )
 def raw_scan(spark, sf_dir):
+    """Both deliveries: the first by line, the second as indented arrays and single objects."""
     root = landed_root(spark, sf_dir)
-    return _raw_out(raw_records(read_entries(spark, [f"{root}/first"])))
+    arrays = _landed_arrays(spark, sf_dir)
+    lines = read_entries(spark, [f"{root}/first"])
+    values = read_entries(spark, [arrays], "array", pattern="*.txt")
+    return _raw_out(raw_records(lines.unionByName(values)))
 
 
 @landing.query(
@@ -606,12 +635,20 @@ def curated_replace(spark, sf_dir):
         BARS_SQL,
         LANDED_SQL,
         CLEAN_SQL,
-        body="SELECT count(*) AS rows, count(DISTINCT ticker) AS tickers FROM clean",
+        body=f"""
+        SELECT (SELECT count(DISTINCT date_trunc('quarter', trading_date)) FROM bars) +
+               (SELECT count(DISTINCT batch) FROM landed WHERE root = 1) AS input_files,
+               count(DISTINCT ticker) AS output_files, count(*) AS rows, count(DISTINCT ticker) AS tickers FROM clean""",
     ),
 )
 def transform_summary(spark, sf_dir):
-    entries = landed(spark, sf_dir)
-    return curate.summary(entries, curate.unique_bars(entries)).select("rows", "tickers")
+    """Of batches landed as one file a quarter; a ticker's curated rows fill one file."""
+    raw, root = work_dir(configure(spark), "raw"), work_dir(spark, "curated")
+    day_bars = stored_bars(spark, sf_dir)
+    for part, bars in (("first", day_bars), ("second", corrections(day_bars))):
+        # One task a quarter is enough: what it holds is one payload per ticker.
+        write_payloads(payloads(bars).repartition("batch_date").coalesce(1), f"{raw}/{part}")
+    return curate.transform(spark, read_entries(spark, [f"{raw}/first", f"{raw}/second"]), root)
 
 
 def _gate_results(spark, sf_dir):
@@ -621,6 +658,8 @@ def _gate_results(spark, sf_dir):
         F.col("gate_status").alias("status"),
         F.col("gate_code").alias("error_code"),
         F.when(F.col("gate_status") == "PASS", F.size("records")).otherwise(0).cast("bigint").alias("rows"),
+        quality.failure_message(gated).alias("message"),
+        F.coalesce("metadata.completed_at", F.lit("")).alias("finished_at"),
         F.struct(f"{LINEAGE}.*").alias("at"),
     )
 
@@ -652,11 +691,17 @@ def ingestion_summary(spark, sf_dir):
 
 @landing.query(
     "batch_attempts",
-    landed_oracle("SELECT ticker, status, error_code, CAST(rows AS BIGINT) AS rows FROM attempts", ATTEMPTS_SQL),
+    landed_oracle(
+        f"""SELECT ticker, status, error_code, CAST(rows AS BIGINT) AS rows,
+                  CASE error_code WHEN 'BAD_DATA' THEN 'invalid record: high_below_low' WHEN 'RATE_LIMIT' THEN 'failed: RATE_LIMIT' END AS message,
+                  CASE WHEN ticker = '{BARE}' THEN '' ELSE strftime(batch, '%Y-%m-%dT%H:%M:%SZ') END AS finished_at
+           FROM attempts""",
+        ATTEMPTS_SQL,
+    ),
 )
 def batch_attempts(spark, sf_dir):
-    """Every attempt with its outcome."""
-    return _gate_results(spark, sf_dir).select("ticker", "status", "error_code", "rows")
+    """Every attempt with its outcome, why it failed and when it ended."""
+    return _gate_results(spark, sf_dir).select("ticker", "status", "error_code", "rows", "message", "finished_at")
 
 
 @landing.query(
@@ -691,10 +736,11 @@ def batch_report(spark, sf_dir):
     curated_from_clean("SELECT * FROM curated"),
 )
 def curated_stream(spark, sf_dir):
+    """All landed files in several micro-batches: whole quarters come late, and corrections last."""
     root = landed_root(spark, sf_dir)
     out = work_dir(spark, "stream")
-    curated_stream_job(spark, root, out)
-    return curated_source.read_curated(spark, f"{out}/curated")
+    curated_stream_job(spark, root, out, files_per_batch=STREAM_FILES)
+    return read_curated_stream(spark, out)
 
 
 @landing.query(

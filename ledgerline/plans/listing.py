@@ -333,7 +333,12 @@ def listing_join(spark, sf_dir):
         SELECT l.ticker, l.exchange,
                coalesce(CASE WHEN c_nationkey % 3 = 0 THEN NULL ELSE 'Overview ' || c_name END, l.name) AS name,
                c_mktsegment AS sector,
-               CASE WHEN c_nationkey % 2 = 0 THEN '2020-01-15' END AS listing_date, 'FEED' AS source
+               CASE c_nationkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS listing,
+               CASE WHEN c_nationkey % 2 = 0 THEN '2020-01-15' END AS listing_date,
+               'Short ' || c_custkey AS short_name, c_name || ' of nation ' || c_nationkey AS company_profile,
+               CASE WHEN c_acctbal < 0 THEN 'CT' WHEN c_acctbal >= 0 THEN 'NH' END AS com_type_code, 'G' || c_nationkey AS com_group_code,
+               CASE WHEN c_custkey % 5 <> 0 THEN 'tag' || (c_custkey % 5) END AS tag,
+               CAST(c_nationkey * 10 AS VARCHAR) AS icb_code_lv2, 'FEED' AS source, '2025-01-31' AS updated_at
         FROM listing l LEFT JOIN (SELECT * FROM customer WHERE c_nationkey <> 7) c ON 'C' || c_custkey = l.ticker""",
     ),
 )
@@ -346,10 +351,17 @@ def overview_enrich(spark, sf_dir):
             F.concat(F.lit("C"), "c_custkey").alias("ticker"),
             F.when(nation % 3 == 0, "").otherwise(F.concat(F.lit("Overview "), "c_name")).alias("name"),
             F.col("c_mktsegment").alias("sector"),
+            F.when(nation % 4 == 0, "true").when(nation % 4 == 1, "false").when(nation % 4 == 2, "unknown").alias("listing"),
             F.when(nation % 2 == 0, "2020-01-15").otherwise("unknown").alias("listing_date"),
+            F.concat(F.lit("Short "), "c_custkey").alias("short_name"),
+            F.concat("c_name", F.lit(" of nation "), nation).alias("company_profile"),
+            F.when(F.col("c_acctbal") < 0, "CT").otherwise("NH").alias("com_type_code"),
+            F.concat(F.lit("G"), nation).alias("com_group_code"),
+            F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit("tag"), F.col("c_custkey") % 5)).alias("tag"),
+            (nation * 10).alias("icb_code_lv2"),
         )
     )
-    return ops.enrich(_listing(spark, sf_dir), overview, "FEED")
+    return ops.enrich(_listing(spark, sf_dir), overview, "FEED", "2025-01-31")
 
 
 # Ledger: every event is an attempt of its user's ticker; "error" events failed.

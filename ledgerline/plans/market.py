@@ -281,13 +281,12 @@ _FEATURE_PARTS = [BARS_SQL, NUMBERED_SQL, WILDER_SQL, MACD_SQL, ADX_SQL, CCI_SQL
 _LAST_SQL = "last_bars AS (SELECT ticker, max(k) AS k FROM numbered GROUP BY ticker, year(trading_date))"
 
 
-@market.query(
-    "market_features",
-    with_parts(
-        *_FEATURE_PARTS,
-        _LAST_SQL,
-        "yearly AS (SELECT ticker, year(trading_date) AS year, avg(r) AS m, stddev_samp(r) AS s FROM (SELECT ticker, trading_date, (close_price / prev_close - 1) * 100 AS r FROM numbered) x GROUP BY 1, 2)",
-        body="""
+FEATURE_PARTS = [
+    *_FEATURE_PARTS,
+    _LAST_SQL,
+    "yearly AS (SELECT ticker, year(trading_date) AS year, avg(r) AS m, stddev_samp(r) AS s FROM (SELECT ticker, trading_date, (close_price / prev_close - 1) * 100 AS r FROM numbered) x GROUP BY 1, 2)",
+]
+FEATURES_SQL = """
         SELECT n.ticker, CAST(y.year AS INT) AS year, round((y.m * 252 - 4.5) / nullif(y.s * sqrt(252.0), 0), 4) AS sharpe_ratio,
           CASE WHEN n.k >= 14 THEN round_even(coalesce(100 - 100 / (1 + w.avg_gain / nullif(w.avg_loss, 0)), 100) * 1e4, 0) / 1e4 END AS rsi_14,
           round_even(l.macd * 1e4, 0) / 1e4 AS macd, round_even(g.y * 1e4, 0) / 1e4 AS macd_signal,
@@ -298,10 +297,10 @@ _LAST_SQL = "last_bars AS (SELECT ticker, max(k) AS k FROM numbered GROUP BY tic
           JOIN yearly y ON y.ticker = n.ticker AND y.year = year(n.trading_date)
           JOIN macd_line l ON l.ticker = n.ticker AND l.k = n.k JOIN signal g ON g.ticker = n.ticker AND g.k = n.k
           JOIN framed f ON f.ticker = n.ticker AND f.k = n.k LEFT JOIN wilder w ON w.ticker = n.ticker AND w.k = n.k
-          LEFT JOIN adx a ON a.ticker = n.ticker AND a.k = n.k""",
-        recursive=True,
-    ),
-)
+          LEFT JOIN adx a ON a.ticker = n.ticker AND a.k = n.k"""
+
+
+@market.query("market_features", with_parts(*FEATURE_PARTS, body=FEATURES_SQL, recursive=True))
 def market_features(spark, sf_dir):
     return ind.market_features(stored_bars(spark, sf_dir))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators import companies as company_ops
@@ -281,16 +282,24 @@ def risk_screen_top(spark, sf_dir):
 _MODELS: dict[tuple, str] = {}
 
 
-def _fitted(spark, sf_dir, kind: str):
-    """The model of a kind: fitted and saved once per state of the input, then loaded."""
-    train, test = ds.time_split(dataset(spark, sf_dir), TRAIN, TEST)
-    key = (spark.sparkContext.applicationId, sf_dir, source_version(spark, sf_dir), kind)
+def _saved(spark, sf_dir, name: str, fit) -> PipelineModel:
+    """A model that is fitted and saved once per state of the input, then loaded."""
+    key = (spark.sparkContext.applicationId, sf_dir, source_version(spark, sf_dir), name)
     if key not in _MODELS:
-        weighted = train.withColumn("weight", F.lit(1.0)) if kind == "mlp" else ds.class_weight(train)
-        path = work_dir(spark, f"model-{kind}")
-        models.train(weighted, kind).write().save(path)
+        path = work_dir(spark, f"model-{name}")
+        fit().write().save(path)
         _MODELS[key] = path
-    return PipelineModel.load(_MODELS[key]), test
+    return PipelineModel.load(_MODELS[key])
+
+
+def _weighted(train, kind: str):
+    return train.withColumn("weight", F.lit(1.0)) if kind == "mlp" else ds.class_weight(train)
+
+
+def _fitted(spark, sf_dir, kind: str):
+    """The model of a kind, and the rows it has not seen."""
+    train, test = ds.time_split(dataset(spark, sf_dir), TRAIN, TEST)
+    return _saved(spark, sf_dir, kind, lambda: models.train(_weighted(train, kind), kind)), test
 
 
 def _quality(model, rows, name: str, label: str):
@@ -317,12 +326,39 @@ for _kind in ["lr", "rf", "gbt", "mlp"]:
     modelling.query(f"train_{_kind}")(_trained(_kind))
 
 
+# The fit is stationary where no entry of the gradient exceeds this share of the largest at zero.
+STATIONARY = 1e-3
+
+
+@modelling.query(
+    "lr_optimum",
+    " UNION ALL ".join(f"SELECT '{name}' AS parameter, true AS stationary" for name in [*ds.FEATURES, "constant"]),
+)
+def lr_optimum(spark, sf_dir):
+    """Certificate of the logistic fit: its objective's gradient on the training rows vanishes."""
+    model, _ = _fitted(spark, sf_dir, "lr")
+    train, _ = ds.time_split(dataset(spark, sf_dir), TRAIN, TEST)
+    fitted = model.stages[-1]
+    scaled = PipelineModel(model.stages[:-1]).transform(_weighted(train, "lr"))
+    gradient = models.lr_gradient(
+        scaled, [float(c) for c in fitted.coefficients], float(fitted.intercept), "distress_label", "weight"
+    )
+    names = F.array(*[F.lit(n) for n in [*ds.FEATURES, "constant"]])
+    # One row per parameter: eight in all.
+    largest = F.max(F.abs("at_zero")).over(Window.partitionBy())
+    return gradient.select(
+        names[F.col("parameter")].alias("parameter"), (F.abs("gradient") <= STATIONARY * largest).alias("stationary")
+    )
+
+
 @modelling.query("train_loss")
 def train_loss(spark, sf_dir):
     """Next-quarter loss model: quality on the later years."""
     train, test = ds.time_split(loss_dataset(spark, sf_dir), TRAIN, TEST)
     features, label = ratios.LOSS_FEATURES, "is_loss"
-    model = models.train(ds.class_weight(train, label), "rf", features, label)
+    model = _saved(
+        spark, sf_dir, "loss", lambda: models.train(ds.class_weight(train, label), "rf", features, label)
+    )
     return _quality(model, test, "loss_rf", label)
 
 

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators import dedup, serving
 from ledgerline.operators.indicators import numbered_bars
-from ledgerline.operators.series import INDEX
+from ledgerline.operators.series import INDEX, running_sums
 from ledgerline.plans.inputs import BRAND_UNIVERSE_SQL, brand_universe, stored_bars
 from ledgerline.plans.market import curated as compute_curated
 from ledgerline.plans.market import curated_oracle
 from ledgerline.plans.registry import Catalog
 from ledgerline.schemas import CURATED, CURATED_COLUMNS, RECORD_COLUMNS
 from ledgerline.session import configure, source_version, work_dir
-from ledgerline.sinks.curated import write_curated
+from ledgerline.sinks.curated import read_positions, write_curated
 from ledgerline.sinks.reports import price_export, write_export
-from ledgerline.sources.curated import inventory_by_ticker, read_curated
+from ledgerline.sources.curated import inventory_by_ticker, read_curated, stored_files
 
 served = Catalog()
 TICKER = "BRAND.7"
@@ -31,7 +30,8 @@ def curated_root(spark, sf_dir) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, source_version(spark, sf_dir))
     if key not in _ROOTS:
         root = work_dir(spark, "curated")
-        write_curated(compute_curated(spark, sf_dir).select(*CURATED_COLUMNS), root)
+        computed = compute_curated(spark, sf_dir).select(*CURATED_COLUMNS)
+        write_curated(computed, root, dates=stored_bars(spark, sf_dir))
         _ROOTS[key] = root
     return _ROOTS[key]
 
@@ -69,10 +69,14 @@ def curated_schema_union(spark, sf_dir):
 
 @served.query(
     "curated_inventory",
-    curated_oracle("SELECT DISTINCT ticker, true AS data_ready FROM curated"),
+    curated_oracle("SELECT ticker, count(DISTINCT year(trading_date)) AS curated_files, true AS data_ready FROM curated GROUP BY ticker"),
 )
 def curated_inventory(spark, sf_dir):
-    return inventory_by_ticker(curated(spark, sf_dir)).select("ticker", "data_ready")
+    """Of a layer that is written year by year: a file per ticker and year."""
+    root = work_dir(configure(spark), "inventory")
+    rows = curated(spark, sf_dir).withColumn("year", F.year("trading_date"))
+    rows.repartition("ticker", "year").write.partitionBy("ticker", "year").parquet(root)
+    return inventory_by_ticker(stored_files(spark, root))
 
 
 @served.query("curated_project", curated_oracle(f"SELECT {_DATED} FROM curated"))
@@ -97,7 +101,12 @@ def date_filter(spark, sf_dir):
     ),
 )
 def prices_page(spark, sf_dir):
-    return serving.prices_page(curated(spark, sf_dir), TICKER, START, END, page=2).rows
+    return _page(spark, sf_dir, 2).rows
+
+
+def _page(spark, sf_dir, page):
+    rows, positions = curated(spark, sf_dir), read_positions(spark, curated_root(spark, sf_dir))
+    return serving.prices_page(rows, TICKER, START, END, page=page, positions=positions)
 
 
 @served.query(
@@ -120,7 +129,7 @@ def prices_deep_page(spark, sf_dir):
     curated_oracle(f"SELECT count(*) AS total_records FROM curated WHERE {_RANGE}"),
 )
 def count_filtered(spark, sf_dir):
-    return serving.prices_page(curated(spark, sf_dir), TICKER, START, END).total
+    return _page(spark, sf_dir, 1).total
 
 
 @served.query(
@@ -211,8 +220,10 @@ def candles(spark, sf_dir):
 def sort_curated(spark, sf_dir):
     """Stored order: rows of a ticker lie by date inside and across its files."""
     rows = spark.read.schema(CURATED).option("basePath", curated_root(spark, sf_dir)).parquet(curated_root(spark, sf_dir))
-    along = Window.partitionBy("ticker").orderBy("_metadata.file_path", "_metadata.row_index")
-    return rows.select("ticker", "trading_date", F.row_number().over(along).cast("bigint").alias("position"))
+    placed = rows.select("ticker", "trading_date", "_metadata.file_path", "_metadata.row_index")
+    # Ranked inside a file, behind the rows of the ticker's files before it.
+    numbered = running_sums(placed, ["ticker"], [F.col("row_index")], "file_path", {"position": F.lit(1)})
+    return numbered.select("ticker", "trading_date", F.col("position").cast("bigint").alias("position"))
 
 
 @served.query(

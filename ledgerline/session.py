@@ -68,10 +68,17 @@ def drop_work(spark: SparkSession) -> None:
 
 
 def source_version(spark: SparkSession, folder: str) -> str:
-    """Changes whenever a file in the folder does: names, lengths and times of its files."""
+    """Changes whenever a file under the folder does: paths, lengths and times of its files.
+
+    A table may be a folder of files, which has no length and on some stores no time.
+    """
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    return str(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    files = []
+    while listed.hasNext():
+        f = listed.next()
+        files.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return str(sorted(files))
 
 
 def work_dir(spark: SparkSession, name: str) -> str:

@@ -2,9 +2,12 @@
 
 A file is a JSON array of payloads or a single payload. Two layouts exist:
 
-* ``"lines"``: one JSON value per line, what ``sinks.raw`` writes; files split across tasks.
-* ``"array"``: the whole file is one JSON value; one task reads a file, so producers keep
-  these small.
+* ``"lines"``: one JSON value per line, what ``sinks.raw`` writes.
+* ``"array"``: the whole file is one JSON value, indented or not.
+
+Files of both layouts split across tasks. An array is cut at its closing braces, and running
+sums of quotes and braces, which splits hand over to each other, tell which pieces make up a
+payload (``array_values``); what one task holds is a split or a payload, never a file.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.operators.series import running_sums
 from ledgerline.schemas import RAW_PAYLOADS
 
 LINEAGE = "lineage"
@@ -46,13 +50,76 @@ def with_source(lines: DataFrame, ordinal: int) -> DataFrame:
     )
 
 
-def _read_root(spark: SparkSession, root: str, ordinal: int, layout: str) -> DataFrame | None:
+def _count(text: Column, char: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+
+
+def array_values(pieces: DataFrame) -> DataFrame:
+    """Payloads of files that are one JSON value, from pieces that end before a closing brace.
+
+    Quotes outside of escapes say which pieces begin inside a string; braces outside of
+    strings say how deep a piece ends; a piece that ends at depth zero ends a payload. All
+    three are running sums along a file, made per split and carried over splits. Every
+    payload is a row, numbered along its file in ``line``. What holds no payload but is more
+    than brackets and commas stays as it is, to be reported as unreadable.
+    """
+    keys, order = ["file_path", "root"], [F.col("line")]
+
+    def carried(rows: DataFrame, out: str, value: Column) -> DataFrame:
+        return running_sums(rows, keys, order, "split_start", {out: value})
+
+    # No escape of JSON ends in a brace, so none is cut in two.
+    bare = F.regexp_replace("value", r"\\.", "")
+    quoted = carried(pieces.withColumn("_quotes", _count(bare, '"')), "_upto", F.col("_quotes"))
+    inside = (F.col("_upto") - F.col("_quotes")) % 2 == 1
+    ends_inside = F.col("_upto") % 2 == 1
+    after = F.when(inside, F.regexp_replace(bare, r'^[^"]*"?', "")).otherwise(bare)
+    outside = F.regexp_replace(after, r'"[^"]*("|$)', "")
+    change = _count(outside, "{") - F.when(ends_inside, 0).otherwise(1)
+    deep = carried(quoted.withColumn("_change", change), "_depth", F.col("_change"))
+    closes = (F.col("_depth") == 0) & ~ends_inside
+    numbered = carried(deep.withColumn("_closes", closes.cast("int")), "_closed", F.col("_closes"))
+    text = F.concat("value", F.lit("}"))
+    parts = F.array_sort(F.collect_list(F.struct("split_start", "line", text.alias("text"))))
+    whole = F.array_join(F.transform(parts, lambda x: x["text"]), "")
+    values = numbered.groupBy(*keys, (F.col("_closed") - F.col("_closes")).alias("line")).agg(
+        whole.alias("value"), F.max("_closes").alias("_ended")
+    )
+    # A payload that never ends is not to be read in part.
+    broken = (F.col("_ended") == 0) & F.col("value").contains("{")
+    values = values.withColumn("value", F.when(broken, F.concat(F.lit("no end: "), "value")).otherwise(F.col("value")))
+    # Between payloads stand brackets, commas, white space and a byte order mark. Behind the last
+    # one the same is left, at depth -1, with the brace that was put behind every piece.
+    return values.select(
+        F.regexp_replace("value", "^[\\[\\],\\s\uFEFF]+", "").alias("value"),
+        "file_path",
+        "root",
+        F.lit(0).cast("long").alias("split_start"),
+        "line",
+    ).filter(F.col("value") != "}")
+
+
+def _read_array(spark: SparkSession, root: str, ordinal: int, pattern: str) -> DataFrame:
+    """Pieces of the files under a root, cut at closing braces by the text reader."""
+    pieces = (
+        spark.read.schema(_TEXT_SCHEMA)
+        .option("lineSep", "}")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", pattern)
+        .format("text")
+        .load(root)
+    )
+    return with_source(pieces, ordinal)
+
+
+def _read_root(spark: SparkSession, root: str, ordinal: int, layout: str, pattern: str) -> DataFrame | None:
     try:
+        if layout == "array":
+            return array_values(_read_array(spark, root, ordinal, pattern))
         lines = (
             spark.read.schema(_TEXT_SCHEMA)
-            .option("wholetext", layout == "array")
             .option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.json")
+            .option("pathGlobFilter", pattern)
             .format("text")
             .load(root)
         )
@@ -90,7 +157,7 @@ def entries_of(lines: DataFrame) -> DataFrame:
 
 
 def read_lines(
-    spark: SparkSession, roots: list[str], layouts: list[str] | str = "lines"
+    spark: SparkSession, roots: list[str], layouts: list[str] | str = "lines", pattern: str = "*.json"
 ) -> DataFrame:
     """Lines of several roots; earlier roots first. Missing roots are skipped.
 
@@ -100,7 +167,7 @@ def read_lines(
         layouts = [layouts] * len(roots)
     found: list[DataFrame] = []
     for ordinal, (root, layout) in enumerate(zip(roots, layouts)):
-        lines = _read_root(spark, root, ordinal, layout)
+        lines = _read_root(spark, root, ordinal, layout, pattern)
         if lines is None:
             continue
         bare = F.regexp_replace("file_path", _SCHEME, "/")
@@ -117,9 +184,9 @@ def read_lines(
 
 
 def read_entries(
-    spark: SparkSession, roots: list[str], layouts: list[str] | str = "lines"
+    spark: SparkSession, roots: list[str], layouts: list[str] | str = "lines", pattern: str = "*.json"
 ) -> DataFrame:
-    return entries_of(read_lines(spark, roots, layouts))
+    return entries_of(read_lines(spark, roots, layouts, pattern))
 
 
 def unreadable_files(entries: DataFrame) -> DataFrame:

@@ -1,11 +1,15 @@
 """Online indicators: each micro-batch continues the series where it still holds.
 
 The state per ticker is what the recursions need and nothing else: number of bars, last
-date, the last 19 closes, and the two smoothed averages. A batch writes the state of the
-tickers it touched, under its own number, so older states stay at hand: a late or
-corrected bar goes back to the newest state before it that no later batch has changed, and
-the bars behind that state are computed again. The last delivery of a bar wins. A replayed
-batch starts from the same states and rewrites the same output.
+date, the last 19 closes, and the two smoothed averages. Two tables hold it: the state after
+the newest bar of each ticker, and the state at the end of each month. A batch that appends
+in order reads the newest states and its own bars. For a ticker whose bars come late or
+again, the state at the end of the month before the first of them still holds, whatever
+came since; the bars from there on are read and computed again, and what follows from them
+replaces the earlier rows and states. The last delivery of a bar wins.
+
+All tables are versioned by batch (``streaming.versions``): a batch adds a part of what it
+changes, parts are merged level by level, and a replayed batch rewrites its own part.
 
 A batch is computed with the same block operators as a full run: a ticker that dominates
 the stream is still spread over many tasks, which per-key state functions cannot do.
@@ -13,7 +17,9 @@ the stream is still spread over many tasks, which per-key state functions cannot
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numeric import round_even
@@ -30,68 +36,96 @@ from ledgerline.operators.series import (
     fitting,
 )
 from ledgerline.session import stored
+from ledgerline.streaming.versions import Versioned, add, compact, newest, part
 
 TAIL = 19
 PERIODS = 14
-STATE_SCHEMA = (
-    "ticker string, bars bigint, last_date timestamp_ntz, tail array<double>,"
-    " avg_gain double, avg_loss double, first_date timestamp_ntz, batch_id bigint"
-)
-BAR_SCHEMA = "ticker string, trading_date timestamp_ntz, close_price double, batch_id bigint"
+STATE = "bars bigint, last_date timestamp_ntz, tail array<double>, avg_gain double, avg_loss double"
 TICK_SCHEMA = "ticker string, trading_date timestamp_ntz, close_price double"
+RESULT = "return_pct double, ma20 double, rsi_14 double"
+BAR_KEYS = ("ticker", "trading_date")
 
 
-def earlier(spark: SparkSession, path: str, schema: str, before: int) -> DataFrame:
-    """What earlier batches stored; nothing at the start."""
-    if before == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).filter(F.col("batch_id") < before)
+@dataclass(frozen=True)
+class Online:
+    """The tables of one online job. ``extra`` names more columns of a bar and their types."""
 
+    out: str
+    extra: tuple[tuple[str, str], ...] = ()
 
-def restart_points(bars: DataFrame, states: DataFrame) -> DataFrame:
-    """Per ticker of the batch: its first date here, whether it goes back, and the state to go on from.
+    @property
+    def bar_schema(self) -> str:
+        return ", ".join([TICK_SCHEMA, *(f"{n} {t}" for n, t in self.extra)])
+
+    @property
+    def bars(self) -> Versioned:
+        return Versioned(f"{self.out}/bars", self.bar_schema, BAR_KEYS)
+
+    @property
+    def rows(self) -> Versioned:
+        """Results, and with them the closes a batch went on from, which are no results."""
+        inner = "position bigint, avg_gain double, avg_loss double, is_old boolean"
+        return Versioned(f"{self.out}/rows", f"{self.bar_schema}, {RESULT}, {inner}", BAR_KEYS, "NOT is_old")
+
+    @property
+    def current(self) -> Versioned:
+        return Versioned(f"{self.out}/current", f"ticker string, {STATE}", ("ticker",))
+
+    @property
+    def months(self) -> Versioned:
+        return Versioned(f"{self.out}/months", f"ticker string, month date, {STATE}", ("ticker", "month"))
+
+    @property
+    def tables(self) -> list[Versioned]:
+        return [self.bars, self.rows, self.current, self.months]
+
+
+def month_of(date: str | Column) -> Column:
+    return F.trunc(F.to_date(date), "month")
+
+
+def _state() -> Column:
+    return F.struct("bars", "last_date", "tail", "avg_gain", "avg_loss").alias("state")
+
+
+def starting_points(spark: SparkSession, online: Online, bars: DataFrame, batch: int) -> DataFrame:
+    """Per ticker of the batch: its first date here, whether that lies behind, and the newest state."""
+    first = bars.groupBy("ticker").agg(F.min("trading_date").alias("starts_at"))
+    now = newest(spark, online.current, batch, only=first.select("ticker")).select("ticker", _state())
+    goes_back = F.coalesce(F.col("state.last_date") >= F.col("starts_at"), F.lit(False))
+    return first.join(now, "ticker", "left").select("ticker", "starts_at", goes_back.alias("goes_back"), "state")
 
-    A state holds as long as no later batch touched a date up to its last one.
-    """
-    later = Window.partitionBy("ticker").orderBy(F.col("batch_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    touched = F.min("first_date").over(later)
-    held = states.withColumn("_holds", F.coalesce(touched > F.col("last_date"), F.lit(True)))
-    starts = bars.groupBy("ticker").agg(F.min("trading_date").alias("starts_at"))
-    before = F.col("_holds") & (F.col("last_date") < F.col("starts_at"))
-    kept = F.struct("bars", "last_date", "tail", "avg_gain", "avg_loss")
-    return (
-        starts.join(held, "ticker", "left")
-        .groupBy("ticker", "starts_at")
-        .agg(
-            F.coalesce(F.max(F.col("last_date") >= F.col("starts_at")), F.lit(False)).alias("goes_back"),
-            F.max_by(F.when(before, kept), F.when(before, F.col("batch_id"))).alias("state"),
-        )
-    )
 
+def earlier_states(spark: SparkSession, online: Online, back: DataFrame, batch: int) -> DataFrame:
+    """For tickers that go back the state at the end of the last month before their first date."""
+    months = newest(spark, online.months, batch, only=back.select("ticker"))
+    before = months.join(back.select("ticker", "starts_at"), "ticker").filter(F.col("month") < month_of("starts_at"))
+    held = before.groupBy("ticker").agg(F.max_by(_state(), "month").alias("state"))
+    return back.drop("state").join(held, "ticker", "left").select(*back.columns)
 
-def bars_to_compute(spark: SparkSession, bars: DataFrame, starts: DataFrame, history: DataFrame) -> DataFrame:
-    """The batch's bars, and for tickers that go back the stored ones behind their state.
 
-    Stored bars are read only if a ticker goes back, and from the earliest state on.
+def bars_again(
+    spark: SparkSession, online: Online, bars: DataFrame, back: DataFrame, batch: int, since: str
+) -> DataFrame:
+    """The batch's bars, and those of earlier batches behind the states that tickers go back to.
+
+    ``since`` is the oldest date needed: a literal, so it reaches the scan.
     """
-    back = starts.filter("goes_back")
-    since = F.col("state.last_date")
-    oldest, tickers = back.agg(
-        F.min(F.coalesce(since, F.lit("0001-01-01").cast("timestamp_ntz"))).cast("string"), F.count("*")
-    ).first()
-    if not tickers:
-        return bars
-    stored_bars = history.filter(F.col("trading_date") > F.lit(oldest).cast("timestamp_ntz"))
-    again = stored_bars.join(back.select("ticker", since.alias("_since")), "ticker").filter(
+    lower = F.col("state.last_date").alias("_since")
+    stored_bars = newest(spark, online.bars, batch, only=back.select("ticker"))
+    again = stored_bars.filter(F.col("trading_date") > F.lit(since).cast("timestamp_ntz"))
+    again = again.join(back.select("ticker", lower), "ticker").filter(
         F.col("_since").isNull() | (F.col("trading_date") > F.col("_since"))
     )
-    newest = F.lit(2**62).alias("batch_id")
-    every = again.drop("_since").unionByName(bars.select("ticker", "trading_date", "close_price", newest))
-    return keep_last(every, ["ticker", "trading_date"], "batch_id")
+    both = again.drop("_since").withColumn("_new", F.lit(0)).unionByName(bars.withColumn("_new", F.lit(1)))
+    return keep_last(both, list(BAR_KEYS), "_new")
 
 
 def continue_series(
-    bars: DataFrame, state: DataFrame, layout: Layout = Layout(grain="day")
+    bars: DataFrame,
+    state: DataFrame,
+    layout: Layout = Layout(grain="day"),
+    extra: tuple[tuple[str, str], ...] = (),
 ) -> DataFrame:
     """Indicators of new bars, with the columns the next state is made of.
 
@@ -102,16 +136,17 @@ def continue_series(
     tails = state.select(
         "*", F.size("tail").alias("_n"), F.posexplode("tail").alias("_i", "close_price")
     )
-    newest = F.col("_i") == F.col("_n") - 1
+    last = F.col("_i") == F.col("_n") - 1
     old = tails.select(
         "ticker",
         F.col("last_date").alias("trading_date"),
         # Old rows keep their order just before the last date; new bars are later.
         F.expr("last_date + make_dt_interval(0, 0, 0, (_i + 1 - _n) / 1000000.0)").alias("_at"),
         "close_price",
-        F.when(newest, F.col("avg_gain")).otherwise(0.0).alias("_old_gain"),
-        F.when(newest, F.col("avg_loss")).otherwise(0.0).alias("_old_loss"),
+        F.when(last, F.col("avg_gain")).otherwise(0.0).alias("_old_gain"),
+        F.when(last, F.col("avg_loss")).otherwise(0.0).alias("_old_loss"),
         F.lit(True).alias("_old"),
+        *[F.lit(None).cast(kind).alias(name) for name, kind in extra],
     )
     nothing = F.lit(None).cast("double")
     new = bars.select(
@@ -122,6 +157,7 @@ def continue_series(
         nothing.alias("_old_gain"),
         nothing.alias("_old_loss"),
         F.lit(False).alias("_old"),
+        *[name for name, _ in extra],
     )
     tail = F.size("tail")
     starts = state.select(
@@ -166,63 +202,77 @@ def continue_series(
         "ticker",
         "trading_date",
         "close_price",
+        *[name for name, _ in extra],
         round_even("_return", 4).alias("return_pct"),
         round_even("_ma20", 4).alias("ma20"),
         round_even(rsi, 4).alias("rsi_14"),
         position.alias("position"),
-        "_old",
         "avg_gain",
         "avg_loss",
+        F.col("_old").alias("is_old"),
     )
 
 
-def next_state(computed: DataFrame, starts: DataFrame) -> DataFrame:
-    """State of the tickers that the batch touched.
+def month_states(rows: DataFrame) -> DataFrame:
+    """The state at the end of each month that the rows of a batch reach into.
 
-    The rank limit works on the map side: a ticker sends at most 20 rows per task.
+    The rank limit works on the map side: a month sends at most 19 rows per task. Closes of
+    earlier months are taken over where a month has fewer; that window is as long as the calendar.
     """
-    newest = Window.partitionBy("ticker").orderBy(F.col("position").desc())
-    tail = computed.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= TAIL)
-    fresh = tail.groupBy("ticker").agg(
+    placed = rows.withColumn("month", month_of("trading_date"))
+    last = Window.partitionBy("ticker", "month").orderBy(F.col("position").desc())
+    ends = placed.withColumn("_r", F.row_number().over(last)).filter(F.col("_r") <= TAIL)
+    closes = F.array_sort(F.collect_list(F.struct("position", "close_price")))
+    states = ends.groupBy("ticker", "month").agg(
         (F.max("position") + 1).alias("bars"),
         F.max("trading_date").alias("last_date"),
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("position", "close_price"))), lambda t: t["close_price"]
-        ).alias("tail"),
+        F.transform(closes, lambda t: t["close_price"]).alias("_own"),
         F.max_by("avg_gain", "position").alias("avg_gain"),
         F.max_by("avg_loss", "position").alias("avg_loss"),
     )
-    return fresh.join(starts.select("ticker", F.col("starts_at").alias("first_date")), "ticker")
+    behind = Window.partitionBy("ticker").orderBy("month").rowsBetween(1 - TAIL, 0)
+    known = F.flatten(F.collect_list("_own").over(behind))
+    joined = states.withColumn("_known", known)
+    first = F.greatest(F.size("_known") - TAIL, F.lit(0)) + 1
+    return joined.withColumn("tail", F.slice("_known", first, TAIL)).select(
+        "ticker", "month", "bars", "last_date", "tail", "avg_gain", "avg_loss"
+    )
 
 
-def indicator_batch(
-    spark: SparkSession,
-    ticks: DataFrame,
-    batch_id: int,
-    out: str,
-    layout: Layout = Layout(grain="day"),
+def online_batch(
+    spark: SparkSession, ticks: DataFrame, batch: int, online: Online, layout: Layout = Layout(grain="day")
 ) -> None:
-    """Compute one micro-batch, then store its bars, its rows and the states after it.
+    """Compute one micro-batch; store its bars, its rows and the states after it.
 
     ``_order``, if the ticks have it, says which delivery of a bar is the last.
     """
+    for table in online.tables:
+        compact(spark, table, batch)
     ordered = ticks if "_order" in ticks.columns else ticks.withColumn("_order", F.monotonically_increasing_id())
-    bars = stored(spark, keep_last(ordered, ["ticker", "trading_date"], "_order"), "ticks")
-    states = earlier(spark, f"{out}/state", STATE_SCHEMA, batch_id)
-    starts = stored(spark, restart_points(bars, states), "starts")
-    history = earlier(spark, f"{out}/bars", BAR_SCHEMA, batch_id)
+    names = ["ticker", "trading_date", "close_price", *(n for n, _ in online.extra)]
+    add(online.bars, keep_last(ordered, list(BAR_KEYS), "_order").select(*names), batch)
+    bars = part(spark, online.bars, batch)
+    starts = stored(spark, starting_points(spark, online, bars, batch), "starts")
+    back = starts.filter("goes_back")
+    needed = bars
+    if not back.isEmpty():
+        back = stored(spark, earlier_states(spark, online, back, batch), "back")
+        start = F.coalesce("state.last_date", F.lit("0001-01-01").cast("timestamp_ntz"))
+        since = back.agg(F.min(start).cast("string")).first()[0]
+        needed = bars_again(spark, online, bars, back, batch, since)
+        starts = starts.filter("not goes_back").unionByName(back)
     state = starts.filter(F.col("state").isNotNull()).select("ticker", "state.*")
-    needed = bars_to_compute(spark, bars, starts, history)
-    computed = stored(spark, continue_series(needed, state, layout), "computed")
-    rows = (
-        computed.filter(~F.col("_old"))
-        .join(starts.select("ticker", "starts_at"), "ticker")
-        .filter(F.col("trading_date") >= F.col("starts_at"))
-        .drop("_old", "position", "avg_gain", "avg_loss", "starts_at")
-    )
-    rows.write.mode("overwrite").parquet(f"{out}/indicators/batch_id={batch_id}")
-    bars.write.mode("overwrite").parquet(f"{out}/bars/batch_id={batch_id}")
-    next_state(computed, starts).write.mode("overwrite").parquet(f"{out}/state/batch_id={batch_id}")
+    add(online.rows, continue_series(needed, state, layout, online.extra), batch)
+    add(online.months, month_states(part(spark, online.rows, batch)), batch)
+    ends = part(spark, online.months, batch).groupBy("ticker").agg(F.max_by(_state(), "month").alias("state"))
+    add(online.current, ends.select("ticker", "state.*"), batch)
+
+
+def indicator_batch(
+    spark: SparkSession, ticks: DataFrame, batch_id: int, out: str, layout: Layout = Layout(grain="day")
+) -> None:
+    """One micro-batch of ticks with a close each."""
+    online_batch(spark, ticks, batch_id, Online(out), layout)
 
 
 def indicator_stream_job(spark: SparkSession, ticks_root: str, out: str) -> None:
@@ -240,7 +290,10 @@ def indicator_stream_job(spark: SparkSession, ticks_root: str, out: str) -> None
     )
 
 
-def read_indicators(spark: SparkSession, out: str) -> DataFrame:
+def read_online(spark: SparkSession, online: Online) -> DataFrame:
     """The result so far: of rows computed again the last ones count."""
-    schema = TICK_SCHEMA + ", return_pct double, ma20 double, rsi_14 double, batch_id bigint"
-    return keep_last(spark.read.schema(schema).parquet(f"{out}/indicators"), ["ticker", "trading_date"], "batch_id")
+    return newest(spark, online.rows).drop("position", "avg_gain", "avg_loss", "is_old")
+
+
+def read_indicators(spark: SparkSession, out: str) -> DataFrame:
+    return read_online(spark, Online(out))

@@ -4,31 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ledgerline.operators.curate import KEYS
-from ledgerline.operators.dedup import keep_last
-from ledgerline.operators.indicators import indicators
 from ledgerline.operators.quality import accepted_records, gate_batches
+from ledgerline.operators.series import Layout
 from ledgerline.schemas import CURATED_COLUMNS, OHLCV, RECORD_COLUMNS
-from ledgerline.session import stored
-from ledgerline.sinks.curated import write_curated
 from ledgerline.sources.raw import LINEAGE, entries_of, unreadable_files
+from ledgerline.streaming.incremental import Online, online_batch, read_online
+from ledgerline.streaming.versions import Versioned, add, compact, newest
 
-LINEAGE_TYPE = T.StructType(
-    [
-        T.StructField("root", T.IntegerType()),
-        T.StructField("path", T.StringType()),
-        T.StructField("split_start", T.LongType()),
-        T.StructField("line", T.LongType()),
-        T.StructField("entry", T.IntegerType()),
-        T.StructField("record", T.IntegerType()),
-    ]
-)
-BRONZE = T.StructType(
-    OHLCV.fields
-    + [T.StructField(LINEAGE, LINEAGE_TYPE), T.StructField("batch_id", T.LongType())]
-)
+# What a stored bar has besides its ticker, date and close.
+EXTRA = tuple((f.name, f.dataType.simpleString()) for f in OHLCV.fields if f.name not in ("ticker", "trading_date", "close_price"))
 
 
 def raw_stream(
@@ -52,35 +37,28 @@ def raw_stream(
     )
 
 
+def curated_tables(out: str) -> Online:
+    return Online(out, EXTRA)
+
+
 def curate_batch(spark: SparkSession, lines: DataFrame, batch_id: int, out: str) -> None:
-    """Add one micro-batch to bronze and rebuild the curated partitions it touches.
+    """Add one micro-batch to the curated rows.
 
-    Bronze keeps every valid record with its place in reading order, one partition per
-    (ticker, batch): replaying a batch overwrites its own partitions and changes nothing.
-    The touched tickers are then recomputed from bronze, so late bars need no special
-    case and the result equals a batch run over all files. Files of which nothing can be
-    read, as an indented array read line by line, are listed under ``rejected``.
+    Valid records are stored by batch, the last delivery of a bar inside it; the series go on
+    from the states of earlier batches, or from the month before the first late bar, so the
+    result equals a batch run over all files and a batch in order reads no history. Files of
+    which nothing can be read, as an indented array read line by line, are listed under
+    ``rejected``.
     """
     entries = entries_of(lines.withColumn("line", F.monotonically_increasing_id()))
     unreadable_files(entries).write.mode("overwrite").parquet(f"{out}/rejected/batch_id={batch_id}")
-    (
-        accepted_records(entries)
-        .withColumn("batch_id", F.lit(batch_id).cast("long"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("ticker", "batch_id")
-        .parquet(f"{out}/bronze")
-    )
-    records = bronze_of(spark, out, batch_id)
-    bars = stored(spark, keep_last(records, KEYS).select(*RECORD_COLUMNS), "bars")
-    write_curated(indicators(bars).select(*CURATED_COLUMNS), f"{out}/curated")
+    records = accepted_records(entries).withColumnRenamed(LINEAGE, "_order")
+    online_batch(spark, records.select(*RECORD_COLUMNS, "_order"), batch_id, curated_tables(out), Layout())
 
 
-def bronze_of(spark: SparkSession, out: str, batch_id: int) -> DataFrame:
-    """All records of the tickers in a batch; only their partitions are read."""
-    bronze = spark.read.schema(BRONZE).parquet(f"{out}/bronze")
-    touched = bronze.filter(F.col("batch_id") == batch_id).select("ticker").distinct()
-    return bronze.drop("batch_id").join(touched, "ticker", "left_semi")
+def read_curated_stream(spark: SparkSession, out: str) -> DataFrame:
+    """The curated rows after all batches so far."""
+    return read_online(spark, curated_tables(out)).select(*CURATED_COLUMNS)
 
 
 def curated_stream_job(
@@ -97,12 +75,22 @@ def curated_stream_job(
     )
 
 
+def ledger_table(out: str) -> Versioned:
+    return Versioned(f"{out}/ledger", "ticker string, passed bigint, failed bigint, last_error string", ("ticker",))
+
+
+def ledger_batch(spark: SparkSession, changed: DataFrame, batch_id: int, out: str) -> None:
+    """Store the tickers a batch has changed; earlier versions go when parts are merged."""
+    compact(spark, ledger_table(out), batch_id)
+    add(ledger_table(out), changed, batch_id)
+
+
 def ledger_stream_job(
     spark: SparkSession, raw_root: str, out: str, files_per_batch: int | None = None, layout: str = "lines"
 ) -> DataFrame:
     """Running outcome counts and last error per ticker, kept as streaming state.
 
-    Every batch writes a version of its own; a failed write leaves the version before it.
+    A batch emits and writes the tickers it has changed, no others.
     """
     lines = raw_stream(spark, raw_root, files_per_batch, layout).withColumn("line", F.lit(0).cast("long"))
     gated = gate_batches(entries_of(lines))
@@ -118,15 +106,11 @@ def ledger_stream_job(
         "ticker", "passed", "failed", F.coalesce("_last.code", F.lit("OK")).alias("last_error")
     )
     (
-        result.writeStream.outputMode("complete")
-        .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/ledger/batch_id={i}"))
+        result.writeStream.outputMode("update")
+        .foreachBatch(lambda df, i: ledger_batch(df.sparkSession, df, i, out))
         .option("checkpointLocation", f"{out}/progress")
         .trigger(availableNow=True)
         .start()
         .awaitTermination()
     )
-    versions = spark.read.schema(T.StructType([*result.schema.fields, T.StructField("batch_id", T.LongType())])).parquet(
-        f"{out}/ledger"
-    )
-    last = versions.agg(F.max("batch_id")).first()[0]
-    return versions.filter(F.col("batch_id") == last).drop("batch_id")
+    return newest(spark, ledger_table(out))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import curate, quality
 from ledgerline.operators.ingest import ingest
+from ledgerline.sinks.curated import read_positions
 from ledgerline.sinks.raw import write_payloads
-from ledgerline.sources.curated import inventory, read_curated
-from ledgerline.sources.raw import raw_records, read_entries
+from ledgerline.sources.curated import inventory, read_curated, stored_files
+from ledgerline.sources.raw import LINEAGE, raw_records, read_entries, unreadable_files
 
 
 def record(ticker="FPT", date="2025-01-02", close=11.0, **changes):
@@ -180,7 +181,57 @@ def test_transform_replaces_only_its_tickers(spark, tmp_path):
     rows = read_curated(spark, root).orderBy("ticker").collect()
     assert [(r["ticker"], r["close_price"]) for r in rows] == [("001", 1.0), ("VCB", 5.0)]
     assert kept == [p.read_bytes() for p in (tmp_path / "curated" / "ticker=001").glob("*.parquet")]
-    assert tuple(inventory(read_curated(spark, root)).first()) == (2, True)
+    assert tuple(inventory(stored_files(spark, root)).first()) == (2, True)
+    assert {r["ticker"]: r["rows"] for r in read_positions(spark, root).collect()} == {"001": 1, "VCB": 1}
+
+
+def test_transform_reports_what_it_wrote(spark, tmp_path):
+    put(tmp_path / "raw" / "a.json", [payload([record("AAA"), record("AAA", "2025-02-02"), record("BBB")])])
+    put(tmp_path / "raw" / "b.json", [payload([], "FAIL")])
+    said = curate.transform(spark, read_entries(spark, [str(tmp_path / "raw")], "array"), str(tmp_path / "out")).first()
+    assert said.asDict() == {"input_files": 2, "output_files": 2, "rows": 3, "tickers": 2}
+
+
+def test_tickers_keep_their_names_in_the_inventory(spark, tmp_path):
+    rows = spark.createDataFrame([("A+B", 1), ("C_D", 2), ("E%F", 3)], "ticker string, v int")
+    rows.write.partitionBy("ticker").parquet(str(tmp_path / "t"))
+    assert {r["ticker"] for r in stored_files(spark, str(tmp_path / "t")).collect()} == {"A+B", "C_D", "E%F"}
+
+
+TRICKY_TEXTS = ['a "quoted" }{ brace', "back\\slash \\\" }", "}}}", '\\', "tab\t{\u00e9}[", ""]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+@pytest.mark.parametrize("split", ["64", "1000", "128m"])
+def test_one_array_is_read_by_many_tasks(spark, tmp_path, indent, split):
+    """Braces and quotes in texts, a byte order mark, and splits in the middle of anything."""
+    values = [payload([record("AAA", f"2025-01-{d + 1:02d}", close=10 + d)] * 2, "PASS") for d in range(12)]
+    for n, v in enumerate(values):
+        v["metadata"]["provider"] = TRICKY_TEXTS[n % len(TRICKY_TEXTS)]
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    (folder / "a.json").write_text("\ufeff" + json.dumps(values[:8], indent=indent) + "\n", encoding="utf-8")
+    (folder / "b.json").write_text(json.dumps(values[8], indent=indent), encoding="utf-8")
+    (folder / "c.json").write_text(json.dumps(values[9:], indent=indent, ensure_ascii=False), encoding="utf-8")
+    (folder / "d.json").write_text("no json at all", encoding="utf-8")
+    (folder / "e.json").write_text(" \n", encoding="utf-8")
+    (folder / "f.json").write_text(json.dumps(values[:2], indent=indent)[:-40], encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        entries = read_entries(spark, [str(folder)], "array")
+        rows = entries.orderBy(LINEAGE).collect()
+        good = [r for r in rows if not r["unreadable"] and "f.json" not in r["file_path"]]
+        assert [r["metadata"]["provider"] for r in good] == [v["metadata"]["provider"] for v in values]
+        assert [float(r["records"][1]["close_price"]) for r in good] == [10.0 + d for d in range(12)]
+        assert all(len(r["records"]) == 2 for r in good)
+        assert {r["file_path"].rsplit("/", 1)[1] for r in unreadable_files(entries).collect()} == {"d.json"}
+        cut = [r for r in rows if "f.json" in r["file_path"]]
+        assert [r["unreadable"] for r in cut] == [False, True]
+        pieces = spark.read.option("lineSep", "}").text(str(folder / "a.json"))
+        assert split == "128m" or pieces.rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 def test_failed_transform_leaves_the_curated_layer_alone(spark, tmp_path):

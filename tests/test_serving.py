@@ -6,7 +6,7 @@ import pytest
 
 from ledgerline.operators import serving
 from ledgerline.schemas import CURATED
-from ledgerline.sinks.curated import write_curated
+from ledgerline.sinks.curated import read_positions, write_curated
 from ledgerline.sinks.reports import price_export, write_export, write_report
 from ledgerline.sources.curated import read_curated
 from ledgerline.sources.tables import first_tickers, in_file_order, read_universe
@@ -52,6 +52,37 @@ def test_price_pages(curated):
     assert serving.prices_page(curated, "FPT", page=9, limit=3).rows.count() == 0
 
 
+@pytest.mark.parametrize("bounds", [(None, None), ("2025-01-03", None), (None, "2025-05-10"), ("2025-02-11", "2025-02-20"),
+                                    ("2025-01-31", "2025-04-01"), ("2024-01-01", "2026-01-01"), ("2025-06-01", "2025-07-01")])
+def test_pages_by_month_equal_counted_pages(spark, tmp_path, bounds):
+    """Months of different sizes, one without rows, bounds inside and outside of the data."""
+    days = [dt.datetime(2025, m, d, h) for m, ds in {1: range(1, 32), 2: [5, 11, 20], 4: range(1, 11), 5: [1, 30]}.items() for d in ds for h in (0, 9)]
+    rows = [(t, day, 10.0, 12.0, 9.0, 10.0, 100, None, 11.0, None) for t in ("FPT", "VCB") for day in days]
+    frame, root = spark.createDataFrame(rows, CURATED), str(tmp_path / "curated")
+    write_curated(frame, root, dates=frame)
+    table, positions = read_curated(spark, root), read_positions(spark, root)
+    assert table.count() == len(rows)
+    for page in (1, 2, 5, 9):
+        plain = serving.prices_page(table, "FPT", *bounds, page=page, limit=12)
+        found = serving.prices_page(table, "FPT", *bounds, page=page, limit=12, positions=positions)
+        assert found.rows.collect() == plain.rows.collect()
+        assert found.total.first()[0] == plain.total.first()[0]
+
+
+def test_a_late_page_reads_its_months_only(spark, tmp_path):
+    days = [dt.datetime(2020 + y, m, d) for y in range(3) for m in range(1, 13) for d in range(1, 21)]
+    frame = spark.createDataFrame([("FPT", day, 1.0, 1.0, 1.0, 1.0, 1, None, 1.0, None) for day in days], CURATED)
+    root = str(tmp_path / "curated")
+    write_curated(frame, root, dates=frame)
+    page = serving.prices_page(read_curated(spark, root), "fpt", page=30, limit=20, positions=read_positions(spark, root))
+    assert [r["trading_date"].isoformat()[:7] for r in page.rows.collect()] == ["2022-06"] * 20
+    plan = page.rows._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(trading_date,2022-06-01" in plan and "LessThan(trading_date,2022-07-01" in plan
+    # A write without dates leaves no positions that do not hold.
+    write_curated(frame, root)
+    assert read_positions(spark, root) is None
+
+
 def test_pages_join_up(curated):
     pages = [serving.prices_page(curated, "FPT", page=p, limit=3).rows.collect() for p in (1, 2, 3, 4)]
     assert [len(p) for p in pages] == [3, 3, 2, 0]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import dataset, evaluation, labels, ratios
 from ledgerline.operators import statements as st
-from ledgerline.operators.quantiles import exact_quantiles, value_ranks
+from ledgerline.operators.quantiles import exact_quantiles, in_ranges, value_ranks
 from ledgerline.operators.ratios import peer_rank
 
 ITEMS = [
@@ -145,9 +145,9 @@ def test_quantiles_match_brute_force_with_hot_values(spark):
     rows = [(k, v) for k, values in data.items() for v in values] + [("few", None)]
     df = spark.createDataFrame(rows, "k string, v double")
     probabilities = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
-    # A coarse sketch forces real brackets; the answer must not depend on it.
-    for accuracy in (200, 100_000):
-        got = exact_quantiles(df, ["k"], "v", probabilities, accuracy).collect()
+    # Few rows a range cut keys anywhere; the answer must not depend on it.
+    for range_rows in (100, 100_000):
+        got = exact_quantiles(df, ["k"], "v", probabilities, range_rows).collect()
         assert len(got) == len(data) * len(probabilities)
         for r in got:
             values = sorted(data[r["k"]])
@@ -161,10 +161,33 @@ def test_value_ranks_match_brute_force(spark):
     rng = random.Random(5)
     data = {"hot": [float(rng.randint(0, 400)) for _ in range(6000)] + [50.0] * 3000, "b": [1.0, 1.0, 2.0]}
     df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "k string, v double")
-    for r in value_ranks(df, ["k"], "v").collect():
-        values = data[r["k"]]
-        assert r["n_here"] == values.count(r["v"])
-        assert r["n_before"] == sum(v < r["v"] for v in values)
+    for range_rows in (20, 1000):
+        for r in value_ranks(df, ["k"], "v", range_rows).collect():
+            values = data[r["k"]]
+            assert r["n_here"] == values.count(r["v"])
+            assert r["n_before"] == sum(v < r["v"] for v in values)
+
+
+def test_ranges_follow_the_number_of_values(spark):
+    """One key holds nearly all rows: no range holds much more than was asked for."""
+    counts = spark.range(20_000).selectExpr("if(id % 50 = 0, 'b', 'a') k", "cast(id as double) v", "1 n_here")
+    sizes = [r["count"] for r in in_ranges(counts, ["k"], "v", 1000).groupBy("_bin").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 3000 and sum(sizes) == 20_000
+
+
+def test_prices_are_carried_over_years_without_bars(spark):
+    prices = spark.createDataFrame(
+        [("A", 2018, 5.0, "2018-12-28"), ("A", 2021, 7.0, "2021-03-01"), ("B", 2021, 9.0, "2021-12-30")],
+        "ticker string, year int, year_end_price double, priced_on string",
+    )
+    wanted = spark.createDataFrame(
+        [("A", 2017), ("A", 2018), ("A", 2020), ("A", 2020), ("A", 2022), ("B", 2020), ("C", 2021)], "ticker string, year int"
+    )
+    got = {(r["ticker"], r["year"]): (r["year_end_price"], r["priced_on"]) for r in st.prices_as_of(prices, wanted).collect()}
+    assert got == {
+        ("A", 2017): (None, None), ("A", 2018): (5.0, "2018-12-28"), ("A", 2020): (5.0, "2018-12-28"),
+        ("A", 2022): (7.0, "2021-03-01"), ("B", 2020): (None, None), ("C", 2021): (None, None),
+    }
 
 
 def test_peer_rank_matches_brute_force(spark):

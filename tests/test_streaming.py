@@ -9,10 +9,18 @@ from ledgerline.operators import curate
 from ledgerline.operators.indicators import indicators
 from ledgerline.operators.series import Layout
 from ledgerline.schemas import CURATED_COLUMNS
-from ledgerline.sources.curated import read_curated
 from ledgerline.sources.raw import read_entries
-from ledgerline.streaming.incremental import indicator_batch, read_indicators
-from ledgerline.streaming.jobs import bronze_of, curate_batch, curated_stream_job, ledger_stream_job, raw_stream
+from ledgerline.streaming.incremental import Online, indicator_batch, read_indicators
+from ledgerline.streaming import versions
+from ledgerline.streaming.jobs import (
+    curate_batch,
+    curated_stream_job,
+    curated_tables,
+    ledger_stream_job,
+    ledger_table,
+    raw_stream,
+    read_curated_stream,
+)
 
 
 def line(ticker, day, close, status="PASS", code="OK"):
@@ -49,22 +57,23 @@ def batch_result(spark, raw):
 def test_stream_equals_batch_over_several_micro_batches(spark, landed, tmp_path):
     out = str(tmp_path / "out")
     curated_stream_job(spark, str(landed), out, files_per_batch=1)
-    assert rows(read_curated(spark, f"{out}/curated")) == rows(batch_result(spark, landed))
+    assert rows(read_curated_stream(spark, out)) == rows(batch_result(spark, landed))
     # A late correction inside the history of one ticker, and a new ticker.
     put(landed, "c.json", [line("AAA", 3, 50.0), line("CCC", 1, 5.0)])
-    untouched = sorted(p.name for p in (tmp_path / "out/curated/ticker=BBB").iterdir())
     curated_stream_job(spark, str(landed), out, files_per_batch=1)
-    assert rows(read_curated(spark, f"{out}/curated")) == rows(batch_result(spark, landed))
-    assert untouched == sorted(p.name for p in (tmp_path / "out/curated/ticker=BBB").iterdir())
+    assert rows(read_curated_stream(spark, out)) == rows(batch_result(spark, landed))
+    # What was not touched is not written again.
+    written = versions.part(spark, curated_tables(out).rows, 2).filter("not is_old").select("ticker", F.month("trading_date"))
+    assert {tuple(r) for r in written.collect()} == {("AAA", 1), ("AAA", 2), ("CCC", 1)}
 
 
 def test_replaying_a_batch_changes_nothing(spark, landed, tmp_path):
     out = str(tmp_path / "out")
     lines = raw_lines(spark, landed)
     curate_batch(spark, lines, 0, out)
-    first = rows(read_curated(spark, f"{out}/curated"))
+    first = rows(read_curated_stream(spark, out))
     curate_batch(spark, lines, 0, out)
-    assert rows(read_curated(spark, f"{out}/curated")) == first
+    assert rows(read_curated_stream(spark, out)) == first
 
 
 def test_layouts_lose_nothing_in_silence(spark, tmp_path):
@@ -76,7 +85,7 @@ def test_layouts_lose_nothing_in_silence(spark, tmp_path):
     put(raw, "mark.json", ["\ufeff" + json.dumps(values[4:])])
     out = str(tmp_path / "whole")
     curated_stream_job(spark, str(raw), out, layout="array")
-    assert [r["close_price"] for r in read_curated(spark, f"{out}/curated").orderBy("trading_date").collect()] == [10.0 + d for d in range(6)]
+    assert [r["close_price"] for r in read_curated_stream(spark, out).orderBy("trading_date").collect()] == [10.0 + d for d in range(6)]
     assert spark.read.parquet(f"{out}/rejected").count() == 0
     ledger = ledger_stream_job(spark, str(raw), str(tmp_path / "ledger"), layout="array")
     assert [tuple(r) for r in ledger.collect()] == [("AAA", 6, 0, "OK")]
@@ -84,7 +93,7 @@ def test_layouts_lose_nothing_in_silence(spark, tmp_path):
     lines = str(tmp_path / "lines")
     curated_stream_job(spark, str(raw), lines)
     assert {r["file_path"].rsplit("/", 1)[1] for r in spark.read.parquet(f"{lines}/rejected").collect()} == {"array.json", "single.json"}
-    assert read_curated(spark, f"{lines}/curated").count() == 2
+    assert read_curated_stream(spark, lines).count() == 2
 
 
 def raw_lines(spark, root):
@@ -130,7 +139,7 @@ def test_online_indicators_continue_and_go_back_for_late_bars(spark, tmp_path):
     got = {tuple(r) for r in read_indicators(spark, out).collect()}
     want = {tuple(r) for r in indicators(whole, layout=Layout(grain="day")).collect()}
     assert len(got) == 2130 and got == want
-    states = spark.read.parquet(f"{out}/state").filter("batch_id = 3")
+    states = versions.part(spark, Online(out).current, 3)
     assert [r["ticker"] for r in states.collect()] == ["T"]
 
 
@@ -154,9 +163,49 @@ def test_late_and_corrected_bars_change_what_follows(spark, tmp_path):
     assert got == {1: None, 2: 10.0, 3: 18.1818, 4: 100.0, 5: -73.0769}
 
 
-def test_touched_tickers_prune_the_bronze_scan(spark, landed, tmp_path):
-    out = str(tmp_path / "out")
-    curated_stream_job(spark, str(landed), out, files_per_batch=1)
-    plan = bronze_of(spark, out, 1)._jdf.queryExecution().executedPlan().toString()
-    assert "dynamicpruning" in plan
-    assert {r["ticker"] for r in bronze_of(spark, out, 1).select("ticker").distinct().collect()} < {"AAA", "BBB"}
+def test_a_batch_in_order_reads_no_history(spark, tmp_path, monkeypatch):
+    """Bars and month states of earlier batches are read for late bars only."""
+    out, read = str(tmp_path / "online"), []
+    plain = versions.newest
+    monkeypatch.setattr(
+        "ledgerline.streaming.incremental.newest",
+        lambda spark, table, *a, **k: read.append(table.root.rsplit("/", 1)[1]) or plain(spark, table, *a, **k),
+    )
+    indicator_batch(spark, ticks(spark, 0, 400), 0, out)
+    indicator_batch(spark, ticks(spark, 400, 800), 1, out)
+    assert read == ["current", "current"]
+    indicator_batch(spark, ticks(spark, 600, 601), 2, out)
+    assert sorted(read[2:]) == ["bars", "current", "months"]
+    got = {tuple(r) for r in read_indicators(spark, out).collect()}
+    assert got == {tuple(r) for r in indicators(ticks(spark, 0, 800), layout=Layout(grain="day")).collect()}
+
+
+def test_parts_are_merged_by_level_and_overtaken_rows_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(versions, "FAN_IN", 3)
+    table = versions.Versioned(str(tmp_path / "t"), "k int, v int", ("k",))
+    want = {}
+    for batch in range(11):
+        versions.compact(spark, table, batch)
+        rows = [(batch % 4, batch), (100 + batch, batch)]
+        want.update(rows)
+        for _ in range(2):  # replayed
+            versions.add(table, spark.createDataFrame(rows, "k int, v int"), batch)
+        assert {tuple(r) for r in versions.newest(spark, table).collect()} == set(want.items())
+    assert versions.parts(spark, table) == [(0, 8), (9, 9), (10, 10)]
+    assert len(list((tmp_path / "t").iterdir())) == 3
+    before = versions.newest(spark, table, before=9)
+    assert before.count() == 4 + 9 and before.filter("k = 3").first()["v"] == 7
+    # A merge that broke off is not read.
+    (tmp_path / "t" / "0000000000-0000000008" / "_SUCCESS").unlink()
+    assert versions.parts(spark, table) == [(9, 9), (10, 10)]
+
+
+def test_ledger_batches_write_what_they_change(spark, tmp_path):
+    raw, out = tmp_path / "raw", str(tmp_path / "out")
+    put(raw, "a.json", [line(t, 1, 5.0) for t in ("AAA", "BBB", "CCC")])
+    ledger_stream_job(spark, str(raw), out)
+    put(raw, "b.json", [line("BBB", 2, 0, "FAIL", "NO_DATA")])
+    got = ledger_stream_job(spark, str(raw), out)
+    assert {tuple(r) for r in got.collect()} == {("AAA", 1, 0, "OK"), ("BBB", 1, 1, "NO_DATA"), ("CCC", 1, 0, "OK")}
+    changed = versions.every_version(spark, ledger_table(out)).groupBy("batch_id").count().filter("count > 0")
+    assert {tuple(r) for r in changed.collect()} == {(0, 3), (1, 1)}
