@@ -2,11 +2,12 @@
 
 The state per ticker is what the recursions need and nothing else: number of bars, last
 date, the last 19 closes, and the two smoothed averages. Two tables hold it: the state after
-the newest bar of each ticker, and the state at the end of each month. A batch that appends
-in order reads the newest states and its own bars. For a ticker whose bars come late or
-again, the state at the end of the month before the first of them still holds, whatever
-came since; the bars from there on are read and computed again, and what follows from them
-replaces the earlier rows and states. The last delivery of a bar wins.
+the newest bar of each ticker, and the state at the end of each period, a month of daily
+bars or a day of intraday ones. A batch that appends in order reads the newest states and
+its own bars. For a ticker whose bars come late or again, the state at the end of the period
+before the first of them still holds, whatever came since; the bars from there on are read
+and computed again, and what follows from them replaces the earlier rows and states. The
+last delivery of a bar wins.
 
 All tables are versioned by batch (``streaming.versions``): a batch adds a part of what it
 changes, parts are merged level by level, and a replayed batch rewrites its own part.
@@ -48,10 +49,15 @@ BAR_KEYS = ("ticker", "trading_date")
 
 @dataclass(frozen=True)
 class Online:
-    """The tables of one online job. ``extra`` names more columns of a bar and their types."""
+    """The tables of one online job.
+
+    ``extra`` names more columns of a bar and their types; ``grain`` is the period at whose end
+    states are kept, "month" or "day".
+    """
 
     out: str
     extra: tuple[tuple[str, str], ...] = ()
+    grain: str = "month"
 
     @property
     def bar_schema(self) -> str:
@@ -72,16 +78,15 @@ class Online:
         return Versioned(f"{self.out}/current", f"ticker string, {STATE}", ("ticker",))
 
     @property
-    def months(self) -> Versioned:
-        return Versioned(f"{self.out}/months", f"ticker string, month date, {STATE}", ("ticker", "month"))
+    def periods(self) -> Versioned:
+        return Versioned(f"{self.out}/periods", f"ticker string, period date, {STATE}", ("ticker", "period"))
+
+    def period_of(self, date: str) -> Column:
+        return F.to_date(date) if self.grain == "day" else F.trunc(F.to_date(date), "month")
 
     @property
     def tables(self) -> list[Versioned]:
-        return [self.bars, self.rows, self.current, self.months]
-
-
-def month_of(date: str | Column) -> Column:
-    return F.trunc(F.to_date(date), "month")
+        return [self.bars, self.rows, self.current, self.periods]
 
 
 def _state() -> Column:
@@ -97,10 +102,11 @@ def starting_points(spark: SparkSession, online: Online, bars: DataFrame, batch:
 
 
 def earlier_states(spark: SparkSession, online: Online, back: DataFrame, batch: int) -> DataFrame:
-    """For tickers that go back the state at the end of the last month before their first date."""
-    months = newest(spark, online.months, batch, only=back.select("ticker"))
-    before = months.join(back.select("ticker", "starts_at"), "ticker").filter(F.col("month") < month_of("starts_at"))
-    held = before.groupBy("ticker").agg(F.max_by(_state(), "month").alias("state"))
+    """For tickers that go back the state at the end of the last period before their first date."""
+    kept = newest(spark, online.periods, batch, only=back.select("ticker"))
+    starts = back.select("ticker", online.period_of("starts_at").alias("_starts_in"))
+    before = kept.join(starts, "ticker").filter(F.col("period") < F.col("_starts_in"))
+    held = before.groupBy("ticker").agg(F.max_by(_state(), "period").alias("state"))
     return back.drop("state").join(held, "ticker", "left").select(*back.columns)
 
 
@@ -213,29 +219,29 @@ def continue_series(
     )
 
 
-def month_states(rows: DataFrame) -> DataFrame:
-    """The state at the end of each month that the rows of a batch reach into.
+def period_states(rows: DataFrame, online: Online) -> DataFrame:
+    """The state at the end of each period that the rows of a batch reach into.
 
-    The rank limit works on the map side: a month sends at most 19 rows per task. Closes of
-    earlier months are taken over where a month has fewer; that window is as long as the calendar.
+    The rank limit works on the map side: a period sends at most 19 rows per task. Closes of
+    earlier ones are taken over where a period has fewer; that window is as long as the calendar.
     """
-    placed = rows.withColumn("month", month_of("trading_date"))
-    last = Window.partitionBy("ticker", "month").orderBy(F.col("position").desc())
+    placed = rows.withColumn("period", online.period_of("trading_date"))
+    last = Window.partitionBy("ticker", "period").orderBy(F.col("position").desc())
     ends = placed.withColumn("_r", F.row_number().over(last)).filter(F.col("_r") <= TAIL)
     closes = F.array_sort(F.collect_list(F.struct("position", "close_price")))
-    states = ends.groupBy("ticker", "month").agg(
+    states = ends.groupBy("ticker", "period").agg(
         (F.max("position") + 1).alias("bars"),
         F.max("trading_date").alias("last_date"),
         F.transform(closes, lambda t: t["close_price"]).alias("_own"),
         F.max_by("avg_gain", "position").alias("avg_gain"),
         F.max_by("avg_loss", "position").alias("avg_loss"),
     )
-    behind = Window.partitionBy("ticker").orderBy("month").rowsBetween(1 - TAIL, 0)
+    behind = Window.partitionBy("ticker").orderBy("period").rowsBetween(1 - TAIL, 0)
     known = F.flatten(F.collect_list("_own").over(behind))
     joined = states.withColumn("_known", known)
     first = F.greatest(F.size("_known") - TAIL, F.lit(0)) + 1
     return joined.withColumn("tail", F.slice("_known", first, TAIL)).select(
-        "ticker", "month", "bars", "last_date", "tail", "avg_gain", "avg_loss"
+        "ticker", "period", "bars", "last_date", "tail", "avg_gain", "avg_loss"
     )
 
 
@@ -259,20 +265,26 @@ def online_batch(
         back = stored(spark, earlier_states(spark, online, back, batch), "back")
         start = F.coalesce("state.last_date", F.lit("0001-01-01").cast("timestamp_ntz"))
         since = back.agg(F.min(start).cast("string")).first()[0]
-        needed = bars_again(spark, online, bars, back, batch, since)
+        # Read several times below.
+        needed = stored(spark, bars_again(spark, online, bars, back, batch, since), "needed")
         starts = starts.filter("not goes_back").unionByName(back)
     state = starts.filter(F.col("state").isNotNull()).select("ticker", "state.*")
     add(online.rows, continue_series(needed, state, layout, online.extra), batch)
-    add(online.months, month_states(part(spark, online.rows, batch)), batch)
-    ends = part(spark, online.months, batch).groupBy("ticker").agg(F.max_by(_state(), "month").alias("state"))
+    add(online.periods, period_states(part(spark, online.rows, batch), online), batch)
+    ends = part(spark, online.periods, batch).groupBy("ticker").agg(F.max_by(_state(), "period").alias("state"))
     add(online.current, ends.select("ticker", "state.*"), batch)
 
 
+def ticks_of(out: str) -> Online:
+    """The tables of intraday closes."""
+    return Online(out, grain="day")
+
+
 def indicator_batch(
     spark: SparkSession, ticks: DataFrame, batch_id: int, out: str, layout: Layout = Layout(grain="day")
 ) -> None:
     """One micro-batch of ticks with a close each."""
-    online_batch(spark, ticks, batch_id, Online(out), layout)
+    online_batch(spark, ticks, batch_id, ticks_of(out), layout)
 
 
 def indicator_stream_job(spark: SparkSession, ticks_root: str, out: str) -> None:
@@ -296,4 +308,4 @@ def read_online(spark: SparkSession, online: Online) -> DataFrame:
 
 
 def read_indicators(spark: SparkSession, out: str) -> DataFrame:
-    return read_online(spark, Online(out))
+    return read_online(spark, ticks_of(out))
