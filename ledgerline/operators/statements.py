@@ -6,6 +6,8 @@ windows per company are bounded by the calendar, not by the size of the table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,13 +26,19 @@ REPORT_PARTS = {"balance_sheet": "BS", "income_statement": "IS", "cash_flow": "C
 
 
 def to_long(wide: DataFrame, ids: list[str], items: list[str]) -> DataFrame:
-    """One row per item."""
-    return wide.unpivot(ids, items, "metric_code", "value")
+    """One row per item. Rows stay in their partition, so a table dealt by company remains so."""
+    cells = [F.struct(F.lit(i).alias("metric_code"), F.col(i).alias("value")) for i in items]
+    return wide.select(*ids, F.inline(F.array(*cells)))
 
 
 def to_wide(long: DataFrame, ids: list[str], items: list[str]) -> DataFrame:
-    """One column per item; the item list is given, so no pass over the data finds it."""
-    return long.groupBy(*ids).pivot("metric_code", items).agg(F.max("value"))
+    """One column per item; the item list is given, so no pass over the data finds it.
+
+    One aggregate whose partial results hold all items of a row: what a task has of a row is
+    sent once, not once per item.
+    """
+    here = F.col("metric_code")
+    return long.groupBy(*ids).agg(*[F.max(F.when(here == i, F.col("value"))).alias(i) for i in items])
 
 
 def statement_kind(metric: Column) -> Column:
@@ -38,34 +46,46 @@ def statement_kind(metric: Column) -> Column:
     return F.try_element_at(kinds, metric)
 
 
+# Rows of one column per item that a task turns into reports.
+REPORT_ROWS = 20_000
+
+
+def by_company(wide: DataFrame, task_rows: int = REPORT_ROWS) -> DataFrame:
+    """Rows dealt to tasks by company, so many that a task has few enough to sort in memory.
+
+    Done before items become rows, so items are never shuffled one by one: ``to_long`` and
+    ``to_reports`` keep to the partition. ``wide`` is counted first: pass a stored table.
+    """
+    return wide.repartition(max(1, math.ceil(wide.count() / task_rows)), "ticker")
+
+
 def to_reports(long: DataFrame, period: str = "period") -> DataFrame:
     """Nested report per company: a period map per item, items by statement.
 
     An item keeps its reported name and category, null where the items carry none. Names are
     not part of an item's key: of two names for one code the first in text order counts.
+    Nothing is shuffled where ``long`` is dealt by company (``by_company``).
     """
     texts = {
         name: F.min(name) if name in long.columns else F.lit(None).cast("string") for name in ["metric_name", "category"]
     }
     items = long.groupBy("ticker", "period_type", "statement", "metric_code", "unit").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(period, "value")))).alias("values"),
+        F.array_sort(F.collect_list(F.struct(F.col(period).alias("period"), "value"))).alias("values"),
         *[column.alias(name) for name, column in texts.items()],
     )
     item = F.struct("metric_code", "metric_name", "unit", "category", "values")
     parts = [
-        F.array_sort(F.collect_list(F.when(F.col("statement") == kind, F.to_json(item)))).alias(f"_{part}")
+        F.array_sort(F.collect_list(F.when(F.col("statement") == kind, item))).alias(f"_{part}")
         for part, kind in REPORT_PARTS.items()
     ]
-    periods = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_keys("values")))))
+    periods = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.col("values.period")))))
     grouped = items.groupBy("ticker", "period_type").agg(periods.alias("periods"), *parts)
+
+    def as_map(i: Column) -> Column:
+        return i.withField("values", F.map_from_entries(i["values"]))
+
     return grouped.select(
-        "ticker",
-        "period_type",
-        "periods",
-        *[
-            F.transform(f"_{part}", lambda j: F.from_json(j, _ITEM)).alias(part)
-            for part in REPORT_PARTS
-        ],
+        "ticker", "period_type", "periods", *[F.transform(f"_{part}", as_map).alias(part) for part in REPORT_PARTS]
     )
 
 

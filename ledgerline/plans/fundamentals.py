@@ -77,7 +77,7 @@ _NAMES_SQL = """upper(replace(metric_code, '_', ' ')) AS metric_name, metric_cod
 def _report_items(spark, sf_dir, source, period, kind: str):
     """Items as a report holds them: with name, unit and category."""
     ids = ["ticker", "year", "quarter"] if "quarter" in source.columns else ["ticker", "year"]
-    long = st.to_long(source, ids, ITEMS)
+    long = st.to_long(st.by_company(source), ids, ITEMS)
     return long.select(
         "ticker",
         F.lit(kind).alias("period_type"),
@@ -92,12 +92,16 @@ def _report_items(spark, sf_dir, source, period, kind: str):
 
 
 def _landed_reports(spark, sf_dir):
-    """Yearly and quarterly reports of all companies, landed as nested JSON and read back."""
+    """Yearly and quarterly reports of all companies, landed as nested JSON and read back.
+
+    A report is of one kind, so either kind is grouped by itself; the text repeats the names of
+    items in every report and is packed.
+    """
     path = work_dir(configure(spark), "reports")
     yearly = _report_items(spark, sf_dir, statements(spark, sf_dir), F.col("year").cast("string"), "YEARLY")
     name = F.concat(F.col("year").cast("string"), F.lit("Q"), F.col("quarter").cast("string"))
     by_quarter = _report_items(spark, sf_dir, quarterly(spark, sf_dir), name, "QUARTERLY")
-    st.to_reports(yearly.unionByName(by_quarter)).write.json(path)
+    st.to_reports(yearly).unionByName(st.to_reports(by_quarter)).write.json(path, compression="gzip")
     return spark.read.schema(st.REPORT_SCHEMA).json(path)
 
 

@@ -295,3 +295,58 @@ def test_risk_levels_and_trend(spark):
     assert [r["level"] for r in trend] == ["LOW", "MODERATE", "HIGH"]
     assert [r["direction"] for r in trend] == [None, "up", "up"]
     assert [len(r["history"]) for r in trend] == [1, 2, 3]
+
+
+def exchanges(frame) -> int:
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning")
+
+
+def test_reports_shuffle_no_items(spark):
+    """Rows dealt by company become items and reports where they lie; duplicates of names aside, nothing is lost."""
+    wide = spark.range(40).selectExpr(
+        "concat('C', id % 20) ticker", "cast(id div 20 as string) period", "cast(id as double) equity", "cast(id * 2 as double) cogs"
+    )
+    dealt = st.by_company(wide, task_rows=7)
+    assert dealt.rdd.getNumPartitions() == 6
+    items = st.to_long(dealt, ["ticker", "period"], ["equity", "cogs"]).select(
+        "ticker", F.lit("YEARLY").alias("period_type"), F.when(F.col("metric_code") == "equity", "BS").otherwise("IS").alias("statement"),
+        "metric_code", F.lit("VND").alias("unit"), "period", "value",
+    )
+    reports = st.to_reports(items)
+    assert exchanges(reports) == 1
+    back = st.from_reports(reports).select(*items.columns)
+    assert back.count() == 80 and back.exceptAll(items).count() == 0
+
+
+def test_landed_reports_are_packed(spark, sf_dir):
+    from ledgerline.plans import fundamentals
+
+    files = fundamentals._landed_reports(spark, sf_dir).inputFiles()
+    assert files and all(f.endswith(".json.gz") for f in files)
+
+
+def test_wide_rows_need_one_aggregate(spark):
+    long = spark.createDataFrame([("A", "x", 1.0), ("A", "x", 3.0), ("A", "y", None), ("B", "z", 2.0)], "t string, metric_code string, value double")
+    wide = st.to_wide(long, ["t"], ["x", "y"])
+    assert exchanges(wide) == 1
+    assert sorted(map(tuple, wide.collect())) == [("A", 3.0, None), ("B", None, None)]
+
+
+def test_statement_inputs_join_orders_not_lines(spark, tmp_path):
+    """Lines are summed per order before the join; repeated orders count twice, null keys not at all."""
+    from ledgerline.plans import inputs
+
+    orders = [(1, 7, "1995-03-01"), (1, 7, "1995-03-01"), (2, 7, "1995-12-31"), (3, None, "1996-01-01"), (None, 7, "1995-01-01")]
+    lines = [(1, 100.0, 0.1, 0.02, "R", "O"), (1, 50.0, 0.0, 0.04, None, "F"), (2, 10.0, 0.5, 0.0, "N", "O"), (None, 999.0, 0.0, 0.0, "N", "F"), (3, 5.0, 0.0, 0.0, "A", "F")]
+    schema = "l_orderkey long, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    made = spark.createDataFrame(orders, "o_orderkey long, o_custkey long, d string").selectExpr("o_orderkey", "o_custkey", "date(d) o_orderdate")
+    made.write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    frame = inputs.statements(spark, str(tmp_path))
+    got = {(r["ticker"], r["year"]): r for r in frame.collect()}
+    assert set(got) == {("C7", 1995), (None, 1996)}
+    row = got["C7", 1995]
+    assert (row["inventory"], row["net_revenue"], row["interest_expense"]) == (pytest.approx(31.0), 5.0, pytest.approx(4.0))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate [l_orderkey")
