@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerline.operators import companies as company_ops
 from ledgerline.operators import dataset as ds
 from ledgerline.operators import evaluation, labels, models, ratios
-from ledgerline.plans.fundamentals import LABEL_PARTS, loss_dataset, statements, stored_ratios
+from ledgerline.plans.fundamentals import LABEL_PARTS, loss_dataset, statements
 from ledgerline.plans.inputs import COMPANIES_SQL, companies, layer
 from ledgerline.plans.registry import Catalog, with_parts
 from ledgerline.session import configure, source_version, work_dir
@@ -38,8 +38,9 @@ def dataset_oracle(body: str, *more: str) -> str:
 
 
 def _build_dataset(spark, sf_dir):
+    """The ratios a dataset keeps need no year before: columns of a row, not worth a stored layer."""
     rows = statements(spark, sf_dir)
-    return ds.assemble(stored_ratios(spark, sf_dir), labels.distress_labels(rows), companies(spark, sf_dir))
+    return ds.assemble(ratios.ratios(rows), labels.distress_labels(rows), companies(spark, sf_dir))
 
 
 def dataset(spark, sf_dir):

@@ -350,3 +350,11 @@ def test_statement_inputs_join_orders_not_lines(spark, tmp_path):
     assert (row["inventory"], row["net_revenue"], row["interest_expense"]) == (pytest.approx(31.0), 5.0, pytest.approx(4.0))
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate [l_orderkey")
+
+
+def test_dataset_stores_no_ratios(spark, sf_dir):
+    """Its ratios are columns of a statement row: no layer beside the statements is written for it."""
+    from ledgerline.plans import modelling
+
+    read = {f.split("/")[-2].split("-")[0] for f in modelling._build_dataset(spark, sf_dir).inputFiles() if "ledgerline" in f}
+    assert read == {"statements"}
