@@ -156,9 +156,13 @@ def negative_flags(wide: DataFrame, items: list[str] = NOT_NEGATIVE) -> DataFram
 
 
 def drop_sparse(wide: DataFrame, items: list[str], most_missing: float = 0.5) -> DataFrame:
-    """Drop rows with too many missing items; never interpolate."""
+    """Drop rows with too many missing items; never interpolate.
+
+    The number comes out of an array of one, through which no filter is pushed: pushed down, it
+    would hold the expressions of all items and work them out again.
+    """
     missing = sum((F.col(i).isNull().cast("int") for i in items), F.lit(0))
-    return wide.withColumn("missing_items", missing).filter(
+    return wide.select("*", F.explode(F.array(missing)).alias("missing_items")).filter(
         F.col("missing_items") <= most_missing * len(items)
     )
 

@@ -280,14 +280,16 @@ GAPPED_SQL = (
 
 
 def gapped(spark, sf_dir):
-    ck, year = F.substring("ticker", 2, 20).cast("bigint"), F.col("year")
+    """The number of a company is read from its ticker once per row, not once per item."""
+    numbered = statements(spark, sf_dir).withColumn("_ck", F.substring("ticker", 2, 20).cast("bigint"))
+    ck, year = F.col("_ck"), F.col("year")
     out = []
     for i, item in enumerate(ITEMS):
         gone = (ck * 7 + year * 3 + i * 5) % 23 == 0
         if i < 10:
             gone = gone | ((ck % 17 == 3) & (year % 2 == 0))
         out.append(F.when(~gone, F.col(item)).alias(item))
-    return statements(spark, sf_dir).select("ticker", "year", *out)
+    return numbered.select("ticker", "year", *out)
 
 
 @fundamentals.query(

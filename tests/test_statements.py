@@ -358,3 +358,13 @@ def test_dataset_stores_no_ratios(spark, sf_dir):
 
     read = {f.split("/")[-2].split("-")[0] for f in modelling._build_dataset(spark, sf_dir).inputFiles() if "ledgerline" in f}
     assert read == {"statements"}
+
+
+def test_sparse_rows_are_counted_once(spark):
+    wide = spark.createDataFrame([("A", 1, None), ("B", None, None), ("C", 1, 2)], "t string, x int, y int")
+    gapped = wide.select("t", *[F.when(F.substring("t", 1, 1) != "Z", F.col(c)).alias(c) for c in "xy"])
+    kept = st.drop_sparse(gapped, ["x", "y"])
+    assert {r["t"]: r["missing_items"] for r in kept.collect()} == {"A": 1, "C": 0}
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    # The condition is on the number, not on the items it was counted from.
+    assert all("CASE" not in line for line in plan.splitlines() if "Filter" in line)
