@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.numeric import ratio
 from ledgerline.operators.quantiles import value_ranks
+from ledgerline.session import stored
 
 LIQUIDITY = ["current_ratio", "working_capital_to_ta", "ocf_to_current_liabilities"]
 PROFITABILITY = ["roa", "roe", "ebit_margin", "ebit_to_ta", "asset_turnover"]
@@ -246,12 +247,17 @@ def peer_rank(rows: DataFrame, metric: str, group: list[str], decimals: int = 4)
     An industry may hold a third of all companies, so nothing is sorted per industry:
     ranks and medians come from pre-aggregated distinct values, cut into ranges. ``rows`` is
     read several times: pass a stored table.
+
+    Rows meet their ranks by value first, then group: the sort of the join compares numbers and
+    seldom gets to the texts that name a group. What is known per group is stored, so its size
+    is known when it is joined: small, it is broadcast, and rows are not shuffled by group.
     """
-    ranks = value_ranks(rows.select(*group, metric), group, metric)
+    spark = rows.sparkSession
+    ranks = stored(spark, value_ranks(rows.select(*group, metric), group, metric), "peer-ranks")
     stats = rows.groupBy(*group).agg(
         F.count(metric).alias("peers"), (F.sum(F.round(F.col(metric) * 10**decimals).cast("long")) / F.lit(10**decimals) / F.count(metric)).alias("peer_mean")
     )
-    placed = ranks.join(stats, group)
+    placed = ranks.join(stored(spark, stats, "peer-stats"), group)
     middle = (F.col("peers") - 1) / 2
 
     def value_at(rank: Column) -> Column:
@@ -259,12 +265,15 @@ def peer_rank(rows: DataFrame, metric: str, group: list[str], decimals: int = 4)
         return F.max(F.when(here, F.col(metric)))
 
     low, high = value_at(F.floor(middle)), value_at(F.ceil(middle))
-    medians = placed.groupBy(*group).agg((low + (high - low) * 0.5).alias("_between"), low.alias("_low"), F.first("peers").alias("_n"))
-    exact = F.when(F.col("_n") % 2 == 1, F.col("_low")).otherwise(F.col("_between"))
+    medians = placed.groupBy(*group).agg(
+        (low + (high - low) * 0.5).alias("_between"), low.alias("_low"), F.first("peers").alias("peers"), F.first("peer_mean").alias("peer_mean")
+    )
+    exact = F.when(F.col("peers") % 2 == 1, F.col("_low")).otherwise(F.col("_between"))
+    facts = stored(spark, medians.select(*group, "peers", "peer_mean", exact.alias("peer_median")), "peer-facts")
     percent = F.when(F.col("peers") > 1, F.col("n_before") / (F.col("peers") - 1)).otherwise(0.0)
     return (
-        rows.join(placed, [*group, metric])
-        .join(medians.select(*group, exact.alias("peer_median")), group)
+        rows.join(ranks, [metric, *group])
+        .join(facts, group)
         .select(
             "ticker",
             *group,

@@ -368,3 +368,12 @@ def test_sparse_rows_are_counted_once(spark):
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     # The condition is on the number, not on the items it was counted from.
     assert all("CASE" not in line for line in plan.splitlines() if "Filter" in line)
+
+
+def test_peers_are_shuffled_by_value_only(spark):
+    rows = spark.range(3000).selectExpr("concat('C', id) ticker", "cast(id % 3 as string) industry", "double(id % 11) roa")
+    got = peer_rank(rows, "roa", ["industry"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(industry" not in plan
+    found = got.groupBy("industry").agg(F.count("*").alias("n"), F.max("peers").alias("p")).collect()
+    assert sorted((r["industry"], r["n"], r["p"]) for r in found) == [(str(i), 1000, 1000) for i in range(3)]
