@@ -7,8 +7,7 @@ three whole pieces and 26 words or more with its copies: at most 12 words at its
 end merge with the text around. In scripts without spaces each character counts as a word.
 
 Every run of three pieces is hashed. Runs are counted
-over the whole corpus by the documents that hold them, with partial counts before the shuffle;
-the document with the smallest id keeps a run, the others lose the sentences that it covers. A
+over the whole corpus by the documents that hold them; the document with the smallest id keeps a run, the others lose the sentences that it covers. A
 run that comes again within a document loses its later places. Covered stretches shorter
 than 25 words stay, so common short phrases are left alone.
 
@@ -60,14 +59,29 @@ def count_words(text: str) -> int:
 
 def shorter(piece: str) -> list[str]:
     """A long piece cut before each word whose hash is the first smallest of some seven neighbours."""
-    words = [(m.start(), zlib.crc32(m[0].encode("utf-8", "replace"))) for m in WORD.finditer(piece)]
-    hashes = [h for _, h in words]
-    cuts = set()
+    words = WORD.findall(piece)
+    hashes = [zlib.crc32(w.encode("utf-8", "replace")) for w in words]
+    cuts, best = [], -1
     for at in range(len(hashes) - NEIGHBOURS + 1):
-        some = hashes[at : at + NEIGHBOURS]
-        cuts.add(at + some.index(min(some)))
-    edges = [0, *(words[c][0] for c in sorted(cuts - {0})), len(piece)]
-    return [piece[a:b] for a, b in zip(edges, edges[1:])]
+        end = at + NEIGHBOURS
+        if best < at:  # the smallest has left: look at all seven, else only at the new one
+            some = hashes[at:end]
+            best = at + some.index(min(some))
+            cuts.append(best)
+        elif hashes[end - 1] < hashes[best]:
+            best = end - 1
+            cuts.append(best)
+    out, place, start, done = [], 0, 0, 0
+    for cut in cuts:
+        for word in words[done : cut + 1]:
+            place = piece.index(word, place) + len(word)
+        done = cut + 1
+        if cut:
+            edge = place - len(words[cut])
+            out.append(piece[start:edge])
+            start = edge
+    out.append(piece[start:])
+    return out
 
 
 def pieces(text: str | None) -> list[str]:
@@ -93,7 +107,11 @@ def run_hashes(parts: list[str], run: int = RUN) -> np.ndarray:
 
 
 def runs(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """run, doc_id: every run of a document once."""
+    """run, doc_id: every run of a document once, dealt by run.
+
+    Counting and joining read the same shuffle, so texts are cut and hashed once for both. A run
+    has one row per document that holds it, so it is a small share of all rows.
+    """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,7 +120,8 @@ def runs(docs: DataFrame, run: int = RUN) -> DataFrame:
             values = np.concatenate(each) if each else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(ids)], names=["run", "doc_id"])
 
-    return docs.mapInArrow(hashed, "run long, doc_id long")
+    # Neither is ever null; said so, neither reader adds a filter that would tell its shuffle apart.
+    return docs.mapInArrow(hashed, "run long not null, doc_id long not null").repartition("run")
 
 
 def removed_pieces(parts: list[str], lost: set[int], run: int = RUN, least_words: int = LEAST_WORDS) -> np.ndarray:

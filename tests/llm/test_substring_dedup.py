@@ -123,3 +123,33 @@ def test_pieces_of_any_script_give_the_text_again():
         for text in embedded(kind, 0):
             assert "".join(sub.pieces(text + "  \n ")) == text + "  \n "
             assert max(sub.count_words(p) for p in sub.pieces(text)) <= sub.LONGEST
+
+
+def test_texts_are_hashed_once(spark):
+    """Counting and joining read one shuffle of the runs."""
+    import pyspark.sql.functions as F
+
+    from ledgerline.llm import substring_dedup as sd
+
+    found = sd.runs(spark.createDataFrame([(i, " ".join(f"w{j}." for j in range(9))) for i in range(4)], "doc_id long, text string"))
+    counted = found.groupBy("run").agg(F.min("doc_id").alias("keeper"))
+    joined = found.join(counted, "run").filter("doc_id <> keeper")
+    assert joined.count() == 21
+    joined.collect()
+    assert "ReusedExchange" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cuts_are_at_the_first_smallest_of_seven():
+    import random
+    import zlib
+
+    from ledgerline.llm import substring_dedup as sd
+
+    rng = random.Random(3)
+    for size in [13, 14, 40, 200]:
+        for words in (["a", "aa", "b"], [f"w{i}" for i in range(50)], ["一", "x", "あ"]):
+            piece = " ".join(rng.choice(words) for _ in range(size))
+            found = [(m.start(), zlib.crc32(m[0].encode())) for m in sd.WORD.finditer(piece)]
+            cuts = {min(range(at, at + 7), key=lambda i: (found[i][1], i)) for at in range(len(found) - 6)}
+            edges = [0, *(found[c][0] for c in sorted(cuts - {0})), len(piece)]
+            assert sd.shorter(piece) == [piece[a:b] for a, b in zip(edges, edges[1:])]
