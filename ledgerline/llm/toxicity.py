@@ -3,14 +3,16 @@
 Two zstandard dictionaries are trained apart, one from toxic and one from ordinary text. A
 document is read whole, in windows of a few words; each window is compressed once with either
 dictionary, and the bytes that the toxic one saves, as a share of the window, are its gain.
-Gains per document are put on a 0-to-1 scale by thresholds calibrated on labelled documents
+Each word is compressed alone as well, two bytes written for one: a match costs zstandard three to
+four bytes whatever it stands for, which hides a short word or stem that only toxic texts use.
+Gains of both kinds are put on a 0-to-1 scale by thresholds calibrated on labelled documents
 that neither dictionary has seen.
 
 Letters count, not their case or the marks around them: texts are lower-cased and runs of
 marks and digits become one space. What goes into the toxic dictionary is chosen by contrast:
 byte stretches of several lengths, across words too, that occur in so many more toxic than
 ordinary texts that chance does not explain it (a likelihood ratio beyond the logarithm of
-the number of stretches looked at). No word list, language or share of texts enters, so a
+the number of stretches looked at); a longer one counts only where it holds no shorter one. No word list, language or share of texts enters, so a
 language with few labelled texts is learned as well. Ordinary windows that gain without holding
 such a stretch are fed back into the ordinary dictionary, toxic texts without a gain give their best window to the toxic
 one. Near copies among the labelled texts count once. Settings are tried on halves of the
@@ -62,7 +64,7 @@ ZSTD = dict(
     window_log=17,
     chain_log=16,
     hash_log=14,
-    search_log=5,
+    search_log=3,
     min_match=3,
     target_length=64,
     strategy=zstandard.STRATEGY_BTOPT,
@@ -70,8 +72,14 @@ ZSTD = dict(
     write_checksum=False,
     write_dict_id=False,
 )
+# Words are looked for longer: most have occurred before and are remembered.
+WORD_ZSTD = ZSTD | dict(window_log=18, chain_log=17, hash_log=16, search_log=5)
+SECOND = bytes(i ^ 0x80 for i in range(256))
+# Words remembered per process: a word's gain is the same wherever it stands.
+KNOWN_WORDS = 300_000
 BETWEEN = re.compile(r"[\W\d_]+")
 CLEAR = (0.001, 0.05, 0.1, 0.15, 0.2, 0.3)
+WORD_CLEAR = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3)
 TOP = 5
 
 
@@ -99,16 +107,28 @@ def windows(content: bytes, words: int) -> list[bytes]:
     return [b" " + b" ".join(parts[i : i + words]) + b" " for i in range(0, len(parts), words)]
 
 
-def compressor(content: bytes) -> zstandard.ZstdCompressor:
-    settings = zstandard.ZstdCompressionParameters(**ZSTD)
+def compressor(content: bytes, how: dict = ZSTD) -> zstandard.ZstdCompressor:
+    settings = zstandard.ZstdCompressionParameters(**how)
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     held.precompute_compress(compression_params=settings)
     return zstandard.ZstdCompressor(dict_data=held, compression_params=settings)
 
 
-def compressors(ordinary: bytes, toxic: bytes) -> tuple:
+def compressors(ordinary: bytes, toxic: bytes, how: dict = ZSTD) -> tuple:
     # zstandard refuses an empty dictionary; spaces compress nothing.
-    return compressor(ordinary or b" " * 8), compressor(toxic or b" " * 8)
+    return compressor(ordinary or b" " * 8, how), compressor(toxic or b" " * 8, how)
+
+
+def doubled(content: bytes) -> bytes:
+    """Each byte followed by another one that stands for the same."""
+    out = bytearray(2 * len(content))
+    out[0::2], out[1::2] = content, content.translate(SECOND)
+    return bytes(out)
+
+
+def prepared(ordinary: bytes, toxic: bytes) -> tuple:
+    """Compressors of windows, compressors of single words, and the gains of words seen so far."""
+    return compressors(ordinary, toxic), compressors(doubled(ordinary), doubled(toxic), WORD_ZSTD), {}
 
 
 def gains(pair: tuple, parts: list[bytes]) -> np.ndarray:
@@ -117,27 +137,47 @@ def gains(pair: tuple, parts: list[bytes]) -> np.ndarray:
     return np.array([(len(ordinary(x)) - len(toxic(x))) / len(x) for x in parts], dtype=np.float64)
 
 
-def features(gain: np.ndarray) -> list[float]:
+def word_gains(pair: tuple, known: dict[bytes, float], content: bytes) -> np.ndarray:
+    """The gain of each word of a plain text by itself."""
+    out = []
+    for word in content.split():
+        gain = known.get(word)
+        if gain is None:
+            gain = float(gains(pair, [doubled(b" " + word + b" ")])[0])
+            if len(known) < KNOWN_WORDS:
+                known[word] = gain
+        out.append(gain)
+    return np.array(out, dtype=np.float64)
+
+
+def features(gain: np.ndarray, clear_from: tuple[float, ...] = CLEAR, lowest: float = -0.3) -> list[float]:
     """The largest gains, and how many windows and what share of them are clear."""
-    top = np.full(TOP, -0.3)
+    top = np.full(TOP, lowest)
     best = np.sort(gain)[::-1][:TOP]
     top[: len(best)] = best
     out = [*top, float(top.sum())]
-    for least in CLEAR:
+    for least in clear_from:
         clear = float((gain >= least).sum())
         out += [clear**0.5, clear / (len(gain) + 5)]
     saved = float(np.maximum(gain, 0).sum())
     return [*out, saved**0.5, saved / (len(gain) + 5), float(gain.mean()) if len(gain) else 0.0]
 
 
+def described(tools: tuple, content: bytes, words: int) -> list[float]:
+    """A plain text's figures: of its windows, then of its words."""
+    pair, word_pair, known = tools
+    by_word = word_gains(word_pair, known, content)
+    return [*features(gains(pair, windows(content, words))), *features(by_word, WORD_CLEAR, 0.0)]
+
+
 def score_texts(model: Model | None, texts: Iterable[str | None]) -> np.ndarray:
     texts = list(texts)
     if model is None or not texts:
         return np.zeros(len(texts))
     cache = process_cache("toxicity")
     if cache.get("model") != model:
-        cache.update(model=model, pair=compressors(model.ordinary, model.toxic))
-    rows = np.array([features(gains(cache["pair"], windows(plain(t), model.words))) for t in texts])
+        cache.update(model=model, tools=prepared(model.ordinary, model.toxic))
+    rows = np.array([described(cache["tools"], plain(t), model.words) for t in texts])
     return probability(rows, model.mean, model.scale, model.weights)
 
 
@@ -230,13 +270,17 @@ def telling_stretches(toxic: list[bytes], ordinary: list[bytes]) -> dict[int, tu
 
 def telling_parts(text: bytes, telling: dict) -> set[bytes]:
     """Stretches of a text that telling ones cover, out to the next spaces (12 bytes at most)."""
-    edges = np.zeros(len(text) + 1, np.int64)
-    for length, (keys, _) in telling.items():
+    covered = np.zeros(len(text), bool)
+    for length, (keys, _) in sorted(telling.items()):
         found = np.flatnonzero(among(stretch_hashes(text, length), keys))
+        # Around a shorter stretch a longer one adds neighbours that tell nothing.
+        before = np.concatenate([[0], np.cumsum(covered)])
+        found = found[before[found + length] == before[found]]
+        edges = np.zeros(len(text) + 1, np.int64)
         np.add.at(edges, found, 1)
         np.add.at(edges, found + length, -1)
-    covered = np.concatenate([[0], (np.cumsum(edges)[:-1] > 0).astype(np.int64), [0]])
-    change = np.flatnonzero(np.diff(covered))
+        covered |= np.cumsum(edges)[:-1] > 0
+    change = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int64), [0]])))
     parts = set()
     for start, end in zip(change[::2], change[1::2]):
         left = text.rfind(b" ", max(0, start - 12), start + 1)
@@ -308,8 +352,8 @@ def log_loss(p: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> float:
 
 
 def rows_of(ordinary: bytes, toxic: bytes, words: int, texts: list[bytes]) -> np.ndarray:
-    pair = compressors(ordinary, toxic)
-    return np.array([features(gains(pair, windows(t, words))) for t in texts])
+    tools = prepared(ordinary, toxic)
+    return np.array([described(tools, t, words) for t in texts])
 
 
 def fit(toxic: list[str], ordinary: list[str], share: float | None = None) -> Model | None:

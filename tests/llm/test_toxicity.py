@@ -75,6 +75,36 @@ def test_telling_phrases_of_ordinary_words_are_found():
     assert all(any(b"r lem" in p for p in toxicity.telling_parts(t, telling)) for t in bad)
 
 
+def stemmed(n, bad, seed):
+    """Words of two to four syllables; toxic texts have up to three that begin with a stem of their own."""
+    draw = random.Random(seed)
+    syllables = ["be", "lo", "mi", "ta", "ra", "no", "ku", "se", "ty", "ven", "que", "dor"]
+    out = []
+    for _ in range(n):
+        words = ["".join(draw.choices(syllables, k=draw.randint(2, 4))) for _ in range(60)]
+        for _ in range(3 if bad else 0):
+            words[draw.randrange(60)] = "vequ" + draw.choice(syllables)
+        out.append(" ".join(words))
+    return out
+
+
+def test_short_stems_among_ordinary_words_are_caught():
+    """The stem is as long as zstandard's cost of a match, and what follows it is ordinary."""
+    model = toxicity.fit(stemmed(300, True, 1), stemmed(900, False, 2))
+    bad = toxicity.score_texts(model, stemmed(150, True, 3))
+    good = toxicity.score_texts(model, stemmed(150, False, 4))
+    assert (bad >= 0.5).mean() > 0.8 and (good < 0.5).mean() > 0.95
+
+
+def test_a_remembered_word_has_the_same_gain(model):
+    _, pair, known = toxicity.prepared(model.ordinary, model.toxic)
+    content = toxicity.plain(texts(1, True, 8)[0])
+    first = toxicity.word_gains(pair, known, content)
+    assert len(first) == 60 and known
+    assert (toxicity.word_gains(pair, known, content) == first).all()
+    assert (toxicity.word_gains(pair, {}, content) == first).all()
+
+
 def test_odd_texts_get_a_score(spark, tricky, no_docs, model):
     rows = toxicity.score_documents(tricky, model).collect()
     assert len(rows) == tricky.count()
